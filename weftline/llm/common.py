@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,56 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             return labels_next.select("node", "component")
         labels = labels_next.select("node", "component")
     raise RuntimeError(f"components still change after {rounds} rounds")
+
+
+def packed_slots(marks: DataFrame, bits: int) -> np.ndarray:
+    """Fold ``marks(slot, level)`` into one byte a slot, the largest level: 2**bits bytes whatever the input.
+
+    Slots are packed 4096 to a row on the executors, so the driver gets at most 2**bits bytes.
+    """
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(4096, np.uint8)
+        cells[batch["slot"].to_numpy() % 4096] = batch["level"].to_numpy()
+        return pd.DataFrame({"part": [int(batch["slot"].iloc[0]) // 4096], "cells": [cells.tobytes()]})
+
+    best = marks.groupBy("slot").agg(F.max("level").alias("level"))
+    packed = best.groupBy(F.expr("slot div 4096")).applyInPandas(pack, "part int, cells binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for part, cells in packed.collect():
+        out[part * 4096 : part * 4096 + 4096] = np.frombuffer(cells, np.uint8)
+    return out
+
+
+BLOOM_BITS = 22
+
+
+def id_marks(ids: Column) -> Column:
+    """Slot of an id in a filter of 2**BLOOM_BITS bytes."""
+    return F.pmod(F.xxhash64(ids), F.lit(1 << BLOOM_BITS))
+
+
+def maybe_in(ids: DataFrame, id_col: str):
+    """A function column -> condition that holds for all rows whose id is in ``ids``, and few others.
+
+    The filter behind it has a fixed size, so it may be broadcast; when it fills up it only lets
+    more rows through. An exact join must follow.
+    """
+    slots = packed_slots(ids.select(id_marks(F.col(id_col)).cast("int").alias("slot"), F.lit(1).alias("level")), BLOOM_BITS)
+    shared = ids.sparkSession.sparkContext.broadcast(slots)
+
+    @F.pandas_udf("boolean")
+    def hit(slot: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[slot.to_numpy()] > 0)
+
+    return lambda column: hit(id_marks(column).cast("int"))
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not in ``ids``; only rows that may be hit are shuffled, null ids stay."""
+    may_hit = maybe_in(ids, id_col)
+    marked = rows.withColumn("_may_hit", may_hit(F.col(id_col)))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    sure = marked.where("not _may_hit").select(*columns)
+    rest = marked.where("_may_hit").select(*columns).join(ids.select(id_col).distinct(), id_col, "left_anti")
+    return sure.unionByName(rest)

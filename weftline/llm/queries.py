@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, licenses, urls
+from weftline.llm import bpe, chat, jaccard, licenses, urls
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join)}
 
 
 def _url_sql() -> str:

@@ -90,3 +90,30 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
         out = out * np.uint64(_MUL) + words[i : i + n]
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def pieces_of(texts: list[str | None], chars: int = 2_000_000):
+    """Split a batch into slices of about ``chars`` characters; one text is never split."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def shingle_sets(texts: list[str | None], size: int = 5):
+    """For each text its distinct shingle hashes in ascending order, without a loop over words."""
+    for lo, hi in pieces_of(texts):
+        words, bounds = word_hashes(texts[lo:hi])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            hashes = shingle_hashes(words[a:b], size)
+            hashes.sort()
+            if len(hashes) > 1:
+                keep = np.empty(len(hashes), bool)
+                keep[0] = True
+                np.not_equal(hashes[1:], hashes[:-1], out=keep[1:])
+                hashes = hashes[keep]
+            yield hashes
