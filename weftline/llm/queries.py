@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, jaccard, licenses, urls
+from weftline.llm import bpe, chat, jaccard, licenses, neardup, urls
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join)}
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.embedding_neardup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup)}
 
 
 def _url_sql() -> str:
@@ -99,4 +103,15 @@ def _license_sql() -> str:
     select d.doc_id, coalesce(licenses, '') licenses, coalesce(n, 0) n_matches, coalesce(w, false) whole_text from documents d left join found f on d.doc_id = f.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": _url_sql(), "op4_chat_format": _chat_sql(), "op5_license_scan": _license_sql()}
+_NEARDUP_SQL = f"""
+    with recursive v as (select vec_id, label, embedding::double[] e from embeddings),
+    g as (select vec_id, label, len(e) d, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) u from v
+          where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_max(list_transform(e, lambda x: abs(x))) > 0),
+    links as (select a.vec_id a, b.vec_id b from g a join g b on a.label = b.label and a.d = b.d and a.vec_id <> b.vec_id
+              where list_inner_product(a.u, b.u) >= {neardup.THRESHOLD}),
+    reach as (select vec_id n, vec_id m from embeddings union select r.n, l.b from reach r join links l on l.a = r.m),
+    c as (select n, min(m) m from reach group by n),
+    d as (select a, count(*) k from links group by a)
+    select vec_id, coalesce(k, 0) n_links, m component_id, vec_id = m kept from embeddings left join c on c.n = vec_id left join d on d.a = vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op8_embedding_neardup": _NEARDUP_SQL, "op2_url_filter": _url_sql(), "op4_chat_format": _chat_sql(), "op5_license_scan": _license_sql()}
