@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, jaccard, licenses, neardup, pii, urls
+from weftline.llm import bpe, chat, html_text, jaccard, licenses, neardup, pii, urls
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents")).drop("sanitised")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii)}
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii, op3_main_text)}
 
 
 def _url_sql() -> str:
