@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, html_text, jaccard, licenses, neardup, pii, quality, urls
+from weftline.llm import bpe, chat, decontam, html_text, jaccard, licenses, neardup, pii, quality, urls
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii, op3_main_text, op1_quality)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii, op3_main_text, op1_quality, op9_decontamination)}
 
 
 def _url_sql() -> str:
