@@ -24,6 +24,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.words import pieces_of
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Unicode's White_Space characters.
 SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -172,25 +174,30 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def bpe(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text and decode the ids again: ``id_col``, ``ids`` and ``decoded``.
+def bpe(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Encode every whole text and decode the ids again: ``id_col``, ``ids``, ``decoded``, and the text if kept.
 
     One row per input row, repeated rows included; null or empty texts give no ids and an empty
     text; other columns are not carried. ``path`` is the vocabulary file on the executors, which
     every worker opens once. No shuffle.
     """
     path = path or public_tokenizers.path(DEFAULT_VOCABULARY)
+    carry = ["_id", "_text"] if keep_text else ["_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            for some in np.array_split(batch, max(1, len(batch) // 500)):
-                ids = [own.encode(t) for t in some["_text"]]
-                yield pd.DataFrame({"_id": some["_id"], "ids": ids, "decoded": [own.decode(x) for x in ids]})
+            texts = batch["_text"].tolist()
+            for lo, hi in pieces_of(texts):
+                ids = [own.encode(t) for t in texts[lo:hi]]
+                decoded = [own.decode(x) for x in ids]
+                yield batch[carry].iloc[lo:hi].assign(ids=[np.array(x, np.int32) for x in ids], decoded=decoded)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
+    fields = f"_id {kind}, _text string" if keep_text else f"_id {kind}"
+    out = rows.mapInPandas(run, f"{fields}, ids array<int>, decoded string")
+    return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
