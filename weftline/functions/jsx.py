@@ -62,24 +62,28 @@ def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") ->
     number = F.row_number().over(Window.partitionBy("_id").orderBy("_at")) - 1
     body = F.regexp_replace(F.regexp_replace("tag", r"^<[A-Za-z][\w.]*", ""), r"/?>$", "")
     has_children = (F.col("step") == 1) & (F.coalesce(F.trim(F.regexp_replace("_next_text", r"\s", " ")), F.lit("")) != "") | (F.col("step") == 1) & F.coalesce(~F.col("_next_tag").startswith("</"), F.lit(False))
-    return parented.select(
-        F.col("_id").alias(id_col), number.alias("pos"), "component_name", props_map(body).alias("props"), has_children.alias("has_children"), "parent_component",
+    placed = parented.select(
+        F.col("_id").alias(id_col), number.alias("pos"), "component_name", body.alias("_body"), has_children.alias("has_children"), "parent_component",
         F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"),
     )
+    return with_props(placed, "_body").select(id_col, "pos", "component_name", "props", "has_children", "parent_component", "line", "column")
 
 
-def props_map(attributes):
-    """Attributes of a tag as a map: text of string literals, ``''`` for expressions, ``'true'`` for bare names.
+def with_props(rows: DataFrame, body: str) -> DataFrame:
+    """Add ``props``, a map of a tag's attributes: text of string literals, ``''`` for expressions, ``'true'`` for bare names.
 
-    The last of equal names counts; a spread is ``...spread``; names with a colon are left out.
+    The last of equal names counts; a spread is ``...spread``; names with a colon are left out. Each
+    step is a column of its own, so no pattern is matched twice.
     """
-    found = F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), 0)
-    name = lambda x: F.when(x.startswith("{..."), "...spread").otherwise(F.regexp_extract(x, r"^[\w$:-]+", 0))
     quoted = lambda x: F.regexp_extract(x, r"=\s*([\"'])([\s\S]*)\1$", 2)
-    value = lambda x: F.when(x.rlike(r"=\s*[\"']"), quoted(x)).when(x.rlike(r"=\s*\{") | x.startswith("{"), "").otherwise("true")
-    plain = F.filter(found, lambda x: ~name(x).contains(":") & (name(x) != ""))
-    last = F.filter(plain, lambda x, i: F.size(F.filter(plain, lambda y, j: (name(y) == name(x)) & (j > i))) == 0)
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(name(x).alias("key"), value(x).alias("value"))))
+    name = lambda x: F.when(x.startswith("{..."), "...spread").otherwise(F.regexp_extract(x, r"^[\w$:-]+", 0))
+    value = lambda x: F.when(x.rlike(r"=\s*[\"']"), quoted(x)).when(x.contains("=") | x.startswith("{"), "").otherwise("true")
+    found = rows.withColumn("_found", F.regexp_extract_all(F.col(body), F.lit(ATTRIBUTE), 0))
+    entries = found.withColumn("_entries", F.transform("_found", lambda x: F.struct(name(x).alias("key"), value(x).alias("value"))))
+    plain = entries.withColumn("_plain", F.filter("_entries", lambda e: (e["key"] != "") & ~e["key"].contains(":")))
+    keyed = plain.withColumn("_keys", F.transform("_plain", lambda e: e["key"]))
+    last = F.filter("_plain", lambda e, i: ~F.array_contains(F.slice("_keys", i + 2, F.size("_keys")), e["key"]))
+    return keyed.withColumn("props", F.map_from_entries(last)).drop("_found", "_entries", "_plain", "_keys")
 
 
 def imports(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:

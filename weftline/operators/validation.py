@@ -1,4 +1,4 @@
-"""Rules that hold pages' usages and imports against a catalog: each rule is one DataFrame of violations.
+"""Rules that hold pages' usages and imports against a catalog: each rule is one column of violations.
 
 The catalog side is small by nature, but its size is not assumed: joins are plain equi-joins, and
 Spark broadcasts a side when its statistics allow. All violations have ``page_id, rule, severity,
@@ -8,8 +8,6 @@ component, prop, line, message, suggestion``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +38,26 @@ class Rulebook:
         )
 
 
-def _violation(rows: DataFrame, rule: str, severity: str, message: Column, prop: Column | None = None, suggestion: Column | None = None) -> DataFrame:
-    return rows.select(
-        "page_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("component_name").alias("component"), (prop if prop is not None else F.lit("")).alias("prop"), "line",
-        message.alias("message"), F.coalesce(suggestion if suggestion is not None else F.lit(""), F.lit("")).alias("suggestion"),
+VIOLATION = "array<struct<rule:string,severity:string,prop:string,message:string,suggestion:string>>"
+
+
+def _violation(rule: str, severity: str, message: Column, prop: Column | None = None, suggestion: Column | None = None) -> Column:
+    no = F.lit("")
+    return F.struct(
+        F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (no if prop is None else prop).alias("prop"), message.alias("message"),
+        F.coalesce(no if suggestion is None else suggestion, no).alias("suggestion"),
     )
 
 
+def _if(condition: Column, *found: Column) -> Column:
+    """The violations found where the condition holds, else none."""
+    return F.when(condition, F.array(*found)).otherwise(F.array().cast(VIOLATION)).cast(VIOLATION)
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
 def imported_names(imports: DataFrame) -> DataFrame:
     """``page_id, name, source``: the last import of a name counts, a statement's default name after its named ones."""
     named = imports.select("page_id", "pos", F.lit(0).alias("kind"), F.posexplode("names").alias("at", "name"), "source")
@@ -55,84 +66,89 @@ def imported_names(imports: DataFrame) -> DataFrame:
 
 
 def classified(usages: DataFrame, book: Rulebook) -> DataFrame:
-    """Usages with what the catalog knows of their name: ``is_top``, ``is_sub`` and both definitions."""
-    top = book.components.select(F.col("name").alias("component_name"), F.lit(True).alias("is_top"), "import_path", F.col("deprecated").alias("component_deprecated"), "deprecated_msg")
+    """Usages with what the catalog knows of their name: ``is_top``, ``is_sub`` and both definitions, ``defined`` props as an array."""
+    props = book.props.groupBy(F.col("component").alias("name")).agg(F.collect_list(F.struct("name", "required", "default", "allowed_values", "deprecated")).alias("defined"))
+    top = book.components.join(props, "name", "left").select(
+        F.col("name").alias("component_name"), F.lit(True).alias("is_top"), "import_path", F.col("deprecated").alias("component_deprecated"), "deprecated_msg", "defined"
+    )
     sub = book.subs.select(F.col("name").alias("component_name"), F.lit(True).alias("is_sub"), "allowed_parents", "must_contain")
     out = usages.join(top, "component_name", "left").join(sub, "component_name", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_top", "is_sub")})
+    no_props = F.array().cast(dict(props.dtypes)["defined"])
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_top", "is_sub")}).withColumn("defined", F.coalesce("defined", no_props))
 
 
-def unknown_components(known: DataFrame) -> DataFrame:
-    return _violation(known.where("not is_top and not is_sub"), "unknown-component", "warning", F.concat(F.lit("unknown component "), "component_name"))
+def unknown_component() -> Column:
+    return _if(~F.col("is_top") & ~F.col("is_sub"), _violation("unknown-component", "warning", _text("unknown component ", F.col("component_name"))))
 
 
-def deprecated_components(known: DataFrame) -> DataFrame:
-    more = F.when(F.col("deprecated_msg") != "", F.concat(F.lit(": "), "deprecated_msg")).otherwise("")
-    return _violation(known.where("is_top and component_deprecated"), "deprecated-component", "warning", F.concat(F.lit("deprecated component "), "component_name", more))
+def deprecated_component() -> Column:
+    more = F.when(F.col("deprecated_msg") != "", _text(": ", F.col("deprecated_msg"))).otherwise("")
+    return _if(F.col("is_top") & F.col("component_deprecated"), _violation("deprecated-component", "warning", _text("deprecated component ", F.col("component_name"), more)))
 
 
-def import_violations(known: DataFrame, imports: DataFrame) -> DataFrame:
-    """Top-level components that a page doesn't import, or imports from elsewhere."""
-    sources = imported_names(imports).select("page_id", F.col("name").alias("component_name"), "source")
-    rows = known.where("is_top").join(sources, ["page_id", "component_name"], "left")
-    add = F.concat(F.lit("Add: import { "), "component_name", F.lit(' } from "'), "import_path", F.lit('"'))
-    missing = _violation(rows.where("source is null"), "missing-import", "error", F.concat("component_name", F.lit(" is not imported")), suggestion=add)
-    wrong = rows.where("source <> import_path")
-    message = F.concat("component_name", F.lit(" is imported from "), "source", F.lit(", not from "), "import_path")
-    return missing.unionByName(_violation(wrong, "wrong-import-path", "error", message, suggestion=F.concat(F.lit("Use: "), "import_path")))
+def import_rules() -> Column:
+    """Top-level components that a page doesn't import, or imports from elsewhere; ``source`` is the page's import."""
+    name, path = F.col("component_name"), F.col("import_path")
+    missing = _violation("missing-import", "error", _text(name, " is not imported"), suggestion=_text("Add: import { ", name, ' } from "', path, '"'))
+    wrong = _violation("wrong-import-path", "error", _text(name, " is imported from ", F.col("source"), ", not from ", path), suggestion=_text("Use: ", path))
+    return F.concat(_if(F.col("is_top") & F.col("source").isNull(), missing), _if(F.col("is_top") & (F.col("source") != path), wrong))
 
 
-def missing_required_props(known: DataFrame, book: Rulebook) -> DataFrame:
+def required_props() -> Column:
     """Required props that a usage lacks; neither a spread nor a body stands in for them."""
-    required = book.props.where("required").select(F.col("component").alias("component_name"), F.col("name").alias("prop"), "default")
-    lacking = known.where("is_top").join(required, "component_name").where(~F.array_contains(F.map_keys("props"), F.col("prop")))
-    suggestion = F.when(F.col("default") != "", F.concat(F.lit("Default: "), "default"))
-    return _violation(lacking, "missing-required-prop", "error", F.concat("component_name", F.lit(" needs prop "), "prop"), F.col("prop"), suggestion)
-
-
-def prop_violations(known: DataFrame, book: Rulebook) -> DataFrame:
-    """Props that are unknown, deprecated, or have a value that isn't allowed."""
-    given = known.where("is_top").select("page_id", "component_name", "line", F.explode("props").alias("prop", "value")).where(~F.col("prop").isin(*FREE_PROPS))
-    defined = book.props.select(F.col("component").alias("component_name"), F.col("name").alias("prop"), "default", "allowed_values", F.col("deprecated").alias("prop_deprecated"), F.lit(True).alias("defined"))
-    rows = given.join(defined, ["component_name", "prop"], "left")
-    name = F.concat("component_name", F.lit("."), "prop")
-    unknown = _violation(rows.where("defined is null"), "unknown-prop", "info", F.concat(F.lit("unknown prop "), name), F.col("prop"))
-    deprecated = _violation(rows.where("prop_deprecated"), "deprecated-prop", "warning", F.concat(F.lit("deprecated prop "), name), F.col("prop"))
-    wrong = rows.where("size(allowed_values) > 0 and not array_contains(allowed_values, value) and value not in ('', 'true')")
-    message = F.concat(F.lit('invalid value "'), "value", F.lit('" for '), name, F.lit("; allowed: "), F.array_join("allowed_values", ", "))
-    suggestion = F.when(F.col("default") != "", F.col("default"))
-    return unknown.unionByName(deprecated).unionByName(_violation(wrong, "invalid-prop-value", "warning", message, F.col("prop"), suggestion))
-
-
-def composition_violations(known: DataFrame) -> DataFrame:
+    lacking = F.filter("defined", lambda p: p["required"] & ~F.map_contains_key(F.col("props"), p["name"]))
+    suggestion = lambda p: F.when(p["default"] != "", _text("Default: ", p["default"]))
+    return F.transform(lacking, lambda p: _violation("missing-required-prop", "error", _text(F.col("component_name"), " needs prop ", p["name"]), p["name"], suggestion(p)))
+
+
+def prop_rules() -> Column:
+    """Props of top-level components that are unknown, deprecated, or have a value that isn't allowed."""
+    given = F.filter(F.map_entries("props"), lambda g: F.col("is_top") & ~g["key"].isin(*FREE_PROPS))
+    name = lambda prop: _text(F.col("component_name"), ".", prop)
+    unknown = F.transform(
+        F.filter(given, lambda g: ~F.exists("defined", lambda p: p["name"] == g["key"])), lambda g: _violation("unknown-prop", "info", _text("unknown prop ", name(g["key"])), g["key"])
+    )
+    pairs = F.filter(F.transform("defined", lambda p: F.struct(p.alias("p"), F.element_at("props", p["name"]).alias("value"))), lambda x: x["value"].isNotNull() & ~x["p"]["name"].isin(*FREE_PROPS))
+    deprecated = F.transform(F.filter(pairs, lambda x: x["p"]["deprecated"]), lambda x: _violation("deprecated-prop", "warning", _text("deprecated prop ", name(x["p"]["name"])), x["p"]["name"]))
+    wrong = F.filter(pairs, lambda x: (F.size(x["p"]["allowed_values"]) > 0) & ~F.array_contains(x["p"]["allowed_values"], x["value"]) & ~x["value"].isin("", "true"))
+    message = lambda x: _text('invalid value "', x["value"], '" for ', name(x["p"]["name"]), "; allowed: ", F.array_join(x["p"]["allowed_values"], ", "))
+    suggestion = lambda x: F.when(x["p"]["default"] != "", x["p"]["default"])
+    invalid = F.transform(wrong, lambda x: _violation("invalid-prop-value", "warning", message(x), x["p"]["name"], suggestion(x)))
+    return F.concat(unknown, deprecated, invalid)
+
+
+def composition_rule() -> Column:
     """Sub-components outside the parents that the catalog allows."""
-    rows = known.where("is_sub and size(allowed_parents) > 0 and not array_contains(allowed_parents, parent_component)")
-    first = F.get("allowed_parents", F.lit(0))
-    bare = F.col("parent_component") == ""
-    message = F.concat("component_name", F.when(bare, F.lit(" has no parent; allowed: ")).otherwise(F.concat(F.lit(" stands in "), "parent_component", F.lit("; allowed: "))), F.array_join("allowed_parents", ", "))
-    return _violation(rows, "composition-violation", "error", message, suggestion=F.concat(F.when(bare, "Wrap in ").otherwise("Move inside "), first))
+    parents, parent = F.col("allowed_parents"), F.col("parent_component")
+    place = F.when(parent == "", " has no parent; allowed: ").otherwise(_text(" stands in ", parent, "; allowed: "))
+    advice = F.concat(F.when(parent == "", "Wrap in ").otherwise("Move inside "), F.get(parents, F.lit(0)))
+    found = _violation("composition-violation", "error", _text(F.col("component_name"), place, F.array_join(parents, ", ")), suggestion=advice)
+    return _if(F.col("is_sub") & (F.size(parents) > 0) & ~F.array_contains(parents, parent), found)
 
 
-def missing_children(known: DataFrame) -> DataFrame:
-    """Children that a sub-component must contain and no usage of that parent name on the page does."""
-    needed = known.where("is_sub").select("page_id", "component_name", "line", "pos", F.explode("must_contain").alias("child"))
-    there = known.select("page_id", F.col("parent_component").alias("component_name"), F.col("component_name").alias("child")).distinct()
-    lacking = needed.join(there, ["page_id", "component_name", "child"], "left_anti")
-    return _violation(lacking, "missing-child", "error", F.concat("component_name", F.lit(" must contain "), "child"), F.col("child"), F.concat(F.lit("Add: "), "child"))
+def children_rule() -> Column:
+    """Children that a sub-component must contain and no usage of that parent name on the page does; ``children`` are the page's."""
+    lacking = F.filter(F.when(F.col("is_sub"), F.col("must_contain")), lambda c: ~F.array_contains(F.coalesce("children", F.array().cast("array<string>")), c))
+    return F.transform(lacking, lambda c: _violation("missing-child", "error", _text(F.col("component_name"), " must contain ", c), c, _text("Add: ", c)))
 
 
 def violations(usages: DataFrame, imports: DataFrame, book: Rulebook) -> DataFrame:
     """All rules over ``usages`` and ``imports`` of any number of pages.
 
     Unknown names get no further checks; imports and props are checked for top-level names only,
-    composition and children for sub-components only.
+    composition and children for sub-components only. Each usage meets the catalog, its page's
+    import of the name and its page's children of the name once, and all rules read that one row,
+    so pages are parsed twice however many rules there are: for the usages and for the children.
     """
-    known = classified(usages, book)
-    rules = [
-        unknown_components(known), deprecated_components(known), import_violations(known, imports), missing_required_props(known, book),
-        prop_violations(known, book), composition_violations(known), missing_children(known),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    sources = imported_names(imports).select("page_id", F.col("name").alias("component_name"), "source")
+    needs = book.subs.where("size(must_contain) > 0").select(F.col("name").alias("parent_component"))
+    nested = usages.select("page_id", "parent_component", "component_name").join(needs, "parent_component", "left_semi")
+    children = nested.groupBy("page_id", F.col("parent_component").alias("component_name")).agg(F.collect_set("component_name").alias("children"))
+    rows = classified(usages, book).join(sources, ["page_id", "component_name"], "left").join(children, ["page_id", "component_name"], "left")
+    rules = (unknown_component(), deprecated_component(), import_rules(), required_props(), prop_rules(), composition_rule(), children_rule())
+    none = F.array().cast(VIOLATION)
+    found = rows.select("page_id", F.col("component_name").alias("component"), "line", F.explode(F.concat(*(F.coalesce(r.cast(VIOLATION), none) for r in rules))).alias("_v"))
+    return found.select("page_id", "_v.rule", "_v.severity", "component", "_v.prop", "line", "_v.message", "_v.suggestion")
 
 
 def with_severity(found: DataFrame, severity: str) -> DataFrame:
