@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*+\})*+\})*+\}"
-_ATTRIBUTES = rf"(?:\s++|[\w$:.-]++|=|\"[^\"]*+\"|'[^']*+'|{_BRACES})*+"
-TAG = rf"(?<![\w)\]$])<(?:/\s*+[A-Za-z][\w.]*+\s*+|[A-Za-z][\w.]*+{_ATTRIBUTES}/?)>"
+_ATTRIBUTES = rf"(?:\s++|/(?=>)|[\w$:.-]++|=|\"[^\"]*+\"|'[^']*+'|{_BRACES})*+"
+# Right after a word, an opening tag would be a type argument.
+TAG = rf"</\s*+[A-Za-z][\w.]*+\s*+>|<[A-Za-z][\w.]*+{_ATTRIBUTES}(?<=/)>|(?<![\w)\]$])<[A-Za-z][\w.]*+{_ATTRIBUTES}>"
 TOKEN = rf"(?s)/\*.*?\*/|(?<![:\"'\w])//[^\n]*+|{TAG}"
 IMPORT = r"(?m)^[ \t]*import\b\s*(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\*\s*as\s+[\w$]+\s*)?(?:\{([^}]*)\}\s*)?(?:from\s*)?[\"']([^\"']+)[\"']"
 ATTRIBUTE = rf"([\w$-]+(?::[\w$-]+)?)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|{_BRACES}))?|\{{(\.\.\.)[^}}]*\}}"
