@@ -31,23 +31,29 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
 class Node:
     """A cover-tree node: ``rows`` lie within ``radius`` of the centre; children have half the level's radius."""
 
-    __slots__ = ("centre", "children", "radius", "rows", "weight")
+    __slots__ = ("centre", "centres", "children", "radii", "radius", "rows", "weight")
 
-    def __init__(self, points: np.ndarray, weights: np.ndarray, rows: np.ndarray, level: float):
+    def __init__(self, points: np.ndarray, weights: np.ndarray, apart: np.ndarray, rows: np.ndarray, level: float):
         self.rows, self.centre = rows, points[rows[0]]
-        self.radius = float(np.sqrt(((points[rows] - self.centre) ** 2).sum(axis=1).max()))
+        self.radius = float(apart[rows[0], rows].max())
         self.weight, self.children = int(weights[rows].sum()), []
         if len(rows) > LEAF and self.radius > 0:
             while level / 2 >= self.radius:
                 level /= 2
             left = rows
-            while len(left):  # centres at least level / 2 apart, each with what lies within level / 2 of it
-                near = ((points[left] - points[left[0]]) ** 2).sum(axis=1) <= (level / 2) ** 2
-                self.children.append(Node(points, weights, left[near], level / 2))
+            while len(left):  # centres more than level / 2 apart, each with what lies within level / 2 of it
+                near = apart[left[0], left] <= level / 2
+                self.children.append(Node(points, weights, apart, left[near], level / 2))
                 left = left[~near]
+        self.centres = np.array([c.centre for c in self.children or [self]])
+        self.radii = np.array([c.radius for c in self.children or [self]])
 
 
 class Block:
@@ -58,7 +64,9 @@ class Block:
         self.weights = np.frombuffer(row["weights"], np.int64)
         self.points = np.frombuffer(row["points"], np.float64).reshape(len(self.ids), -1)
         self.counts = np.zeros(len(self.ids), np.int64)
-        self.tree = Node(self.points, self.weights, np.arange(len(self.ids)), 2.0)
+        apart = _distances(self.points, self.points)
+        np.fill_diagonal(apart, 0)
+        self.tree = Node(self.points, self.weights, apart, np.arange(len(self.ids)), 2.0)
 
 
 class Forest:
@@ -87,41 +95,51 @@ class Forest:
 
 def _traverse(a: Block, b: Block, least: float) -> list[tuple[int, int]]:
     """Count all links between two blocks, or within one, and return edges that span them."""
-    far = np.sqrt(max(0.0, 2 - 2 * least))
+    far = float(np.sqrt(max(0.0, 2 - 2 * least)))
     same, forest = a is b, Forest()
+
+    def all_link(x: Node, y: Node) -> None:
+        if same and x is y:
+            a.counts[x.rows] += x.weight - a.weights[x.rows]
+            forest.star(a.ids[x.rows[0]], a.ids[x.rows[1:]])
+        else:
+            a.counts[x.rows] += y.weight
+            b.counts[y.rows] += x.weight
+            forest.star(a.ids[x.rows[0]], b.ids[y.rows])
+            forest.star(b.ids[y.rows[0]], a.ids[x.rows])
+
+    def compare(x: Node, y: Node) -> None:
+        close = a.points[x.rows] @ b.points[y.rows].T >= least
+        if same and x is y:
+            np.fill_diagonal(close, False)
+            a.counts[x.rows] += close @ a.weights[x.rows]
+        else:
+            a.counts[x.rows] += close @ b.weights[y.rows]
+            b.counts[y.rows] += close.T @ a.weights[x.rows]
+        i, j = np.nonzero(close)
+        forest.add(a.ids[x.rows[i]].tolist(), b.ids[y.rows[j]].tolist())
+
     work = [(a.tree, b.tree)]
     while work:
         x, y = work.pop()
-        if not (same and x is y):
-            apart = float(np.sqrt(((x.centre - y.centre) ** 2).sum()))
-            if apart - x.radius - y.radius > far + SLACK:
-                continue
-            if apart + x.radius + y.radius < far - SLACK:  # all link: a star spans them
-                a.counts[x.rows] += y.weight
-                b.counts[y.rows] += x.weight
-                forest.star(a.ids[x.rows[0]], b.ids[y.rows])
-                forest.star(b.ids[y.rows[0]], a.ids[x.rows])
-                continue
-        elif 2 * x.radius < far - SLACK:
-            a.counts[x.rows] += x.weight - a.weights[x.rows]
-            forest.star(a.ids[x.rows[0]], a.ids[x.rows[1:]])
-            continue
         if not x.children and not y.children:
-            close = a.points[x.rows] @ b.points[y.rows].T >= least
-            if same and x is y:
-                np.fill_diagonal(close, False)
-                a.counts[x.rows] += close @ a.weights[x.rows]
+            compare(x, y)
+            continue
+        one = same and x is y
+        apart = _distances(x.centres, y.centres)
+        if one:
+            np.fill_diagonal(apart, 0)
+        reach = x.radii[:, None] + y.radii[None, :]
+        inside = apart + reach < far - SLACK
+        meet = apart - reach <= far + SLACK
+        if one:
+            meet = np.triu(meet)
+        left, right = x.children or [x], y.children or [y]
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(meet))):
+            if inside[i, j]:
+                all_link(left[i], right[j])
             else:
-                a.counts[x.rows] += close @ b.weights[y.rows]
-                b.counts[y.rows] += close.T @ a.weights[x.rows]
-            i, j = np.nonzero(close)
-            forest.add(a.ids[x.rows[i]].tolist(), b.ids[y.rows[j]].tolist())
-        elif same and x is y:
-            work += [(p, q) for i, p in enumerate(x.children) for q in x.children[i:]]
-        elif x.children and (not y.children or x.radius >= y.radius):
-            work += [(p, y) for p in x.children]
-        else:
-            work += [(x, q) for q in y.children]
+                work.append((left[i], right[j]))
     return forest.edges
 
 
