@@ -80,6 +80,13 @@ class ItemIndex:
         self.lengths = {length: (rows, *self._blocks(rows)) for length, rows in sorted(by_length.items())}
         self.shingle_sizes = sorted({min(SHINGLE, length) for length in self.lengths})
         self.longest = max(self.lengths, default=0)
+        self.shingles = np.unique(np.concatenate([r[1] for rows in by_length.values() for r in rows] or [np.zeros(0, np.uint64)]))
+        #: For each of these shingles the items that have it, as (length, place among those of that length).
+        self.owners: list[list[tuple[int, int]]] = [[] for _ in self.shingles]
+        for length, rows in by_length.items():
+            for place, row in enumerate(rows):
+                for at in np.searchsorted(self.shingles, np.unique(row[1])).tolist():
+                    self.owners[at].append((length, place))
 
     @staticmethod
     def _blocks(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +104,13 @@ class ItemIndex:
                 continue
             hashes = shingle_hashes(words, size)
             hits = np.flatnonzero(self.marks[hashes >> np.uint64(64 - _MARK_BITS)])
+            if len(hits):  # the marks let a few other shingles through
+                at = np.searchsorted(self.shingles, hashes[hits])
+                hits = hits[self.shingles[np.minimum(at, len(self.shingles) - 1)] == hashes[hits]]
             for lo, hi in self._regions(hits, len(hashes), size):
-                self._windows(hashes[lo:hi], shingle_weights(words[lo : hi + size - 1], size), size, found)
+                there = np.unique(hashes[hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)]])
+                owners = {owner for at in np.searchsorted(self.shingles, there).tolist() for owner in self.owners[at]}
+                self._windows(hashes[lo:hi], shingle_weights(words[lo : hi + size - 1], size), size, owners, found)
         return found
 
     def _regions(self, hits: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]:
@@ -114,23 +126,29 @@ class ItemIndex:
         if hi is not None:
             yield lo, hi
 
-    def _windows(self, hashes: np.ndarray, weights: np.ndarray, size: int, found: dict[int, float]) -> None:
+    def _windows(self, hashes: np.ndarray, weights: np.ndarray, size: int, owners: set[tuple[int, int]], found: dict[int, float]) -> None:
+        """Match the windows of a stretch with the items that share a shingle with it, nearest fingerprints first."""
         sums = np.zeros((len(hashes) + 1, 64), np.int32)
         np.cumsum(_signs(hashes, weights), axis=0, out=sums[1:])
-        for length, (rows, prints, table) in self.lengths.items():
+        for length in sorted({length for length, _ in owners}):
             k = length - size + 1
             if min(SHINGLE, length) != size or k > len(hashes):
                 continue
+            rows, prints, table = self.lengths[length]
+            places = np.array(sorted(place for own, place in owners if own == length))
             windows = _fingerprints(sums[k:] - sums[:-k])
             keys = windows.view(np.uint8).reshape(-1, BLOCKS)
-            candidate = table[0][keys[:, 0]]
-            for b in range(1, BLOCKS):
-                candidate |= table[b][keys[:, b]]
-            at, item = np.nonzero(candidate)
-            near = np.bitwise_count(windows[at] ^ prints[item]) <= RADIUS
-            for p, i in zip(at[near].tolist(), item[near].tolist()):
-                name, own, own_weights, _ = rows[i]
+            candidate = np.zeros((len(windows), len(places)), bool)
+            for b in range(BLOCKS):
+                candidate |= table[b][keys[:, b]][:, places]
+            at, column = np.nonzero(candidate)
+            apart = np.bitwise_count(windows[at] ^ prints[places[column]])
+            for i in np.argsort(apart, kind="stable").tolist():
+                if apart[i] > RADIUS:
+                    break
+                name, own, own_weights, _ = rows[places[column[i]]]
                 if found.get(name, 0) < 1:
+                    p = at[i]
                     similarity = weighted_jaccard(hashes[p : p + k], weights[p : p + k], own, own_weights)
                     if similarity >= THRESHOLD and similarity > found.get(name, 0):
                         found[name] = similarity
