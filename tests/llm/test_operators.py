@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_plain import plain_components, plain_spans
 from weftline.llm import bpe, chat, decontam, html_text, jaccard, licenses, neardup, pii, quality, urls
 from weftline.llm.common import connected_components, without_ids
 from weftline.llm.words import SPACE_WORDS, shingle_sets, word_hashes
@@ -54,25 +55,6 @@ def test_components_and_anti_join(spark):
     assert without_ids(rows, rows.where("doc_id < 40")).count() == 61
 
 
-def plain_components(texts):
-    sets = {}
-    for i, t in texts:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        k = min(5, len(w))
-        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()
-    label = {i: i for i in sets}
-    ids = list(sets)
-    for _ in ids:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[b] < label[a]:
-                    label[a], changed = label[b], True
-        if not changed:
-            break
-    return {i: (len(sets[i]), label[i]) for i in ids}
-
-
 def test_jaccard_families(spark, monkeypatch):
     """Families around a base, chains, copies and unrelated texts, with blocks small enough to need many cells."""
     monkeypatch.setattr(jaccard, "BITMAP_BLOCK", 5)
@@ -260,17 +242,6 @@ def test_weighted_jaccard():
     assert decontam.weighted_jaccard(a, np.array([5, 5, 4]), b, np.array([5, 2])) == 5 / 16
 
 
-def plain_spans(t):
-    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
-        digits = re.sub("[^0-9]", "", m[0])
-        if 14 <= len(digits) <= 19 and pii.luhn(digits):
-            out.append((m.start(), 2, m.end()))
-    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-    return sorted(out)
-
-
 def test_base_spans_equal_the_patterns():
     r = random.Random(1)
     for _ in range(20_000):
