@@ -3,7 +3,7 @@
 Pages are sorted by host and URL path, each is paired with its nearest neighbour of the same host,
 and their text lines are aligned by a longest common subsequence: lines that both share are page
 furniture and go. What the markup itself declares is taken first: lines inside navigation, notices
-and the like go without a neighbour, and lines inside an article element stay whoever shares them.
+and the like go without a neighbour, and lines inside an article, or what is named as one, stay whoever shares them.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ NAME_PARTS = frozenset(
     "footer cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist disqus replies reply respond related share sharing social "
     "newsletter subscribe signup login widget toolbar pagination pager".split()
 )
+MAIN_PARTS = frozenset("article articlebody post entry story content main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -44,6 +45,7 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articleBody\b", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)|\b(hidden)\b(?!-)", re.I)
 
 DROPPED, OPEN, KEPT = 0, 1, 2
@@ -57,7 +59,15 @@ def _is_furniture(name: str, attributes: str) -> bool:
     role = _ROLE.search(attributes)
     if role and (role[2] or role[1].lower() in ROLES):
         return True
-    return any(not NAME_PARTS.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
+    return _has_part(attributes, NAME_PARTS)
+
+
+def _is_main(name: str, attributes: str) -> bool:
+    return name in MAIN or bool(attributes) and name not in ("body", "html") and (_has_part(attributes, MAIN_PARTS) or bool(_MAIN.search(attributes)))
+
+
+def _has_part(attributes: str, parts: frozenset[str]) -> bool:
+    return any(not parts.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
 
 
 def text_lines(page: str | None) -> tuple[list[str], list[int]]:
@@ -98,7 +108,7 @@ def text_lines(page: str | None) -> tuple[list[str], list[int]]:
             if name in CLOSED_BY_SELF and stack and stack[-1][0] == name:
                 stack.pop()
             _, furniture, main = stack[-1] if stack else ("", False, False)
-            stack.append((name, furniture or _is_furniture(name, match[4]), main or name in MAIN))
+            stack.append((name, furniture or _is_furniture(name, match[4]), main or _is_main(name, match[4])))
             if match[4].endswith("/") and name not in BLOCKS:
                 stack.pop()
     buffer.append(page[at:])
