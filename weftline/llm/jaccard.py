@@ -5,6 +5,7 @@ split into blocks of like set sizes, so blocks that can't match are skipped. Eac
 its most central set as leader. All members are compared with the leader; what a member shares with
 its leader then bounds what it can share with the other members, so their answers derive from the
 leader's, and only pairs that the bounds and the components found so far leave open are compared.
+Parity bitmaps, which bound an overlap exactly, spare most sets from being shipped at all.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ SIM, SIM_OF = 80, 100
 SHINGLE = 5
 #: Bits of the fixed-size sketch of frequent shingles, the local count that enters it, and the shingles counted at once.
 SKETCH_BITS, SKETCH_MIN, SKETCH_CHUNK = 20, 8, 4_000_000
-#: Shingles in one block of a leader's members.
-BLOCK_SHINGLES = 100_000
-BLOCK_RATIO = 1.25
+#: Members of a leader in one block when bitmaps, and when whole sets are compared, and shingles in a block.
+BITMAP_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 256, 128, 100_000
+BLOCK_RATIO = 1.05
 
 
 def least_shared(n: int) -> int:
@@ -35,16 +36,26 @@ def least_shared(n: int) -> int:
     return -(-n * SIM // SIM_OF)
 
 
-def linked(shared: Column, n: Column, m: Column) -> Column:
-    return SIM_OF * shared >= SIM * (n + m - shared)
-
-
 def _signature(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """Parity of the shingles in each of n or more slots, a power of two: two bitmaps differ in no more slots than their sets in shingles."""
+    width = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(bitmap, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of two kinds: a document's set size and signature, and slots of locally frequent shingles."""
+    """Rows of two kinds: a document's set size, signature and bitmap, and slots of locally frequent shingles."""
     gathered, held = [], 0
 
     def frequent() -> pd.DataFrame:
@@ -52,18 +63,18 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = counts >= SKETCH_MIN
         slots = (hashes[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
         levels = np.log2(counts[often]).astype(np.int64)
-        return pd.DataFrame({"_id": None, "n": 0, "sig": None, "slot": slots, "level": levels})
+        return pd.DataFrame({"_id": None, "n": 0, "sig": None, "bits": None, "slot": slots, "level": levels})
 
     for batch in batches:
         rows = []
         for hashes in shingle_sets(batch["_text"].tolist(), SHINGLE):
-            rows.append((len(hashes), _signature(hashes)))
+            rows.append((len(hashes), _signature(hashes), _bitmap(hashes)))
             gathered.append(hashes)
             held += len(hashes)
             if held >= SKETCH_CHUNK:
                 yield frequent()
                 gathered, held = [], 0
-        out = pd.DataFrame(rows, columns=["n", "sig"])
+        out = pd.DataFrame(rows, columns=["n", "sig", "bits"])
         out.insert(0, "_id", batch["_id"].to_numpy())
         yield out.assign(slot=-1, level=0)
     yield frequent()
@@ -91,61 +102,131 @@ def _prefixes(levels: np.ndarray):
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(_signature(h), h.view(np.int64)) for h in shingle_sets(batch["_text"].tolist(), SHINGLE)]
+        rows = [(_signature(h), h.tobytes()) for h in shingle_sets(batch["_text"].tolist(), SHINGLE)]
         yield pd.DataFrame(rows, columns=["sig", "items"])
 
 
-def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between the members of two blocks of a leader that its answers leave open.
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys of sorted rows, put together across batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows = pd.concat(held) if len(held) > 1 else batch
+        new = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new).tolist()
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield rows.iloc[lo:hi]
+        held = [rows.iloc[starts[-1] :]]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members whose bitmap allows a link with the leader or with another member of the cell."""
+    found = []
+    for cell in _groups(batches, ["leader", "_b1", "_b2"]):
+        n, block = cell["n"].to_numpy(np.int64), cell["_block"].to_numpy()
+        size = min(map(len, cell["bits"]))
+        bits = np.stack([_folded(x, size) for x in cell["bits"]])
+
+        def may(i: int) -> np.ndarray:
+            differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+            return (SIM_OF + SIM) * ((n + n[i] - differ) // 2) >= SIM * (n + n[i])
+
+        head = int(np.flatnonzero(block < 0)[0])
+        near = may(head)
+        kept = near.copy()
+        for i in np.flatnonzero(~near).tolist():
+            others = may(i)
+            others[[i, head]] = False
+            if others.any():
+                kept |= others
+                kept[i] = True
+        kept[head] = False
+        found.append(pd.DataFrame({"leader": cell["leader"].to_numpy()[kept], "sid": cell["sid"].to_numpy()[kept]}))
+        if len(found) >= 500:
+            yield pd.concat(found)
+            found = []
+    if found:
+        yield pd.concat(found)
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of a cell: members with their leader, and what the leader's answers leave open between members.
 
     For members q, m with i_q, i_m shingles in common with the leader, their overlap is at most
     min(i_q, i_m) + min(n_q - i_q, n_m - i_m). Pairs below the needed overlap, pairs of which both
     are linked with the leader, and pairs already in one component are skipped.
     """
-    for batch in batches:
-        found = []
-        for left, right, same in zip(batch["left"], batch["right"], batch["same"]):
-            a = sorted(left, key=lambda r: r["sid"])
-            b = a if same else sorted(right, key=lambda r: r["sid"])
-            found += _compare(a, b, "after" if same else "all")
-            if not same:
-                found += _compare(b, a, "in")
-        yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+    found: list[tuple[int, int]] = []
+    for cell in _groups(batches, ["leader", "_b1", "_b2"]):
+        found += _linked_in(cell)
+        if len(found) >= 10_000:
+            yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+            found = []
+    yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
+
+
+def _linked_in(cell: pd.DataFrame) -> list[tuple[int, int]]:
+    sid, block, n = cell["sid"].to_numpy(np.int64), cell["_block"].to_numpy(), cell["n"].to_numpy(np.int64)
+    items = [np.frombuffer(x, np.uint64) for x in cell["items"]]
+    first, second = int(cell["_b1"].iloc[0]), int(cell["_b2"].iloc[0])
+    head = int(np.flatnonzero(block < 0)[0])
+    shared = np.array([_overlap(items[head], x) for x in items])
+    into = (SIM_OF + SIM) * shared >= SIM * (n + n[head])
+    into[head] = False
+    parent = np.where(into, head, np.arange(len(n)))
 
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-def _compare(queries: list, members: list, against: str) -> list[tuple[int, int]]:
-    """Links from the queries that their leader isn't linked with to members.
+    found = [(int(sid[head]), int(s)) for s in sid[into]] if first == second else []
+    outside = ~into & (block >= 0)
+    for q in np.flatnonzero(outside).tolist():
+        most = np.minimum(shared, shared[q]) + np.minimum(n - shared, n[q] - shared[q])
+        may = (SIM_OF + SIM) * most >= SIM * (n + n[q])
+        may[head] = False
+        if first == second:
+            may &= into | (np.arange(len(n)) > q)
+        else:  # pairs inside one block meet in its own cell
+            may &= (block != block[q]) & (into | (block == second))
+        for j in np.flatnonzero(may).tolist():
+            ours, theirs = root(q), root(j)
+            if ours != theirs and (SIM_OF + SIM) * _overlap(items[q], items[j]) >= SIM * (n[q] + n[j]):
+                found.append((int(sid[q]), int(sid[j])))
+                parent[ours] = theirs
+    return found
 
-    ``against``: "all" members, those "in" a link with the leader, or these and the open ones "after" the query.
+
+def _dealt(members: DataFrame, nodes: DataFrame, per_block: int) -> DataFrame:
+    """Deal each leader's members to blocks by hash and blocks to cells, one for each pair of blocks.
+
+    ``members`` has ``leader, sid``; every cell also gets its leader, as block -1:
+    ``leader, _b1, _b2, _block, sid``.
     """
-    parent: dict[int, int] = {}
+    count = F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = members.join(nodes.select("sid", "n"), "sid").groupBy("leader").agg(count.alias("_blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int")
+    row = F.expr("transform(sequence(0, _blocks - 1), b -> named_struct('_b1', least(b, _block), '_b2', greatest(b, _block)))")
+    every = F.expr("flatten(transform(sequence(0, _blocks - 1), a -> transform(sequence(a, _blocks - 1), b -> named_struct('_b1', a, '_b2', b))))")
+    rows = members.join(blocks, "leader").withColumn("_block", own).select("leader", "sid", "_block", F.explode(row).alias("_c"))
+    heads = blocks.select("leader", F.col("leader").alias("sid"), F.lit(-1).alias("_block"), F.explode(every).alias("_c"))
+    return rows.unionByName(heads).select("leader", "_c.*", "_block", "sid")
 
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
 
-    sid, n, shared, comp, out = (np.array([m[k] for m in members]) for k in ("sid", "n", "shared", "comp", "out"))
-    items = [np.asarray(m["items"], np.int64) for m in members]
-    links = []
-    for q in queries:
-        if not q["out"]:
-            continue
-        own = np.asarray(q["items"], np.int64)
-        most = np.minimum(shared, q["shared"]) + np.minimum(n - shared, q["n"] - q["shared"])
-        may = (SIM_OF + SIM) * most >= SIM * (n + q["n"])
-        if against != "all":
-            may &= ~out.astype(bool) | (sid > q["sid"] if against == "after" else False)
-        for j in np.flatnonzero(may):
-            ours, theirs = root(q["comp"]), root(int(comp[j]))
-            if ours == theirs:
-                continue
-            at = np.searchsorted(own, items[j])
-            overlap = int((own[np.minimum(at, len(own) - 1)] == items[j]).sum())
-            if (SIM_OF + SIM) * overlap >= SIM * (int(n[j]) + q["n"]):
-                links.append((int(q["sid"]), int(sid[j])))
-                parent[ours] = theirs
-    return links
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of a cell one after another."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "leader", "_b1", "_b2").sortWithinPartitions("leader", "_b1", "_b2", "_block", "sid")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,34 +245,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
-    survey = cut(rows.mapInPandas(_survey, f"_id {kind}, n int, sig binary, slot int, level int"))
+    survey = cut(rows.mapInPandas(_survey, f"_id {kind}, n int, sig binary, bits binary, slot int, level int"))
     levels = context.broadcast(packed_slots(survey.where("slot >= 0").select("slot", "level"), SKETCH_BITS))
-    documents = survey.where("slot < 0").select("_id", F.col("n"), "sig", F.monotonically_increasing_id().alias("row"))
-    nodes = cut(documents.where("n > 0").groupBy("sig").agg(F.min("row").alias("sid"), F.min("n").alias("n"), F.min("_id").alias("_id")))
+    documents = survey.where("slot < 0").select("_id", "n", "sig", "bits", F.monotonically_increasing_id().alias("row"))
+    nodes = documents.where("n > 0").groupBy("sig").agg(F.min("row").alias("sid"), F.first("n").alias("n"), F.min("_id").alias("_id"), F.first("bits").alias("bits"))
+    nodes = cut(nodes)
 
     prefixes = (
         rows.select("_text").mapInPandas(_prefixes(levels), "sig binary, n int, central float, prefix array<bigint>")
-        .groupBy("sig").agg(F.first("central").alias("central"), F.first("prefix").alias("prefix"))
+        .groupBy("sig").agg(F.first("central").alias("central"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .join(nodes.select("sig", "sid"), "sig")
     )
-    entries = prefixes.select("sid", "central", F.posexplode("prefix").alias("pos", "token"))
-    lists = _block_lists(entries, nodes)
+    entries = prefixes.select("sid", F.posexplode("prefix").alias("pos", "token"), _packed("central", "n").alias("_of"))
+    lists = _block_lists(entries.select("token", "sid", (F.col("_of") + F.col("pos")).alias("packed")))
     members = cut(lists.where("sid <> leader").select("leader", "sid").distinct())
+    near = cut(_in_cells(_dealt(members, nodes, BITMAP_BLOCK).join(nodes.select("sid", "n", "bits"), "sid")).mapInPandas(_plausible, "leader bigint, sid bigint").distinct())
 
-    wanted = members.select("sid").union(members.select(F.col("leader"))).distinct().join(nodes, "sid")
-    wanted = cut(wanted.select("sid", "sig", "_id", "n"))
+    wanted = near.select("sid").union(near.select("leader")).distinct().join(nodes, "sid")
     may_hit = maybe_in(wanted.where("_id is not null"), "_id")
     texts = rows.where(F.col("_id").isNull() | may_hit(F.col("_id"))).select("_text")
-    full = texts.mapInPandas(_full_sets, "sig binary, items array<bigint>").join(wanted, "sig").groupBy("sid").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-    full = cut(full)
-
-    led = members.join(full, "sid").select("leader", "sid", "n", "items")
-    heads = full.select(F.col("sid").alias("leader"), F.col("n").alias("_n"), F.col("items").alias("_items"))
-    shared = F.size(F.array_intersect("items", "_items"))
-    answers = led.join(heads, "leader").select("leader", "sid", "n", shared.alias("shared"), "_n")
-    answers = cut(answers.select("leader", "sid", "n", "shared", (~linked(F.col("shared"), F.col("n"), F.col("_n"))).alias("out")))
-    first_links = answers.where("not out").select(F.col("leader").alias("src"), F.col("sid").alias("dst"))
-    links = cut(first_links.union(_derived_links(answers, first_links, full)))
+    full = texts.mapInPandas(_full_sets, "sig binary, items binary").groupBy("sig").agg(F.first("items").alias("items"))
+    cells = _dealt(near, nodes, SET_BLOCK).join(nodes.select("sid", "n", "sig"), "sid").join(full, "sig").drop("sig")
+    links = cut(_in_cells(cells).mapInPandas(_links, "src bigint, dst bigint"))
 
     classes = connected_components(links).select(F.col("node").alias("sid"), "component")
     by_set = nodes.join(classes, "sid", "left").select("sig", F.coalesce("component", "sid").alias("_class"))
@@ -201,49 +276,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("_first", "_id").alias("component_id"))
 
 
-def _block_lists(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Index lists with a leader: ``token, block, sid, leader``.
+#: Bits of a position and of a size in one integer; above them stands the centrality.
+_FIELD = 28
 
-    Lists of one set are dropped. A set of size block b is in list b and, as a guest, in list
-    b + 1, so each pair of sizes that can link meets in one list. A position tells how many of a
-    set's shingles can still match, and sets that can't reach the overlap with any of the list are
-    skipped. The leader is the member, guests aside, whose shingles are the most frequent.
-    """
-    token = "partition by token"
-    shared = entries.select("token", "sid", "pos", "central").selectExpr("*", f"count(*) over ({token}) as among").where("among > 1")
-    sized = shared.join(nodes.select("sid", "n"), "sid")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BLOCK_RATIO)))).cast("int")
-    homed = sized.select("token", "sid", "central", "n", F.col("n").alias("_n"), (F.col("n") - F.col("pos")).alias("rest"), F.explode(F.array(block, block + 1)).alias("block"), block.alias("_home"))
-    homed = homed.withColumn("guest", F.col("block") != F.col("_home"))
-    own = F.struct("central", "n", (-F.col("sid")).alias("sid"))
-    part = "partition by token, block"
-    listed = homed.withColumn("_own", F.when(~F.col("guest"), own)).selectExpr(
-        "token", "block", "sid", "n", "rest", f"max(_own) over ({part}) as _best", f"count(*) over ({part}) as among", f"max(rest) over ({part}) as most_rest"
-    )
-    # Of sets with a first common shingle here, at most `rest` shingles can match, and 0.8 n must.
-    live = listed.where("_best is not null and among > 1").where(SIM_OF * F.least("rest", "most_rest") >= SIM * F.col("n"))
-    return live.select("token", "block", "sid", (-F.col("_best.sid")).alias("leader"))
+
+def _packed(central: str, n: str) -> Column:
+    """Centrality, in 12 steps a level of frequency up to 127, and set size in one integer, with room for a position."""
+    step = F.least(F.floor(F.col(central) * 12), F.lit(127)).cast("long")
+    return F.shiftleft(step, 2 * _FIELD) + F.shiftleft(F.col(n).cast("long"), _FIELD)
 
 
-def _derived_links(answers: DataFrame, first_links: DataFrame, full: DataFrame) -> DataFrame:
-    """Links among the members of each leader beyond those with the leader itself: ``src, dst``.
+def _block_lists(entries: DataFrame) -> DataFrame:
+    """Index lists with a leader, from ``entries(token, sid, packed)``: ``token, block, sid, leader``.
 
-    Members are dealt by hash into blocks of about BLOCK_SHINGLES shingles, and pairs of blocks
-    meet; inside, ``_open_pairs`` skips what the leader's answers decide.
+    Lists of one set are dropped. A set of size block b is in list b and, as a guest, in the lists
+    of the larger sizes that its position still lets it link with, so each pair that can link meets
+    in the larger one's list at its first common shingle. Sets that can't reach the overlap with
+    any of a list are skipped. The leader is the member, guests aside, whose shingles are the most frequent. All of
+    it happens in one shuffle by token.
     """
-    classes = connected_components(first_links).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    labelled = answers.join(classes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_groups = (
-        labelled.groupBy("leader").agg(F.count("*").alias("k"), F.max("out").alias("any_out"), F.sum("n").alias("total"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        .where("any_out and k > 1 and c0 <> c1")
-        .select("leader", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    )
-    dealt = labelled.join(open_groups, "leader").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    packed = (
-        dealt.join(full.select("sid", "items"), "sid")
-        .groupBy("leader", "block").agg(F.collect_list(F.struct("sid", "n", "shared", "comp", "out", "items")).alias("rows"))
-    )
-    packed = cut(packed)
-    left, right = packed.select("leader", F.col("block").alias("_l"), F.col("rows").alias("left")), packed.select("leader", F.col("block").alias("_r"), F.col("rows").alias("right"))
-    meet = left.join(right, "leader").where("_l <= _r").select("left", F.expr("if(_l = _r, null, right)").alias("right"), F.expr("_l = _r").alias("same"))
-    return meet.mapInPandas(_open_pairs, "src bigint, dst bigint")
+    shared = entries.selectExpr("*", "count(*) over (partition by token) as among").where("among > 1")
+    field = F.lit((1 << _FIELD) - 1)
+    n, pos = F.shiftright("packed", _FIELD).bitwiseAND(field), F.col("packed").bitwiseAND(field)
+    sized = shared.select("token", "sid", "packed", n.alias("n"), (n - pos).alias("rest"))
+    home = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BLOCK_RATIO)))).cast("int")
+    # A set with `rest` shingles from here on links, at its first common shingle, with sets of at most this size.
+    widest = F.least(F.col("n") * SIM_OF / SIM, F.col("rest") * (SIM_OF + SIM) / SIM - F.col("n"))
+    last = F.floor(F.log(widest + 0.5) / F.lit(float(np.log(BLOCK_RATIO)))).cast("int")
+    homed = sized.select("*", home.alias("_home"), F.explode(F.sequence(home, F.greatest(home, last))).alias("block"))
+    own = F.when(F.col("block") == F.col("_home"), F.struct(F.shiftright("packed", _FIELD).alias("_rank"), (-F.col("sid")).alias("sid")))
+    part = "partition by token, block"
+    listed = homed.withColumn("_own", own).selectExpr(
+        "token", "block", "sid", "n", "rest", f"max(_own) over ({part}) as _best", f"count(*) over ({part}) as among", f"min(n) over ({part}) as least_n"
+    )
+    # A set that can reach the overlap with none of the list, not even with the smallest, is skipped.
+    reach = (SIM_OF + SIM) * F.col("rest") >= SIM * (F.col("n") + F.col("least_n"))
+    live = listed.where("_best is not null and among > 1").where(reach)
+    return live.select("token", "block", "sid", (-F.col("_best.sid")).alias("leader"))
