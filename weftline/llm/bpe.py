@@ -24,13 +24,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import small_batches
 from weftline.llm.words import pieces_of
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Unicode's White_Space characters.
 SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SCAN_LIMIT = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHED_BYTES = 64
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -194,7 +195,7 @@ def bpe(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
                 yield batch[carry].iloc[lo:hi].assign(ids=[np.array(x, np.int32) for x in ids], decoded=decoded)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     fields = f"_id {kind}, _text string" if keep_text else f"_id {kind}"
     out = rows.mapInPandas(run, f"{fields}, ids array<int>, decoded string")
     return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
@@ -222,6 +223,6 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = rows.mapInPandas(run, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("_id", id_col)

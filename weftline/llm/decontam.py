@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, small_batches
 from weftline.llm.words import ALNUM_WORDS, pieces_of, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -192,7 +192,7 @@ def contamination(
     items = cut(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     passes = max(1, -(-size["n"] // items_a_pass), -(-size["chars"] // chars_a_pass))
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).alias("_id"), F.array().cast("array<bigint>").alias("_items"), F.lit(0.0).alias("_best"), F.col(text_col).alias("_text")
     )
     fields = f"_id {kind}, _items array<bigint>, _best double"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, small_batches
 from weftline.llm.urls import host_of, path_of
 
 #: Elements that end a text block, elements and name parts of page furniture.
@@ -195,7 +195,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     own_key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(F.col(url_col), F.col(html_col))))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), own_key.alias("key"))
+    rows = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), own_key.alias("key"))
     hosted = rows.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").where("host <> ''")
     surveyed = hosted.mapInPandas(_surveyed, "key string, host string, path string, lines array<bigint>, roles array<int>")
     surveyed = cut(surveyed.dropDuplicates(["key"]))

@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import connected_components, cut, maybe_in, packed_slots
+from weftline.llm.common import connected_components, cut, maybe_in, packed_slots, small_batches
 from weftline.llm.words import shingle_sets
 
 #: Sets link when SIM_OF * intersection >= SIM * union.
 SIM, SIM_OF = 80, 100
 SHINGLE = 5
 #: Bits of the fixed-size sketch of frequent shingles, the local count that enters it, and the shingles counted at once.
-SKETCH_BITS, SKETCH_MIN, SKETCH_CHUNK = 20, 8, 4_000_000
+SKETCH_BITS, SKETCH_MIN, SKETCH_CHUNK = 20, 8, 2_000_000
 #: Members of a leader in one block when bitmaps, and when whole sets are compared, and shingles in a block.
 BITMAP_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 256, 128, 100_000
 BLOCK_RATIO = 1.05
@@ -102,7 +102,12 @@ def _prefixes(levels: np.ndarray):
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(_signature(h), h.tobytes()) for h in shingle_sets(batch["_text"].tolist(), SHINGLE)]
+        rows = []
+        for hashes in shingle_sets(batch["_text"].tolist(), SHINGLE):
+            rows.append((_signature(hashes), hashes.tobytes()))
+            if len(rows) == 1000:
+                yield pd.DataFrame(rows, columns=["sig", "items"])
+                rows = []
         yield pd.DataFrame(rows, columns=["sig", "items"])
 
 
@@ -243,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     context = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     survey = cut(rows.mapInPandas(_survey, f"_id {kind}, n int, sig binary, bits binary, slot int, level int"))
     levels = context.broadcast(packed_slots(survey.where("slot >= 0").select("slot", "level"), SKETCH_BITS))

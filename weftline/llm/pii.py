@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -199,7 +199,7 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
     named = {f"_c{i}": c for i, c in enumerate(carry)}
     fields = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in named.items())
     none = F.array().cast("array<int>")
-    rows = docs.select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text"), none.alias("_starts"), none.alias("_ends"))
+    rows = small_batches(docs).select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text"), none.alias("_starts"), none.alias("_ends"))
     block = context.broadcast(frozenset())
     for more in _blocks(cut(disclosing_terms(docs, text_col, per_pass=per_pass).select("term").distinct()), per_pass):
         if block.value:

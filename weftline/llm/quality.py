@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, small_batches
 from weftline.llm.words import ALNUM_WORDS, pieces_of, shingle_hashes, word_hashes
 
 #: Random features, width of the Gaussian kernel on standardised statistics, ridge penalty, seed.
@@ -185,7 +185,7 @@ def quality_scores(
     """
     context = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y is not null")
     marks = marks.withColumn("part", fold("_id").cast("int")).where(F.col("part") != HELD_OUT)
     known = marks.count()
