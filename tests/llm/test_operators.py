@@ -237,6 +237,16 @@ def test_decontamination(spark, odd_docs):
     assert decontam.contamination(odd_docs, empty(bench)).count() == 10 and decontam.contamination(empty(odd_docs), bench).count() == 0
 
 
+def test_decontamination_of_cut_items(spark):
+    """A text that is an item less some words, shorter than the item, is compared as a whole."""
+    words = prose(800, 59)
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one two three four five six seven")], "item_id bigint, text string")
+    cuts = [words[:50], words[9:], words[4:54], words[:40], words, [*words[:48], "other"], "one two three four five six".split(), "one two three four".split()]
+    got = {r["doc_id"]: r for r in decontam.contamination(docs_of(spark, [" ".join(c) for c in cuts]), bench).collect()}
+    assert [got[i]["item_ids"] for i in range(8)] == [[1], [1], [1], [], [1], [], [], []]
+    assert got[0]["similarity"] == pytest.approx(46 / 55) and got[4]["similarity"] == 1
+
+
 def test_weighted_jaccard():
     a, b = np.array([1, 1, 2], np.uint64), np.array([1, 3], np.uint64)
     assert decontam.weighted_jaccard(a, np.array([5, 5, 4]), b, np.array([5, 2])) == 5 / 16

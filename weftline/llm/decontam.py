@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 9).
 
-Every window of a document as long as a benchmark item gets a 64-bit SimHash of its weighted
-shingles. Items are indexed under every value of eight 8-bit blocks within two bits of their own,
+Every window of a document as long as a benchmark item, or a shorter document as a whole, gets a
+64-bit SimHash of its weighted shingles. Items are indexed under every value of eight 8-bit blocks within two bits of their own,
 so each item within the Hamming radius of a window shares a key with it; candidates within the
 radius are then verified by exact weighted Jaccard similarity.
 """
@@ -131,9 +131,9 @@ class ItemIndex:
         sums = np.zeros((len(hashes) + 1, 64), np.int32)
         np.cumsum(_signs(hashes, weights), axis=0, out=sums[1:])
         for length in sorted({length for length, _ in owners}):
-            k = length - size + 1
-            if min(SHINGLE, length) != size or k > len(hashes):
+            if min(SHINGLE, length) != size:
                 continue
+            k = min(length - size + 1, len(hashes))  # a stretch shorter than the item is the whole text
             rows, prints, table = self.lengths[length]
             places = np.array(sorted(place for own, place in owners if own == length))
             windows = _fingerprints(sums[k:] - sums[:-k])
@@ -178,8 +178,8 @@ def contamination(
     """Benchmark items in every document: ``id_col, contaminated, item_ids, n_items, similarity``, one row per input row.
 
     Words are runs of letters and digits, lower-cased. A document contains an item if one of its
-    windows of the item's length has weighted Jaccard similarity >= 0.8 with it over 5-word
-    shingles; an item of fewer words is one shingle and must occur as it is. ``item_ids`` are
+    windows of the item's length, or the whole of a shorter document, has weighted Jaccard
+    similarity >= 0.8 with it over 5-word shingles; an item of fewer words is one shingle and must occur as it is. ``item_ids`` are
     sorted, ``similarity`` is the best, 0 without any. Null or wordless texts contain nothing;
     items with a null id, or without words, match nothing; items that share an id count as one.
 
