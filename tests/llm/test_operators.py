@@ -276,3 +276,19 @@ def test_pii_terms(spark, odd_docs):
     assert pii.pii(odd_docs).count() == 10 and pii.pii(empty(odd_docs)).count() == 0
     copies = docs_of(spark, [texts[0]] * 50 + texts[5:40])
     assert pii.disclosing_terms(copies).count() == 0
+
+
+def test_pii_terms_of_copies_and_signatures(spark):
+    """Copies do not lower the share, repeated signatures disclose, terms are short, have digits or stand far off."""
+    filler = [" ".join(prose(i, 30)) for i in range(400)]
+    near = [f"{' '.join(prose(1000 + i % 3, 6))} quux boss@corp.example {' '.join(prose(1010 + i % 3, 6))} copy{i}" for i in range(60)]
+    signed = [f"zz7 {' '.join(prose(2000 + i, 40))} My Name Isx Jorvik +44 20 7946 0018 bye" for i in range(20)]
+    exact = ["solo word one@once.example"] * 50
+    docs = docs_of(spark, filler + near + signed + exact)
+    found = {}
+    for r in pii.disclosing_terms(docs).collect():
+        found.setdefault(r["entity"].split(":")[0], {})[r["term"]] = r["share"]
+    assert found["email"]["quux"] == pytest.approx(1) and found["phone"]["jorvik"] == pytest.approx(1)
+    assert {"zz7", "my", "bye"} <= set(found["phone"]) and not {"solo", "word", "boss", "copy1"} & {t for f in found.values() for t in f}
+    got = pii.pii(docs).where("doc_id = 460").first()["sanitised"]
+    assert got.startswith("[TERM] ") and "[TERM] [PHONE] [TERM]" in got

@@ -1,7 +1,7 @@
 """Personal data and information-theoretic sanitisation (operator 10).
 
-Patterns find the entities to protect. Terms that stand near an entity are counted over the whole
-corpus, and a term discloses an entity when their pointwise mutual information reaches a share of
+Patterns find the entities to protect. Terms of the texts that have an entity are counted over the whole
+corpus, each distinct text once, and a term discloses an entity when their pointwise mutual information reaches a share of
 the entity's information content. Disclosing terms are spans of their own, to be removed as well.
 """
 
@@ -16,13 +16,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, small_batches
+from weftline.llm.common import cut, maybe_in, small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on each side of an entity that may disclose it, and the least length of such a word.
-NEAR, TERM_CHARS = 3, 3
-#: A term discloses an entity from this share of the entity's information, seen in so many different contexts.
+#: A term discloses an entity from this share of the entity's information, seen in so many different texts.
 DISCLOSURE, SUPPORT = 0.8, 3
 #: Disclosing terms that one pass over the documents looks for; more make more passes.
 TERMS_A_PASS = 50_000
@@ -34,7 +32,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -74,31 +72,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every entity with each term near it, and a digest of the context, for copies to count once."""
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Distinct words of a text outside its entities, lower-cased."""
+    parts, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            parts.append(text[at:start])
+        at = max(at, end)
+    return set(map(str.lower, _WORD.findall(" ".join([*parts, text[at:]]))))
+
+
+def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every text that has entities, with its distinct entities and terms."""
     for batch in batches:
         rows = []
-        for text in batch["_text"]:
-            text = text or ""
-            for start, kind, end in base_spans(text):
-                before, after = text[max(0, start - 200) : start], text[end : end + 200]
-                near = _WORD.findall(before)[-NEAR:] + _WORD.findall(after)[:NEAR]
-                context = hashlib.blake2b(" ".join(near).encode(), digest_size=8).hexdigest()
-                entity = KINDS[kind] + ":" + hashlib.blake2b(text[start:end].encode(), digest_size=12).hexdigest()
-                rows += [(w.lower(), entity, context) for w in near if len(w) >= TERM_CHARS]
-        yield pd.DataFrame(rows, columns=["term", "entity", "context"], dtype=str)
-
-
-def _counted(terms: frozenset[str]):
+        for text, digest in zip(batch["_text"], batch["_digest"]):
+            spans = base_spans(text)
+            if spans:
+                entities = {KINDS[kind] + ":" + hashlib.blake2b(text[start:end].encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for start, kind, end in spans}
+                rows.append((digest, sorted(entities), sorted(_terms(text, spans))))
+        yield pd.DataFrame(rows, columns=["digest", "entities", "terms"])
+
+
+def _having(terms: Broadcast):
+    """Every text that has some of the terms, with those."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, int] = dict.fromkeys(terms, 0)
-        documents = 0
         for batch in batches:
-            documents += len(batch)
-            for text in batch["_text"]:
-                for term in terms.intersection(map(str.lower, _WORD.findall(text or ""))):
-                    counts[term] += 1
-        yield pd.DataFrame([("", documents), *((t, n) for t, n in counts.items() if n)], columns=["term", "n"])
+            rows = []
+            for text, digest in zip(batch["_text"], batch["_digest"]):
+                if not terms.value.isdisjoint(map(str.lower, _WORD.findall(text))):
+                    own = terms.value & _terms(text, base_spans(text))
+                    if own:
+                        rows.append((digest, sorted(own)))
+            yield pd.DataFrame(rows, columns=["digest", "terms"])
 
     return run
 
@@ -113,25 +120,36 @@ def _blocks(terms: DataFrame, per_pass: int) -> Iterator[frozenset[str]]:
 def disclosing_terms(docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE, support: int = SUPPORT, per_pass: int = TERMS_A_PASS) -> DataFrame:
     """Terms that disclose an entity: ``term, entity, share``.
 
-    Over N documents with n(t) that have the term, n(e) contexts of the entity and n(t, e) contexts
-    of both, PMI = log(N n(t, e) / (n(t) n(e))) and the entity's information is log(N / n(e)); the
-    share is their quotient. Contexts count once however many copies of them there are; a term in
-    fewer than ``support`` different contexts of an entity is no evidence.
+    All counts are of distinct texts: of N, n(t) have the term outside entities, n(e) the entity
+    and n(t, e) both, wherever in the text. PMI = log(N n(t, e) / (n(t) n(e))) and the entity's
+    information is log(N / n(e)); the share is their quotient. A term in fewer than ``support``
+    different texts of an entity is no evidence.
+
+    Pairs are counted in texts with an entity only and combined before the shuffle. Terms whose
+    share would be too low even if no other text had them are dropped before all texts are read again.
     """
-    texts = docs.select(F.col(text_col).alias("_text"))
-    seen = cut(texts.mapInPandas(_contexts, "term string, entity string, context string").distinct())
-    both = seen.groupBy("term", "entity").agg(F.count_distinct("context").alias("n_both")).where(F.col("n_both") >= support)
-    both = cut(both)
-    counts = texts.sparkSession.createDataFrame([], "term string, n bigint")
-    for block in _blocks(both.select("term").distinct(), per_pass):
-        counts = counts.union(texts.mapInPandas(_counted(block), "term string, n bigint"))
-    counts = cut(counts.groupBy("term").agg(F.sum("n").alias("n_term")))
-    entities = seen.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    total = counts.where("term = ''").agg(F.max("n_term").alias("total"))
-    joined = both.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log(F.col("total") * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    known = joined.where("total > n_entity").withColumn("share", pmi / F.log(F.col("total") / F.col("n_entity")))
-    return known.where(F.col("share") >= share).select("term", "entity", "share")
+    spark = docs.sparkSession
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    texts = small_batches(docs).select(text.alias("_text"), F.md5(text).alias("_digest"))
+    total = texts.agg(F.count_distinct("_digest")).first()[0]
+    seen = cut(texts.mapInPandas(_seen, "digest string, entities array<string>, terms array<string>").dropDuplicates(["digest"]))
+    entities = cut(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    # This filter lets a few other entities through; the join with ``entities`` is exact.
+    pairs = seen.select(F.explode("entities").alias("entity"), "terms").where(maybe_in(entities, "entity")(F.col("entity")))
+    both = pairs.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    own = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
+
+    def shares(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+        pmi = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+        known = pairs.join(counts, "term").where(F.col("n_entity") < total)
+        return known.withColumn("share", pmi / F.log(total / F.col("n_entity"))).where(F.col("share") >= share)
+
+    hopeful = cut(shares(both.join(entities, "entity"), own).select("term", "entity", "n_both", "n_entity"))
+    counts = spark.createDataFrame([], "term string, n_term bigint")
+    for block in _blocks(cut(hopeful.select("term").distinct()), per_pass):
+        having = texts.mapInPandas(_having(spark.sparkContext.broadcast(block)), "digest string, terms array<string>").dropDuplicates(["digest"])
+        counts = counts.union(cut(having.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))))
+    return shares(hopeful, counts).select("term", "entity", "share")
 
 
 def _joined(spans: list[tuple[int, int, int, str]]) -> str:
