@@ -292,3 +292,14 @@ def test_pii_terms_of_copies_and_signatures(spark):
     assert {"zz7", "my", "bye"} <= set(found["phone"]) and not {"solo", "word", "boss", "copy1"} & {t for f in found.values() for t in f}
     got = pii.pii(docs).where("doc_id = 460").first()["sanitised"]
     assert got.startswith("[TERM] ") and "[TERM] [PHONE] [TERM]" in got
+
+
+def test_html_wrappers_are_not_furniture():
+    main = "<article><p>text</p></article>"
+    wrappers = ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'class="layout with-sidebar"', 'class="post has-comments"', 'id=no-right-sidebar', 'class="sidebar"', 'data-hidden="1"']
+    for attributes in wrappers:
+        assert html_text.text_lines(f"<div {attributes}>{main}</div>") == (["text"], [html_text.KEPT]), attributes
+    for attributes in ("hidden", 'aria-hidden="true"', 'role="navigation"', "x=1 hidden=''"):
+        assert html_text.text_lines(f"<div {attributes}>{main}</div>")[1] == [html_text.DROPPED], attributes
+    for page in ('<div class="sidebar"><p>x</p></div>', '<div class="comments"><article class="comment">x</article></div>', "<nav><article>x</article></nav>", '<article><div class="related">x</div></article>'):
+        assert html_text.text_lines(page)[1] == [html_text.DROPPED], page

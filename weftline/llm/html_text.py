@@ -12,6 +12,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,41 +45,55 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|<(?:/?[a-z][^<]*+)?\Z|</?[a-z][^>]*+>",
     re.I | re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articleBody\b", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)|\b(hidden)\b(?!-)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: What follows one of these in a class name tells of the layout around main text: `with-sidebar`, `has-comments`.
+LAYOUT = frozenset("has with no without".split())
 
 DROPPED, OPEN, KEPT = 0, 1, 2
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if not attributes or name in MAIN or name in ("body", "html"):
-        return False
-    role = _ROLE.search(attributes)
-    if role and (role[2] or role[1].lower() in ROLES):
-        return True
-    return _has_part(attributes, NAME_PARTS)
+#: Main text inside an element that is furniture by its class or id only becomes main text again.
+NAMED, DECLARED = 1, 2
 
 
-def _is_main(name: str, attributes: str) -> bool:
-    return name in MAIN or bool(attributes) and name not in ("body", "html") and (_has_part(attributes, MAIN_PARTS) or bool(_MAIN.search(attributes)))
+@lru_cache(4096)
+def _kind(name: str, text: str) -> tuple[int, bool, bool]:
+    """Whether an element is furniture (0, NAMED or DECLARED), is main text, and ends NAMED furniture around it."""
+    attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed([*_ATTRIBUTE.finditer(text)])}
+    role = attributes.get("role", "").strip().lower()
+    body = name in ("body", "html")
+    words = _name_words(attributes)
+    named = not body and not words.isdisjoint(NAME_PARTS)
+    furniture = 0
+    if name in FURNITURE:
+        furniture = DECLARED
+    elif not body and name not in MAIN:
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+        furniture = DECLARED if hidden or re.match("[a-z]*", role)[0] in ROLES else NAMED if named else 0
+    declared = name in MAIN or not body and (role == "main" or "articlebody" in attributes.get("itemprop", "").lower().split())
+    return furniture, declared or not body and not words.isdisjoint(MAIN_PARTS), declared and not named
 
 
-def _has_part(attributes: str, parts: frozenset[str]) -> bool:
-    return any(not parts.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
+def _name_words(attributes: dict[str, str]) -> set[str]:
+    """Parts of class and id names, without those that follow a word of LAYOUT."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        for part in re.split(r"[^a-z0-9]+", name):
+            if part in LAYOUT:
+                break
+            found.add(part)
+    return found
 
 
 def text_lines(page: str | None) -> tuple[list[str], list[int]]:
     """Text blocks of a page in order, white space folded, and for each whether markup drops or keeps it."""
     lines, roles, buffer = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, is or is in furniture, is or is in main text
+    stack: list[tuple[str, int, bool]] = []  # name, is or is in furniture, is or is in main text
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            _, furniture, main = stack[-1] if stack else ("", False, False)
+            _, furniture, main = stack[-1] if stack else ("", 0, False)
             lines.append(text)
             roles.append(DROPPED if furniture else KEPT if main else OPEN)
         buffer.clear()
@@ -107,8 +122,10 @@ def text_lines(page: str | None) -> tuple[list[str], list[int]]:
                 close("p")
             if name in CLOSED_BY_SELF and stack and stack[-1][0] == name:
                 stack.pop()
-            _, furniture, main = stack[-1] if stack else ("", False, False)
-            stack.append((name, furniture or _is_furniture(name, match[4]), main or _is_main(name, match[4])))
+            _, furniture, main = stack[-1] if stack else ("", 0, False)
+            own, is_main, ends = _kind(name, match[4])
+            around = 0 if ends and furniture == NAMED else furniture
+            stack.append((name, max(around, own), main or is_main))
             if match[4].endswith("/") and name not in BLOCKS:
                 stack.pop()
     buffer.append(page[at:])
