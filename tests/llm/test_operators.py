@@ -303,3 +303,16 @@ def test_html_wrappers_are_not_furniture():
         assert html_text.text_lines(f"<div {attributes}>{main}</div>")[1] == [html_text.DROPPED], attributes
     for page in ('<div class="sidebar"><p>x</p></div>', '<div class="comments"><article class="comment">x</article></div>', "<nav><article>x</article></nav>", '<article><div class="related">x</div></article>'):
         assert html_text.text_lines(page)[1] == [html_text.DROPPED], page
+
+
+def test_html_aliases_of_all_forms(spark):
+    pages = [
+        ("http://h.net/a/b", '<link rel=canonical href="other.html">', ["h.net/a/other.html"]), ("http://h.net/a/b/c", '<link href="../x" rel="canonical">', ["h.net/a/x"]),
+        ("http://h.net/a", "<link rel='canonical' href='?p=2'>", ["h.net/a?p=2"]), ("http://h.net/a", '<meta content="0;url=/r" http-equiv="refresh">', ["h.net/r"]),
+        ("http://h.net/a", '<link rel="canonical" href="http://k.net/?a=1&amp;b=2">', ["k.net?a=1&b=2"]), ("http://h.net/a", '<link rel="nofollow canonical" href="/c">', ["h.net/c"]),
+        ("http://h.net/a", '<link rel="icon" href="/i"><link rel=canonical href=/1><link rel=canonical href=/2><META HTTP-EQUIV=refresh CONTENT="5; URL=\'//m.net/3\'"><meta name=x content="1;url=/no">', ["h.net/1", "h.net/2", "m.net/3"]),
+        ("http://h.net/a", '<base href="http://b.net/d/"><link rel=canonical href=e><link rel=canonical href="mailto:x"><link rel=canonical data-href="/f">', ["b.net/d/e"]), ("no scheme", "<link rel=canonical href=/x>", []), (None, None, []),
+    ]
+    for url, html, want in pages:
+        got = urls.html_aliases(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+        assert sorted(r["dst"] for r in got) == want, html

@@ -6,10 +6,14 @@ aliases; a block rule that hits one alias reaches the others, unless an allow ru
 
 from __future__ import annotations
 
+import html
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.llm.common import connected_components
 
@@ -52,15 +56,44 @@ def alias_key(url: Column) -> Column:
     return F.when(host_of(url) != "", key)
 
 
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, wherever it stands in the tag; empty without."""
+    value = F.regexp_extract(tag, rf"""(?is)(?:\s|["'/]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+@F.pandas_udf(StringType())
+def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+    """A link's whole URL: references decoded, relative to the page, or its base element, if it has no host."""
+
+    def whole(url: str, base: str, target: str) -> str | None:
+        try:
+            page = "http://" + url.split("://", 1)[1]  # alias keys know no schemes
+            return urljoin(urljoin(page, html.unescape(base).strip()), html.unescape(target).strip())
+        except ValueError:
+            return None
+
+    return pd.Series([whole(*row) for row in zip(url, base, target)], dtype=object)
+
+
 def html_aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``src, dst`` between a page's URL and its canonical link and its refresh redirect."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    targets = pages.select(F.col(url_col).alias("_url"), F.explode(F.array(canonical, refresh)).alias("_to")).where("_to <> ''")
-    host = F.concat(F.lit("x://"), host_of(F.col("_url")))
-    whole = F.when(F.col("_to").contains("://"), F.col("_to")).when(F.col("_to").startswith("//"), F.concat(F.lit("x:"), "_to")).when(F.col("_to").startswith("/"), F.concat(host, "_to"))
-    return targets.select(alias_key(F.col("_url")).alias("src"), alias_key(whole).alias("dst")).where("src is not null and dst is not null")
+    """Edges ``src, dst`` between a page's URL and all its canonical links and refresh redirects."""
+    tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_TAG), 0)
+    bases = F.filter(F.transform(F.filter("_tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda x: x != "")
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike(r"(?i)^<link\b") & _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+        refresh = tag.rlike(r"(?i)^<meta\b") & _attribute(tag, "http-equiv").rlike(r"(?i)^refresh$")
+        to = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^[\s0-9.]*[;,\s]\s*url\s*=\s*["']?([^"']+)""", 1)
+        return F.when(canonical, _attribute(tag, "href")).when(refresh, to).otherwise("")
+
+    rows = pages.select(F.col(url_col).alias("_url"), tags.alias("_tags")).where(F.col("_url").contains("://") & (F.size("_tags") > 0))
+    targets = rows.select("_url", F.coalesce(F.get(bases, F.lit(0)), F.lit("")).alias("_base"), F.explode(F.transform("_tags", target)).alias("_to")).where("_to <> ''")
+    whole = targets.select("_url", _resolved("_url", "_base", "_to").alias("_whole"))
+    return whole.select(alias_key(F.col("_url")).alias("src"), alias_key(F.col("_whole")).alias("dst")).where("src is not null and dst is not null")
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
