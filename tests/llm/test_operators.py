@@ -316,3 +316,18 @@ def test_html_aliases_of_all_forms(spark):
     for url, html, want in pages:
         got = urls.html_aliases(spark.createDataFrame([(url, html)], "url string, html string")).collect()
         assert sorted(r["dst"] for r in got) == want, html
+
+
+def test_license_texts_as_files_have_them(spark):
+    """With a title, hard-wrapped, in comments, at the head of code; texts that are only alike are not found."""
+    import textwrap
+
+    wrap = lambda text, width, mark="": "\n".join(mark + x for line in text.split("\n") for x in [*textwrap.wrap(line, width), ""])
+    isc = "ISC License\n\nCopyright (c) 2020 A B\n\n" + wrap(licenses._ISC, 72)
+    wrapped = licenses._ISC.replace("that the above ", "that the above\n")  # a line begins with `copyright notice`
+    bsd = {n: wrap(licenses._bsd(n)[k], 70, " * ") for n, k in ((2, 2), (3, 1))}
+    texts = ["MIT License\n\nCopyright (c) 2020 A\n\n" + wrap(licenses._MIT, 78), isc, wrapped, f"/*\n * Copyright 2019, X\n{bsd[3]}\n */\nint x;", bsd[2]]
+    texts += ["a\n" + wrap(licenses._MIT, 60) + "\n" + wrap(licenses._MIT, 70) + "\nend", licenses._MIT[:-9] + " and more", wrap(licenses._ZLIB, 80) + "\ncode"]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["whole_text"]) for r in licenses.license_scan(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == [("MIT", 1, True), ("ISC", 1, True), ("ISC", 1, True)]
+    assert [got[i] for i in range(3, 8)] == [("BSD-3-Clause", 1, False), ("BSD-2-Clause", 1, True), ("MIT", 2, False), ("", 0, False), ("Zlib", 1, False)]

@@ -2,7 +2,8 @@
 
 A text is normalised (case, punctuation, copyright lines, equivalent spellings), digested whole and
 hash-joined to the digests of known license texts and notices. The whole document is one unit and
-each of its lines is another, because notices stand on lines of their own.
+each of its lines is another, because notices stand on lines of their own. Whole license texts are also
+looked up inside documents, by windows that begin with their first words.
 """
 
 from __future__ import annotations
@@ -52,53 +53,119 @@ KNOWN = [
         "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
 ]
+_ISC, _MIT = KNOWN[-2][1], KNOWN[-1][1]
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.\n",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.\n",
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+    "the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+
+
+def _bsd(clauses: int) -> list[str]:
+    lists = ["".join(f"{mark.format(i + 1)}{c}" for i, c in enumerate(_BSD_CLAUSES[:clauses])) for mark in ("", "{}. ")]
+    return [_BSD_HEAD + x + _BSD_END.format(who) for x in lists for who in ("HOLDER", "OWNER")]
+
+
+#: Whole texts of common short licenses, found as a whole (also below a title) and anywhere inside a document.
+TEXTS = [("ISC", _ISC), ("MIT", _MIT), *(("BSD-2-Clause", x) for x in _bsd(2)), *(("BSD-3-Clause", x) for x in _bsd(3)), ("Zlib", _ZLIB)]
+TITLES = {
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"], "Zlib": ["zlib License", "The zlib License"],
+}
+#: Words with which a window inside a document starts.
+ANCHOR_WORDS = 4
 #: Spellings that count as equal, applied in this order to lower-cased words.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("v", "version"), ("creative commons", "cc"), ("attribution", "by")]
 COPYRIGHT_LINE = r"(?md)^[^0-9A-Za-z\n]*(?:copyright|all rights reserved)[^\n]*$"
+#: Of those lines, the ones that state a copyright; a wrapped sentence of a license may begin with `copyright notice`.
+STATEMENT = COPYRIGHT_LINE.replace("copyright", r"copyright(?![^0-9a-z\n]+(?:notice|holder|owner|law|license|licence|interest|statement)s?(?![0-9a-z]))")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
-    """Normal form of a whole text: A-Z lower-cased, copyright lines gone, words joined by one space.
+    """Normal form of a whole text: A-Z lower-cased, copyright statements gone, words joined by one space.
 
     Words are runs of ASCII letters, digits and non-ASCII characters; all other characters part
     words. Then SPELLINGS are put in one form. Empty if nothing is left; null for null.
     """
     out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(out, STATEMENT, " ")
     out = F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
     for old, new in SPELLINGS:
         out = F.trim(F.replace(F.concat(F.lit(" "), out, F.lit(" ")), F.lit(f" {old} "), F.lit(f" {new} ")))
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """The fixed list as ``license, digest``: a few dozen rows, whatever the corpus."""
-    rows = spark.createDataFrame(known, "license string, text string")
+    titled = [(name, f"{title}\n{text}") for name, text in TEXTS for title in TITLES[name]]
+    rows = spark.createDataFrame(known if known is not None else KNOWN + TEXTS + titled, "license string, text string")
     return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.length("digest") > 0).distinct()
 
 
+def _from_anchor(spaced: Column, anchor: str, length: int) -> Column:
+    """What starts with each occurrence of ``anchor``, ``length`` characters of it, if a word ends there."""
+    pieces = F.split(spaced, anchor)
+    reach = F.lit(2 + length // len(anchor))  # so many pieces hold a window
+    starts = F.when(F.size(pieces) > 1, F.sequence(F.lit(2), F.size(pieces))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda i: F.substring(F.concat(F.lit(anchor), F.array_join(F.slice(pieces, i, reach), anchor)), 2, length + 1))
+    return F.transform(F.filter(parts, lambda p: p.endswith(" ")), lambda p: F.trim(p))
+
+
+def _windows(whole: Column, spark: SparkSession) -> Column:
+    """Parts of a canonical text that begin like one of TEXTS and are as long as it, at every place."""
+    rows = spark.createDataFrame(TEXTS, "license string, text string").select(canonical(F.col("text")).alias("form")).distinct().collect()
+    spaced = F.concat(F.lit(" "), whole, F.lit(" "))
+    found = [_from_anchor(spaced, *key) for key in sorted({(" " + " ".join(form.split()[:ANCHOR_WORDS]) + " ", len(form)) for (form,) in rows})]
+    return F.when(F.contains(spaced, F.lit("software")), F.concat(*found)).otherwise(F.array().cast("array<string>"))
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licenses of every document: ``id_col, licenses, n_matches, whole_text``, one row per input row.
 
-    Units are the whole text and, if it has several lines, each line. ``licenses`` are sorted
-    distinct identifiers joined by commas (empty if none), ``n_matches`` counts units that are a
-    known text, ``whole_text`` says whether a whole document is one. Null and empty texts match
-    nothing. Rows that share an id, null included, get what all of them match together. Only the
-    fixed list is broadcast, and only matches and ids are shuffled, never texts.
+    Units are the whole text and, if it has several lines, each line; also every part of the text that
+    begins like one of TEXTS and is as long, which counts unless the whole or a line is that license.
+    ``licenses`` are sorted distinct identifiers joined by commas (empty if none), ``n_matches``
+    counts units that are a known text, ``whole_text`` says whether a whole document is one. Null and
+    empty texts match nothing. Rows that share an id, null included, get what all of them match
+    together. Only the fixed list is broadcast, and only matches and ids are shuffled, never texts.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
     lines = F.split("_text", "\n")
     units = F.concat(F.array("_text"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    digests = rows.select("_id", F.posexplode(units).alias("_at", "_unit")).select("_id", "_at", F.sha2(canonical(F.col("_unit")), 256).alias("digest"))
+    forms = rows.select("_id", F.transform(units, canonical).alias("_forms"))
+    forms = forms.select("_id", F.transform("_forms", lambda x: F.sha2(x, 256)).alias("_digests"), F.transform(_windows(F.col("_forms")[0], docs.sparkSession), lambda x: F.sha2(x, 256)).alias("_inside"))
+    both = F.concat(F.transform("_digests", lambda x, i: F.struct(i.alias("at"), x.alias("digest"))), F.transform("_inside", lambda x: F.struct(F.lit(-1).alias("at"), x.alias("digest"))))
+    digests = forms.select("_id", F.explode(both).alias("u")).select("_id", F.col("u.at").alias("_at"), F.col("u.digest").alias("digest"))
     found = (
         digests.join(F.broadcast(known.groupBy("digest").agg(F.min("license").alias("license"))), "digest")
+        .groupBy("_id", "license")
+        .agg(F.count_if(F.col("_at") >= 0).alias("n"), F.count("*").alias("n_inside"), F.max(F.col("_at") == 0).alias("w"))
         .groupBy("_id")
         .agg(
             F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-            F.count("*").alias("n_matches"),
-            F.max(F.col("_at") == 0).alias("whole_text"),
+            F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_inside"))).alias("n_matches"),
+            F.max("w").alias("whole_text"),
         )
     )
     ids = docs.select(F.col(id_col).alias("_doc"))
