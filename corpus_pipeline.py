@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of ``documents``. Null ids and texts are
-documents like any other: they are scored, never linked with a benchmark item, and encoded as empty.
+documents like any other: scored, linked, compared with the benchmark (a null text as empty) and encoded.
+Rows are decided one by one, also where they share an id; of rows equal in all columns one is kept.
 """
 
 from __future__ import annotations
@@ -14,28 +15,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontam, jaccard, pii, quality
-from weftline.llm.common import cut, table, without_ids
+from weftline.llm.common import cut, maybe_in, table, without_ids
 
 #: No SQL can say what the stages do; tests/llm compares them with plain versions.
 ORACLE_SQL = None
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, by which rows are decided: equal for rows equal in all columns only, ordered by id, null ids last."""
+    id_ = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+    rest = F.struct(F.md5("text").alias("text"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    return docs.withColumn("_key", F.concat(F.coalesce(id_, F.lit("null")), F.lit(":"), F.md5(F.to_json(rest))))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is under the classifier's bound."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return without_ids(docs, cut(scores.where("predicted = 0").select("doc_id")))
+    rows = keyed(docs)
+    scores = quality.quality_scores(rows, table(spark, sf_dir, "labels"), key_col="_key")
+    return without_ids(rows, cut(scores.where("predicted = 0").select("_key").distinct()), "_key").drop("_key")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates; rows that share an id stay or go together."""
-    groups = jaccard.jaccard_components(docs)
-    return without_ids(docs, cut(groups.where("doc_id <> component_id").select("doc_id").distinct()))
+    """Keep the smallest id of each group of near-duplicates, and one of rows equal in all columns."""
+    rows = keyed(docs)
+    groups = jaccard.jaccard_components(rows, id_col="_key")
+    kept = without_ids(rows, cut(groups.where("_key <> component_id").select("_key").distinct()), "_key")
+    repeated = maybe_in(groups.groupBy("_key").count().where("count > 1"), "_key")
+    marked = kept.withColumn("_again", repeated(F.col("_key")))
+    return marked.where("not _again").unionByName(marked.where("_again").dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, cut(found.where("contaminated").select("doc_id")))
+    rows = keyed(docs)
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return without_ids(rows, cut(found.where("contaminated").select("_key").distinct()), "_key").drop("_key")
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

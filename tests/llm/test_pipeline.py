@@ -65,6 +65,25 @@ def test_tokens_stage(steps):
         assert row["ids"] == library.encode(steps[4][i]["text"], add_special_tokens=False).ids and row["round_trip"] and row["n_tokens"] == len(row["ids"])
 
 
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    """The first three stages decide row by row: rows without an id, or with a shared one, go and stay on their own."""
+    given = spark.read.parquet(str(DATA / "documents.parquet"))
+    scores = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(given, spark.read.parquet(str(DATA / "labels.parquet"))).collect()}
+    text = {r["doc_id"]: r["text"] for r in given.collect()}
+    good, bad = (sorted((i for i in scores if scores[i] == x and text[i]), key=lambda i: -len(text[i])) for x in (1, 0))
+    item = max((r["text"] for r in spark.read.parquet(str(DATA / "benchmark.parquet")).collect()), key=len)
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], given.schema)
+    ids = lambda k, rows: sorted(map(str, [(r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[k][1](spark, frame(rows), str(DATA)).collect()]))
+    same = lambda rows: sorted(map(str, rows))
+    a, b = text[good[0]], text[bad[0]]
+    more = given.unionByName(frame([(None, b), (10**6, a), (10**6, b), (None, a)]))  # the labels teach nothing without the given rows
+    judged = corpus_pipeline.keep_good(spark, more, str(DATA)).where("doc_id is null or doc_id = 1000000").collect()
+    assert same([(r["doc_id"], r["text"]) for r in judged]) == same([(10**6, a), (None, a)])
+    words = ["one two three four five six seven", "other words that are not alike at all", "yet more of them to be told apart"]
+    assert ids(1, [(1, words[0]), (None, words[0]), (2, words[1]), (2, words[1]), (-3, words[2]), (1, words[2]), (None, words[1] + " x y z"), (None, "")]) == same([(1, words[0]), (2, words[1]), (-3, words[2]), (None, words[1] + " x y z"), (None, "")])
+    assert ids(2, [(None, item), (7, words[0]), (7, item), (None, words[1])]) == same([(7, words[0]), (None, words[1])])
+
+
 def test_run_gives_the_last_stage(spark, steps):
     assert {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(DATA)).collect()} == steps[-1]
 

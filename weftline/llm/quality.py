@@ -169,11 +169,12 @@ def fit(labelled: DataFrame) -> Model:
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"_id": batch["_id"], "x": list(statistics(batch["_text"].tolist()))})
+        yield batch.drop(columns="_text").assign(x=list(statistics(batch["_text"].tolist())))
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS,
+    key_col: str | None = None,
 ) -> DataFrame:
     """Score every whole text: ``id_col, held_out, score, predicted``, one row per input row.
 
@@ -181,25 +182,27 @@ def quality_scores(
     is not 2, in at most ``train_rows`` rows: of more, those with the least hash of their id, which
     is a uniform sample by the hash's range. Null labels and null ids teach nothing, repeated
     labels count each. Null and empty texts are scored like any other. ``predicted`` is 1 from
-    ACCEPT. Shuffles carry a few numbers per labelled document, never texts.
+    ACCEPT. ``key_col`` names one more column to carry. Shuffles carry a few numbers per labelled document, never texts.
     """
     context = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    carried = {"_id": (id_col, kind)} | ({"_key": (key_col, docs.schema[key_col].dataType.simpleString())} if key_col else {})
+    fields = ", ".join(f"{a} {t}" for a, (_, t) in carried.items())
+    rows = small_batches(docs).select(*(F.col(c).alias(a) for a, (c, _) in carried.items()), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y is not null")
     marks = marks.withColumn("part", fold("_id").cast("int")).where(F.col("part") != HELD_OUT)
     known = marks.count()
     if known > train_rows:
         marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * train_rows / known)))
-    described = rows.mapInPandas(_described, f"_id {kind}, x array<double>")
+    described = rows.mapInPandas(_described, f"{fields}, x array<double>")
     described = cut(described)
     model = context.broadcast(fit(cut(described.join(marks, "_id").select("x", "y", "part"))))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["x"].tolist()).reshape(len(batch), STATISTICS)
-            yield pd.DataFrame({"_id": batch["_id"], "score": np.clip(model.value.score(x), 0, 1)})
+            yield batch[list(carried)].assign(score=np.clip(model.value.score(x), 0, 1))
 
-    out = described.mapInPandas(scored, f"_id {kind}, score double")
+    out = described.mapInPandas(scored, f"{fields}, score double")
     predicted = (F.col("score") >= ACCEPT).cast("int")
-    return out.select(F.col("_id").alias(id_col), (fold("_id") == HELD_OUT).alias("held_out"), "score", predicted.alias("predicted"))
+    return out.select(F.col("_id").alias(id_col), (fold("_id") == HELD_OUT).alias("held_out"), "score", predicted.alias("predicted"), *([F.col("_key").alias(key_col)] if key_col else []))
