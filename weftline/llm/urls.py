@@ -80,7 +80,7 @@ def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
 
 
 def html_aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``src, dst`` between a page's URL and all its canonical links and refresh redirects."""
+    """Edges ``src, dst`` between a page's URL and the URLs of all its canonical links and refresh redirects."""
     tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_TAG), 0)
     bases = F.filter(F.transform(F.filter("_tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda x: x != "")
 
@@ -93,7 +93,8 @@ def html_aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     rows = pages.select(F.col(url_col).alias("_url"), tags.alias("_tags")).where(F.col("_url").contains("://") & (F.size("_tags") > 0))
     targets = rows.select("_url", F.coalesce(F.get(bases, F.lit(0)), F.lit("")).alias("_base"), F.explode(F.transform("_tags", target)).alias("_to")).where("_to <> ''")
     whole = targets.select("_url", _resolved("_url", "_base", "_to").alias("_whole"))
-    return whole.select(alias_key(F.col("_url")).alias("src"), alias_key(F.col("_whole")).alias("dst")).where("src is not null and dst is not null")
+    named = (alias_key(F.col("_url")).isNotNull()) & (alias_key(F.col("_whole")).isNotNull())
+    return whole.where(named).select(F.col("_url").alias("src"), F.col("_whole").alias("dst"))
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -113,8 +114,9 @@ def url_filter(
     A page that a rule fits gets that rule's verdict (the longest rule wins; of equal ones the
     allowing). A page without a rule takes its aliases' decision: allow if a rule allows any URL
     of its component, else block if a rule blocks one, else allow; ``propagated`` says that an
-    alias blocked it. ``aliases(src, dst)`` are edges between ``alias_key`` values; both ends may
-    be URLs without a page. Null URLs and URLs without ``://`` have empty host and path, fit no
+    alias blocked it. ``aliases(src, dst)`` are edges between URLs; both ends may be URLs without
+    a page. URLs of one ``alias_key`` are one node, but each of them votes as it is written, pages
+    as well as ends of edges. Null URLs and URLs without ``://`` have empty host and path, fit no
     rule, have no aliases and are allowed.
     """
     url = F.col(url_col)
@@ -124,14 +126,15 @@ def url_filter(
         decided = judged.withColumn("_class", F.lit(None).cast("string"))
     else:
         edges = aliases.select("src", "dst")
-        classes = connected_components(edges)
-        # The rules also fit URLs that only occur as ends of edges.
-        node = F.concat(F.lit("x://"), F.col("node"))
-        node_rule = fitting_rule(host_of(node), path_of(node), rules)["verdict"]
-        votes = classes.groupBy("component").agg(F.max(node_rule == "allow").alias("_a"), F.max(node_rule == "block").alias("_b"))
-        voted = votes.select("component", F.expr("if(_a, 'allow', if(_b, 'block', 'allow'))").alias("_class"))
+        classes = connected_components(edges.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst")))
+        ends = edges.select(F.col("src").alias("_url")).union(edges.select("dst"))
+        at_ends = ends.select(alias_key(F.col("_url")).alias("node"), fitting_rule(host_of(F.col("_url")), path_of(F.col("_url")), rules)["verdict"].alias("vote"))
+        by_pages = judged.where("_key is not null and _rule is not null").select(F.col("_key").alias("node"), F.col("_rule.verdict").alias("vote"))
+        votes = at_ends.unionByName(by_pages).where("vote is not null").distinct()
+        summed = classes.join(votes, "node").groupBy("component").agg(F.max(F.col("vote") == "allow").alias("_a"))
+        voted = summed.select("component", F.when(F.col("_a"), "allow").otherwise("block").alias("_class"))
         by_node = classes.join(voted, "component").select(F.col("node").alias("_key"), "_class")
-        decided = judged.join(by_node, "_key", "left")
+        decided = judged.where("_key is not null").join(by_node, "_key", "left").unionByName(judged.where("_key is null").withColumn("_class", F.lit(None).cast("string")))
     verdict = F.coalesce(F.col("_rule.verdict"), "_class", F.lit("allow"))
     return decided.select(
         F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),
