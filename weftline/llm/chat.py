@@ -41,6 +41,7 @@ def replies_of_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     )
     node = F.row_number().over(order).cast("long")
     numbered = plain.select("tree", node.alias("node"), "role", "text")
+    numbered = cut(numbered)
     return numbered.select("tree", "node", F.expr("if(node > 1, node - 1, null)").alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
@@ -49,9 +50,12 @@ def branches(replies: DataFrame) -> DataFrame:
 
     A leaf is a node that nobody answers. After round k each leaf has the ancestors fewer than
     2**k steps up, and each node's jump points 2**k steps up; the pairs are the output's own size.
-    Parents that do not exist end a branch. Nodes in a cycle belong to no leaf and give no branch.
+    Parents that do not exist end a branch, as does a node that answers itself. Nodes of longer
+    cycles have no root: they, and leaves above them, give no branch. No path has more nodes than the
+    largest tree, so jumps that are left after log2 of its size belong to cycles, of whatever length.
     """
-    links = replies.select("tree", "node", "parent").where("node is not null").groupBy("tree", "node").agg(F.max("parent").alias("parent"))
+    links = cut(replies.select("tree", "node", "parent").where("node is not null").groupBy("tree", "node").agg(F.max("parent").alias("parent")))
+    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     known = links.select("tree", F.col("node").alias("parent"))
     has_parent = links.where("parent is not null and parent <> node")
     same_tree = F.expr("a.tree <=> b.tree")
@@ -60,15 +64,13 @@ def branches(replies: DataFrame) -> DataFrame:
     answered = jumps.select("tree", F.col("to").alias("node")).distinct()
     leaves = links.alias("a").join(answered.alias("b"), same_tree & F.expr("a.node = b.node"), "left_anti")
     pairs = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    step = 1
-    while not jumps.isEmpty():
+    step, more = 1, not jumps.isEmpty()
+    while more and step < largest:
         further = pairs.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.node = b.node")).select("a.tree", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + step).alias("up"))
         pairs = cut(pairs.unionByName(further))
-        jumps = cut(
-            jumps.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.to = b.node")).select("a.tree", "a.node", F.col("b.to").alias("to")).where("to <> node")
-        )
-        step *= 2
-    return pairs
+        jumps = cut(jumps.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.to = b.node")).select("a.tree", "a.node", F.col("b.to").alias("to")))
+        step, more = step * 2, not jumps.isEmpty()
+    return pairs.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.leaf = b.node"), "left_anti") if more else pairs
 
 
 def reply_tree_chats(replies: DataFrame, best: int | None = None, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -79,35 +81,32 @@ def reply_tree_chats(replies: DataFrame, best: int | None = None, loss_role: str
     leaf; ``best`` keeps that many branches a tree (a top-k feature), None keeps all. Texts and
     roles that are null count as empty. ``loss_spans`` are code-point ranges of ``formatted``, end
     exclusive, one for each text of ``loss_role``. A branch is one string, so it must fit in one
-    row; its turns meet in one task, each with its own text only.
+    row; its turns meet in one task, each with its own text only. Branches are found and ranked
+    without texts, which are shuffled to meet the chosen branches and to be put together.
     """
-    turns = replies.select(
-        "tree",
-        "node",
-        F.coalesce("role", F.lit("")).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("body"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
-    head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEPARATOR))
-    turns = turns.select(
-        "tree", "node", "score", F.length(head).alias("skip"), F.length("body").alias("size"), (F.col("role") == loss_role).alias("loss"),
-        F.concat(head, "body", F.lit(END + "\n")).alias("piece"),
-    )
-    on_path = branches(replies).alias("a").join(turns.alias("b"), F.expr("a.tree <=> b.tree and a.node = b.node")).select("a.leaf", "a.up", "b.*")
+    head = F.concat(F.lit(START), escape(F.coalesce("role", F.lit(""))), F.lit(SEPARATOR))
+    body = escape(F.coalesce("text", F.lit("")))
+    turns = replies.select("tree", "node", "score", (F.coalesce("role", F.lit("")) == loss_role).alias("loss"), head.alias("head"), body.alias("body"))
+    sizes = turns.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score"), "loss", F.length("head").cast("long").alias("skip"), F.length("body").cast("long").alias("size"))
+    same_node, same_leaf = F.expr("a.tree <=> b.tree and a.node = b.node"), F.expr("a.tree <=> b.tree and a.leaf = b.leaf")
+    paths = cut(branches(replies).alias("a").join(sizes.alias("b"), same_node).select("a.tree", "a.leaf", "a.node", "a.up", "b.score", "b.loss", "b.skip", "b.size"))
+
     so_far = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = on_path.withColumn("end", F.sum(F.length("piece")).over(so_far))
-    start = F.col("end") - F.length("piece") + F.col("skip")
-    span = F.when(F.col("loss"), F.struct(start.alias("start"), (start + F.col("size")).alias("end")))
-    turns_up = F.sort_array(F.collect_list(F.struct("end", "piece")))
-    paths = placed.groupBy("tree", "leaf").agg(
-        F.sum("score").alias("score"), F.count("*").alias("n_turns"), turns_up.alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans")
-    )
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    ranked = paths.withColumn("branch_rank", rank)
+    piece = F.col("skip") + F.col("size") + len(END) + 1
+    placed = paths.withColumn("start", F.sum(piece).over(so_far) - piece + F.col("skip"))
+    span = F.when(F.col("loss"), F.struct("start", (F.col("start") + F.col("size")).alias("end")))
+    scored = placed.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
+    ranked = scored.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("branch_rank") <= best)
-    formatted = F.array_join(F.transform("turns", lambda t: t["piece"]), "")
-    return ranked.select("tree", "leaf", "branch_rank", "score", "n_turns", formatted.alias("formatted"), "loss_spans")
+    ranked = cut(ranked)
+
+    chosen = paths.alias("a").join(ranked.alias("b"), same_leaf, "left_semi").select("tree", "leaf", "node", "up")
+    pieces = F.concat("b.head", "b.body", F.lit(END + "\n"))
+    on_path = chosen.alias("a").join(turns.alias("b"), same_node).select("a.tree", "a.leaf", F.struct((-F.col("a.up")).alias("at"), pieces.alias("piece")).alias("turn"))
+    in_order = F.sort_array(F.collect_list("turn"))
+    put = on_path.groupBy("tree", "leaf").agg(F.array_join(F.transform(in_order, lambda t: t["piece"]), "").alias("formatted"))
+    return ranked.alias("a").join(put.alias("b"), same_leaf).select("a.tree", "a.leaf", "branch_rank", "score", "n_turns", "formatted", "loss_spans")
 
 
 def turns_of(formatted: Column) -> Column:
