@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests_plain import plain_components, plain_spans
+from tests_plain import plain_chats, plain_components, plain_main_text, plain_spans, plain_terms, plain_verdicts
 from weftline.llm import bpe, chat, decontam, html_text, jaccard, licenses, neardup, pii, quality, urls
 from weftline.llm.common import connected_components, without_ids
 from weftline.llm.words import SPACE_WORDS, shingle_sets, word_hashes
@@ -120,6 +120,39 @@ def test_url_filter(spark):
     assert urls.url_filter(empty(pages), aliases=urls.html_aliases(empty(pages))).count() == 0
 
 
+def test_url_votes_as_written(spark):
+    """Root URLs of rules vote though nodes ignore a last slash, relative and encoded links count, allowing goes first."""
+    link = lambda to: f'<link rel=canonical href="{to}">'
+    rows = [
+        ("http://a.net/1", link("https://foo.org/")), ("http://a.net/1/", link("http://b.com/de/1")),  # allow by org/, block by com/de/
+        ("http://c.net/x", link("http://c.com/de/")), ("http://c.net/y", link("x")), ("http://c.net/z", link("/y?")), ("http://d.net/d/e", link("../d/f?a=1&amp;b=2")),
+        ("http://d.net/d/f?a=1&b=2", '<meta http-equiv=refresh content="0;url=//www.example.org/en/12">'), ("http://e.net", ""), ("http://f.com/de/", ""), ("http://g.net/", link("http://f.com/de")),
+        ("HTTP://G.net#a", ""), (None, link("http://h.com/de/1")), ("no", link("http://h.com/de/1")), ("http:///de/", ""), ("http://c.net/x", link("http://c.com/de/")),
+    ]
+    r = random.Random(4)
+    names = [f"http://{h}{p}" for h in ("a.org", "b.com", "c.net", "d.net", "www.example.org") for p in ("", "/", "/de/", "/de", "/fr/", "/es/", "/x")]
+    for k in range(6):
+        more = [(r.choice(names), link(r.choice(names)) if r.random() < 0.5 else "") for _ in range(12)] if k else rows
+        pages = spark.createDataFrame([(i, *x) for i, x in enumerate(more)], "page_id bigint, url string, html string")
+        edges = urls.html_aliases(pages)
+        got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in urls.url_filter(pages, aliases=edges).collect()}
+        assert got == plain_verdicts(more, [tuple(e) for e in edges.collect()])
+        if not k:
+            assert got[0][3] == got[1][3] == "allow" and all(got[i][3] == "block" for i in (2, 3, 4, 5, 6, 8, 9, 10, 14)) and all(got[i][3] == "allow" for i in (7, 11, 12, 13))
+
+
+def test_main_text_of_the_given_pages(spark):
+    """The whole operator against a plain version, on given pages and on random pages of one host."""
+    r = random.Random(8)
+    line = lambda: "".join(r.choice(["<p>{}</p>", "<div class=ad>{}</div>", "<nav>{}</nav>", "<article>{}</article>"])).format(r.choice("abcdef"))
+    made = [(i, f"http://h.net/{r.choice('xyz')}/{r.randint(0, 30)}", "".join(line() for _ in range(r.randint(0, 8)))) for i in range(60)]
+    given = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    for pages in (made, given):
+        frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+        got = {x["page_id"]: (x["text"], x["n_shared"]) for x in html_text.main_text(frame).collect()}
+        assert got == plain_main_text(pages)
+
+
 def test_html_text(spark):
     ad = '<div class="top ad">buy</div>'
     pages = [
@@ -158,6 +191,22 @@ def test_chat_trees(spark):
     assert chat.reply_tree_chats(frame, best=1).count() == 3 and chat.reply_tree_chats(empty(frame)).count() == 0
 
 
+def test_chat_graphs_against_brute_force(spark):
+    """Random graphs with cycles of any length and branches above them: it ends, and gives all branches that have a root."""
+    r = random.Random(6)
+    rows = []
+    for tree in range(40):
+        size = r.randint(1, 14)
+        rows += [(tree, i, r.choice([None, r.randint(0, size), r.randint(0, size), max(0, i - 1)]), r.choice(["user", "assistant"]), r.choice(["a", "<|im_end|>", "\\", None]), float(r.randint(0, 3))) for i in range(size)]
+    rows += [(100, i, (i + 1) % 3, "user", "c3", 0.0) for i in range(3)] + [(101, i, (i + 1) % 5, "user", "c5", 0.0) for i in range(5)]
+    rows += [(102, i, (i + 1) % 3, "user", "c3", 0.0) for i in range(3)] + [(102, 9, 1, "user", "above", 0.0), (102, 10, 9, "user", "above", 0.0)] + [(103, i, i - 1, "user", "line", 0.0) for i in range(40)]
+    frame = spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, role string, text string, score double")
+    for best in (None, 2):
+        back = chat.reply_tree_chats(frame, best).select("tree", "leaf", "branch_rank", "score", chat.turns_of(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+        got = {(x["tree"], x["leaf"]): (x["branch_rank"], x["score"], [tuple(t) for t in x["turns"]], x["loss"]) for x in back.collect()}
+        assert got == {k: v for k, v in plain_chats(rows).items() if best is None or v[0] <= best}
+
+
 def test_chat_turns(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(37)] + [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, None, None)]
     frame = spark.createDataFrame([(*r, 9) for r in rows], "conv_id bigint, turn bigint, role string, text string, node int")
@@ -261,37 +310,47 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_pii_terms(spark, odd_docs):
-    """A word that stands near one person's address in several contexts, and hardly elsewhere, discloses it."""
-    texts = [" ".join(prose(i, 30)) for i in range(60)]
+    """A word that stands with one person's address in several texts, and hardly elsewhere, discloses it."""
+    texts = [" ".join(prose(i, 30)) for i in range(400)]
     for i in range(5):
         texts[i] = f"{' '.join(prose(90 + i, 4))} quux boss@corp.example {' '.join(prose(95 + i, 5))}"
     texts[40] = "then quux and Quux came"
     docs = docs_of(spark, texts)
     got = {r["doc_id"]: r for r in pii.pii(docs, keep=["label"]).collect()}
     assert got[40]["spans"] == "term:5:9,term:14:18" and got[40]["sanitised"] == "then [TERM] and [TERM] came" and got[40]["n_email"] == 0
-    assert "[TERM] [EMAIL]" in got[0]["sanitised"] and got[0]["n_email"] == 1 and got[0]["label"] == "x"
+    assert got[0]["sanitised"] == texts[0].replace("quux boss@corp.example", "[TERM] [EMAIL]") and got[0]["n_email"] == 1 and got[0]["label"] == "x"
     assert got[50]["spans"] == "" and got[50]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    one = {r["doc_id"]: r["spans"] for r in pii.pii(docs, per_pass=1).collect()}
-    assert one == {i: r["spans"] for i, r in got.items()}
     assert pii.pii(odd_docs).count() == 10 and pii.pii(empty(odd_docs)).count() == 0
-    copies = docs_of(spark, [texts[0]] * 50 + texts[5:40])
-    assert pii.disclosing_terms(copies).count() == 0
-
-
-def test_pii_terms_of_copies_and_signatures(spark):
-    """Copies do not lower the share, repeated signatures disclose, terms are short, have digits or stand far off."""
-    filler = [" ".join(prose(i, 30)) for i in range(400)]
-    near = [f"{' '.join(prose(1000 + i % 3, 6))} quux boss@corp.example {' '.join(prose(1010 + i % 3, 6))} copy{i}" for i in range(60)]
-    signed = [f"zz7 {' '.join(prose(2000 + i, 40))} My Name Isx Jorvik +44 20 7946 0018 bye" for i in range(20)]
-    exact = ["solo word one@once.example"] * 50
-    docs = docs_of(spark, filler + near + signed + exact)
-    found = {}
-    for r in pii.disclosing_terms(docs).collect():
-        found.setdefault(r["entity"].split(":")[0], {})[r["term"]] = r["share"]
-    assert found["email"]["quux"] == pytest.approx(1) and found["phone"]["jorvik"] == pytest.approx(1)
-    assert {"zz7", "my", "bye"} <= set(found["phone"]) and not {"solo", "word", "boss", "copy1"} & {t for f in found.values() for t in f}
-    got = pii.pii(docs).where("doc_id = 460").first()["sanitised"]
-    assert got.startswith("[TERM] ") and "[TERM] [PHONE] [TERM]" in got
+
+
+def test_pii_terms_equal_the_formula(spark):
+    """Entities of one text and of many, copies, repeated signatures, words far off, short ones and ones with digits."""
+    filler = [" ".join(prose(i, 30)) for i in range(1500)]
+    near = [f"{' '.join(prose(3000 + i % 3, 6))} quux boss@corp.example {' '.join(prose(3010 + i % 3, 6))} copy{i}" for i in range(60)]
+    signed = [f"zz7 {' '.join(prose(4000 + i, 40))} My Name Isx Jorvik +44 20 7946 0018 bye 10.0.0.{i % 4}" for i in range(20)]
+    exact = ["solo word one@once.example and two@once.example, Élan vital"] * 50
+    docs = docs_of(spark, filler + near + signed + exact + ["the Élan vital", "quux too"])
+    found = {r["term"]: r for r in pii.disclosing_terms(docs).collect()}
+    plain = plain_terms([r["text"] for r in docs.collect()])
+    assert found.keys() == plain.keys() and all(found[t]["share"] == pytest.approx(plain[t]) for t in plain)
+    assert {"quux", "jorvik", "zz7", "my", "bye", "solo", "word"} <= found.keys() and not {"boss", "élan", "vital", "copy1"} & found.keys()
+    assert found["quux"]["entity"].startswith("email:") and found["jorvik"]["entity"].startswith("phone:")
+    got = pii.pii(docs).where("doc_id = 1560").first()["sanitised"]
+    assert got.startswith("[TERM] ") and "[TERM] [PHONE] [TERM] [IP]" in got
+
+
+def test_pii_terms_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = plain_terms([r["text"] for r in docs.collect()])
+    found = {r["term"]: r["share"] for r in pii.disclosing_terms(docs, share=0.8).collect()}
+    plain = plain_terms([r["text"] for r in docs.collect()], 0.8)
+    assert found == pytest.approx(plain) and found
+    for r in pii.pii(docs, share=0.8, keep=["text"]).collect():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [(int(s), pii.KINDS.index(k), int(e)) for k, s, e in spans if k != "term"] == plain_spans(r["text"] or "")
+        base = [(int(s), int(e)) for k, s, e in spans if k != "term"]
+        words = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", r["text"] or "") if m[0].lower() in plain]
+        assert [(int(s), int(e)) for k, s, e in spans if k == "term"] == [(s, e) for s, e in words if all(e <= a or b <= s for a, b in base)]
 
 
 def test_html_wrappers_are_not_furniture():
@@ -314,7 +373,7 @@ def test_html_aliases_of_all_forms(spark):
         ("http://h.net/a", '<base href="http://b.net/d/"><link rel=canonical href=e><link rel=canonical href="mailto:x"><link rel=canonical data-href="/f">', ["b.net/d/e"]), ("no scheme", "<link rel=canonical href=/x>", []), (None, None, []),
     ]
     for url, html, want in pages:
-        got = urls.html_aliases(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+        got = urls.html_aliases(spark.createDataFrame([(url, html)], "url string, html string")).select(urls.alias_key(F.col("dst")).alias("dst")).collect()
         assert sorted(r["dst"] for r in got) == want, html
 
 
