@@ -24,14 +24,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches
-from weftline.llm.words import pieces_of
+from weftline.llm.common import map_slices, release
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Unicode's White_Space characters.
 SPACES = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SCAN_LIMIT = 64
-CACHE_WORDS = 100_000
+CACHE_WORDS = 20_000
 CACHED_BYTES = 64
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -163,6 +162,10 @@ class Codec:
         for piece in pattern_for(text).findall(text):
             ids += get(piece) or word(piece)
 
+    def forget(self) -> None:
+        """Drop the cached words."""
+        self.cache, self.old = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens kept; bytes that are no UTF-8 become U+FFFD."""
         get = self.bytes_of.__getitem__
@@ -172,7 +175,9 @@ class Codec:
 @functools.cache
 def codec(path: str) -> Codec:
     gc.set_threshold(200_000, 50, 1000)  # the word cache is large and holds no cycles
-    return Codec(path)
+    own = Codec(path)
+    release()  # what the file was parsed into
+    return own
 
 
 def bpe(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -188,16 +193,15 @@ def bpe(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            texts = batch["_text"].tolist()
-            for lo, hi in pieces_of(texts):
-                ids = [own.encode(t) for t in texts[lo:hi]]
-                decoded = [own.decode(x) for x in ids]
-                yield batch[carry].iloc[lo:hi].assign(ids=[np.array(x, np.int32) for x in ids], decoded=decoded)
+            ids = [own.encode(t) for t in batch["_text"]]
+            decoded = [own.decode(x) for x in ids]
+            yield batch[carry].assign(ids=[np.array(x, np.int32) for x in ids], decoded=decoded)
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     fields = f"_id {kind}, _text string" if keep_text else f"_id {kind}"
-    out = rows.mapInPandas(run, f"{fields}, ids array<int>, decoded string")
+    out = map_slices(rows, run, f"{fields}, ids array<int>, decoded string")
     return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
@@ -221,8 +225,9 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "_id", batch["_id"].to_numpy())
             yield out
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInPandas(run, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    out = map_slices(rows, run, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("_id", id_col)

@@ -7,10 +7,12 @@ conversation with a loss mask over the assistant's texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import Rounds, cut
 
 #: The template's control strings. Escaping leaves no ``<|`` inside roles and texts.
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -60,17 +62,26 @@ def branches(replies: DataFrame) -> DataFrame:
     has_parent = links.where("parent is not null and parent <> node")
     same_tree = F.expr("a.tree <=> b.tree")
     jumps = has_parent.alias("a").join(known.alias("b"), same_tree & F.expr("a.parent = b.parent")).select("a.tree", "a.node", F.col("a.parent").alias("to"))
-    jumps = cut(jumps)
+    tables = Rounds(replies.sparkSession)
+    jumps = tables.put("jumps0", jumps)
     answered = jumps.select("tree", F.col("to").alias("node")).distinct()
     leaves = links.alias("a").join(answered.alias("b"), same_tree & F.expr("a.node = b.node"), "left_anti")
-    pairs = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    step, more = 1, not jumps.isEmpty()
+    pairs = [tables.put("pairs0", leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))]
+    k, step, more = 0, 1, not jumps.isEmpty()
     while more and step < largest:
-        further = pairs.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.node = b.node")).select("a.tree", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + step).alias("up"))
-        pairs = cut(pairs.unionByName(further))
-        jumps = cut(jumps.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.to = b.node")).select("a.tree", "a.node", F.col("b.to").alias("to")))
+        k += 1
+        so_far = reduce(DataFrame.unionByName, pairs)
+        further = so_far.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.node = b.node")).select("a.tree", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + step).alias("up"))
+        pairs.append(tables.put(f"pairs{k}", further))
+        jumps = tables.put(f"jumps{k}", jumps.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.to = b.node")).select("a.tree", "a.node", F.col("b.to").alias("to")))
+        tables.drop(f"jumps{k - 1}")
         step, more = step * 2, not jumps.isEmpty()
-    return pairs.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.leaf = b.node"), "left_anti") if more else pairs
+    found = reduce(DataFrame.unionByName, pairs)
+    if more:
+        found = found.alias("a").join(jumps.alias("b"), same_tree & F.expr("a.leaf = b.node"), "left_anti")
+    found = cut(found)
+    tables.drop()
+    return found
 
 
 def reply_tree_chats(replies: DataFrame, best: int | None = None, loss_role: str = LOSS_ROLE) -> DataFrame:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,110 +24,184 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that Python workers get at a time; texts may be long.
-BATCH_ROWS = 1000
+#: Bytes and rows that an operator's Python code works on at a time; one longer row is worked on alone.
+SLICE_BYTES, SLICE_ROWS = 1 << 21, 1000
+#: What a job has Spark hand to a Python worker at a time.
+HANDED_BYTES = "4m"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Have Spark hand texts to Python workers in batches of BATCH_ROWS at most, so a worker's memory stays small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
+def handed_in_small_batches(spark: SparkSession) -> SparkSession:
+    """For a job's own session: batches for Python workers have about HANDED_BYTES, so many cores fit in an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", HANDED_BYTES)
+    return spark
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE_BYTES and at most SLICE_ROWS, without a copy."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, done + SLICE_BYTES, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def release() -> None:
+    """Give the memory that a finished task freed back to the system, as workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_slices(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
+    """``mapInPandas`` in slices bounded by bytes, whatever batches the session hands out; the session is left as it is."""
+    fields = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(part.to_pandas() for batch in batches for part in _slices(batch)):
+            yield pa.RecordBatch.from_pandas(out, schema=fields, preserve_index=False)
+        release()
+
+    return rows.mapInArrow(whole, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so a lost executor costs no lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, is
-    a local one made.
+    The folder is ``shared_folder``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(col if isinstance(col, Column) else F.col(col), F.lit(""))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without one a new local folder in local mode, as in tests, ValueError on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+class Rounds:
+    """Tables that the rounds of a loop write to the shared folder and drop when no later round reads them.
+
+    A checkpoint would hand its plan's size estimate on; a join's estimate is a product, so over the
+    rounds of a loop the driver would work with numbers of millions of digits. A table has its real size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.top}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        """Delete one table, or all."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}" if name else self.top)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Smallest node reachable from each node of ``edges(src, dst)``: columns ``node``, ``component``.
 
-    Each round takes the smallest label among neighbours and then jumps to the label of that label,
-    so a path of length n needs about log(n) rounds. Both joins are plain shuffle joins whose hot
-    side Spark can split, and the minimum is combined before the shuffle, so a hub with very many
-    neighbours is no hot task. Nulls link nothing; loops and repeated edges change nothing.
+    Each round merges every node into the smallest node next to it, or next to that one, and keeps
+    the edges between what is left, so edges get fewer from round to round; a component's smallest
+    node is never merged and stays at last. The joins are plain shuffle joins whose hot side Spark can
+    split, and the minimum is combined before the shuffle, so a hub with very many neighbours is no
+    hot task. Nulls link nothing; loops and repeated edges change nothing.
 
     Raises RuntimeError when ``rounds`` do not suffice, rather than returning split components.
     """
-    plain = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
-    both = cut(plain.union(plain.select("dst", "src")))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
-    for _ in range(rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        best = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("component").alias("next"))
-        labels_next = cut(best.join(jump, "best").select("node", "was", F.least("best", "next").alias("component")))
-        if labels_next.where("component <> was").isEmpty():
-            return labels_next.select("node", "component")
-        labels = labels_next.select("node", "component")
-    raise RuntimeError(f"components still change after {rounds} rounds")
+    tables = Rounds(edges.sparkSession)
+    plain = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    both = tables.put("edges0", plain.union(plain.select("dst", "src")).distinct())
+    steps: list[DataFrame] = []
+    while len(steps) < rounds:
+        k = len(steps)
+        least = tables.put(f"least{k}", both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("to")))
+        jump = least.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        to = tables.put(f"to{k}", least.join(jump, "to").select("node", F.col("next").alias("to")))
+        steps.append(to)
+        half = both.join(to.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").select("a", "dst")
+        merged = half.join(to.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst").where("a <> b")
+        both = tables.put(f"edges{k + 1}", merged.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        tables.drop(f"least{k}")
+        tables.drop(f"edges{k}")
+        if both.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
+    out = steps[-1]
+    for to in reversed(steps[:-1]):
+        later = out.select(F.col("node").alias("to"), F.col("to").alias("later"))
+        out = to.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("to"))
+    out = cut(out.select("node", F.col("to").alias("component")))
+    tables.drop()
+    return out
 
 
 def packed_slots(marks: DataFrame, bits: int) -> np.ndarray:
     """Fold ``marks(slot, level)`` into one byte a slot, the largest level: 2**bits bytes whatever the input.
 
-    Slots are packed 4096 to a row on the executors, so the driver gets at most 2**bits bytes.
+    Slots are packed on the executors, so the driver gets at most 2**bits bytes.
     """
+    width = 1 << max(0, bits - 8)
 
     def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        cells = np.zeros(4096, np.uint8)
-        cells[batch["slot"].to_numpy() % 4096] = batch["level"].to_numpy()
-        return pd.DataFrame({"part": [int(batch["slot"].iloc[0]) // 4096], "cells": [cells.tobytes()]})
+        cells = np.zeros(width, np.uint8)
+        cells[batch["slot"].to_numpy() % width] = batch["level"].to_numpy()
+        return pd.DataFrame({"part": [int(batch["slot"].iloc[0]) // width], "cells": [cells.tobytes()]})
 
     best = marks.groupBy("slot").agg(F.max("level").alias("level"))
-    packed = best.groupBy(F.expr("slot div 4096")).applyInPandas(pack, "part int, cells binary")
+    packed = best.groupBy(F.expr(f"slot div {width}")).applyInPandas(pack, "part int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for part, cells in packed.collect():
-        out[part * 4096 : part * 4096 + 4096] = np.frombuffer(cells, np.uint8)
+        out[part * width : part * width + width] = np.frombuffer(cells, np.uint8)
     return out
 
 
-BLOOM_BITS = 22
+#: Filters for ids have 2**FILTER_BITS bits, in words of 64.
+FILTER_BITS = 24
 
 
-def id_marks(ids: Column) -> Column:
-    """Slot of an id in a filter of 2**BLOOM_BITS bytes."""
-    return F.pmod(F.xxhash64(ids), F.lit(1 << BLOOM_BITS))
+def packed_filter(slots: DataFrame, bits: int) -> np.ndarray:
+    """A set of ``slot`` values below 2**bits as that many bits, whatever the input; read it by ``in_filter``."""
+    byte = slots.select(F.expr("slot div 8").alias("slot"), F.expr("shiftleft(1, cast(slot % 8 as int))").alias("level")).groupBy("slot").agg(F.bit_or("level").alias("level"))
+    return packed_slots(byte, bits - 3)
 
 
-def maybe_in(ids: DataFrame, id_col: str):
-    """A function column -> condition that holds for all rows whose id is in ``ids``, and few others.
+def in_filter(cells: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (cells[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
-    The filter behind it has a fixed size, so it may be broadcast; when it fills up it only lets
-    more rows through. An exact join must follow.
-    """
-    slots = packed_slots(ids.select(id_marks(F.col(id_col)).cast("int").alias("slot"), F.lit(1).alias("level")), BLOOM_BITS)
-    shared = ids.sparkSession.sparkContext.broadcast(slots)
 
-    @F.pandas_udf("boolean")
-    def hit(slot: pd.Series) -> pd.Series:
-        return pd.Series(shared.value[slot.to_numpy()] > 0)
+def maybe_in(rows: DataFrame, col: str, ids: DataFrame, id_col: str, mark: str = "_may") -> DataFrame:
+    """``rows`` with a column ``mark``: true for all rows whose ``col`` is in ``ids``, and few others, never null.
 
-    return lambda column: hit(id_marks(column).cast("int"))
+    The filter behind it has 2**FILTER_BITS bits at most, in a table of 2**(FILTER_BITS - 6) rows that is
+    broadcast; when it fills up it only lets more rows through. An exact join must follow.
+    """
+    slot_of = lambda column: F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    slots = ids.select(slot_of(F.col(id_col)).alias("_slot")).select(F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bits"))
+    words = cut(slots.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+    slotted = rows.withColumn("_slot", slot_of(F.col(col))).withColumn("_word", F.expr("_slot div 64"))
+    marked = slotted.join(F.broadcast(words), "_word", "left")
+    return marked.withColumn(mark, F.expr("coalesce(getbit(_bits, cast(_slot % 64 as int)) = 1, false)")).drop("_word", "_slot", "_bits")
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not in ``ids``; only rows that may be hit are shuffled, null ids stay."""
-    may_hit = maybe_in(ids, id_col)
-    marked = rows.withColumn("_may_hit", may_hit(F.col(id_col)))
+    marked = maybe_in(rows, id_col, ids, id_col, "_may_hit")
     columns = [F.col(f"`{c}`") for c in rows.columns]
     sure = marked.where("not _may_hit").select(*columns)
     rest = marked.where("_may_hit").select(*columns).join(ids.select(id_col).distinct(), id_col, "left_anti")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, small_batches
+from weftline.llm.common import cut, map_slices
 from weftline.llm.words import ALNUM_WORDS, pieces_of, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -154,7 +155,7 @@ class ItemIndex:
                         found[name] = similarity
 
 
-def _scan(index: Broadcast, carry: list[str], last: bool):
+def _scan(index: Broadcast, carry: list[str], hits_only: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, items, best = batch["_text"].tolist(), [], []
@@ -164,9 +165,8 @@ def _scan(index: Broadcast, carry: list[str], last: bool):
                     found = index.value.matches(words[a:b])
                     items.append(sorted(found))
                     best.append(max(found.values(), default=0.0))
-            old = batch["_items"].tolist()
-            out = batch[carry].assign(_items=[sorted({*x, *y}) for x, y in zip(old, items)], _best=np.maximum(batch["_best"], best))
-            yield out if last else out.assign(_text=batch["_text"])
+            out = batch[carry].assign(_items=items, _best=best)
+            yield out[[len(x) > 0 for x in items]] if hits_only else out
 
     return run
 
@@ -184,7 +184,8 @@ def contamination(
     items with a null id, or without words, match nothing; items that share an id count as one.
 
     The benchmark's size is measured: blocks of about ``items_a_pass`` items and ``chars_a_pass``
-    characters are broadcast, each in a pass over the documents of its own, without any shuffle.
+    characters are broadcast, each in a pass over the documents of its own. One block needs no
+    shuffle; of more, each pass gives its hits by text digest, which are joined to the ids in the end.
     A window of similarity 0.8 is beyond the Hamming radius with a chance of about one in 10**5.
     """
     context = docs.sparkSession.sparkContext
@@ -192,15 +193,20 @@ def contamination(
     items = cut(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     passes = max(1, -(-size["n"] // items_a_pass), -(-size["chars"] // chars_a_pass))
-    rows = small_batches(docs).select(
-        F.col(id_col).alias("_id"), F.array().cast("array<bigint>").alias("_items"), F.lit(0.0).alias("_best"), F.col(text_col).alias("_text")
-    )
-    fields = f"_id {kind}, _items array<bigint>, _best double"
-    for part in range(passes):
+
+    def index_of(part: int) -> Broadcast:
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == part).collect()
-        index = context.broadcast(ItemIndex([r["item"] for r in block], [r["text"] for r in block]))
-        last = part == passes - 1
-        rows = rows.mapInPandas(_scan(index, ["_id"], last), fields if last else fields + ", _text string")
-        rows = rows if last else cut(rows)
+        return context.broadcast(ItemIndex([r["item"] for r in block], [r["text"] for r in block]))
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = "_items array<bigint>, _best double"
+    if passes == 1:
+        judged = map_slices(rows, _scan(index_of(0), ["_id"], False), f"_id {kind}, {found}")
+    else:
+        digested = rows.select("_id", F.md5("_text").alias("_digest"), "_text")
+        texts = digested.select("_digest", "_text")
+        hits = [cut(map_slices(texts, _scan(index_of(part), ["_digest"], True), f"_digest string, {found}").dropDuplicates(["_digest"])) for part in range(passes)]
+        together = reduce(DataFrame.unionByName, hits).groupBy("_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"), F.max("_best").alias("_best"))
+        judged = digested.select("_id", "_digest").join(together, "_digest", "left").select("_id", F.coalesce("_items", F.array().cast("array<bigint>")).alias("_items"), F.coalesce("_best", F.lit(0.0)).alias("_best"))
     n_items = F.size("_items").cast("long")
-    return rows.select(F.col("_id").alias(id_col), (n_items > 0).alias("contaminated"), F.col("_items").alias("item_ids"), n_items.alias("n_items"), F.col("_best").alias("similarity"))
+    return judged.select(F.col("_id").alias(id_col), (n_items > 0).alias("contaminated"), F.col("_items").alias("item_ids"), n_items.alias("n_items"), F.col("_best").alias("similarity"))

@@ -2,8 +2,8 @@
 
 Pages are sorted by host and URL path, each is paired with its nearest neighbour of the same host,
 and their text lines are aligned by a longest common subsequence: lines that both share are page
-furniture and go. What the markup itself declares is taken first: lines inside navigation, notices
-and the like go without a neighbour, and lines inside an article, or what is named as one, stay whoever shares them.
+furniture and go, wherever they stand outside an article, or what is named as one. Furniture that differs
+from page to page, which no comparison shows, is known by its markup: navigation, notices and the like.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, small_batches
+from weftline.llm.common import cut, map_slices
 from weftline.llm.urls import host_of, path_of
 
 #: Elements that end a text block, elements and name parts of page furniture.
@@ -177,20 +177,25 @@ def _differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         best, partner = alike, theirs
             if partner is None:
                 continue
-            shared = [i for i in common_lines(list(lines), list(partner)) if roles[i] == OPEN]
-            if shared and (len(shared) < sum(r == OPEN for r in roles) or KEPT in roles):
+            shared = [i for i in common_lines(list(lines), list(partner)) if roles[i] != KEPT]
+            plain = sum(roles[i] == OPEN for i in shared)
+            if plain and plain == sum(r == OPEN for r in roles) and KEPT not in roles:
+                shared = [i for i in shared if roles[i] == DROPPED]  # a copy of its partner
+            if shared:
                 rows.append((key, shared))
         yield pd.DataFrame(rows, columns=["key", "shared"])
 
 
 def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = []
+        texts, marked = [], []
         for page, shared in zip(batch["html"], batch["shared"]):
             lines, roles = text_lines(page)
             gone = frozenset(shared) if shared is not None else frozenset()
             texts.append("\n".join(x for i, (x, role) in enumerate(zip(lines, roles)) if role != DROPPED and i not in gone))
-        yield batch[["_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
+            marked.append(sum(role == DROPPED and i not in gone for i, role in enumerate(roles)))
+        n_shared = [0 if x is None else len(x) for x in batch["shared"]]
+        yield batch[["_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts], n_shared=n_shared, n_marked=marked)
 
 
 #: Deleted lines of at most so many are broadcast; more are joined by a shuffle.
@@ -198,7 +203,9 @@ BROADCAST_LINES = 200_000
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Main text of every page: ``id_col, url_col, text, n_chars``, one row per input row, repeated rows included.
+    """Main text of every page: ``id_col, url_col, text, n_chars, n_shared, n_marked``, one row per input row, repeated rows included.
+
+    ``n_shared`` lines were deleted by differencing, ``n_marked`` others by their markup.
 
     Character references are decoded, white space inside a block is folded, blocks are joined by
     newlines. Null and empty pages give an empty text. A page's partner is the neighbour of the
@@ -212,9 +219,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     own_key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(F.col(url_col), F.col(html_col))))
-    rows = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), own_key.alias("key"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), own_key.alias("key"))
     hosted = rows.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").where("host <> ''")
-    surveyed = hosted.mapInPandas(_surveyed, "key string, host string, path string, lines array<bigint>, roles array<int>")
+    surveyed = map_slices(hosted, _surveyed, "key string, host string, path string, lines array<bigint>, roles array<int>")
     surveyed = cut(surveyed.dropDuplicates(["key"]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = surveyed.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
@@ -231,8 +238,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for name in (f"path_{side}", f"lines_{side}"):
             around = around.withColumn(name, F.when(F.col("host") == F.col(f"_h{side}"), F.col(name)))
     around = around.select("key", "path", "lines", "roles", "path_a", "lines_a", "path_b", "lines_b")
-    deleted = cut(around.mapInPandas(_differenced, "key string, shared array<int>"))
+    deleted = cut(map_slices(around, _differenced, "key string, shared array<int>"))
     size = deleted.agg(F.coalesce(F.sum(F.size("shared")), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(deleted) if size <= BROADCAST_LINES else deleted, "key", "left").select("_id", "url", "html", "shared")
-    out = joined.mapInPandas(_rendered, f"_id {kind}, url string, text string, n_chars bigint")
+    out = map_slices(joined, _rendered, f"_id {kind}, url string, text string, n_chars bigint, n_shared bigint, n_marked bigint")
     return out.withColumnsRenamed({"_id": id_col, "url": url_col})

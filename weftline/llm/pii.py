@@ -1,8 +1,9 @@
 """Personal data and information-theoretic sanitisation (operator 10).
 
 Patterns find the entities to protect. Terms of the texts that have an entity are counted over the whole
-corpus, each distinct text once, and a term discloses an entity when their pointwise mutual information reaches a share of
-the entity's information content. Disclosing terms are spans of their own, to be removed as well.
+corpus, each distinct text once, and a term discloses an entity when what it tells about it (their
+pointwise mutual information) reaches a share of the entity's information content. Disclosing terms are
+spans of their own, to be removed as well.
 """
 
 from __future__ import annotations
@@ -11,19 +12,23 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, maybe_in, small_batches, text_or_empty
+from weftline.llm.common import cut, in_filter, map_slices, maybe_in, packed_filter
+from weftline.llm.words import ALNUM_WORDS, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: A term discloses an entity from this share of the entity's information, seen in so many different texts.
-DISCLOSURE, SUPPORT = 0.8, 3
-#: Disclosing terms that one pass over the documents looks for; more make more passes.
-TERMS_A_PASS = 50_000
+#: A term discloses an entity from this share of the entity's information.
+DISCLOSURE = 0.9
+#: Occurrences of every term that are taken as seen beforehand, with entities as frequent there as anywhere.
+PRIOR = 1.0
+#: Bits of the filter that finds texts with terms that may disclose.
+TERM_BITS = 26
 
 _MAIL_REST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _MAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,7 +37,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_WORD = re.compile(r"[^\W_]+")
+#: Words as in ALNUM_WORDS: ASCII letters and digits, and all other characters beyond ASCII.
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,62 +100,86 @@ def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["digest", "entities", "terms"])
 
 
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+
+
+def _term_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        words, _ = word_hashes(batch["term"].tolist(), ALNUM_WORDS)
+        yield pd.DataFrame({"slot": _slots(words)})
+
+
 def _having(terms: Broadcast):
-    """Every text that has some of the terms, with those."""
+    """Every text that may have some of the terms, with those and few others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, digest in zip(batch["_text"], batch["_digest"]):
-                if not terms.value.isdisjoint(map(str.lower, _WORD.findall(text))):
-                    own = terms.value & _terms(text, base_spans(text))
-                    if own:
-                        rows.append((digest, sorted(own)))
+            rows, texts = [], batch["_text"].tolist()
+            words, bounds = word_hashes([t.lower() for t in texts], ALNUM_WORDS)
+            hits = np.flatnonzero(in_filter(terms.value, _slots(words)))
+            cuts = np.searchsorted(hits, bounds)
+            for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                found = _WORD.findall(texts[i].lower())
+                some = {found[at] for at in (hits[cuts[i] : cuts[i + 1]] - bounds[i]).tolist()} & _terms(texts[i], base_spans(texts[i]))
+                if some:
+                    rows.append((batch["_digest"].iloc[i], sorted(some)))
             yield pd.DataFrame(rows, columns=["digest", "terms"])
 
     return run
 
 
-def _blocks(terms: DataFrame, per_pass: int) -> Iterator[frozenset[str]]:
-    """Distinct values of ``term`` in hash blocks of about ``per_pass``, one block on the driver at a time."""
-    parts = -(-terms.count() // per_pass)
-    for part in range(parts):
-        yield frozenset(t for (t,) in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect())
-
+def _digested(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(text.alias("_text"), F.md5(text).alias("_digest"))
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE, support: int = SUPPORT, per_pass: int = TERMS_A_PASS) -> DataFrame:
-    """Terms that disclose an entity: ``term, entity, share``.
 
-    All counts are of distinct texts: of N, n(t) have the term outside entities, n(e) the entity
-    and n(t, e) both, wherever in the text. PMI = log(N n(t, e) / (n(t) n(e))) and the entity's
-    information is log(N / n(e)); the share is their quotient. A term in fewer than ``support``
-    different texts of an entity is no evidence.
-
-    Pairs are counted in texts with an entity only and combined before the shuffle. Terms whose
-    share would be too low even if no other text had them are dropped before all texts are read again.
-    """
-    spark = docs.sparkSession
-    text = text_or_empty(F.col(f"`{text_col}`"))
-    texts = small_batches(docs).select(text.alias("_text"), F.md5(text).alias("_digest"))
+def _disclosing(docs: DataFrame, text_col: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """Disclosing terms, and texts by digest with all of these that they have, and others."""
+    texts = _digested(docs, text_col)
     total = texts.agg(F.count_distinct("_digest")).first()[0]
-    seen = cut(texts.mapInPandas(_seen, "digest string, entities array<string>, terms array<string>").dropDuplicates(["digest"]))
-    entities = cut(seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
-    # This filter lets a few other entities through; the join with ``entities`` is exact.
-    pairs = seen.select(F.explode("entities").alias("entity"), "terms").where(maybe_in(entities, "entity")(F.col("entity")))
-    both = pairs.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    own = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
-
-    def shares(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-        pmi = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-        known = pairs.join(counts, "term").where(F.col("n_entity") < total)
-        return known.withColumn("share", pmi / F.log(total / F.col("n_entity"))).where(F.col("share") >= share)
-
-    hopeful = cut(shares(both.join(entities, "entity"), own).select("term", "entity", "n_both", "n_entity"))
-    counts = spark.createDataFrame([], "term string, n_term bigint")
-    for block in _blocks(cut(hopeful.select("term").distinct()), per_pass):
-        having = texts.mapInPandas(_having(spark.sparkContext.broadcast(block)), "digest string, terms array<string>").dropDuplicates(["digest"])
-        counts = counts.union(cut(having.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))))
-    return shares(hopeful, counts).select("term", "entity", "share")
+    seen = cut(map_slices(texts, _seen, "digest string, entities array<string>, terms array<string>").dropDuplicates(["digest"]))
+    pairs = seen.select("digest", F.explode("entities").alias("entity"))
+    entities = cut(pairs.groupBy("entity").agg(F.count("*").alias("n_entity")))
+    # Entities of this text only share all their counts, so one stands for them.
+    counted = pairs.join(entities, "entity").where(F.col("n_entity") < total)
+    single = counted.where("n_entity = 1").groupBy("digest", "n_entity").agg(F.min("entity").alias("entity"))
+    kept = cut(counted.where("n_entity > 1").select("digest", "entity", "n_entity").unionByName(single))
+    most = kept.groupBy("digest").agg(F.max("n_entity").alias("most"))
+    each = most.join(seen.select("digest", "terms"), "digest").select(F.xxhash64("digest").alias("_text"), "most", F.explode("terms").alias("term"))
+    own = each.groupBy("term").agg(F.count("*").alias("n_term"))
+    # More texts with a term than this, and it tells too little about any entity of the text.
+    bound = (F.col("most") + 1) * F.pow(total / F.col("most"), F.lit(1 - share)) * (1 + 1e-9)
+    rare = each.join(own, "term").where(F.col("n_term") + PRIOR <= bound).select("_text", "term", "n_term")
+    both = rare.join(kept.select(F.xxhash64("digest").alias("_text"), "entity", "n_entity"), "_text").groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+
+    def shares(pairs: DataFrame) -> DataFrame:
+        prior = F.col("n_entity") / total
+        posterior = (F.col("n_both") + PRIOR * prior) / (F.col("n_term") + PRIOR)
+        return pairs.withColumn("share", F.log(posterior / prior) / -F.log(prior)).where(F.col("share") >= share)
+
+    hopeful = cut(shares(both).select("term", "entity", "n_both", "n_entity"))
+    terms = hopeful.select("term").distinct()
+    filter_ = docs.sparkSession.sparkContext.broadcast(packed_filter(map_slices(terms, _term_slots, "slot bigint"), TERM_BITS))
+    having = cut(map_slices(texts, _having(filter_), "digest string, terms array<string>").dropDuplicates(["digest"]))
+    counts = having.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    best = shares(hopeful.join(counts, "term")).groupBy("term").agg(F.max(F.struct("share", "entity")).alias("_b"))
+    return cut(best.select("term", "_b.entity", "_b.share")), having
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE) -> DataFrame:
+    """Terms that disclose an entity, each with the entity that it tells most about: ``term, entity, share``.
+
+    All counts are of distinct texts: of N, n(t) have the term outside entities, n(e) the entity and
+    n(t, e) both, wherever in the text. P(e) = n(e) / N; P(e|t) = (n(t, e) + PRIOR P(e)) / (n(t) + PRIOR),
+    so a term seen once tells less than one seen often. A term's share of the entity's information is
+    log(P(e|t) / P(e)) / -log P(e); it discloses from ``share`` on. An entity of all texts has no information.
+
+    Pairs are made in texts with an entity only and combined before the shuffle. Terms whose share
+    would be too low even if no other text had them are dropped before all texts are read again, once,
+    through a filter of a fixed size; where that fills up more words are shuffled, none is lost.
+    """
+    return _disclosing(docs, text_col, share)[0]
 
 
 def _joined(spans: list[tuple[int, int, int, str]]) -> str:
@@ -158,37 +188,27 @@ def _joined(spans: list[tuple[int, int, int, str]]) -> str:
 
 def _term_spans(text: str, terms: frozenset[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Disclosing words of a text that no entity covers."""
-    if not terms:
-        return []
-    found = [m.span() for m in _WORD.finditer(text) if m[0].lower() in terms]
-    return [(s, e) for s, e in found if not any(s < end and start < e for start, _, end in base)]
-
-
-def _marked(terms: Broadcast, carry: list[str]):
-    """Add the spans of one block of terms to those found by the passes before."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            more = [_term_spans(t or "", terms.value, base_spans(t or "")) for t in batch["_text"]]
-            starts = [[*old, *(s for s, _ in new)] for old, new in zip(batch["_starts"], more)]
-            ends = [[*old, *(e for _, e in new)] for old, new in zip(batch["_ends"], more)]
-            yield batch[[*carry, "_text"]].assign(_starts=starts, _ends=ends)
-
-    return run
+    found, at, reach = [], 0, 0
+    for m in _WORD.finditer(text) if terms else ():
+        if m[0].lower() in terms:
+            while at < len(base) and base[at][0] < m.end():
+                at, reach = at + 1, max(reach, base[at][2])
+            if m.start() >= reach:
+                found.append(m.span())
+    return found
 
 
-def _judged(terms: Broadcast, carry: list[str]):
-    """Mark the last block of terms and write out counts, digests, spans and the sanitised text."""
+def _judged(carry: list[str]):
+    """Write out counts, digests, spans and the sanitised text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, starts, ends in zip(batch["_text"], batch["_starts"], batch["_ends"]):
+            for text, terms in zip(batch["_text"], batch["_terms"]):
                 text = text or ""
                 found = base_spans(text)
                 base = [(s, k, e, KINDS[k]) for s, k, e in found]
-                spans = [*zip(starts, ends), *_term_spans(text, terms.value, found)]
-                extra = [(int(s), len(KINDS), int(e), TERM) for s, e in spans]
+                extra = [(s, len(KINDS), e, TERM) for s, e in _term_spans(text, frozenset(() if terms is None else terms), found)]
                 counts = [sum(k == i for _, k, _, _ in base) for i in range(len(KINDS))]
                 clean, at = [], 0
                 for start, _, end, kind in sorted(base + extra):
@@ -202,26 +222,26 @@ def _judged(terms: Broadcast, carry: list[str]):
     return run
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, per_pass: int = TERMS_A_PASS) -> DataFrame:
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, share: float = DISCLOSURE) -> DataFrame:
     """Find and remove personal data: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised``.
 
     ``spans`` are kind:start:end by start, then kind, comma-joined, in code points with exclusive
     ends; base entities come by pattern, ``term`` spans are words that disclose an entity anywhere
     in the corpus. ``sanitised`` is the text with each span, or run of overlapping spans,
     generalised to its kind in brackets. One row per input row, repeated rows included; null and
-    empty texts have no spans; ``keep`` names further columns to carry. Terms are looked for in
-    blocks of about ``per_pass``, each block in one more pass over the texts.
+    empty texts have no spans; ``keep`` names further columns to carry. Only texts with disclosing
+    terms are shuffled, to meet these; all others pass once more through a fixed-size filter.
     """
-    context = docs.sparkSession.sparkContext
     carry = [id_col, *(c for c in keep or [] if c != id_col)]
     named = {f"_c{i}": c for i, c in enumerate(carry)}
     fields = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in named.items())
-    none = F.array().cast("array<int>")
-    rows = small_batches(docs).select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text"), none.alias("_starts"), none.alias("_ends"))
-    block = context.broadcast(frozenset())
-    for more in _blocks(cut(disclosing_terms(docs, text_col, per_pass=per_pass).select("term").distinct()), per_pass):
-        if block.value:
-            rows = cut(rows.mapInPandas(_marked(block, list(named)), rows.schema))
-        block = context.broadcast(more)
+    terms, having = _disclosing(docs, text_col, share)
+    exploded = having.select("digest", F.explode("terms").alias("term"))
+    hits = cut(exploded.join(terms.select("term"), "term").groupBy("digest").agg(F.sort_array(F.collect_list("term")).alias("_terms")))
+    digest = F.md5(F.coalesce("_text", F.lit("")))
+    rows = docs.select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text")).withColumn("digest", digest)
+    rows = maybe_in(rows, "digest", hits, "digest")
+    plain = rows.where("not _may").select(*named, "_text", F.lit(None).cast("array<string>").alias("_terms"))
+    found = rows.where("_may").join(hits, "digest", "left").select(*named, "_text", "_terms")
     schema = f"{fields}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, sanitised string"
-    return rows.mapInPandas(_judged(block, list(named)), schema).withColumnsRenamed(named)
+    return map_slices(plain.unionByName(found), _judged(list(named)), schema).withColumnsRenamed(named)

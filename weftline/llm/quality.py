@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, small_batches
+from weftline.llm.common import cut, map_slices
 from weftline.llm.words import ALNUM_WORDS, pieces_of, shingle_hashes, word_hashes
 
 #: Random features, width of the Gaussian kernel on standardised statistics, ridge penalty, seed.
@@ -124,7 +124,7 @@ def _summed(rows: DataFrame, width: int, part_of) -> np.ndarray:
                 total += np.frombuffer(sums)
         yield pd.DataFrame({"sums": [total.tobytes()]})
 
-    found = rows.mapInPandas(partial, "sums binary").repartition(GATHER).mapInPandas(gather, "sums binary").collect()
+    found = map_slices(map_slices(rows, partial, "sums binary").repartition(GATHER), gather, "sums binary").collect()
     return np.sum([np.frombuffer(s) for (s,) in found], axis=0) if found else np.zeros(width)
 
 
@@ -188,13 +188,13 @@ def quality_scores(
     kind = docs.schema[id_col].dataType.simpleString()
     carried = {"_id": (id_col, kind)} | ({"_key": (key_col, docs.schema[key_col].dataType.simpleString())} if key_col else {})
     fields = ", ".join(f"{a} {t}" for a, (_, t) in carried.items())
-    rows = small_batches(docs).select(*(F.col(c).alias(a) for a, (c, _) in carried.items()), F.col(text_col).alias("_text"))
+    rows = docs.select(*(F.col(c).alias(a) for a, (c, _) in carried.items()), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y is not null")
     marks = marks.withColumn("part", fold("_id").cast("int")).where(F.col("part") != HELD_OUT)
     known = marks.count()
     if known > train_rows:
         marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * train_rows / known)))
-    described = rows.mapInPandas(_described, f"{fields}, x array<double>")
+    described = map_slices(rows, _described, f"{fields}, x array<double>")
     described = cut(described)
     model = context.broadcast(fit(cut(described.join(marks, "_id").select("x", "y", "part"))))
 
@@ -203,6 +203,6 @@ def quality_scores(
             x = np.array(batch["x"].tolist()).reshape(len(batch), STATISTICS)
             yield batch[list(carried)].assign(score=np.clip(model.value.score(x), 0, 1))
 
-    out = described.mapInPandas(scored, f"{fields}, score double")
+    out = map_slices(described, scored, f"{fields}, score double")
     predicted = (F.col("score") >= ACCEPT).cast("int")
     return out.select(F.col("_id").alias(id_col), (fold("_id") == HELD_OUT).alias("held_out"), "score", predicted.alias("predicted"), *([F.col("_key").alias(key_col)] if key_col else []))

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, decontam, html_text, jaccard, licenses, neardup, pii, quality, urls
-from weftline.llm.common import table
+from weftline.llm.common import handed_in_small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, with the canonical links and refreshes of the pages as edges."""
     pages = table(spark, sf_dir, "pages")
     return urls.url_filter(pages, aliases=urls.html_aliases(pages))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one that holds control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(
         "select cast(-1 as bigint) conv_id, cast(n as bigint) turn, if(n = 0, 'user', 'assistant') role, "
@@ -39,34 +41,49 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
+    handed_in_small_batches(spark)
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    handed_in_small_batches(spark)
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    handed_in_small_batches(spark)
     return neardup.embedding_neardup(table(spark, sf_dir, "embeddings"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    handed_in_small_batches(spark)
     return pii.pii(table(spark, sf_dir, "documents")).drop("sanitised")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    handed_in_small_batches(spark)
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels."""
+    handed_in_small_batches(spark)
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    handed_in_small_batches(spark)
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 #: Odd multiplier of the polynomial and its inverse modulo 2**64.
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -92,7 +92,7 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
-def pieces_of(texts: list[str | None], chars: int = 2_000_000):
+def pieces_of(texts: list[str | None], chars: int = 500_000):
     """Split a batch into slices of about ``chars`` characters; one text is never split."""
     start, size = 0, 0
     for i, text in enumerate(texts):
