@@ -8,14 +8,16 @@ Rows are decided one by one, also where they share an id; of rows equal in all c
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontam, jaccard, pii, quality
-from weftline.llm.common import cut, maybe_in, table, without_ids
+from weftline.llm.common import cut, handed_in_small_batches, maybe_in, shared_folder, table, without_ids
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: No SQL can say what the stages do; tests/llm compares them with plain versions.
 ORACLE_SQL = None
@@ -40,8 +42,7 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = keyed(docs)
     groups = jaccard.jaccard_components(rows, id_col="_key")
     kept = without_ids(rows, cut(groups.where("_key <> component_id").select("_key").distinct()), "_key")
-    repeated = maybe_in(groups.groupBy("_key").count().where("count > 1"), "_key")
-    marked = kept.withColumn("_again", repeated(F.col("_key")))
+    marked = maybe_in(kept, "_key", groups.groupBy("_key").count().where("count > 1"), "_key", "_again")
     return marked.where("not _again").unionByName(marked.where("_again").dropDuplicates(["_key"])).select(*docs.columns)
 
 
@@ -65,24 +66,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
-STAGES = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", keep_one_of_copies),
-    ("benchmark decontamination", drop_benchmark_leaks),
-    ("personal data", remove_personal_data),
-    ("BPE encoding and decoding", encode),
-]
+def sparing(stage: Stage) -> Stage:
+    """A stage whose Python workers get small batches, so that five stages in a row fit in the executors' memory."""
+    return lambda spark, docs, sf_dir: stage(handed_in_small_batches(spark), docs, sf_dir)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; a local one only where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    return f"{top}/corpus-pipeline-{uuid.uuid4().hex}"
+STAGES = [
+    ("quality classifier", sparing(keep_good)),
+    ("n-gram Jaccard join", sparing(keep_one_of_copies)),
+    ("benchmark decontamination", sparing(drop_benchmark_leaks)),
+    ("personal data", sparing(remove_personal_data)),
+    ("BPE encoding and decoding", sparing(encode)),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
