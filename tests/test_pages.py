@@ -95,3 +95,11 @@ def test_analysis(spark):
 def test_edits():
     fixes = [{"kind": "import", "line": 3, "component": "A", "old": "", "new": "./a"}, {"kind": "value", "line": 3, "component": "B", "old": "x", "new": "y"}]
     assert autofix.edited('import { B } from "b"\n\n<B v="x" w="x" />', fixes) == 'import { B } from "b"\nimport { A } from "./a"\n\n<B v="y" w="x" />'
+
+
+def test_deep_braces_and_long_expressions(spark):
+    from weftline.functions.jsx import usages
+
+    rows = [("deep", "<A style={{a:{b:{c:{d:{e:1}}}}}}/>"), ("long", "<A f={" + "x + " * 5000 + "1}/>")]
+    got = usages(spark.createDataFrame(rows, "page_id string, code string")).collect()
+    assert sorted(r["page_id"] for r in got) == ["deep", "long"] and all(r["component_name"] == "A" for r in got)

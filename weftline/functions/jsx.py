@@ -2,7 +2,7 @@
 
 A page is cut by one pattern into tags, comments and what stands between; positions, lines, depth
 and the enclosing component then come from running sums and last values over the page's tags. The
-pattern reads braces in attributes to a depth of three. As in the reference data model, tags inside
+pattern reads braces in attributes to a depth of BRACE_DEPTH. As in the reference data model, tags inside
 attribute values are no usages, HTML tags and fragments are transparent, lines and columns start
 at 1 and columns count bytes.
 """
@@ -12,7 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*+\})*+\})*+\}"
+BRACE_DEPTH = 12
+
+
+def braces(depth: int) -> str:
+    """Pattern of balanced braces, nested to a depth, as the pattern language has no recursion."""
+    inner = r"\{[^{}]*+\}"
+    for _ in range(depth - 1):
+        inner = rf"\{{(?:[^{{}}]++|{inner})*+\}}"
+    return inner
+
+
+_BRACES = braces(BRACE_DEPTH)
 _ATTRIBUTES = rf"(?:\s++|/(?=>)|[\w$:.-]++|=|\"[^\"]*+\"|'[^']*+'|{_BRACES})*+"
 # Right after a word, an opening tag would be a type argument.
 TAG = rf"</\s*+[A-Za-z][\w.]*+\s*+>|<[A-Za-z][\w.]*+{_ATTRIBUTES}(?<=/)>|(?<![\w)\]$])<[A-Za-z][\w.]*+{_ATTRIBUTES}>"

@@ -89,11 +89,21 @@ def enriched(props: DataFrame, docgen: DataFrame) -> DataFrame:
     )
 
 
-#: Element types whose props documentation generators inherit.
+#: Intrinsic types whose props documentation generators inherit; so is every name that ends in HTMLAttributes.
 INTRINSIC_PARENTS = (
-    "HTMLAttributes", "DOMAttributes", "AriaAttributes", "SVGAttributes", "ButtonHTMLAttributes", "InputHTMLAttributes",
-    "AnchorHTMLAttributes", "FormHTMLAttributes", "Attributes", "RefAttributes", "ClassAttributes", "CSSProperties",
-)
+    "Attributes",
+    "RefAttributes",
+    "ClassAttributes",
+    "DOMAttributes",
+    "AriaAttributes",
+    "HTMLAttributes",
+    "SVGAttributes",
+    "SVGProps",
+    "HTMLProps",
+    "AllHTMLAttributes",
+    "SVGLineElementAttributes",
+    "SVGTextElementAttributes",
+)
 
 
 def docgen_rows(reports: DataFrame) -> DataFrame:
