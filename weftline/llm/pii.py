@@ -29,6 +29,8 @@ DISCLOSURE = 0.9
 PRIOR = 1.0
 #: Bits of the filter that finds texts with terms that may disclose.
 TERM_BITS = 26
+#: Most of the frequent terms that are broadcast, each of at most so many bytes, to leave them out before a shuffle.
+HEAVY_TERMS, HEAVY_BYTES = 1 << 17, 64
 
 _MAIL_REST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _MAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -147,10 +149,14 @@ def _disclosing(docs: DataFrame, text_col: str, share: float) -> tuple[DataFrame
     kept = cut(counted.where("n_entity > 1").select("digest", "entity", "n_entity").unionByName(single))
     most = kept.groupBy("digest").agg(F.max("n_entity").alias("most"))
     each = most.join(seen.select("digest", "terms"), "digest").select(F.xxhash64("digest").alias("_text"), "most", F.explode("terms").alias("term"))
-    own = each.groupBy("term").agg(F.count("*").alias("n_term"))
+    own = cut(seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
     # More texts with a term than this, and it tells too little about any entity of the text.
     bound = (F.col("most") + 1) * F.pow(total / F.col("most"), F.lit(1 - share)) * (1 + 1e-9)
-    rare = each.join(own, "term").where(F.col("n_term") + PRIOR <= bound).select("_text", "term", "n_term")
+    # Fewer than HEAVY_TERMS terms can have a count above this share of all counts.
+    floor = (own.agg(F.sum("n_term")).first()[0] or 0) / HEAVY_TERMS
+    heavy = own.where((F.col("n_term") > floor) & (F.octet_length("term") <= HEAVY_BYTES)).withColumnRenamed("n_term", "_heavy")
+    light = each.join(F.broadcast(heavy), "term", "left").where(F.col("_heavy").isNull() | (F.col("_heavy") + PRIOR <= bound))
+    rare = light.join(own, "term").where(F.col("n_term") + PRIOR <= bound).select("_text", "term", "n_term")
     both = rare.join(kept.select(F.xxhash64("digest").alias("_text"), "entity", "n_entity"), "_text").groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
 
     def shares(pairs: DataFrame) -> DataFrame:
@@ -237,7 +243,8 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
     fields = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in named.items())
     terms, having = _disclosing(docs, text_col, share)
     exploded = having.select("digest", F.explode("terms").alias("term"))
-    hits = cut(exploded.join(terms.select("term"), "term").groupBy("digest").agg(F.sort_array(F.collect_list("term")).alias("_terms")))
+    may = maybe_in(exploded, "term", terms, "term").where("_may").select("digest", "term")
+    hits = cut(may.join(terms.select("term"), "term").groupBy("digest").agg(F.sort_array(F.collect_list("term")).alias("_terms")))
     digest = F.md5(F.coalesce("_text", F.lit("")))
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text")).withColumn("digest", digest)
     rows = maybe_in(rows, "digest", hits, "digest")
