@@ -54,10 +54,29 @@ def test_enrichment(spark, rows):
     assert got["n"]["type"] == "ReactNode"
 
 
+def test_enrichment_keeps_files_apart(spark):
+    files_ = spark.createDataFrame([(f"{d}/b.tsx", f"interface P {{ {p}: string }}\nexport function B({{ {p} }}: P) {{ return <b/>; }}") for d, p in (("a", "x"), ("c", "y"))], "path string, content string")
+    report = spark.createDataFrame([("B", 0, "x", "string", True, "", "doc", [], False)], "component string, pos int, name string, type string, required boolean, default string, description string, allowed_values array<string>, deprecated boolean")
+    got = {r["import_path"]: {p["name"]: p["description"] for p in r["props"]} for r in scan.scan(files_, docgen=report).components.collect()}
+    assert got == {"./a/b": {"x": "doc"}, "./c/b": {"x": "doc", "y": ""}}
+
+
+def test_members_of_nested_classes(spark):
+    code = "class A {\n\tprivate n: number = 1; static go(\n\t\ta: string,\n\t) {\n\t\tif (a) { if (b) { if (c) { if (d) { run(a); } } } }\n\t}\n\tlast() {}\n}"
+    rows = m.symbols(m.modules(spark.createDataFrame([("a.ts", code)], "path string, content string")))
+    assert {(r["fqn"], r["kind"]) for r in rows.collect()} == {("A", "class"), ("A.n", "field"), ("A.go", "method"), ("A.last", "method")}
+
+
+def test_variants_by_empty_props_type(spark):
+    code = 'const v = cva("b", { variants: { size: { sm: "x" } } });\ninterface P extends VariantProps<typeof v> {}\nexport function B({ a }: P) { return <b/>; }\nexport function C() { return <i/>; }'
+    got = {r["name"]: [p["name"] for p in r["props"]] for r in scan.scan(spark.createDataFrame([("b.tsx", code)], "path string, content string")).components.collect()}
+    assert got == {"B": ["a", "size"], "C": []}
+
+
 def test_commonjs(spark):
     js = "const a = require('x');\nconst {b, c: d} = require('./y');\nconst e = require('z').f;\nmodule.exports = a;\nexports.g = 1;"
     found = m.modules(spark.createDataFrame([("a.js", js)], "path string, content string"))
-    got = [(r["source"], r["imported"], r["type"], r["is_external"]) for r in m.module_imports(found).orderBy("pos", "imported").collect()] if False else {(r["source"], r["type"], r["is_external"]) for r in m.module_imports(found).collect()}
+    got = {(r["source"], r["type"], r["is_external"]) for r in m.module_imports(found).collect()}
     assert got == {("x", "namespace", True), ("./y", "named", False), ("z", "named", True)}
     assert {(r["name"], r["type"]) for r in m.module_exports(found).collect()} == {("default", "default"), ("g", "named")}
 

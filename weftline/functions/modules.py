@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.jsx import braces
 from weftline.functions.text import is_external, literal_type, unquoted
 from weftline.sources.files import language
 
 DECLARATION = r"(?m)^(export\s+)?(default\s+)?(?:declare\s+)?(abstract\s+)?(async\s+)?(function\*?|class|const|let|var|interface|type|enum|namespace)\s+([\w$]+)"
 KINDS = {"function": "function", "function*": "function", "class": "class", "const": "variable", "let": "variable", "var": "variable", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}
-MEMBER = r"(?m)^  ((?:(?:public|private|protected|static|readonly|abstract|async|override)\s+)*)([\w$]+)\s*([(:=?!])"
+MEMBER = r"(?m)(?:^|[;}])[ \t]*((?:(?:public|private|protected|static|readonly|abstract|async|override)\s+)*)([\w$]+)\s*([(:=?!])"
 NOT_MEMBERS = ("if", "for", "while", "switch", "return", "catch", "constructor", "case", "default", "else", "const", "let", "var", "function", "type", "interface")
-_BODY = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*+\})*+\})*+\})*+\}"
+#: Braces are read to this depth, as the pattern language has no recursion.
+_BODY = braces(12)
+_PARENTHESES = braces(12).replace(r"\{", r"\(").replace(r"\}", r"\)").replace("{}", "()")
 
 
 def code_of(content: Column) -> Column:
@@ -52,7 +55,10 @@ def symbols(rows: DataFrame) -> DataFrame:
         "path", "pos", "name", F.col("name").alias("fqn"), kind.alias("kind"), F.lit("").alias("scope"), modifiers.alias("modifiers"), ((F.col("exported") != "") & (kind != "variable")).alias("is_exported")
     )
     classes = _all(rows, rf"(?m)^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)[^{{]*({_BODY})", {"owner": 1, "body": 2})
-    members = classes.select("path", F.col("pos").alias("_class"), "owner", F.posexplode(F.regexp_extract_all("body", F.lit(MEMBER), 0)).alias("_at", "_m"))
+    # Without what stands in inner braces and parentheses, a member is what starts a line or statement.
+    inner = F.regexp_replace("body", r"^\{|\}$", "")
+    bare = F.regexp_replace(F.regexp_replace(inner, _BODY, "{}"), _PARENTHESES, "()")
+    members = classes.select("path", F.col("pos").alias("_class"), "owner", F.posexplode(F.regexp_extract_all(bare, F.lit(MEMBER), 0)).alias("_at", "_m"))
     name, words = F.regexp_extract("_m", MEMBER, 2), F.filter(F.split(F.trim(F.regexp_extract("_m", MEMBER, 1)), r"\s+"), lambda x: x != "")
     scopes = F.array(F.lit("public"), F.lit("private"), F.lit("protected"))
     inside = members.select(
@@ -114,7 +120,7 @@ def type_annotations(rows: DataFrame) -> DataFrame:
     Of equal names in a file the last annotation counts.
     """
     pattern = r"([\w$]+)\??\s*:\s*([A-Za-z_$][\w$.]*)(?:<\s*([A-Za-z_$][\w$.]*))?|([\w$]+)\s*=\s*[^;=\n]*?\bas\s+([A-Za-z_$][\w$.]*)"
-    found = _all(rows.where("language = 'TypeScript'"), rf"(?:const|let|var|[(,]|private|public|protected|readonly)\s*{pattern}", {"a": 1, "base": 2, "arg": 3, "b": 4, "cast": 5})
+    found = _all(rows.where("language = 'TypeScript'"), rf"(?:const|let|var|[(,]|(?:(?:private|public|protected|readonly|static|override|declare)\s+)+)\s*{pattern}", {"a": 1, "base": 2, "arg": 3, "b": 4, "cast": 5})
     kind = F.when(F.col("cast") != "", F.col("cast")).when(F.col("arg") != "", F.col("arg")).otherwise(F.col("base"))
     named = found.select("path", "pos", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b")).alias("name"), kind.alias("type"))
     return named.groupBy("path", "name").agg(F.max_by("type", "pos").alias("type"))
@@ -153,6 +159,12 @@ def interface_props(rows: DataFrame) -> DataFrame:
         F.trim(F.regexp_replace(doc, r"@[\s\S]*$", "")).alias("description"), F.contains(doc, F.lit("@deprecated")).alias("deprecated"), union_values(raw).alias("allowed_values"))
 
 
+def props_heads(rows: DataFrame) -> DataFrame:
+    """What interfaces and types extend or join before their body: ``path, owner, head``, the first of equal names."""
+    found = _all(rows, r"(?m)^(?:export\s+)?(?:interface|type)\s+([\w$]+)([^{;]*)", {"owner": 1, "head": 2})
+    return found.groupBy("path", "owner").agg(F.min_by("head", "pos").alias("head"))
+
+
 def union_values(kind: Column) -> Column:
     """Values of a union of string literals; none for other types."""
     members = F.transform(F.split(F.regexp_replace(kind, r"^\|\s*", ""), r"\s*\|\s*"), F.trim)

@@ -57,6 +57,14 @@ def component_examples(components: DataFrame, name: str) -> DataFrame:
     return get_component(components, name).select(F.posexplode("examples").alias("pos", "_e")).orderBy("pos").select("_e.*")
 
 
+def inspect(components: DataFrame, name: str) -> DataFrame:
+    """The component that ``name`` finds, whether it is asked for by a sub-component, and that one's own props, its name in any case."""
+    own = F.filter("sub_components", lambda s: F.lower(s["name"]) == name.lower())
+    none = F.slice("props", 1, 0)
+    found = get_component(components, name).withColumn("is_sub_component", F.col("name") != name)
+    return found.withColumn("sub_component_props", F.when(F.col("is_sub_component"), F.coalesce(F.get(own, F.lit(0))["props"], none)).otherwise(none))
+
+
 def list_tokens(tokens: DataFrame, category: str = "") -> DataFrame:
     return (tokens.where(F.col("category") == category) if category else tokens).orderBy("pos")
 

@@ -29,12 +29,13 @@ def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFr
     return rows.select("path", "pos", "name", "kind", "props_type", "body", F.lit(False).alias("is_default_export"))
 
 
-def component_props(components: DataFrame, declared: DataFrame, variants: DataFrame) -> DataFrame:
+def component_props(components: DataFrame, declared: DataFrame, variants: DataFrame, type_heads: DataFrame) -> DataFrame:
     """Props of detected components: ``path, component, pos, name, type, required, default, description, allowed_values, deprecated``.
 
     The declaration that a component's props type names in its file gives the props, else the
     parameters it takes apart do, untyped. Defaults in the head overwrite. Variant sets add props and
-    fill what is empty, for components that reference them, or where a file has one of each.
+    fill what is empty, for components that reference them in their text or in what their props type
+    extends (``type_heads``), or where a file has one of each.
     """
     heads = components.select("path", F.col("name").alias("component"), "props_type", "kind", "body")
     by_type = heads.where("props_type <> ''").select("path", "component", F.col("props_type").alias("owner")).join(declared, ["path", "owner"])
@@ -47,12 +48,9 @@ def component_props(components: DataFrame, declared: DataFrame, variants: DataFr
 
     counts = heads.groupBy("path").agg(F.count("*").alias("_components"))
     sets = variants.join(variants.select("path", "variable").distinct().groupBy("path").agg(F.count("*").alias("_sets")), "path").join(counts, "path")
-    named = F.col("body").contains(F.concat(F.lit("typeof "), "variable"))
-    declared_text = declared.groupBy("path", "owner").agg(F.first("extends_text").alias("extends_text")) if "extends_text" in declared.columns else None
-    refer = heads.join(sets, "path")
-    if declared_text is not None:
-        refer = refer.join(declared_text.withColumnRenamed("owner", "props_type"), ["path", "props_type"], "left")
-        named = named | F.coalesce(F.col("extends_text").contains(F.concat(F.lit("typeof "), "variable")), F.lit(False))
+    of = lambda text: text.contains(F.concat(F.lit("typeof "), "variable"))
+    named = of(F.col("body")) | F.coalesce(of(F.col("head")), F.lit(False))
+    refer = heads.join(sets, "path").join(type_heads.withColumnRenamed("owner", "props_type"), ["path", "props_type"], "left")
     extra = refer.where(named | ((F.col("_sets") == 1) & (F.col("_components") == 1))).select(
         "path", "component", (F.col("pos") + 1000).alias("_vpos"), "name", F.col("allowed_values").alias("_allowed"), F.col("default").alias("_default")
     )
@@ -74,14 +72,16 @@ def enriched(props: DataFrame, docgen: DataFrame) -> DataFrame:
     """Merge what a documentation generator reports: ``docgen(component, pos, name, type, required, default, description, allowed_values, deprecated)``.
 
     Base values that are set stay; required is only upgraded; deprecated is either's; new props are
-    appended. Of equal reported names the last counts.
+    appended. Of equal reported names the last counts. Where both have a ``path``, components of one
+    name in different files are told apart by it.
     """
-    other = docgen.withColumn("_n", F.row_number().over(Window.partitionBy("component", "name").orderBy(F.desc("pos")))).where("_n = 1")
-    other = other.select("component", "name", *(F.col(c).alias(f"_{c}") for c in ("pos", "type", "required", "default", "description", "allowed_values", "deprecated")))
-    both = props.join(other, ["component", "name"], "full_outer")
+    keys = [c for c in ("path", "component", "name") if c in props.columns and c in docgen.columns]
+    other = docgen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pos")))).where("_n = 1")
+    other = other.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("pos", "type", "required", "default", "description", "allowed_values", "deprecated")))
+    both = props.join(other, keys, "full_outer")
     no_values = F.array().cast("array<string>")
     return both.select(
-        "component", "name", F.coalesce("pos", F.col("_pos") + 2000).alias("pos"), filled("type", docgen_type(F.col("_type"))).alias("type"),
+        *keys, F.coalesce("pos", F.col("_pos") + 2000).alias("pos"), filled("type", docgen_type(F.col("_type"))).alias("type"),
         (F.coalesce("required", F.lit(False)) | F.coalesce("_required", F.lit(False))).alias("required"), filled("default", F.col("_default")).alias("default"),
         filled("description", F.col("_description")).alias("description"),
         F.when(F.size(F.coalesce("allowed_values", no_values)) > 0, F.col("allowed_values")).otherwise(F.coalesce("_allowed_values", no_values)).alias("allowed_values"),
@@ -172,10 +172,10 @@ def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | Non
     rows = m.modules(files)
     facts = m.component_facts(rows)
     components = detected(facts, m.symbols(rows), m.module_exports(rows))
-    props = component_props(components, m.interface_props(rows), m.variant_sets(rows))
+    props = component_props(components, m.interface_props(rows), m.variant_sets(rows), m.props_heads(rows))
     if docgen is not None:
         paths = components.select("path", F.col("name").alias("component"))
-        props = enriched(props.drop("path"), docgen).join(paths, "component")
+        props = enriched(props, docgen.join(paths, "component"))  # a report that names no file is of all its components
     spark = files.sparkSession
     tokens = design_tokens(css) if css is not None else spark.createDataFrame([], "name string, value string, category string")
     return built_catalog(components, props, tokens, name, prefix)

@@ -175,10 +175,10 @@ def analysis(usages: DataFrame) -> DataFrame:
     A child is credited to the first usage of its parent's name that stands no later than it; usages
     of one name on one line share a count.
     """
-    heads = usages.groupBy("page_id", F.col("component_name").alias("parent_component"), F.col("line").alias("parent_line")).agg(F.min("pos").alias("parent_pos"))
-    children = usages.where("parent_component <> ''").select("page_id", "pos", "parent_component", "line")
-    pairs = children.join(heads, ["page_id", "parent_component"]).where("parent_line <= line")
-    owner = pairs.groupBy("page_id", "pos", "parent_component").agg(F.min_by("parent_line", "parent_pos").alias("line"))
+    # Lines ascend with pos, so of a name's usages the first has the least line and owns every child that it can.
+    heads = usages.groupBy("page_id", F.col("component_name").alias("parent_component")).agg(F.min_by("line", "pos").alias("parent_line"))
+    children = usages.where("parent_component <> ''").select("page_id", "parent_component", "line")
+    owner = children.join(heads, ["page_id", "parent_component"]).where("parent_line <= line").select("page_id", "parent_component", F.col("parent_line").alias("line"))
     counts = owner.groupBy("page_id", F.col("parent_component").alias("component_name"), "line").agg(F.count("*").alias("children_count"))
     rows = usages.join(counts, ["page_id", "component_name", "line"], "left")
     return rows.select("page_id", "pos", "component_name", "line", F.sort_array(F.map_keys("props")).alias("props"), F.coalesce("children_count", F.lit(0)).alias("children_count"))

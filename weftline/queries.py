@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import jsx, modules, text
 from weftline.operators import autofix, catalog, css, scan, validation
 from weftline.plans import tools
-from weftline.sources import derived
+from weftline.sources import derived, files
 from weftline.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,7 +201,7 @@ def c1_compound_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select lower(p_type) || '/p' || p_partkey || '.tsx', 'P' || p_partkey, 'brand', 'string', false, '', '', p_brand || ',none' from c""")
 def p1_component_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = modules.modules(derived.part_modules(spark, sf_dir))
-    props = scan.component_props(_detected(spark, sf_dir), modules.interface_props(rows), modules.variant_sets(rows))
+    props = scan.component_props(_detected(spark, sf_dir), modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
     return props.select("path", "component", "name", "type", "required", "default", "description", F.array_join("allowed_values", ",").alias("allowed"))
 
 
@@ -268,3 +268,205 @@ def f3_lines_and_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f6_sanitized_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.table(spark, sf_dir, "events").select("event_id", text.sanitized_params(F.create_map(F.lit("props"), F.col("props")), 9).alias("_m"))
     return rows.select("event_id", F.explode("_m").alias("key", "value"))
+
+
+def _seventh(spark: SparkSession, sf_dir: str) -> str:
+    """The name of the seventh part's sub-component."""
+    return derived.table(spark, sf_dir, "part").where("p_partkey = 7").selectExpr("concat(p_name, 'Item', p_partkey) as name").first()["name"]
+
+
+@query(f"select pos, name, import_path from ({_PART}) where pos = 7")
+def q3_component_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sub-component's name finds its parent."""
+    return catalog.get_component(derived.part_components(spark, sf_dir), _seventh(spark, sf_dir)).select("pos", "name", "import_path")
+
+
+@query("select p_partkey pos, p_name || '#' || p_partkey name from part where p_size < 10 and p_partkey % 2 = 0")
+def q4_components_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of sub-components find nothing here; repeated requests count once."""
+    names = derived.table(spark, sf_dir, "part").where("p_size < 10").selectExpr("p_partkey as at", "concat(p_name, if(p_partkey % 2 = 0, '#', 'Item'), p_partkey) as name")
+    return catalog.get_components(derived.part_components(spark, sf_dir), names.union(names)).select("pos", "name")
+
+
+@query("select 'Size ' || p_size title, p_brand description, '<P' || p_partkey || ' />' code from part where p_partkey = 7")
+def q6_component_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    example = F.expr("array(named_struct('title', replace(props[0].name, 'size', 'Size '), 'description', description, 'code', concat('<P', pos, ' />')))")
+    return catalog.component_examples(derived.part_components(spark, sf_dir).withColumn("examples", example), _seventh(spark, sf_dir))
+
+
+@query("select p_name || '#' || p_partkey as name, true is_sub_component, 'size' || p_size prop from part where p_partkey = 7")
+def q10_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspect a sub-component; each has its parent's props here."""
+    own = F.transform("sub_components", lambda s: s.withField("props", F.col("props")))
+    found = catalog.inspect(derived.part_components(spark, sf_dir).withColumn("sub_components", own), _seventh(spark, sf_dir))
+    return found.select("name", "is_sub_component", F.explode("sub_component_props.name").alias("prop"))
+
+
+@query(f"""with f as (select 'Sym' || (seq % 500) fqn, path, seq from ({_CHANGES}))
+    select * from (select fqn, arg_max(path, seq) path, max(seq) seq from f group by fqn) where seq % 2 = 0""")
+def q11_found_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condition is on the last writers."""
+    rows = derived.event_changes(spark, sf_dir).selectExpr("concat('Sym', seq % 500) as fqn", "path", "seq", "0 as pos")
+    return index.find_symbols(rows, F.col("seq") % 2 == 0).select("fqn", "path", "seq")
+
+
+@query("""select p_name || '#' || p_partkey component, 'size' || p_size as name, case when p_size % 7 = 0 then 'string' else 'number' end as type, p_size > 25 or p_size % 2 = 0 required, p_size::varchar as default, 'doc' description,
+      case p_size % 3 when 0 then '' when 1 then 'a,b' else 'x' end allowed, p_size = 3 deprecated from part
+    union all select p_name || '#' || p_partkey, 'tone', 'ReactNode', false, '', '', '', false from part where p_size % 4 = 3""")
+def j13_enriched_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Props of the catalog and of cleaned reports; what only a report has is appended."""
+    base = derived.part_catalog(spark, sf_dir).props
+    props = scan.enriched(base, scan.docgen_rows(derived.part_reports(spark, sf_dir)))
+    return props.select("component", "name", "type", "required", "default", "description", F.array_join("allowed_values", ",").alias("allowed"), "deprecated")
+
+
+@query("""select p_name || '#' || p_partkey component, 'size' || p_size as name, p_size::varchar as default, case p_size % 3 when 0 then '' when 1 then 'a,b' else 'x' end allowed, p_size = 3 deprecated from part
+    union all select p_name || '#' || p_partkey, 'tone', '', '', false from part where p_size % 4 = 3""")
+def f21_docgen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan.docgen_rows(derived.part_reports(spark, sf_dir))
+    return rows.select("component", "name", "default", F.array_join("allowed_values", ",").alias("allowed"), "deprecated")
+
+
+_TYPED = "(select lower(p_type) || '/t' || p_partkey || '.tsx' path, p_partkey k, p_size from part)"
+
+
+@query(f"""select path, 'tone' || k variable, 'tone' as name, 'soft,k' || p_size allowed, 'soft' as default from {_TYPED} union all select path, 'tone' || k, 'size', 'sm,lg', '' from {_TYPED}""")
+def p6_variant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modules.variant_sets(modules.modules(derived.part_variants(spark, sf_dir)))
+    return rows.select("path", "variable", "name", F.array_join("allowed_values", ",").alias("allowed"), "default")
+
+
+@query(f"""with t as (select * from {_TYPED} where p_size % 2 = 0 or p_size % 3 <> 0)
+    select path, 'T' || k component, 'label' as name, true required, '' allowed, '' as default from {_TYPED}
+    union all select path, 'T' || k, 'tone', false, 'soft,k' || p_size, 'soft' from t union all select path, 'T' || k, 'size', false, 'sm,lg', '' from t""")
+def j12_variant_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set gives props to the component whose props type extends it, or to a file's only component."""
+    rows = modules.modules(derived.part_variants(spark, sf_dir))
+    found = scan.detected(modules.component_facts(rows), modules.symbols(rows), modules.module_exports(rows)).where("kind = 'function'")
+    props = scan.component_props(found, modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
+    return props.select("path", "component", "name", "required", F.array_join("allowed_values", ",").alias("allowed"), "default")
+
+
+@query(f"select path, 'when' || k as name, 'Key' || p_size as type from {_TYPED} union all select path, 'raw' || k, 'Row' || p_size from {_TYPED} union all select path, 'count' || k, 'number' from {_TYPED}")
+def x7_type_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modules.type_annotations(modules.modules(derived.part_variants(spark, sf_dir)))
+    return rows.where("name <> 'a'").select("path", "name", "type")
+
+
+@query(f"""select path, 'C' || k || '.count' || k fqn, 'field' kind, 'private' as scope, 'static' modifiers from {_TYPED} union all select path, 'C' || k || '.load', 'method', '', 'async' from {_TYPED}""")
+def x4_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members at any indent; what stands inside a method or its parameters is none."""
+    rows = modules.symbols(modules.modules(derived.part_variants(spark, sf_dir))).where("kind in ('method', 'field')")
+    return rows.select("path", "fqn", "kind", "scope", F.array_join("modifiers", ",").alias("modifiers"))
+
+
+_SCRIPTS = "(select 'n' || s_nationkey || '/s' || s_suppkey || '.js' path, s_suppkey k, s_nationkey n from supplier)"
+
+
+@query(f"""select path, 'lib-' || n as source, 'a' || k || ':*' as names, 'namespace' as type, true is_external, '' target from {_SCRIPTS}
+    union all select path, './s' || k, 'b:b', 'named', false, path from {_SCRIPTS} union all select path, './s' || k, '', 'named', false, path from {_SCRIPTS}
+    union all select path, '../z', 'e:e', 'named', false, 'z.js' from {_SCRIPTS}""")
+def x5c_commonjs_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modules.module_imports(modules.modules(derived.supplier_scripts(spark, sf_dir)))
+    names = F.array_join(F.transform(F.map_entries("imported"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return rows.select("path", "source", names.alias("names"), "type", "is_external", text.resolved_import(F.col("path"), F.col("source"), ".js").alias("target"))
+
+
+@query("select lower(p_type) || '/p' || p_partkey || '.tsx' path, 'react' as source, 'named' as type, true is_external from part")
+def x5_module_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.module_imports(modules.modules(derived.part_modules(spark, sf_dir))).select("path", "source", "type", "is_external")
+
+
+@query("""with p as (select lower(p_type) || '/p' || p_partkey || '.tsx' path, p_partkey k, p_size from part)
+    select path, 'P' || k || 'Props' as name, 'named' as type, 'interface' kind from p union all select path, case when p_size % 2 = 0 then 'P' else 'p' end || k, 'named', 'function' from p
+    union all select path, 'P' || k || 'Extra', 'named', 'const' from p where p_size % 3 = 0""")
+def x6_module_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.module_exports(modules.modules(derived.part_modules(spark, sf_dir))).select("path", "name", "type", "kind")
+
+
+@query(f"""select path, 'default' as name, 'default' as type from {_SCRIPTS} where k % 2 = 0 union all select path, 'x' || k, 'named' from {_SCRIPTS} where k % 2 = 1
+    union all select path, 'y', 'named' from {_SCRIPTS} where k % 2 = 1 union all select path, 'g' || k, 'named' from {_SCRIPTS}""")
+def x6c_commonjs_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.module_exports(modules.modules(derived.supplier_scripts(spark, sf_dir))).select("path", "name", "type")
+
+
+_PATHS = """(select event_id, case event_id % 6 when 0 then 'src/' when 1 then 'node_modules/x/' when 2 then 'src/__tests__/' when 3 then '' when 4 then 'dist/' else 'lib/dist/' end || 'f' || user_id
+    || case event_id % 7 when 0 then '.ts' when 1 then '.test.ts' when 2 then '.TSX' when 3 then '.js' when 4 then '.md' when 5 then '.mjs' else '.stories.jsx' end path from events)"""
+
+
+@query(f"""select event_id, path, case when event_id % 7 in (0, 1, 2) then 'TypeScript' when event_id % 7 = 4 then 'Unknown' else 'JavaScript' end as language,
+    case when event_id % 7 in (0, 1) then 'TypeScript' when event_id % 7 in (3, 6) then 'JavaScript' else 'Unknown' end watched from {_PATHS}""")
+def s11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return derived.event_paths(spark, sf_dir).select("event_id", "path", files.language(path).alias("language"), files.watched_language(path).alias("watched"))
+
+
+@query(f"select event_id, path from {_PATHS} where event_id % 6 in (0, 3, 5) and event_id % 7 in (0, 3)")
+def s5_scanned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that the globs of a scan take."""
+    path = F.col("path")
+    return derived.event_paths(spark, sf_dir).where(files.globs_match(path, files.SCAN_INCLUDE) & ~files.globs_match(path, files.SCAN_EXCLUDE))
+
+
+@query("select c_custkey, substring(c_name, 3, 4) part, c_name as whole from customer")
+def s13_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.encode("c_name", "UTF-8")
+    part, whole = files.byte_range(content, F.lit(2), F.lit(6)), files.byte_range(content, F.lit(0), F.lit(0))
+    return derived.table(spark, sf_dir, "customer").select("c_custkey", part.alias("part"), whole.alias("whole"))
+
+
+@query(f"select path, ts, op from ({_CHANGES}) where path like '%.ts' and op in ('remove', 'rename')")
+def t7_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.removals(derived.event_changes(spark, sf_dir))
+
+
+@query("""with u as (select distinct user_id, 'src/u' || user_id || case when user_id % 10 = 0 then '.md' else '.ts' end path from events)
+    select path, case when user_id % 2 = 0 then 'N' else 'S' end || user_id fqn, user_id % 3 = 0 dirty from u where user_id % 2 = 0 or user_id % 5 <> 0""")
+def t3_upserted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files' rows replace theirs, removed files' rows go, and files changed since are marked."""
+    users = derived.event_changes(spark, sf_dir).select("path").distinct().withColumn("user", F.regexp_extract("path", "[0-9]+", 0).cast("int"))
+    rows = lambda where, prefix: users.where(where).select("path", F.concat(F.lit(prefix), "user").alias("fqn"), F.lit(False).alias("dirty"))
+    after = index.upserted(rows("true", "S"), rows("user % 2 = 0", "N"), users.where("user % 5 = 0 and user % 2 <> 0"))
+    return index.marked_dirty(after, users.where("user % 3 = 0"))
+
+
+@query(f"""{_LINES} select l_orderkey page_id, brand component_name, line::int line, true has_children, '' parent_component from e
+    union all select l_orderkey, child, (line + 1)::int, l_quantity % 2 = 0, brand from e union all select l_orderkey, 'Icon', (line + 1)::int, false, child from e where l_quantity % 2 = 0
+    union all select l_orderkey, 'Mystery', (k + 3 + 3 * items + 1)::int, false, '' from (select distinct l_orderkey, k, items from i) join orders on o_orderkey = l_orderkey where o_orderstatus = 'P'""")
+def x1_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsx.usages(derived.order_pages(spark, sf_dir)).select("page_id", "component_name", "line", "has_children", "parent_component")
+
+
+@query("select count(*) files, count(*) filter (p_size % 2 = 0) + count(*) filter (p_size % 3 = 0) components, 2 * count(*) filter (p_size % 2 = 0) props from part")
+def a7_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, rows = derived.part_modules(spark, sf_dir), modules.modules(derived.part_modules(spark, sf_dir))
+    found = _detected(spark, sf_dir)
+    props = scan.component_props(found, modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
+    return scan.scan_stats(code, found, props, 1000.0).select("files", "components", "props")
+
+
+@query("""select category as name, string_agg(name, ',' order by name) components from (select lower(p_type) category, 'P' || p_partkey as name from part where p_size % 2 = 0
+    union all select lower(p_type), 'P' || p_partkey || 'Extra' from part where p_size % 3 = 0 and p_size % 2 = 1) group by category""")
+def a8_built_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = scan.scan(derived.part_modules(spark, sf_dir)).categories
+    return built.select("name", F.array_join("components", ",").alias("components"))
+
+
+@query("select p_partkey, p_type category, p_brand || '.' || p_size field from part")
+def f9_capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws(".", "p_type", "p_brand", "p_size")
+    return derived.table(spark, sf_dir, "part").select("p_partkey", text.capture_name(name).alias("_c")).select("p_partkey", "_c.category", "_c.field")
+
+
+@query("""select p_partkey, case p_size % 6 when 0 then 'string' when 1 then 'function' when 2 then 'function' when 3 then 'ReactNode' when 4 then 'ReactElement' else p_type end as docgen,
+    case p_size % 5 when 0 then 'string' when 1 then 'boolean' when 2 then 'number' when 3 then 'string' else p_type end literal from part""")
+def f12_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("element_at(array('enum', '() => void', '(...args: any[]) => any', 'React.ReactNode', 'React.ReactElement', p_type), cast(p_size % 6 + 1 as int))")
+    value = F.expr("element_at(array('\"x\"', 'true', concat('-', p_size), '`t`', p_type), cast(p_size % 5 + 1 as int))")
+    return derived.table(spark, sf_dir, "part").select("p_partkey", text.docgen_type(kind).alias("docgen"), text.literal_type(value).alias("literal"))
+
+
+@query("select user_id, event_id, octet_length(encode('{\"op\":\"' || event_type || '\",\"seq\":' || event_id || '}'))::int response_bytes, octet_length(encode('{\"op\":\"' || event_type || '\",\"seq\":' || event_id || '}')) // 4 tokens from events")
+def f7_response_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = text.response_bytes(F.struct(F.col("event_type").alias("op"), F.col("event_id").alias("seq")))
+    return derived.table(spark, sf_dir, "events").select("user_id", "event_id", size.alias("response_bytes"), text.token_estimate(size).alias("tokens"))

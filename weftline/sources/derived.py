@@ -111,3 +111,45 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change feed: a file for each user, its events as writes, creates, removes and renames."""
     op = "case event_type when 'view' then 'write' when 'click' then 'create' when 'error' then 'remove' when 'signup' then 'rename' else 'write' end"
     return table(spark, sf_dir, "events").selectExpr("concat('src/u', user_id, if(user_id % 10 = 0, '.md', '.ts')) as path", f"{op} as op", "ts", "event_id as seq", "value", "props")
+
+
+def part_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part: a variant set, a component whose props refer to it in even sizes, a second one in every third, typed variables, a class."""
+    code = (
+        "concat_ws('\\n', concat('export const tone', k, ' = cva(\"base\", { variants: { tone: { soft: \"a\", \"k', p_size, '\": \"b\" }, size: { sm: \"x\", lg: \"y\" } }, defaultVariants: { tone: \"soft\" } });'), "
+        "concat('export interface T', k, 'Props', if(p_size % 2 = 0, concat(' extends VariantProps<typeof tone', k, '>'), ''), ' {\\n  label: string;\\n}'), "
+        "concat('export function T', k, '({ label }: T', k, 'Props) {\\n  return <b>{label}</b>;\\n}'), if(p_size % 3 = 0, concat('export function U', k, '() {\\n  return <i/>;\\n}'), null), "
+        "concat('const when', k, ': Map<Key', p_size, ', string> = x;\\nlet raw', k, ' = load() as Row', p_size, ';'), "
+        "concat('export class C', k, ' extends Base {\\n', i, 'private static count', k, ': number = 0;\\n', i, 'async load(\\n', i, i, 'a: string,\\n', i, ') {\\n', i, i, 'go(a);\\n', i, '}\\n}'))"
+    )
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size", "element_at(array('  ', '    ', '\\t'), cast(p_size % 3 + 1 as int)) as i", "lower(p_type) as folder")
+    return rows.selectExpr("concat(folder, '/t', k, '.tsx') as path", f"{code} as content")
+
+
+def supplier_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CommonJS module for each supplier, in its nation's folder."""
+    code = (
+        "concat_ws('\\n', concat('const a', s_suppkey, ' = require(\"lib-', s_nationkey, '\");'), concat('const { b, c: d } = require(\"./s', s_suppkey, '\");'), 'const e = require(\"../z\").f;', "
+        "if(s_suppkey % 2 = 0, concat('module.exports = a', s_suppkey, ';'), concat('module.exports = { x', s_suppkey, ', y: 1 };')), concat('exports.g', s_suppkey, ' = 1;'))"
+    )
+    return table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey, '/s', s_suppkey, '.js') as path", f"{code} as content")
+
+
+def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a documentation generator reports of each part: two props, some inherited from intrinsic elements."""
+    parts = table(spark, sf_dir, "part").selectExpr("*", "concat(p_name, '#', p_partkey) as component")
+    parent = "element_at(array('DOMAttributes', 'ButtonHTMLAttributes', 'SVGProps', concat('P', p_partkey, 'Props')), cast(p_size % 4 + 1 as int))"
+    values = "element_at(array(array('true', 'false'), array('\"a\"', '\"b\"', 'number'), array('x')), cast(p_size % 3 + 1 as int))"
+    size = parts.selectExpr(
+        "component", "0 as pos", "concat('size', p_size) as name", "'Own' as parent", "'enum' as type", "p_size % 2 = 0 as required", "concat('\"', p_size, '\"') as default", "'doc' as description",
+        f"{values} as values", "if(p_size = 3, map('deprecated', ''), map()) as tags",
+    )
+    tone = parts.selectExpr("component", "1 as pos", "'tone' as name", f"{parent} as parent", "'React.ReactNode' as type", "false as required", "cast(null as string) as default", "'' as description", "cast(array() as array<string>) as values", "cast(map() as map<string,string>) as tags")
+    return size.unionByName(tone)
+
+
+def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each event, in folders and with names that a scan takes or leaves."""
+    folder = "element_at(array('src/', 'node_modules/x/', 'src/__tests__/', '', 'dist/', 'lib/dist/'), cast(event_id % 6 + 1 as int))"
+    name = "element_at(array('.ts', '.test.ts', '.TSX', '.js', '.md', '.mjs', '.stories.jsx'), cast(event_id % 7 + 1 as int))"
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"concat({folder}, 'f', user_id, {name}) as path")
