@@ -96,6 +96,7 @@ def test_files(spark, tmp_path):
         path.write_text("é1")
     assert [r["path"] for r in files.discover(spark, str(tmp_path)).collect()] == ["a/x.ts", "b.tsx"]
     assert [r["path"] for r in files.discover_css(spark, str(tmp_path)).collect()] == ["s.CSS"]
+    assert [r["path"] for r in files.discover_workspace(spark, str(tmp_path)).collect()] == ["a/x.test.ts", "a/x.ts", "b.tsx"]
     from pyspark.sql import functions as F
 
     part = files.discover(spark, str(tmp_path)).select(files.byte_range(F.col("content"), F.lit(0), F.lit(2)).alias("x"), files.language(F.col("path")).alias("l"))

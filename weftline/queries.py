@@ -408,6 +408,13 @@ def s5_scanned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.event_paths(spark, sf_dir).where(files.globs_match(path, files.SCAN_INCLUDE) & ~files.globs_match(path, files.SCAN_EXCLUDE))
 
 
+@query(f"select event_id, path from {_PATHS} where event_id % 6 not in (1, 4) and event_id % 7 in (0, 1, 3, 6)")
+def s7_workspace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that the symbol index takes, tests and stories among them."""
+    path = F.col("path")
+    return derived.event_paths(spark, sf_dir).where(files.globs_match(path, files.SCAN_INCLUDE) & ~files.globs_match(path, files.WORKSPACE_EXCLUDE))
+
+
 @query("select c_custkey, substring(c_name, 3, 4) part, c_name as whole from customer")
 def s13_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.encode("c_name", "UTF-8")

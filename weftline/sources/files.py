@@ -13,6 +13,7 @@ SCAN_EXCLUDE = (
     "node_modules/**", ".git/**", "dist/**", "build/**", ".next/**", "coverage/**", "out/**", ".vscode/**",
     "**/*.test.*", "**/*.spec.*", "**/*.stories.*", "**/*.story.*", "__tests__/**", "**/__tests__/**", "**/__mocks__/**", "**/__snapshots__/**",
 )
+WORKSPACE_EXCLUDE = ("node_modules/**", ".git/**", "dist/**", "build/**", ".vscode/**", "coverage/**", "out/**", ".next/**")
 LANGUAGES = {"ts": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript"}
 WATCHED = ("ts", "tsx", "js", "jsx")
 
@@ -62,6 +63,11 @@ def discover(spark: SparkSession, root: str, include: tuple[str, ...] = SCAN_INC
     return rows.where(wanted & ~globs_match(F.col("path"), exclude)).orderBy("path")
 
 
+def discover_workspace(spark: SparkSession, root: str) -> DataFrame:
+    """Files that the symbol index takes: tests and stories count, unlike in a catalog scan."""
+    return discover(spark, root, SCAN_INCLUDE, WORKSPACE_EXCLUDE)
+
+
 def discover_css(spark: SparkSession, root: str, exclude: tuple[str, ...] = SCAN_EXCLUDE) -> DataFrame:
     return discover(spark, root, (), exclude).where(F.lower("path").endswith(".css"))
 

@@ -51,20 +51,6 @@ def find_symbols(index: DataFrame, condition: Column) -> DataFrame:
     return symbol_table(index).where(condition)
 
 
-def recently_used(access: DataFrame, capacity: int) -> DataFrame:
-    """The ``capacity`` files used last: what a cache of that size holds."""
-    return access.groupBy("path").agg(F.max("seq").alias("used")).orderBy(F.desc("used"), "path").limit(capacity)
-
-
-def index_stats(index: DataFrame, lookups: DataFrame, capacity: int) -> DataFrame:
-    """One row: files, symbols, hit rate and the memory estimate of symbols and cached files."""
-    files = index.select("path").distinct().count()
-    size = index.agg(F.count("*").alias("symbols")).withColumn("files", F.lit(files))
-    rate = lookups.agg(F.try_divide(F.count_if("hit"), F.count("*")).alias("hit_rate"))
-    memory = F.col("symbols") * 200 + F.least("files", F.lit(capacity)) * 512_000
-    return size.crossJoin(rate).withColumn("memory_bytes", memory)  # one row each
-
-
 def token_estimates(symbols: DataFrame) -> DataFrame:
     """Tokens that a file's symbols take: ``path, tokens`` from ``symbols(path, name, parameters, return_type)``."""
     cost = symbol_cost(F.col("name"), F.col("parameters"), F.col("return_type"))
