@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, in_filter, map_slices, maybe_in, packed_filter
+from weftline.llm.common import Rounds, cut, in_filter, map_slices, maybe_in, packed_filter
 from weftline.llm.words import ALNUM_WORDS, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -80,14 +80,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
-    """Distinct words of a text outside its entities, lower-cased."""
+def _bare(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """A text with its entities blanked out, as long as before."""
     parts, at = [], 0
     for start, _, end in spans:
-        if start >= at:
-            parts.append(text[at:start])
-        at = max(at, end)
-    return set(map(str.lower, _WORD.findall(" ".join([*parts, text[at:]]))))
+        if end > at:
+            parts += [text[at:start], " " * (end - max(at, start))]
+            at = end
+    return "".join([*parts, text[at:]])
 
 
 def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +98,7 @@ def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = base_spans(text)
             if spans:
                 entities = {KINDS[kind] + ":" + hashlib.blake2b(text[start:end].encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for start, kind, end in spans}
-                rows.append((digest, sorted(entities), sorted(_terms(text, spans))))
+                rows.append((digest, sorted(entities), sorted(set(map(str.lower, _WORD.findall(_bare(text, spans)))))))
         yield pd.DataFrame(rows, columns=["digest", "entities", "terms"])
 
 
@@ -113,64 +113,86 @@ def _term_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _having(terms: Broadcast):
-    """Every text that may have some of the terms, with those and few others."""
+    """Every text that may have some of the terms, with those, where they stand as whole words, and few others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, texts = [], batch["_text"].tolist()
-            words, bounds = word_hashes([t.lower() for t in texts], ALNUM_WORDS)
+            bare = [_bare(t, base_spans(t)) for t in texts]
+            words, bounds = word_hashes([t.lower() for t in bare], ALNUM_WORDS)
             hits = np.flatnonzero(in_filter(terms.value, _slots(words)))
             cuts = np.searchsorted(hits, bounds)
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                found = _WORD.findall(texts[i].lower())
-                some = {found[at] for at in (hits[cuts[i] : cuts[i + 1]] - bounds[i]).tolist()} & _terms(texts[i], base_spans(texts[i]))
-                if some:
-                    rows.append((batch["_digest"].iloc[i], sorted(some)))
-            yield pd.DataFrame(rows, columns=["digest", "terms"])
+                wanted, found = set((hits[cuts[i] : cuts[i + 1]] - bounds[i]).tolist()), {}
+                for at, m in enumerate(_WORD.finditer(bare[i])):
+                    if at in wanted:
+                        start, end = m.span()
+                        part = start and _WORD.match(texts[i], start - 1) or _WORD.match(texts[i], end)
+                        found.setdefault(m[0].lower(), []).extend([] if part else [[start, end]])
+                rows.append((batch["_digest"].iloc[i], list(found), list(found.values())))
+            yield pd.DataFrame(rows, columns=["digest", "terms", "places"])
 
     return run
 
 
 def _digested(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(text.alias("_text"), F.md5(text).alias("_digest"))
+    return docs.select(text.alias("_text"), F.unhex(F.md5(text)).alias("_digest"))
 
 
 def _disclosing(docs: DataFrame, text_col: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """Disclosing terms, and texts by digest with all of these that they have, and others."""
-    texts = _digested(docs, text_col)
-    total = texts.agg(F.count_distinct("_digest")).first()[0]
-    seen = cut(map_slices(texts, _seen, "digest string, entities array<string>, terms array<string>").dropDuplicates(["digest"]))
+    """Disclosing terms, and texts by digest with the places where these stand: ``digest, places``."""
+    spark, texts = docs.sparkSession, _digested(docs, text_col)
+    tables = Rounds(spark)
+    total = max(1, texts.agg(F.count_distinct("_digest")).first()[0])
+    seen = tables.put("seen", map_slices(texts, _seen, "digest binary, entities array<string>, terms array<string>").dropDuplicates(["digest"]))
     pairs = seen.select("digest", F.explode("entities").alias("entity"))
-    entities = cut(pairs.groupBy("entity").agg(F.count("*").alias("n_entity")))
-    # Entities of this text only share all their counts, so one stands for them.
-    counted = pairs.join(entities, "entity").where(F.col("n_entity") < total)
-    single = counted.where("n_entity = 1").groupBy("digest", "n_entity").agg(F.min("entity").alias("entity"))
-    kept = cut(counted.where("n_entity > 1").select("digest", "entity", "n_entity").unionByName(single))
-    most = kept.groupBy("digest").agg(F.max("n_entity").alias("most"))
-    each = most.join(seen.select("digest", "terms"), "digest").select(F.xxhash64("digest").alias("_text"), "most", F.explode("terms").alias("term"))
-    own = cut(seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
-    # More texts with a term than this, and it tells too little about any entity of the text.
-    bound = (F.col("most") + 1) * F.pow(total / F.col("most"), F.lit(1 - share)) * (1 + 1e-9)
-    # Fewer than HEAVY_TERMS terms can have a count above this share of all counts.
-    floor = (own.agg(F.sum("n_term")).first()[0] or 0) / HEAVY_TERMS
-    heavy = own.where((F.col("n_term") > floor) & (F.octet_length("term") <= HEAVY_BYTES)).withColumnRenamed("n_term", "_heavy")
-    light = each.join(F.broadcast(heavy), "term", "left").where(F.col("_heavy").isNull() | (F.col("_heavy") + PRIOR <= bound))
-    rare = light.join(own, "term").where(F.col("n_term") + PRIOR <= bound).select("_text", "term", "n_term")
-    both = rare.join(kept.select(F.xxhash64("digest").alias("_text"), "entity", "n_entity"), "_text").groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+    entities = tables.put("entities", pairs.groupBy("entity").agg(F.count("*").alias("n_entity")))
+    counted = tables.put("counted", pairs.join(entities, "entity").where(F.col("n_entity") < total))
+    own = tables.put("own", seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
 
     def shares(pairs: DataFrame) -> DataFrame:
         prior = F.col("n_entity") / total
         posterior = (F.col("n_both") + PRIOR * prior) / (F.col("n_term") + PRIOR)
         return pairs.withColumn("share", F.log(posterior / prior) / -F.log(prior)).where(F.col("share") >= share)
 
-    hopeful = cut(shares(both).select("term", "entity", "n_both", "n_entity"))
-    terms = hopeful.select("term").distinct()
-    filter_ = docs.sparkSession.sparkContext.broadcast(packed_filter(map_slices(terms, _term_slots, "slot bigint"), TERM_BITS))
-    having = cut(map_slices(texts, _having(filter_), "digest string, terms array<string>").dropDuplicates(["digest"]))
+    # Entities of one text only share all their counts, so one stands for them, and a term's count says all.
+    single = counted.where("n_entity = 1").groupBy("digest").agg(F.min("entity").alias("entity"))
+    rare = F.col("n_term") + PRIOR <= (1 + PRIOR / total) * total ** (1 - share) * (1 + 1e-9)
+
+    # Entities of several texts meet the terms of these.
+    several = tables.put("several", counted.where("n_entity > 1"))
+    most = tables.put("most", several.groupBy("digest").agg(F.max("n_entity").alias("most")))
+    each = maybe_in(seen.select("digest", "terms"), "digest", most, "digest").where("_may").select("digest", "terms").join(most, "digest")
+    each = each.select(F.xxhash64("digest").alias("_text"), "most", F.explode("terms").alias("term"))
+    # More texts with a term than this, and it tells too little about any entity of the text.
+    bound = (F.col("most") + 1) * F.pow(total / F.col("most"), F.lit(1 - share)) * (1 + 1e-9)
+    # Fewer than HEAVY_TERMS terms can have a count above this share of all counts.
+    floor = (own.agg(F.sum("n_term")).first()[0] or 0) / HEAVY_TERMS
+    heavy = own.where((F.col("n_term") > floor) & (F.octet_length("term") <= HEAVY_BYTES)).withColumnRenamed("n_term", "_heavy")
+    light = each.join(F.broadcast(heavy), "term", "left").where(F.col("_heavy").isNull() | (F.col("_heavy") + PRIOR <= bound))
+    known = light.join(own, "term").where(F.col("n_term") + PRIOR <= bound).select("_text", "term", "n_term")
+    both = known.join(several.select(F.xxhash64("digest").alias("_text"), "entity", "n_entity"), "_text")
+    both = both.groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+    hopeful = tables.put("hopeful", shares(both).select("term", "entity", "n_both", "n_entity"))
+
+    # All texts are read again for what these terms count there.
+    terms = tables.put("terms", own.where(rare).select("term").unionByName(hopeful.select("term")).distinct())
+    filter_ = spark.sparkContext.broadcast(packed_filter(map_slices(terms, _term_slots, "slot bigint"), TERM_BITS))
+    having = tables.put("having", map_slices(texts, _having(filter_), "digest binary, terms array<string>, places array<array<array<int>>>").dropDuplicates(["digest"]))
     counts = having.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    best = shares(hopeful.join(counts, "term")).groupBy("term").agg(F.max(F.struct("share", "entity")).alias("_b"))
-    return cut(best.select("term", "_b.entity", "_b.share")), having
+    counts = tables.put("counts", counts.join(terms, "term"))
+    told = tables.put("told", shares(hopeful.join(counts, "term")).select("term", "entity", "share"))
+    left = tables.put("left", counts.where(rare).select("term").unionByName(told.select("term")).distinct())
+    each = having.select("digest", F.explode(F.arrays_zip("terms", "places")).alias("_z")).select("digest", "_z.terms", "_z.places").withColumnRenamed("terms", "term")
+    placed = tables.put("placed", maybe_in(each, "term", left, "term").where("_may").select("digest", "term", "places").join(left, "term"))
+    alone = placed.select("digest", "term").join(single, "digest").groupBy("term").agg(F.max("entity").alias("entity")).join(counts, "term")
+    alone = shares(alone.withColumns({"n_both": F.lit(1), "n_entity": F.lit(1)})) if total > 1 else told
+    best = alone.select("term", "entity", "share").unionByName(told).groupBy("term").agg(F.max(F.struct("share", "entity")).alias("_b"))
+    best = cut(best.select("term", "_b.entity", "_b.share"))
+    hits = cut(placed.join(best.select("term"), "term").groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places")))
+    tables.drop()
+    return best, hits
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", share: float = DISCLOSURE) -> DataFrame:
@@ -181,74 +203,76 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", share: float = DIS
     so a term seen once tells less than one seen often. A term's share of the entity's information is
     log(P(e|t) / P(e)) / -log P(e); it discloses from ``share`` on. An entity of all texts has no information.
 
-    Pairs are made in texts with an entity only and combined before the shuffle. Terms whose share
-    would be too low even if no other text had them are dropped before all texts are read again, once,
-    through a filter of a fixed size; where that fills up more words are shuffled, none is lost.
+    Only texts with an entity are asked for terms; pairs are made where an entity stands in several texts,
+    as the count of a term says all for the others. Terms whose share would be too low even if no other
+    text had them are dropped before all texts are read again, once, through a filter of a fixed size;
+    where that fills up more words are shuffled, none is lost.
     """
     return _disclosing(docs, text_col, share)[0]
 
 
-def _joined(spans: list[tuple[int, int, int, str]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(spans))
-
-
-def _term_spans(text: str, terms: frozenset[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Disclosing words of a text that no entity covers."""
-    found, at, reach = [], 0, 0
-    for m in _WORD.finditer(text) if terms else ():
-        if m[0].lower() in terms:
-            while at < len(base) and base[at][0] < m.end():
-                at, reach = at + 1, max(reach, base[at][2])
-            if m.start() >= reach:
-                found.append(m.span())
-    return found
-
-
-def _judged(carry: list[str]):
-    """Write out counts, digests, spans and the sanitised text."""
+def _judged(carry: list[str], sanitise: bool):
+    """Base entities as [start, kind, end] and, where asked for, the sanitised text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, terms in zip(batch["_text"], batch["_terms"]):
+            found, clean = [], []
+            for text, places in zip(batch["_text"], batch["_places"]):
                 text = text or ""
-                found = base_spans(text)
-                base = [(s, k, e, KINDS[k]) for s, k, e in found]
-                extra = [(s, len(KINDS), e, TERM) for s, e in _term_spans(text, frozenset(() if terms is None else terms), found)]
-                counts = [sum(k == i for _, k, _, _ in base) for i in range(len(KINDS))]
-                clean, at = [], 0
-                for start, _, end, kind in sorted(base + extra):
-                    if start >= at:
-                        clean += [text[at:start], f"[{kind.upper()}]"]
-                    at = max(at, end)
-                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + extra), "".join(clean) + text[at:]))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised"])
-            yield pd.concat([batch[carry].reset_index(drop=True), out], axis=1)
+                base, out, at = base_spans(text), [], 0
+                found.append([list(span) for span in base])
+                if sanitise:
+                    extra = [] if places is None else [(int(start), len(KINDS), int(end)) for start, end in places]
+                    for start, kind, end in sorted(base + extra):
+                        if start >= at:
+                            out += [text[at:start], f"[{(*KINDS, TERM)[kind].upper()}]"]
+                        at = max(at, end)
+                    clean.append("".join(out) + text[at:])
+            out = batch[carry].reset_index(drop=True).assign(_base=found)
+            yield out.assign(sanitised=clean) if sanitise else out
 
     return run
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, share: float = DISCLOSURE) -> DataFrame:
+def _written(spans: Column) -> Column:
+    """``kind:start:end`` of [start, kind, end], comma-joined."""
+    kinds = F.array(*(F.lit(k) for k in (*KINDS, TERM)))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x[1]), x[0].cast("string"), x[2].cast("string"))), ",")
+
+
+def pii(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, share: float = DISCLOSURE, sanitise: bool = True
+) -> DataFrame:
     """Find and remove personal data: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised``.
 
     ``spans`` are kind:start:end by start, then kind, comma-joined, in code points with exclusive
     ends; base entities come by pattern, ``term`` spans are words that disclose an entity anywhere
     in the corpus. ``sanitised`` is the text with each span, or run of overlapping spans,
-    generalised to its kind in brackets. One row per input row, repeated rows included; null and
-    empty texts have no spans; ``keep`` names further columns to carry. Only texts with disclosing
-    terms are shuffled, to meet these; all others pass once more through a fixed-size filter.
+    generalised to its kind in brackets; without ``sanitise`` it is left out. One row per input row,
+    repeated rows included; null and empty texts have no spans; ``keep`` names further columns to carry.
+    Rows with disclosing terms meet the places of these: with their texts if those are to be sanitised,
+    else with what is carried and their spans only. All other rows pass once more through a fixed-size filter.
     """
     carry = [id_col, *(c for c in keep or [] if c != id_col)]
     named = {f"_c{i}": c for i, c in enumerate(carry)}
     fields = ", ".join(f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in named.items())
-    terms, having = _disclosing(docs, text_col, share)
-    exploded = having.select("digest", F.explode("terms").alias("term"))
-    may = maybe_in(exploded, "term", terms, "term").where("_may").select("digest", "term")
-    hits = cut(may.join(terms.select("term"), "term").groupBy("digest").agg(F.sort_array(F.collect_list("term")).alias("_terms")))
-    digest = F.md5(F.coalesce("_text", F.lit("")))
+    _, hits = _disclosing(docs, text_col, share)
+    digest = F.unhex(F.md5(F.coalesce("_text", F.lit(""))))
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for a, c in named.items()), F.col(f"`{text_col}`").alias("_text")).withColumn("digest", digest)
     rows = maybe_in(rows, "digest", hits, "digest")
-    plain = rows.where("not _may").select(*named, "_text", F.lit(None).cast("array<string>").alias("_terms"))
-    found = rows.where("_may").join(hits, "digest", "left").select(*named, "_text", "_terms")
-    schema = f"{fields}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, sanitised string"
-    return map_slices(plain.unionByName(found), _judged(list(named)), schema).withColumnsRenamed(named)
+    columns = [*named, "_text", "digest", "_places"]
+    schema = f"{fields}, digest binary, _places array<array<int>>, _base array<array<int>>{', sanitised string' if sanitise else ''}"
+    judge = lambda part: map_slices(part.select(*columns), _judged([*named, "digest", "_places"], sanitise), schema)
+    plain = rows.where("not _may").withColumn("_places", F.lit(None).cast("array<array<int>>"))
+    may, places = rows.where("_may"), hits.withColumnRenamed("places", "_places")
+    if sanitise:
+        judged = judge(plain.select(*columns).unionByName(may.join(places, "digest", "left").select(*columns)))
+    else:
+        found = judge(may.withColumn("_places", F.lit(None).cast("array<array<int>>"))).drop("_places").join(places, "digest", "left")
+        judged = judge(plain).unionByName(found)
+    none = F.array().cast("array<array<int>>")
+    extra = F.transform(F.coalesce("_places", none), lambda x: F.array(x[0], F.lit(len(KINDS)), x[1]))
+    kinds = F.transform("_base", lambda x: x[1])
+    counts = [(F.size("_base") - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    spans = [F.sha2(_written(F.col("_base")), 256).alias("base_sha256"), _written(F.sort_array(F.concat("_base", extra))).alias("spans")]
+    return judged.select(*named, *counts, *spans, *(["sanitised"] if sanitise else [])).withColumnsRenamed(named)

@@ -66,7 +66,7 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data of every document."""
     handed_in_small_batches(spark)
-    return pii.pii(table(spark, sf_dir, "documents")).drop("sanitised")
+    return pii.pii(table(spark, sf_dir, "documents"), sanitise=False)
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
