@@ -113,7 +113,7 @@ def _term_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _having(terms: Broadcast):
-    """Every text that may have some of the terms, with those, where they stand as whole words, and few others."""
+    """Every text that may have some of the terms, with each place of those and few others; what an entity cuts off a word stands at -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,14 +123,14 @@ def _having(terms: Broadcast):
             hits = np.flatnonzero(in_filter(terms.value, _slots(words)))
             cuts = np.searchsorted(hits, bounds)
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                wanted, found = set((hits[cuts[i] : cuts[i + 1]] - bounds[i]).tolist()), {}
+                wanted, found = set((hits[cuts[i] : cuts[i + 1]] - bounds[i]).tolist()), []
                 for at, m in enumerate(_WORD.finditer(bare[i])):
                     if at in wanted:
                         start, end = m.span()
                         part = start and _WORD.match(texts[i], start - 1) or _WORD.match(texts[i], end)
-                        found.setdefault(m[0].lower(), []).extend([] if part else [[start, end]])
-                rows.append((batch["_digest"].iloc[i], list(found), list(found.values())))
-            yield pd.DataFrame(rows, columns=["digest", "terms", "places"])
+                        found.append((m[0].lower(), -1 if part else start, end))
+                rows.append((batch["_digest"].iloc[i], *map(list, zip(*found))))
+            yield pd.DataFrame(rows, columns=["digest", "term", "start", "end"])
 
     return run
 
@@ -179,18 +179,19 @@ def _disclosing(docs: DataFrame, text_col: str, share: float) -> tuple[DataFrame
     # All texts are read again for what these terms count there.
     terms = tables.put("terms", own.where(rare).select("term").unionByName(hopeful.select("term")).distinct())
     filter_ = spark.sparkContext.broadcast(packed_filter(map_slices(terms, _term_slots, "slot bigint"), TERM_BITS))
-    having = tables.put("having", map_slices(texts, _having(filter_), "digest binary, terms array<string>, places array<array<array<int>>>").dropDuplicates(["digest"]))
-    counts = having.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    having = tables.put("having", map_slices(texts, _having(filter_), "digest binary, term array<string>, start array<int>, end array<int>").dropDuplicates(["digest"]))
+    counts = having.select(F.explode(F.array_distinct("term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     counts = tables.put("counts", counts.join(terms, "term"))
     told = tables.put("told", shares(hopeful.join(counts, "term")).select("term", "entity", "share"))
     left = tables.put("left", counts.where(rare).select("term").unionByName(told.select("term")).distinct())
-    each = having.select("digest", F.explode(F.arrays_zip("terms", "places")).alias("_z")).select("digest", "_z.terms", "_z.places").withColumnRenamed("terms", "term")
-    placed = tables.put("placed", maybe_in(each, "term", left, "term").where("_may").select("digest", "term", "places").join(left, "term"))
+    each = having.select("digest", F.explode(F.arrays_zip("term", "start", "end")).alias("_z")).select("digest", "_z.*")
+    placed = tables.put("placed", maybe_in(each, "term", left, "term").where("_may").select("digest", "term", "start", "end").join(left, "term"))
     alone = placed.select("digest", "term").join(single, "digest").groupBy("term").agg(F.max("entity").alias("entity")).join(counts, "term")
     alone = shares(alone.withColumns({"n_both": F.lit(1), "n_entity": F.lit(1)})) if total > 1 else told
     best = alone.select("term", "entity", "share").unionByName(told).groupBy("term").agg(F.max(F.struct("share", "entity")).alias("_b"))
     best = cut(best.select("term", "_b.entity", "_b.share"))
-    hits = cut(placed.join(best.select("term"), "term").groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places")))
+    whole = placed.where("start >= 0").join(best.select("term"), "term")
+    hits = cut(whole.groupBy("digest").agg(F.collect_list(F.array("start", "end")).alias("places")))
     tables.drop()
     return best, hits
 
