@@ -71,6 +71,16 @@ def map_slices(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator
     return rows.mapInArrow(whole, schema)
 
 
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in slices bounded by bytes, as ``map_slices`` does it for pandas."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(part for batch in batches for part in _slices(batch))
+        release()
+
+    return rows.mapInArrow(whole, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so a lost executor costs no lineage.
 

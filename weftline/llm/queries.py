@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, decontam, html_text, jaccard, licenses, neardup, pii, quality, urls
+from weftline.llm import alignment, bpe, chat, decontam, html_text, jaccard, licenses, neardup, pieces, pii, quality, ranked, urls
 from weftline.llm.common import handed_in_small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +87,28 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii, op3_main_text, op1_quality, op9_decontamination)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    handed_in_small_batches(spark)
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of both vocabularies align in every document."""
+    handed_in_small_batches(spark)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    return alignment.alignment(table(spark, sf_dir, "documents"), keep_groups=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document."""
+    handed_in_small_batches(spark)
+    found = pieces.sentence_pieces(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_license_scan, op6_bpe, op7_jaccard_join, op8_embedding_neardup, op10_pii, op3_main_text, op1_quality, op9_decontamination, op11_ranked_search, op12_token_alignment, op13_sentence_pieces)}
 
 
 def _url_sql() -> str:
@@ -147,4 +168,16 @@ _NEARDUP_SQL = f"""
     d as (select a, count(*) k from links group by a)
     select vec_id, coalesce(k, 0) n_links, m component_id, vec_id = m kept from embeddings left join c on c.n = vec_id left join d on d.a = vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op8_embedding_neardup": _NEARDUP_SQL, "op2_url_filter": _url_sql(), "op4_chat_format": _chat_sql(), "op5_license_scan": _license_sql()}
+_RANKED_SQL = r"""
+    with words as (select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) t
+                   from (select row_number() over () r, doc_id, text from documents)),
+    tfs as (select r, doc_id, t, count(*) tf from words group by r, doc_id, t),
+    lengths as (select r, sum(tf)::bigint n from tfs group by r),
+    corpus as (select count(*)::bigint nn, sum(n)::bigint ll from lengths),
+    ms as (select r, 50 + (50 * n * nn) // ll m from lengths, corpus),
+    asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) t from benchmark),
+    ws as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)))::bigint w from tfs, corpus group by t, nn),
+    scores as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score from asked join tfs using (t) join ws using (t) join ms using (r) group by item_id, r, doc_id)
+    select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": _RANKED_SQL, "op8_embedding_neardup": _NEARDUP_SQL, "op2_url_filter": _url_sql(), "op4_chat_format": _chat_sql(), "op5_license_scan": _license_sql()}
