@@ -1,101 +1,33 @@
-"""Component usages and imports of TSX pages, by DataFrame operations.
+"""Component usages and imports of TSX pages.
 
-A page is cut by one pattern into tags, comments and what stands between; positions, lines, depth
-and the enclosing component then come from running sums and last values over the page's tags. The
-pattern reads braces in attributes to a depth of BRACE_DEPTH. As in the reference data model, tags inside
-attribute values are no usages, HTML tags and fragments are transparent, lines and columns start
+``lexical`` says where a page's elements stand, whatever is nested in what; parents, rows and imports are
+DataFrame operations. No page meets another, so nothing is shuffled. As in the reference data model, tags
+inside attribute values are no usages, HTML tags and fragments are transparent, lines and columns start
 at 1 and columns count bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BRACE_DEPTH = 12
+from weftline.functions.lexical import with_elements
 
-
-def braces(depth: int) -> str:
-    """Pattern of balanced braces, nested to a depth, as the pattern language has no recursion."""
-    inner = r"\{[^{}]*+\}"
-    for _ in range(depth - 1):
-        inner = rf"\{{(?:[^{{}}]++|{inner})*+\}}"
-    return inner
-
-
-_BRACES = braces(BRACE_DEPTH)
-_ATTRIBUTES = rf"(?:\s++|/(?=>)|[\w$:.-]++|=|\"[^\"]*+\"|'[^']*+'|{_BRACES})*+"
-# Right after a word, an opening tag would be a type argument.
-TAG = rf"</\s*+[A-Za-z][\w.]*+\s*+>|<[A-Za-z][\w.]*+{_ATTRIBUTES}(?<=/)>|(?<![\w)\]$])<[A-Za-z][\w.]*+{_ATTRIBUTES}>"
-TOKEN = rf"(?s)/\*.*?\*/|(?<![:\"'\w])//[^\n]*+|{TAG}"
 IMPORT = r"(?m)^[ \t]*import\b\s*(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\*\s*as\s+[\w$]+\s*)?(?:\{([^}]*)\}\s*)?(?:from\s*)?[\"']([^\"']+)[\"']"
-ATTRIBUTE = rf"([\w$-]+(?::[\w$-]+)?)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|{_BRACES}))?|\{{(\.\.\.)[^}}]*\}}"
 
 
 def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:
     """Component usages: ``id_col, pos, component_name, props, has_children, parent_component, line, column``.
 
-    ``pos`` numbers a page's usages from 0. A null code has none; pages that share an id are one page
-    each only if their code differs not at all, so give pages distinct ids.
-    """
-    code = F.coalesce(F.col(code_col), F.lit(""))
-    cut = pages.select(F.col(id_col).alias("_id"), F.split(code, TOKEN, -1).alias("_texts"), F.regexp_extract_all(code, F.lit(TOKEN), 0).alias("_tags"))
-    pieces = cut.select("_id", F.posexplode(F.arrays_zip("_texts", "_tags")).alias("_at", "_z")).select("_id", "_at", F.col("_z._texts").alias("text"), F.coalesce("_z._tags", F.lit("")).alias("tag"))
-    before = Window.partitionBy("_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    tag_newlines = F.length("tag") - F.length(F.replace("tag", F.lit("\n"), F.lit("")))
-    tail = lambda col: F.when(F.instr(col, "\n") > 0, F.substring_index(col, "\n", -1)).otherwise(col)
-    both = F.concat("text", "tag")
-    # Bytes since the last line break: restart the running sum at each piece that has one.
-    marked = pieces.withColumn("_breaks", F.sum(newlines + tag_newlines).over(before)).withColumn("_line0", F.col("_breaks") - tag_newlines)
-    same_line = Window.partitionBy("_id", "_breaks").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    run_up = F.coalesce(F.sum(F.octet_length(tail(both))).over(same_line), F.lit(0))
-    column = F.when(newlines > 0, F.octet_length(tail(F.col("text")))).when(tag_newlines > 0, F.lit(None)).otherwise(run_up + F.octet_length("text"))
-    # A tag over several lines starts on the line of the pieces before it.
-    start_line = Window.partitionBy("_id", "_line0").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    run_up_start = F.coalesce(F.sum(F.when(F.col("_breaks") == F.col("_line0"), F.octet_length(tail(both)))).over(start_line), F.lit(0))
-    placed = marked.withColumn("column", F.coalesce(column, run_up_start + F.octet_length("text")) + 1).withColumn("line", F.col("_line0") + 1)
-    filled = placed.withColumn("_next_text", F.lead("text").over(Window.partitionBy("_id").orderBy("_at"))).withColumn("_next_tag", F.lead("tag").over(Window.partitionBy("_id").orderBy("_at")))
-
-    tags = filled.where(F.col("tag").rlike("^</?\\s*[A-Z]")).select(
-        "_id", "_at", "line", "column", "tag", "_next_text", "_next_tag",
-        F.regexp_extract("tag", r"^</?\s*([A-Za-z][\w.]*)", 1).alias("component_name"),
-        F.when(F.col("tag").startswith("</"), -1).when(F.col("tag").endswith("/>"), 0).otherwise(1).alias("step"),
-    )
-    level = F.sum("step").over(before)
-    levelled = tags.withColumn("level", F.when(F.col("step") == 1, level).otherwise(level + F.when(F.col("step") == 0, 1).otherwise(0)))
-    opened = levelled.where("step >= 0")
-    # An element of level d stands in the last one opened at level d - 1.
-    roles = opened.select("*", F.col("level").alias("_at_level"), F.lit(None).cast("string").alias("_open")).unionByName(
-        opened.where("step = 1").select("*", (F.col("level") + 1).alias("_at_level"), F.col("component_name").alias("_open"))
-    )
-    enclosing = F.last("_open", ignorenulls=True).over(Window.partitionBy("_id", "_at_level").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    parented = roles.withColumn("parent_component", F.coalesce(enclosing, F.lit(""))).where("_open is null")
-    number = F.row_number().over(Window.partitionBy("_id").orderBy("_at")) - 1
-    body = F.regexp_replace(F.regexp_replace("tag", r"^<[A-Za-z][\w.]*", ""), r"/?>$", "")
-    has_children = (F.col("step") == 1) & (F.coalesce(F.trim(F.regexp_replace("_next_text", r"\s", " ")), F.lit("")) != "") | (F.col("step") == 1) & F.coalesce(~F.col("_next_tag").startswith("</"), F.lit(False))
-    placed = parented.select(
-        F.col("_id").alias(id_col), number.alias("pos"), "component_name", body.alias("_body"), has_children.alias("has_children"), "parent_component",
-        F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"),
-    )
-    return with_props(placed, "_body").select(id_col, "pos", "component_name", "props", "has_children", "parent_component", "line", "column")
-
-
-def with_props(rows: DataFrame, body: str) -> DataFrame:
-    """Add ``props``, a map of a tag's attributes: text of string literals, ``''`` for expressions, ``'true'`` for bare names.
-
-    The last of equal names counts; a spread is ``...spread``; names with a colon are left out. Each
-    step is a column of its own, so no pattern is matched twice.
+    ``pos`` numbers a page's usages from 0. ``props`` maps a tag's attributes: the text of string literals,
+    ``''`` for expressions, ``'true'`` for bare names; the last of equal names counts, a spread is
+    ``...spread``, names with a colon are left out. A null code has no usages; pages are read row by row, also where
+    they share an id.
     """
-    quoted = lambda x: F.regexp_extract(x, r"=\s*([\"'])([\s\S]*)\1$", 2)
-    name = lambda x: F.when(x.startswith("{..."), "...spread").otherwise(F.regexp_extract(x, r"^[\w$:-]+", 0))
-    value = lambda x: F.when(x.rlike(r"=\s*[\"']"), quoted(x)).when(x.contains("=") | x.startswith("{"), "").otherwise("true")
-    found = rows.withColumn("_found", F.regexp_extract_all(F.col(body), F.lit(ATTRIBUTE), 0))
-    entries = found.withColumn("_entries", F.transform("_found", lambda x: F.struct(name(x).alias("key"), value(x).alias("value"))))
-    plain = entries.withColumn("_plain", F.filter("_entries", lambda e: (e["key"] != "") & ~e["key"].contains(":")))
-    keyed = plain.withColumn("_keys", F.transform("_plain", lambda e: e["key"]))
-    last = F.filter("_plain", lambda e, i: ~F.array_contains(F.slice("_keys", i + 2, F.size("_keys")), e["key"]))
-    return keyed.withColumn("props", F.map_from_entries(last)).drop("_found", "_entries", "_plain", "_keys")
+    found = with_elements(pages.select(F.col(id_col), F.col(code_col).alias("_code")), "_code").select(id_col, "_elements")
+    each = found.select(id_col, F.transform("_elements", lambda e: e["name"]).alias("_names"), F.posexplode("_elements").alias("pos", "_e"))
+    parent = F.coalesce(F.get("_names", F.col("_e.up")), F.lit(""))
+    return each.select(id_col, "pos", F.col("_e.name").alias("component_name"), "_e.props", "_e.has_children", parent.alias("parent_component"), "_e.line", "_e.column")
 
 
 def imports(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:

@@ -10,7 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.jsx import braces
+def braces(depth: int) -> str:
+    inner = r"\{[^{}]*+\}"
+    for _ in range(depth - 1):
+        inner = rf"\{{(?:[^{{}}]++|{inner})*+\}}"
+    return inner
+
+
 from weftline.functions.text import is_external, literal_type, unquoted
 from weftline.sources.files import language
 
