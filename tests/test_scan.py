@@ -11,7 +11,10 @@ from weftline.streaming import index
 BUTTON = """import { cva, type VariantProps } from "class-variance-authority";
 const buttonVariants = cva("base", { variants: { variant: { default: "a", "out-line": "b" }, size: { sm: "x", lg: "y" } }, defaultVariants: { variant: "default" } });
 export interface ButtonProps extends VariantProps<typeof buttonVariants> {
-  /** Label text. @deprecated use children */
+  /**
+   * Label text.
+   * @deprecated
+   */
   label: string;
   kind?: "a" | "b";
   onClick?: () => void;

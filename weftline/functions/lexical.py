@@ -37,8 +37,8 @@ ELEMENT_TYPE = pa.struct([("name", pa.string()), ("line", pa.int32()), ("column"
 
 
 _NUMBERS = ("at", "to", "line", "column", "up", "mate", "scope")
-TOKEN = f"struct<kind:string,text:string,{','.join(f'{n}:int' for n in _NUMBERS)},scopes:array<int>>"
-TOKEN_TYPE = pa.struct([("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in _NUMBERS), ("scopes", pa.list_(pa.int32()))])
+TOKEN = f"struct<kind:string,text:string,{','.join(f'{n}:int' for n in _NUMBERS)},scopes:array<int>,comment:string>"
+TOKEN_TYPE = pa.struct([("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in _NUMBERS), ("scopes", pa.list_(pa.int32())), ("comment", pa.string())])
 #: A brace after one of these words, in the same statement, opens a scope that may have a name.
 _SCOPE_WORDS = {b"class", b"interface", b"namespace", b"module", b"enum"}
 _PAIRS = {b"(": b")", b"[": b"]", b"{": b"}"}
@@ -58,15 +58,17 @@ class Frame:
     opener: int = -1  # token
     scope: int = -1  # the brace of the enclosing scope
     named: bool = False  # whether the statement so far has a scope's word
+    comment: str | None = None  # the last one, until a token takes it
 
 
 class Scan:
-    """One pass over a text. ``elements``: opening tags of components; ``tokens``, if asked for: words, brackets, strings, comments.
+    """One pass over a text. ``elements``: opening tags of components; ``tokens``, if asked for: words, brackets, strings.
 
     Of an element ``up`` is the enclosing component's place in the list, of a token the enclosing bracket's, else -1. Tags
     in strings, templates' text, comments and attributes' values are no elements; HTML tags and fragments
     stand between an element and its component without counting. ``mate`` is a bracket's other end, -1 where it has none;
-    ``scope`` is the brace of the enclosing class, interface, namespace or enum, and ``scopes``, at such braces, are all that are open.
+    ``scope`` is the brace of the enclosing class, interface, namespace or enum, and ``scopes``, at such braces, are all that are open; ``comment``
+    is the last comment before a token in its bracket, separators aside.
     """
 
     def __init__(self, code: bytes, tokens: bool = False, markup: bool = True):
@@ -89,7 +91,9 @@ class Scan:
     def _token(self, kind: str, at: int, to: int) -> int:
         line, column = self._place(at)
         top, text = self.stack[-1], self.code[at:to].decode("utf-8", "replace")
-        self.tokens.append({"kind": kind, "text": text, "at": at, "to": to, "line": line, "column": column, "up": top.opener, "mate": -1, "scope": top.scope, "scopes": None})
+        self.tokens.append({"kind": kind, "text": text, "at": at, "to": to, "line": line, "column": column, "up": top.opener, "mate": -1, "scope": top.scope, "scopes": None, "comment": None})
+        if text not in (";", ","):
+            self.tokens[-1]["comment"], top.comment = top.comment, None
         return len(self.tokens) - 1
 
     def _push(self, kind: int, counts: bool, name: bytes, at: int) -> None:
@@ -131,9 +135,11 @@ class Scan:
         elif first == b"<" and self.markup and not (at and _OPERAND_ENDS.match(self.code, at - 1)) and (opened := self._opened(at, top.counts)):
             return opened
         elif self.tokens is not None:
-            comment = text[:2] in (b"//", b"/*")
+            if text[:2] in (b"//", b"/*"):
+                top.comment = text.decode("utf-8", "replace")
+                return end
             top.named = text in _SCOPE_WORDS or top.named and text != b";"
-            self._token("c" if comment else "s" if first in b"\"'" or first in b" \t/" and len(text) > 1 else "w" if text[0] > 127 or first.isalnum() or first in b"_$" else "p", at, end)
+            self._token("s" if first in b"\"'" or first in b" \t/" and len(text) > 1 else "w" if text[0] > 127 or first.isalnum() or first in b"_$" else "p", at, end)
         return end
 
     def _opened(self, start: int, counts: bool) -> int:
@@ -235,5 +241,5 @@ def with_elements(pages: DataFrame, code: str) -> DataFrame:
 
 
 def with_tokens(modules: DataFrame, code: str, markup: str) -> DataFrame:
-    """Add ``_tokens``, words, punctuation, strings, comments and starts of elements; ``markup`` says whether the language has elements."""
+    """Add ``_tokens``, words, punctuation, strings and starts of elements; ``markup`` says whether the language has elements."""
     return _scanned(modules, code, markup, "_tokens", TOKEN, TOKEN_TYPE, lambda text, flag: Scan(text, True, flag).tokens)

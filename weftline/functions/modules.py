@@ -1,8 +1,8 @@
 """Facts of TypeScript and JavaScript modules, by DataFrame operations over their text.
 
-Declarations are read lexically: statements at the start of a line, so nested declarations give no
-facts but class members do through their own pattern. Comments that stand on lines of their own
-are no code. Every table carries ``path`` and ``pos``, the order in the file.
+Imports, exports and what makes a component are read from statements at the start of a line; comments that stand
+on lines of their own are no code. Symbols, props and variants come from tokens (``declarations``). Every
+table carries ``path`` and ``pos``, the order in the file.
 """
 
 from __future__ import annotations
@@ -10,25 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def braces(depth: int) -> str:
-    inner = r"\{[^{}]*+\}"
-    for _ in range(depth - 1):
-        inner = rf"\{{(?:[^{{}}]++|{inner})*+\}}"
-    return inner
-
-
+from weftline.functions.declarations import inline_props, interface_props, siblings, symbols, variant_sets  # noqa: F401
 from weftline.functions.text import is_external, literal_type, unquoted
 from weftline.sources.files import language
 
-DECLARATION = r"(?m)^(export\s+)?(default\s+)?(?:declare\s+)?(abstract\s+)?(async\s+)?(function\*?|class|const|let|var|interface|type|enum|namespace)\s+([\w$]+)"
-KINDS = {"function": "function", "function*": "function", "class": "class", "const": "variable", "let": "variable", "var": "variable", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}
-MEMBER = r"(?m)(?:^|[;}])[ \t]*((?:(?:public|private|protected|static|readonly|abstract|async|override)\s+)*)([\w$]+)\s*([(:=?!])"
-NOT_MEMBERS = ("if", "for", "while", "switch", "return", "catch", "constructor", "case", "default", "else", "const", "let", "var", "function", "type", "interface")
-#: Braces are read to this depth, as the pattern language has no recursion.
-_BODY = braces(12)
-_PARENTHESES = braces(12).replace(r"\{", r"\(").replace(r"\}", r"\)").replace("{}", "()")
-
-
 def code_of(content: Column) -> Column:
     """Text without whole-line comments and plain block comments; documentation comments stay."""
     text = F.coalesce(content, F.lit(""))
@@ -42,37 +27,13 @@ def _all(rows: DataFrame, pattern: str, groups: dict[str, int], col: str = "code
 
 
 def modules(files: DataFrame) -> DataFrame:
-    """``path, language, code`` of files with a known language; ``content`` may be binary or text."""
-    text = F.decode("content", "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    return files.select("path", language(F.col("path")).alias("language"), code_of(text).alias("code")).where("language <> 'Unknown'")
+    """``path, language, raw, code, markup`` of files with a known language; ``content`` may be binary or text.
 
-
-def symbols(rows: DataFrame) -> DataFrame:
-    """Top-level declarations and class members: ``path, pos, name, fqn, kind, scope, modifiers, is_exported``.
-
-    ``export const`` is no exported symbol, as its export statement is not next to the name; functions,
-    classes and types are.
+    ``code`` is the text without comment lines; ``markup`` says whether the language has elements.
     """
-    top = _all(rows, DECLARATION, {"exported": 1, "abstract": 3, "async": 4, "word": 5, "name": 6})
-    kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
-    kind = kinds[F.col("word")]
-    modifiers = F.filter(F.array(F.trim("abstract"), F.trim("async"), F.when(F.col("word") == "const", "const").otherwise("")), lambda x: x != "")
-    declared = top.select(
-        "path", "pos", "name", F.col("name").alias("fqn"), kind.alias("kind"), F.lit("").alias("scope"), modifiers.alias("modifiers"), ((F.col("exported") != "") & (kind != "variable")).alias("is_exported")
-    )
-    classes = _all(rows, rf"(?m)^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)[^{{]*({_BODY})", {"owner": 1, "body": 2})
-    # Without what stands in inner braces and parentheses, a member is what starts a line or statement.
-    inner = F.regexp_replace("body", r"^\{|\}$", "")
-    bare = F.regexp_replace(F.regexp_replace(inner, _BODY, "{}"), _PARENTHESES, "()")
-    members = classes.select("path", F.col("pos").alias("_class"), "owner", F.posexplode(F.regexp_extract_all(bare, F.lit(MEMBER), 0)).alias("_at", "_m"))
-    name, words = F.regexp_extract("_m", MEMBER, 2), F.filter(F.split(F.trim(F.regexp_extract("_m", MEMBER, 1)), r"\s+"), lambda x: x != "")
-    scopes = F.array(F.lit("public"), F.lit("private"), F.lit("protected"))
-    inside = members.select(
-        "path", (F.lit(1_000_000) + F.col("_class") * 10_000 + F.col("_at")).alias("pos"), name.alias("name"), F.concat_ws(".", "owner", name).alias("fqn"),
-        F.when(F.regexp_extract("_m", MEMBER, 3) == "(", "method").otherwise("field").alias("kind"),
-        F.coalesce(F.get(F.array_intersect(words, scopes), F.lit(0)), F.lit("")).alias("scope"), F.array_except(words, scopes).alias("modifiers"), F.lit(False).alias("is_exported"),
-    )
-    return declared.unionByName(inside.where(~F.col("name").isin(*NOT_MEMBERS)))
+    text = F.coalesce(F.decode("content", "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content"), F.lit(""))
+    markup = ~F.col("path").rlike(r"\.[mc]?ts$")
+    return files.select("path", language(F.col("path")).alias("language"), text.alias("raw"), code_of(text).alias("code"), markup.alias("markup")).where("language <> 'Unknown'")
 
 
 def module_imports(rows: DataFrame) -> DataFrame:
@@ -153,40 +114,12 @@ def component_facts(rows: DataFrame) -> DataFrame:
     return facts.where("name <> ''")
 
 
-def interface_props(rows: DataFrame) -> DataFrame:
-    """Props of interfaces and object types: ``path, owner, pos, name, type, required, description, deprecated, allowed_values``."""
-    owners = _all(rows.withColumnRenamed("code", "_c").withColumn("code", F.col("_c")), rf"(?m)^(?:export\s+)?(?:interface|type)\s+([\w$]+)[^{{;]*({_BODY})", {"owner": 1, "body": 2})
-    line = r"(/\*\*(?:[^*]|\*(?!/))*+\*/\s*)?(?:readonly\s+)?([\w$]+)(\?)?\s*:\s*((?:[^;\n{}]|\{[^}]*\})+(?:\n\s*\|[^;\n]+)*)"
-    props = owners.select("path", "owner", F.posexplode(F.regexp_extract_all("body", F.lit(line), 0)).alias("pos", "_m"))
-    part = lambda n: F.regexp_extract("_m", line, n)
-    raw = F.trim(F.regexp_replace(part(4), r"\s+", " "))
-    doc = F.trim(F.regexp_replace(F.regexp_replace(part(1), r"(?m)^\s*/?\*+/?|\*/", ""), r"\s+", " "))
-    return props.select("path", "owner", "pos", part(2).alias("name"), resolved_type(raw).alias("type"), (part(3) == "").alias("required"),
-        F.trim(F.regexp_replace(doc, r"@[\s\S]*$", "")).alias("description"), F.contains(doc, F.lit("@deprecated")).alias("deprecated"), union_values(raw).alias("allowed_values"))
-
-
 def props_heads(rows: DataFrame) -> DataFrame:
     """What interfaces and types extend or join before their body: ``path, owner, head``, the first of equal names."""
     found = _all(rows, r"(?m)^(?:export\s+)?(?:interface|type)\s+([\w$]+)([^{;]*)", {"owner": 1, "head": 2})
     return found.groupBy("path", "owner").agg(F.min_by("head", "pos").alias("head"))
 
 
-def union_values(kind: Column) -> Column:
-    """Values of a union of string literals; none for other types."""
-    members = F.transform(F.split(F.regexp_replace(kind, r"^\|\s*", ""), r"\s*\|\s*"), F.trim)
-    literal = F.forall(members, lambda m: m.rlike("^([\"']).*\\1$"))
-    return F.when(literal, F.transform(members, unquoted)).otherwise(F.array().cast("array<string>"))
-
-
-def resolved_type(kind: Column) -> Column:
-    """Type names of props: functions, arrays, tuples, objects and unions by kind, React's names bare."""
-    values = F.size(union_values(kind)) > 0
-    return (
-        F.when(values, "string").when(kind.contains("=>"), "function").when(kind.endswith("[]") | kind.rlike(r"^(?:Readonly)?Array<"), "array")
-        .when(kind.startswith("["), "tuple").when(kind.startswith("{"), "object").otherwise(F.regexp_replace(kind, r"^React\.", ""))
-    )
-
-
 def destructured_defaults(facts: DataFrame) -> DataFrame:
     """Parameters taken apart in a component's head: ``path, component, pos, name, default``; rest parameters are skipped."""
     head = F.regexp_extract("body", r"\(\s*\{([^}]*)\}", 1)
@@ -194,19 +127,3 @@ def destructured_defaults(facts: DataFrame) -> DataFrame:
     name = F.regexp_extract("_p", r"^\s*([\w$]+)", 1)
     default = F.trim(F.regexp_extract("_p", r"=\s*([\s\S]*)$", 1))
     return parts.select("path", "component", "pos", name.alias("name"), unquoted(default).alias("default"), literal_type(default).alias("default_type")).where("name <> ''")
-
-
-def variant_sets(rows: DataFrame) -> DataFrame:
-    """Variant calls: ``path, pos, variable, name, allowed_values, default``, a row for each variant."""
-    calls = _all(rows, rf"(?m)^(?:export\s+)?const\s+([\w$]+)\s*=\s*cva\(\s*(?:\"[^\"]*\"|'[^']*'|`[^`]*`|\[[^\]]*\])\s*,\s*({_BODY})", {"variable": 1, "options": 2})
-    variants = F.regexp_extract("options", rf"\bvariants\s*:\s*({_BODY})", 1)
-    defaults = F.regexp_extract("options", r"\bdefaultVariants\s*:\s*\{([^}]*)\}", 1)
-    group = rf"([\w$]+)\s*:\s*({_BODY})"
-    inner = F.regexp_replace(variants, r"^\{|\}$", "")
-    each = calls.select("path", F.col("pos").alias("_call"), "variable", defaults.alias("_defaults"), F.posexplode(F.regexp_extract_all(inner, F.lit(group), 0)).alias("pos", "_m"))
-    name, body = F.regexp_extract("_m", group, 1), F.regexp_replace(F.regexp_extract("_m", group, 2), r"^\{|\}$", "")
-    bare = F.regexp_replace(body, ":\\s*(?:\"[^\"]*\"|'[^']*'|`[^`]*`)", ":")
-    keys = F.transform(F.regexp_extract_all(bare, F.lit("(?:^|[,{\\n])\\s*(?:([\\w$-]+)|[\"']([^\"']+)[\"'])\\s*:"), 0), lambda k: F.regexp_extract(k, "([\\w$-]+)[\"']?\\s*:$", 1))
-    pairs = F.regexp_extract_all("_defaults", F.lit("[\\w$]+\\s*:\\s*[\"']?[\\w$-]+[\"']?"), 0)
-    default = F.get(F.filter(pairs, lambda p: F.regexp_extract(p, r"^([\w$]+)", 1) == name), F.lit(0))
-    return each.select("path", "pos", "variable", name.alias("name"), keys.alias("allowed_values"), F.coalesce(F.regexp_extract(default, ":\\s*[\"']?([\\w$-]+)", 1), F.lit("")).alias("default"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import modules as m
 from weftline.functions.text import category_of_path, docgen_type, import_path, is_component_name
 from weftline.sources.catalog import CATEGORY, GUIDELINE, Catalog
+from weftline.sources.kept import kept
 
 
 def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFr
     return rows.select("path", "pos", "name", "kind", "props_type", "body", F.lit(False).alias("is_default_export"))
 
 
-def component_props(components: DataFrame, declared: DataFrame, variants: DataFrame, type_heads: DataFrame) -> DataFrame:
+def component_props(components: DataFrame, declared: DataFrame, variants: DataFrame, type_heads: DataFrame, inline: DataFrame | None = None) -> DataFrame:
     """Props of detected components: ``path, component, pos, name, type, required, default, description, allowed_values, deprecated``.
 
     The declaration that a component's props type names in its file gives the props, else the
-    parameters it takes apart do, untyped. Defaults in the head overwrite. Variant sets add props and
+    parameters it takes apart do, with the types of an object type written beside them (``inline``) or untyped. Defaults in the head overwrite. Variant sets add props and
     fill what is empty, for components that reference them in their text or in what their props type
     extends (``type_heads``), or where a file has one of each.
     """
@@ -44,6 +45,13 @@ def component_props(components: DataFrame, declared: DataFrame, variants: DataFr
     loose = defaults.join(base.select("path", "component").distinct(), ["path", "component"], "left_anti").select(
         "path", "component", "pos", "name", F.lit("unknown").alias("type"), F.lit(False).alias("required"), F.lit("").alias("description"), F.lit(False).alias("deprecated"), F.array().cast("array<string>").alias("allowed_values")
     )
+    if inline is not None:
+        own = inline.withColumnRenamed("owner", "component").join(base.select("path", "component").distinct(), ["path", "component"], "left_anti")
+        typed = own.select("path", "component", "name", *(F.col(c).alias(f"_{c}") for c in ("pos", "type", "required", "description", "deprecated", "allowed_values")))
+        known = components.where("kind <> 'class'").select("path", F.col("name").alias("component"))
+        both = loose.join(typed.join(known, ["path", "component"], "left_semi"), ["path", "component", "name"], "full_outer")
+        either = lambda c: F.coalesce(f"_{c}", c).alias(c)
+        loose = both.select("path", "component", F.coalesce("pos", F.col("_pos") + 500).alias("pos"), "name", *(either(c) for c in ("type", "required", "description", "deprecated", "allowed_values")))
     with_default = base.unionByName(loose).join(defaults.select("path", "component", "name", "default"), ["path", "component", "name"], "left").na.fill("", ["default"])
 
     counts = heads.groupBy("path").agg(F.count("*").alias("_components"))
@@ -170,9 +178,9 @@ def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | Non
     from weftline.operators.css import design_tokens
 
     rows = m.modules(files)
-    facts = m.component_facts(rows)
-    components = detected(facts, m.symbols(rows), m.module_exports(rows))
-    props = component_props(components, m.interface_props(rows), m.variant_sets(rows), m.props_heads(rows))
+    tokens = m.siblings(rows)
+    components = kept(detected(m.component_facts(rows), m.symbols(rows, tokens), m.module_exports(rows)))
+    props = component_props(components, m.interface_props(rows, tokens), m.variant_sets(rows, tokens), m.props_heads(rows), m.inline_props(rows, tokens))
     if docgen is not None:
         paths = components.select("path", F.col("name").alias("component"))
         props = enriched(props, docgen.join(paths, "component"))  # a report that names no file is of all its components

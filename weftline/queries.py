@@ -11,6 +11,7 @@ from weftline.functions import jsx, modules, text
 from weftline.operators import autofix, catalog, css, scan, validation
 from weftline.plans import tools
 from weftline.sources import derived, files
+from weftline.sources.kept import kept
 from weftline.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,9 +181,9 @@ def x4_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("tsx").alias("ext"), "path", "name", "kind", "is_exported")
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _detected(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
     rows = modules.modules(derived.part_modules(spark, sf_dir))
-    return scan.detected(modules.component_facts(rows), modules.symbols(rows), modules.module_exports(rows))
+    return kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
 
 
 @query("""select lower(p_type) || '/p' || p_partkey || '.tsx' path, 'P' || p_partkey as name, 'function' kind, 'P' || p_partkey || 'Props' props_type from part where p_size % 2 = 0
@@ -201,7 +202,8 @@ def c1_compound_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select lower(p_type) || '/p' || p_partkey || '.tsx', 'P' || p_partkey, 'brand', 'string', false, '', '', p_brand || ',none' from c""")
 def p1_component_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = modules.modules(derived.part_modules(spark, sf_dir))
-    props = scan.component_props(_detected(spark, sf_dir), modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
+    tokens = modules.siblings(rows)
+    props = scan.component_props(_detected(spark, sf_dir, tokens), modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows))
     return props.select("path", "component", "name", "type", "required", "default", "description", F.array_join("allowed_values", ",").alias("allowed"))
 
 
@@ -342,15 +344,15 @@ def p6_variant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j12_variant_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set gives props to the component whose props type extends it, or to a file's only component."""
     rows = modules.modules(derived.part_variants(spark, sf_dir))
-    found = scan.detected(modules.component_facts(rows), modules.symbols(rows), modules.module_exports(rows)).where("kind = 'function'")
-    props = scan.component_props(found, modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
+    tokens = modules.siblings(rows)
+    found = kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
+    props = scan.component_props(found, modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows))
     return props.select("path", "component", "name", "required", F.array_join("allowed_values", ",").alias("allowed"), "default")
 
 
-@query(f"select path, 'when' || k as name, 'Key' || p_size as type from {_TYPED} union all select path, 'raw' || k, 'Row' || p_size from {_TYPED} union all select path, 'count' || k, 'number' from {_TYPED}")
+@query(f"select path, 'when' || k as name, 'Key' || p_size as type from {_TYPED} union all select path, 'raw' || k, 'Row' || p_size from {_TYPED} union all select path, 'count' || k, 'number' from {_TYPED} union all select path, 'a', 'string' from {_TYPED}")
 def x7_type_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = modules.type_annotations(modules.modules(derived.part_variants(spark, sf_dir)))
-    return rows.where("name <> 'a'").select("path", "name", "type")
+    return modules.type_annotations(modules.modules(derived.part_variants(spark, sf_dir))).select("path", "name", "type")
 
 
 @query(f"""select path, 'C' || k || '.count' || k fqn, 'field' kind, 'private' as scope, 'static' modifiers from {_TYPED} union all select path, 'C' || k || '.load', 'method', '', 'async' from {_TYPED}""")
@@ -360,6 +362,58 @@ def x4_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "fqn", "kind", "scope", F.array_join("modifiers", ",").alias("modifiers"))
 
 
+_SCOPES = """(select *, 1 + length(l1) o2, 2 + length(l1 || l2) o3, 3 + length(l1 || l2 || l3) o4, 4 + length(l1 || l2 || l3 || l4) o5, 5 + length(l1 || l2 || l3 || l4 || l5) o6, 6 + length(l1 || l2 || l3 || l4 || l5 || l6) o7, 7 + length(l1 || l2 || l3 || l4 || l5 || l6 || l7) o8
+    from (select lower(p_type) || '/n' || p_partkey || '.ts' path, p_partkey k, p_size s, '// class Fake' || k || ' {}' l1, 'export namespace N' || k || ' {' l2, '  const text' || k || ' = "class Str { }";' l3,
+    '  export class K' || k || ' extends Base<Map<string, number>> {' l4, '    private static async load' || k || '({ a, b = ' || s || ' }: Opts' || s || ', cb: (x: Map<string, number>) => void, ...rest: string[]): Promise<Row' || s || '[]> {' l5,
+    '      let deep' || k || ' = ' || repeat('{ a: ', s) || '1' || repeat(' }', s) || ';' l6, '      function inner' || k || '(z?: number) { return "}"; }' l7 from part))"""
+
+
+@query(f"""select path, 'N' || k fqn, 'namespace' kind, '' as scope, '' modifiers, true is_exported, '' parameters, '' types, '' return_type, 2 start_line, 10 end_line, (o2 + 7)::int start_byte, (o8 + 11)::int end_byte from {_SCOPES}
+    union all select path, 'N' || k || '.text' || k, 'variable', '', 'const', false, '', '', '', 3, 3, (o3 + 2)::int, (o4 - 1)::int from {_SCOPES}
+    union all select path, 'N' || k || '.K' || k, 'class', '', '', true, '', '', '', 4, 9, (o4 + 9)::int, (o8 + 9)::int from {_SCOPES}
+    union all select path, 'N' || k || '.K' || k || '.load' || k, 'method', 'private', 'static,async', false, '{{ a, b = ' || s || ' }};cb;...rest', 'Opts' || s || ';(x: Map<string, number>) => void;string[]', 'Promise<Row' || s || '[]>', 5, 8, (o5 + 4)::int, (o8 + 5)::int from {_SCOPES}
+    union all select path, 'N' || k || '.K' || k || '.deep' || k, 'variable', '', '', false, '', '', '', 6, 6, (o6 + 6)::int, (o7 - 1)::int from {_SCOPES}
+    union all select path, 'N' || k || '.K' || k || '.inner' || k, 'function', '', '', false, 'z', 'number', '', 7, 7, (o7 + 6)::int, (o8 - 1)::int from {_SCOPES}""")
+def x4b_nested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes, signatures and locations of nested declarations."""
+    rows = modules.symbols(modules.modules(derived.part_scopes(spark, sf_dir)))
+    text = [F.array_join(c, by).alias(n) for c, by, n in (("modifiers", ",", "modifiers"), ("parameters", ";", "parameters"), ("parameter_types", ";", "types"))]
+    return rows.select("path", "fqn", "kind", "scope", *text, "is_exported", "return_type", "start_line", "end_line", "start_byte", "end_byte")
+
+
+@query(f"""select path, (10 * (1 + 4 + 1 + 4 + 4 + 5 + 6 * length(k::varchar)) + 50 * (3 + 1) + 20)::bigint // 4 tokens from {_SCOPES}""")
+def a11_module_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the symbols of each module take, their parameters and return types among it."""
+    return index.token_estimates(modules.symbols(modules.modules(derived.part_scopes(spark, sf_dir))))
+
+
+_TYPES = "(select lower(p_type) || '/y' || p_partkey || '.tsx' path, p_partkey k, p_size s, p_brand b from part)"
+
+
+@query(f"""select path, 'T' || k || 'Props' as owner, 0 pos, 'tone' as name, 'string' as type, true required, 'Tone of ' || b || '.' description, false deprecated, 'a;' || b allowed from {_TYPES}
+    union all select path, 'T' || k || 'Props', 1, 'level', 'union', false, '', false, '1;' || s || ';true' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 2, 'mixed', '"x" | Row' || s, true, 'use tone' || k, true, '' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 3, 'nest', 'object', true, '', false, '' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 4, 'list', 'array', true, 'list of ' || k, false, '' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 5, 'gen', 'Array', false, '', false, '' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 6, 'cb', 'function', true, '', false, '' from {_TYPES}
+    union all select path, 'T' || k || 'Props', 7, 'both', 'A' || k || ' & {{ z: string }}', true, '', false, '' from {_TYPES}""")
+def p2_prop_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions, intersections, generics, functions and objects of any depth, with comments of all kinds."""
+    rows = modules.interface_props(modules.modules(derived.part_types(spark, sf_dir)))
+    return rows.select("path", "owner", "pos", "name", "type", "required", "description", "deprecated", F.array_join("allowed_values", ";").alias("allowed"))
+
+
+@query(f"""select path, 'T' || k component, 'size' as name, 'string' as type, 's' || s as default, 's' || s || ';lg' allowed from {_TYPES} union all select path, 'T' || k, 'rest', 'unknown', '', '' from {_TYPES}""")
+def p4_inline_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Props that a component takes apart, typed by the object type written beside them."""
+    rows = modules.modules(derived.part_types(spark, sf_dir))
+    tokens = modules.siblings(rows)
+    found = kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
+    props = scan.component_props(found, modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows), modules.inline_props(rows, tokens))
+    return props.select("path", "component", "name", "type", "default", F.array_join("allowed_values", ";").alias("allowed"))
+
+
 _SCRIPTS = "(select 'n' || s_nationkey || '/s' || s_suppkey || '.js' path, s_suppkey k, s_nationkey n from supplier)"
 
 
@@ -447,8 +501,9 @@ def x1_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) files, count(*) filter (p_size % 2 = 0) + count(*) filter (p_size % 3 = 0) components, 2 * count(*) filter (p_size % 2 = 0) props from part")
 def a7_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     code, rows = derived.part_modules(spark, sf_dir), modules.modules(derived.part_modules(spark, sf_dir))
-    found = _detected(spark, sf_dir)
-    props = scan.component_props(found, modules.interface_props(rows), modules.variant_sets(rows), modules.props_heads(rows))
+    tokens = modules.siblings(rows)
+    found = _detected(spark, sf_dir, tokens)
+    props = scan.component_props(found, modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows))
     return scan.scan_stats(code, found, props, 1000.0).select("files", "components", "props")
 
 

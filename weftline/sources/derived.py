@@ -126,6 +126,30 @@ def part_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("concat(folder, '/t', k, '.tsx') as path", f"{code} as content")
 
 
+def part_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part: a namespace with a class, in its method an object nested as deep as the part's size and a function; names in strings and comments."""
+    lines = (
+        "concat('// class Fake', k, ' {}')", "concat('export namespace N', k, ' {')", "concat('  const text', k, ' = \"class Str { }\";')",
+        "concat('  export class K', k, ' extends Base<Map<string, number>> {')",
+        "concat('    private static async load', k, '({ a, b = ', s, ' }: Opts', s, ', cb: (x: Map<string, number>) => void, ...rest: string[]): Promise<Row', s, '[]> {')",
+        "concat('      let deep', k, ' = ', repeat('{ a: ', s), '1', repeat(' }', s), ';')", "concat('      function inner', k, '(z?: number) { return \"}\"; }')", "'    }'", "'  }'", "'}'",
+    )
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", "lower(p_type) as folder")
+    return rows.selectExpr("concat(folder, '/n', k, '.ts') as path", "concat_ws('\n', " + ", ".join(lines) + ") as content")
+
+
+def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part: an interface whose props have types of all kinds, an object type as deep as the part's size, and comments; a function with an object type beside its parameters."""
+    lines = (
+        "concat('export interface T', k, 'Props {')", "concat('  /**\n   * Tone of ', b, '.\n   * @default a\n   */')", "concat('  tone: \"a\" | \"', b, '\";')", "concat('  level?: 1 | ', s, ' | true;')",
+        "concat('  /** @deprecated use tone', k, ' */')", "concat('  mixed: \"x\" | Row', s, ';')", "concat('  nest: ', repeat('{ a: ', s), 'string', repeat(' }', s))", "concat('  // list of ', k)", "'  list: string[];'",
+        "concat('  gen?: Array<Row', s, '>;')", "'  cb: (a: \"p\" | \"q\", b: Map<string, number>) => void;'", "concat('  both: A', k, ' & { z: string };\n}')",
+        "concat('export function T', k, '({ size = \"s', s, '\", rest }: React.ComponentProps<\"b\"> & { size?: \"s', s, '\" | \"lg\" }) {\n  return <b>{rest}</b>;\n}')",
+    )
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", "p_brand as b", "lower(p_type) as folder")
+    return rows.selectExpr("concat(folder, '/y', k, '.tsx') as path", "concat_ws('\n', " + ", ".join(lines) + ") as content")
+
+
 def supplier_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CommonJS module for each supplier, in its nation's folder."""
     code = (
