@@ -92,9 +92,24 @@ def test_analysis(spark):
     assert row["line_count"] == 6 and [(c["component_name"], c["children_count"]) for c in row["components"]] == [("Card", 2), ("A", 0), ("Card", 0), ("A", 0)]
 
 
-def test_edits():
-    fixes = [{"kind": "import", "line": 3, "component": "A", "old": "", "new": "./a"}, {"kind": "value", "line": 3, "component": "B", "old": "x", "new": "y"}]
-    assert autofix.edited('import { B } from "b"\n\n<B v="x" w="x" />', fixes) == 'import { B } from "b"\nimport { A } from "./a"\n\n<B v="y" w="x" />'
+FIX = "array<struct<kind:string,line:int,component:string,old:string,new:string>>"
+
+
+def fixed(spark, code, *fixes):
+    return autofix.with_edits(spark.createDataFrame([(code, list(fixes))], f"code string, fixes {FIX}"), "code", "fixes", "out").first()["out"]
+
+
+def test_edits(spark):
+    fixes = [("import", 3, "A", "", "./a"), ("value", 3, "B", "x", "y")]
+    assert fixed(spark, 'import { B } from "b"\n\n<B v="x" w="x" />', *fixes) == 'import { B } from "b"\nimport { A } from "./a"\n\n<B v="y" w="x" />'
+
+
+def test_edits_of_paths_and_of_nothing(spark):
+    code = "import { B1 } from './b1'\nimport { B } from \"./b1\"\nimport { B2 } from ''\n<B/>"
+    assert fixed(spark, code, ("path", 4, "B", "", "./b"), ("path", 4, "B", "", "./b")) == code.replace("'./b1'", "'./b'")
+    assert fixed(spark, code, ("path", 4, "B1", "", "./b1"), ("path", 4, "Z", "", "./z"), ("value", 99, "B", "x", "y"), ("value", 0, "B", "x", "y")) == code
+    assert fixed(spark, "<A/>", ("import", 1, "A", "", "./a"), ("import", 1, "B", "", "./b")) == 'import { B } from "./b"\nimport { A } from "./a"\n<A/>'
+    assert fixed(spark, None, ("import", 1, "A", "", "./a")) == 'import { A } from "./a"\n'
 
 
 def test_deep_braces_and_long_expressions(spark):

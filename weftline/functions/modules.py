@@ -7,7 +7,7 @@ table carries ``path`` and ``pos``, the order in the file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.functions.declarations import inline_props, interface_props, siblings, symbols, variant_sets  # noqa: F401
@@ -26,6 +26,19 @@ def _all(rows: DataFrame, pattern: str, groups: dict[str, int], col: str = "code
     return found.select("path", "pos", *(F.regexp_extract("_m", pattern, n).alias(name) for name, n in groups.items()))
 
 
+def file_status(files: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Whether each file can be indexed: ``path, language, indexed, failure``; the failure says why not, or is ``''``.
+
+    A file fails where its language is unknown, it has no content, or its bytes are no UTF-8. ``seen`` observes the counts
+    ``discovered`` and ``failed`` when the rows are read, without a job of its own.
+    """
+    kind = language(F.col("path"))
+    broken = ~F.is_valid_utf8("content") if dict(files.dtypes)["content"] == "binary" else F.lit(False)
+    failure = F.when(kind == "Unknown", "unknown language").when(F.col("content").isNull(), "no content").when(broken, "no UTF-8").otherwise("")
+    rows = files.select("path", kind.alias("language"), failure.alias("failure")).select("path", "language", (F.col("failure") == "").alias("indexed"), "failure")
+    return rows if seen is None else rows.observe(seen, F.count("*").alias("discovered"), F.count_if(~F.col("indexed")).alias("failed"))
+
+
 def modules(files: DataFrame) -> DataFrame:
     """``path, language, raw, code, markup`` of files with a known language; ``content`` may be binary or text.
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIXED_RULES = ("missing-import", "wrong-import-path", "invalid-prop-value")
@@ -27,33 +24,49 @@ def fix_rows(found: DataFrame, components: DataFrame) -> DataFrame:
     return inserts.unionByName(repath).unionByName(revalue)
 
 
-def edited(code: str, fixes: list) -> str:
-    """Apply one page's fixes: replacements first, then insertions below the last line that starts an import."""
-    lines = code.split("\n")
-    for fix in fixes:
-        if fix["kind"] == "value":
-            i = fix["line"] - 1
-            if 0 <= i < len(lines):
-                lines[i] = lines[i].replace(f'"{fix["old"]}"', f'"{fix["new"]}"', 1)
-        elif fix["kind"] == "path":
-            i = next((i for i, x in enumerate(lines) if fix["component"] in x and "import" in x), None)
-            quoted = re.search('"[^"]*"', lines[i]) or re.search("'[^']*'", lines[i]) if i is not None else None
-            if quoted and quoted[0][1:-1] != fix["new"]:
-                lines[i] = lines[i].replace(quoted[0], quoted[0][0] + fix["new"] + quoted[0][0], 1)
-    last = max((i for i, x in enumerate(lines) if x.strip().startswith(("import ", "import{"))), default=-1)
-    for fix in fixes:
-        if fix["kind"] == "import":
-            lines.insert(last + 1, f'import {{ {fix["component"]} }} from "{fix["new"]}"')
-    return "\n".join(lines)
+def _quoted(line: Column, mark: str) -> Column:
+    """What stands between the first two marks of a line; empty if nothing does."""
+    return F.regexp_extract(line, f"{mark}([^{mark}]*){mark}", 1)
+
+
+def _path_edit(lines: Column, fix: Column) -> Column:
+    """Where a wrong import path is put right: the first line that names the component and an import from elsewhere."""
+    places = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    other = lambda line, mark: (_quoted(line, mark) != "") & (_quoted(line, mark) != fix["new"])
+    wrong = F.filter(places, lambda p: p["line"].contains(fix["component"]) & p["line"].contains("import") & (other(p["line"], '"') | other(p["line"], "'")))
+    place = F.get(wrong, F.lit(0))
+    return F.struct(place["at"].alias("at"), F.when(other(place["line"], '"'), _quoted(place["line"], '"')).otherwise(_quoted(place["line"], "'")).alias("old"), fix["new"].alias("new"))
+
+
+def _replaced(line: Column, edit: Column) -> Column:
+    """The line with the first occurrence of the edit's old text replaced."""
+    at = F.instr(line, edit["old"])
+    return F.when(at > 0, F.concat(F.substring(line, F.lit(1), at - 1), edit["new"], F.substring(line, at + F.length(edit["old"]), F.length(line)))).otherwise(line)
+
+
+def with_edits(pages: DataFrame, code: str, fixes: str, name: str) -> DataFrame:
+    """Add a page's text with its fixes: replacements line by line in the fixes' order, then insertions below the last line that starts an import.
+
+    What an edit replaces is found in the text as it was; later insertions stand above earlier ones. Each step is a
+    column of its own that the next reads more than once, so none is computed anew for every line.
+    """
+    of_kind = lambda kind: F.filter(fixes, lambda f: f["kind"] == kind)
+    mark = F.lit('"')
+    values = F.transform(of_kind("value"), lambda f: F.struct((f["line"] - 1).alias("at"), F.concat(mark, f["old"], mark).alias("old"), F.concat(mark, f["new"], mark).alias("new")))
+    cut = pages.withColumn("_lines", F.split(F.coalesce(code, F.lit("")), "\n", -1))
+    found = cut.withColumn("_paths", F.when(F.size("_lines") > 0, F.array_distinct(F.transform(of_kind("path"), lambda f: _path_edit(F.col("_lines"), f)))))
+    edits = found.withColumn("_edits", F.filter(F.concat("_paths", values), lambda e: e["at"].isNotNull()))
+    changed = F.transform("_lines", lambda line, i: F.aggregate(F.filter("_edits", lambda e: e["at"] == i), line, _replaced))
+    lines = edits.withColumn("_changed", F.when(F.size("_edits") > 0, changed).otherwise(F.col("_lines")))
+    starts = lambda line: F.regexp_replace(line, r"^\s+", "").rlike(r"^import[ {]")
+    last = lines.withColumn("_last", F.array_max(F.transform("_changed", lambda line, i: F.when(starts(line), i + 1).otherwise(0))))
+    wanted = F.transform(of_kind("import"), lambda f: F.concat(F.lit("import { "), f["component"], F.lit(' } from "'), f["new"], mark))
+    whole = F.concat(F.slice("_changed", F.lit(1), F.col("_last")), F.reverse(F.array_distinct(wanted)), F.slice("_changed", F.col("_last") + 1, F.size("_changed")))
+    return last.withColumn(name, F.array_join(whole, "\n")).drop("_lines", "_paths", "_edits", "_changed", "_last")
 
 
 def fixed_pages(pages: DataFrame, fixes: DataFrame) -> DataFrame:
     """Pages that have fixes: ``page_id, fixes, fixed_code``; a page's fixes go by kind, line and component."""
     ordered = F.sort_array(F.collect_list(F.struct("kind", "line", "component", "old", "new")))
-
-    @F.pandas_udf("string")
-    def apply(code: pd.Series, edits: pd.Series) -> pd.Series:
-        return pd.Series([edited(c or "", list(e)) for c, e in zip(code, edits)])
-
     grouped = fixes.groupBy("page_id").agg(ordered.alias("fixes"))
-    return pages.join(grouped, "page_id").select("page_id", "fixes", apply("code", "fixes").alias("fixed_code"))
+    return with_edits(pages.join(grouped, "page_id"), "code", "fixes", "fixed_code").select("page_id", "fixes", "fixed_code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,3 +149,15 @@ def integrity_errors(catalog: Catalog) -> DataFrame:
         errors(listed.join(known, "name", "left_anti"), "category lists an unknown component", F.concat_ws(".", "category", "name")),
     ]
     return reduce(DataFrame.unionByName, checks)
+
+
+def checked(catalog: Catalog) -> Catalog:
+    """The same catalog, whose tables can only be read if it has no integrity error; all errors stand in one message.
+
+    The errors are a one-row aggregate that stands beside every table, so reading any of them checks all.
+    """
+    found = integrity_errors(catalog).agg(F.sort_array(F.collect_list(F.concat_ws(": ", "error", F.when(F.col("subject") != "", F.col("subject"))))).alias("_e"))
+    fails = F.raise_error(F.concat(F.lit("catalog validation failed: "), F.array_join("_e", "; "))).cast("boolean")
+    valid = found.select(F.when(F.size("_e") == 0, F.lit(True)).otherwise(fails).alias("_valid"))
+    guarded = lambda rows: rows.crossJoin(F.broadcast(valid)).where("_valid").drop("_valid")  # noqa: E731  one row
+    return Catalog(*(guarded(getattr(catalog, f.name)) for f in fields(catalog)))

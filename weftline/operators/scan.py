@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import modules as m
 from weftline.functions.text import category_of_path, docgen_type, import_path, is_component_name
+from weftline.operators.catalog import checked
+from weftline.operators.order import numbered
 from weftline.sources.catalog import CATEGORY, GUIDELINE, Catalog
 from weftline.sources.kept import kept
 
@@ -136,8 +138,11 @@ def compound_groups(components: DataFrame) -> DataFrame:
     return whole.where("_k >= 2 and _all and name <> parent").select("path", "parent", "name")
 
 
-def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, name: str, prefix: str = "") -> Catalog:
-    """Assemble a catalog: sub-components under their parents, sorted by name, categories by folder."""
+def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, name: str, prefix: str = "", check: bool = True) -> Catalog:
+    """Assemble a catalog: sub-components under their parents, sorted by name, categories by folder.
+
+    Unless ``check`` is off, its tables fail to be read where it has integrity errors, such as two components of one name.
+    """
     groups = compound_groups(components)
     fields = F.struct("name", "type", "required", "default", "description", "allowed_values", "deprecated")
     packed = props.groupBy("path", "component").agg(F.sort_array(F.collect_list(F.struct("pos", fields.alias("v")))).alias("_p"))
@@ -151,30 +156,37 @@ def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, na
     subs = subs.groupBy("path", F.col("parent").alias("name")).agg(F.sort_array(F.collect_list("_s")).alias("sub_components"))
     top = full.join(groups.select("name").distinct(), "name", "left_anti").join(subs, ["path", "name"], "left")
     top = top.withColumn("sub_components", F.coalesce("sub_components", F.array().cast(dict(subs.dtypes)["sub_components"])))
-    order = F.row_number().over(Window.orderBy("name", "path")) - 1  # a catalog's components, one small table
     rows = top.select(
-        order.alias("pos"), "name", F.lit("").alias("description"), category_of_path(F.col("path")).alias("category"), import_path(F.col("path"), prefix).alias("import_path"),
+        "name", F.lit("").alias("description"), category_of_path(F.col("path")).alias("category"), import_path(F.col("path"), prefix).alias("import_path"),
         F.concat(F.array("name"), F.transform("sub_components", lambda s: s["name"])).alias("imported_names"), "props", "sub_components",
-        F.array().cast("array<struct<title:string,description:string,code:string>>").alias("examples"), F.array().cast(f"array<{GUIDELINE}>").alias("guidelines"), F.lit(False).alias("deprecated"), F.lit("").alias("deprecated_msg"),
+        F.array().cast("array<struct<title:string,description:string,code:string>>").alias("examples"), F.array().cast(f"array<{GUIDELINE}>").alias("guidelines"), F.lit(False).alias("deprecated"), F.lit("").alias("deprecated_msg"), "path",
     )
+    rows = numbered(rows, "name", "path").drop("path")
+    rows = rows.select("pos", *(c for c in rows.columns if c != "pos"))
     spark = components.sparkSession
     listed = rows.groupBy("category").agg(F.sort_array(F.collect_list("name")).alias("components"))
-    categories = listed.select((F.row_number().over(Window.orderBy("category")) - 1).alias("pos"), F.col("category").alias("name"), F.lit("").alias("description"), "components")
+    categories = numbered(listed, "category").select("pos", F.col("category").alias("name"), F.lit("").alias("description"), "components")
     meta = spark.createDataFrame([(name, "1.0", "react", "scan")], "name string, version string, framework string, source string")
     none = spark.createDataFrame([], f"pos int, {GUIDELINE.removeprefix('struct<').removesuffix('>').replace(':', ' ')}")
     assert CATEGORY.startswith("struct<name")
-    ranked = tokens.select((F.row_number().over(Window.orderBy("category", "name")) - 1).alias("pos"), "name", "value", "category")
-    return Catalog(meta, rows, categories, ranked, none)
+    ranked = numbered(tokens, "category", "name").select("pos", "name", "value", "category")
+    built = Catalog(meta, rows, categories, ranked, none)
+    return checked(built) if check else built
 
 
 def scan_stats(files: DataFrame, components: DataFrame, props: DataFrame, milliseconds: float) -> DataFrame:
-    """Counts of a scan and its rates, guarded against no files."""
-    counts = files.agg(F.count("*").alias("files")).crossJoin(components.agg(F.count("*").alias("components"))).crossJoin(props.agg(F.count("*").alias("props")))  # one row each
+    """Counts of a scan and its rates, guarded against no files; failed files count as discovered only."""
+    status = m.file_status(files)
+    discovered = (F.count("*").alias("files"), F.count_if("indexed").alias("files_indexed"), F.count_if(~F.col("indexed")).alias("files_failed"), F.try_divide(F.count_if("indexed"), F.count("*")).alias("success_rate"))
+    counts = status.agg(*discovered).crossJoin(components.agg(F.count("*").alias("components"))).crossJoin(props.agg(F.count("*").alias("props")))  # one row each
     return counts.withColumns({"ms_per_file": F.try_divide(F.lit(milliseconds), "files"), "files_per_second": F.try_divide(F.col("files") * 1000.0, F.lit(milliseconds))})
 
 
-def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | None = None, name: str = "catalog", prefix: str = "") -> Catalog:
-    """Derive a catalog from ``files(path, content)`` and, if given, style sheets and docgen reports."""
+def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | None = None, name: str = "catalog", prefix: str = "", check: bool = True) -> Catalog:
+    """Derive a catalog from ``files(path, content)`` and, if given, style sheets and docgen reports.
+
+    Files that can't be read are left out (``modules.file_status`` tells which and why).
+    """
     from weftline.operators.css import design_tokens
 
     rows = m.modules(files)
@@ -186,4 +198,4 @@ def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | Non
         props = enriched(props, docgen.join(paths, "component"))  # a report that names no file is of all its components
     spark = files.sparkSession
     tokens = design_tokens(css) if css is not None else spark.createDataFrame([], "name string, value string, category string")
-    return built_catalog(components, props, tokens, name, prefix)
+    return built_catalog(components, props, tokens, name, prefix, check)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions import jsx, modules, text
 from weftline.operators import autofix, catalog, css, scan, validation
+from weftline.operators.order import numbered
 from weftline.plans import tools
 from weftline.sources import derived, files
-from weftline.sources.kept import kept
+from weftline.sources.catalog import Catalog, catalog_json, parse_catalog
+from weftline.sources.kept import kept, shared_folder
 from weftline.streaming import index
+from weftline.streaming.sink import IndexTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,9 +153,20 @@ def af_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return autofix.fix_rows(_validated(spark, sf_dir).violations, components)
 
 
-@query()
+@query(f"""{_LINES}, f as (select page_id, 'import' kind, min(line) line, component, '@/parts/' || lower(component) path from v where rule = 'missing-import' group by page_id, component
+      union all select page_id, 'path', line, component, '@/parts/' || lower(component) from v where rule = 'wrong-import-path'
+      union all select page_id, 'value', line, component, '' from v where rule = 'invalid-prop-value'),
+    imps as (select l_orderkey page_id, rn, brand, case when l_discount < 0.08 then '@/parts/brand' || n else '@/wrong' end source from i where l_discount >= 0.03),
+    hits as (select f.page_id, f.line, f.component, f.path, min(imps.rn) rn from f join imps on imps.page_id = f.page_id and source <> path and contains('import {{ ' || brand || ' }} from "' || source || '"', component) where kind = 'path' group by all),
+    puts as (select page_id, rn, path from (select *, row_number() over (partition by page_id, rn order by line, component) nth from hits) where nth = 1),
+    tops as (select page_id, string_agg('import {{ ' || brand || ' }} from "' || coalesce(path, source) || '"', chr(10) order by rn) kept from imps left join puts using (page_id, rn) group by page_id),
+    news as (select page_id, string_agg('import {{ ' || component || ' }} from "' || path || '"', chr(10) order by line desc, component desc) added from f where kind = 'import' group by page_id),
+    body as (select l_orderkey page_id, string_agg('      <' || brand || ' flag="' || case l_returnflag when 'R' then 'A' else l_returnflag end || '"' || case when l_quantity > 10 then ' quantity={{1 + 1}}' else '' end || case when l_tax = 0 then ' tax' else '' end
+        || case when l_linestatus = 'O' then ' ship="O"' else '' end || '>' || chr(10) || '        <' || child || case when l_quantity % 2 = 0 then '><Icon /></' || child || '>' else ' />' end || chr(10) || '      </' || brand || '>', chr(10) order by rn) elements from i group by l_orderkey)
+    select page_id, concat_ws(chr(10), kept, added, 'export default function Page() {{', '  return (', '    <>', elements, case when o_orderstatus = 'P' then '      <Mystery />' end, '    </>', '  );', '}}') fixed_code
+    from (select distinct page_id from f) join body using (page_id) join orders on o_orderkey = page_id left join tops using (page_id) left join news using (page_id)""")
 def af_fixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential edits of text; tests compare it with a plain version."""
+    """Pages with all their fixes; a path is put right in the first line that names the component, as its name may begin another's."""
     return _validated(spark, sf_dir, auto_fix=True).fixed.select("page_id", "fixed_code")
 
 
@@ -498,6 +513,69 @@ def x1_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsx.usages(derived.order_pages(spark, sf_dir)).select("page_id", "component_name", "line", "has_children", "parent_component")
 
 
+@query("""select row_number() over (order by category, name) - 1 as pos, name, category from (select 'chart-' || p_size as name, 'chart' category from part group by p_size
+    union all select 'tone-' || p_partkey, 'color' from part union all select 'font-' || p_partkey, 'typography' from part)""")
+def o3_token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens numbered in their order over all style sheets."""
+    return numbered(css.design_tokens(derived.part_styles(spark, sf_dir)), "category", "name").select(F.col("pos").cast("long").alias("pos"), "name", "category")
+
+
+@query("""select row_number() over (order by name) - 1 as pos, name from (select 'P' || p_partkey as name from part where p_size % 2 = 0 union all select 'P' || p_partkey || 'Extra' from part where p_size % 3 = 0 and p_size % 2 = 1)""")
+def o4_catalog_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a built catalog, which is valid, in its order."""
+    return scan.scan(derived.part_modules(spark, sf_dir)).components.select(F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query("select distinct 'Brand' || split_part(p_brand, '#', 2) as name, '@/parts/brand' || split_part(p_brand, '#', 2) import_path from part")
+def s2_checked_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog's document, written, read and checked: a valid one is read as it is."""
+    components = derived.brand_components(spark, sf_dir)
+    row = lambda sql: spark.sql(f"select {sql}")
+    listed = components.groupBy("category").agg(F.sort_array(F.collect_list("name")).alias("components")).selectExpr("0 as pos", "category as name", "'' as description", "components")
+    none = derived.part_catalog(spark, sf_dir)
+    whole = Catalog(row("'brands' as name, '1.0' as version, 'react' as framework, '' as source"), components, listed, none.tokens, none.guidelines)
+    return parse_catalog(catalog_json(whole)).components.select("name", "import_path")
+
+
+_FILES = f"(select event_id, path, case when event_id % 7 = 4 then 'unknown language' when event_id % 11 = 0 then 'no content' when event_id % 13 = 0 then 'no UTF-8' else '' end failure from {_PATHS})"
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files some of which can't be read."""
+    return derived.event_paths(spark, sf_dir).selectExpr("event_id", "path", "case when event_id % 11 = 0 then null when event_id % 13 = 0 then unhex('c328') else cast(concat('let a', event_id, ' = 1') as binary) end as content")
+
+
+@query(f"select path, failure, count(*) n from {_FILES} group by path, failure")
+def x8_failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.file_status(_event_files(spark, sf_dir)).groupBy("path", "failure").agg(F.count("*").alias("n"))
+
+
+@query(f"select count(*) files, count(*) filter (failure = '') files_indexed, count(*) filter (failure <> '') files_failed, round(count(*) filter (failure = '') / count(*), 9) success_rate from {_FILES}")
+def a9_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.range(0)
+    return scan.scan_stats(_event_files(spark, sf_dir), none, none, 1000.0).select("files", "files_indexed", "files_failed", F.round("success_rate", 9).alias("success_rate"))
+
+
+def _symbols_of(changed: DataFrame) -> DataFrame:
+    """A symbol for each changed file; files of every fifth change can't be read."""
+    return changed.select("path", F.concat(F.lit("S"), "seq").alias("fqn"), (F.col("seq") % 5 == 0).alias("failed"))
+
+
+@query(f"""with c as (select path, op, seq, seq % 3 = 0 later, regexp_extract(path, '[0-9]+') u from ({_CHANGES})),
+    l as (select path, later, max(seq) seq, arg_max(op, seq) op from c group by path, later),
+    a as (select path, seq from l where not later and op in ('write', 'create') and seq % 5 <> 0),
+    b as (select * from l where later)
+    select path, 'S' || b.seq fqn, false dirty from b where op in ('write', 'create') and seq % 5 <> 0
+    union all select a.path, 'S' || a.seq, b.path is not null from a left join b using (path) where b.path is null or (b.op in ('write', 'create') and b.seq % 5 = 0)""")
+def t6b_durable_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of changes, each of them applied twice: files that fail keep their rows and are dirty."""
+    changes = derived.event_changes(spark, sf_dir).select("path", "op", "seq")
+    table = IndexTable(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "path string, fqn string", 8)
+    for batch, part in enumerate((changes.where("seq % 3 <> 0"), changes.where("seq % 3 = 0"), changes.where("seq % 3 = 0"))):
+        table.apply(part, min(batch, 1), _symbols_of)
+    return table.rows().select("path", "fqn", "dirty")
+
+
 @query("select count(*) files, count(*) filter (p_size % 2 = 0) + count(*) filter (p_size % 3 = 0) components, 2 * count(*) filter (p_size % 2 = 0) props from part")
 def a7_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     code, rows = derived.part_modules(spark, sf_dir), modules.modules(derived.part_modules(spark, sf_dir))

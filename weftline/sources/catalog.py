@@ -71,15 +71,26 @@ def catalog_of(document: DataFrame) -> Catalog:
     return Catalog(full.select("name", "version", "framework", "source"), rows("components"), rows("categories"), rows("tokens"), rows("guidelines"))
 
 
-def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """Load a catalog JSON document from a path."""
-    return catalog_of(spark.read.schema(DOCUMENT).option("mode", "FAILFAST").json(path, multiLine=True))
+def _loaded(document: DataFrame, check: bool) -> Catalog:
+    from weftline.operators.catalog import checked
 
+    return checked(catalog_of(document)) if check else catalog_of(document)
 
-def parse_catalog(texts: DataFrame, col: str = "value") -> Catalog:
-    """Decode a catalog from a one-row DataFrame of JSON text; malformed text is an error."""
+
+def read_catalog(spark: SparkSession, path: str, check: bool = True) -> Catalog:
+    """Load a catalog JSON document from a path; its tables fail to be read where it has integrity errors, unless ``check`` is off."""
+    return _loaded(spark.read.schema(DOCUMENT).option("mode", "FAILFAST").json(path, multiLine=True), check)
+
+
+def parse_catalog(texts: DataFrame, col: str = "value", check: bool = True) -> Catalog:
+    """Decode a catalog from a one-row DataFrame of JSON text; malformed text is an error, and so is an invalid catalog when it is read."""
     kind = T.StructType.fromDDL(DOCUMENT).simpleString()
-    return catalog_of(texts.select(F.from_json(col, kind, {"mode": "FAILFAST"}).alias("_d")).select("_d.*"))
+    return _loaded(texts.select(F.from_json(col, kind, {"mode": "FAILFAST"}).alias("_d")).select("_d.*"), check)
+
+
+def write_catalog(catalog: Catalog, path: str) -> None:
+    """Write the catalog's JSON document to a new folder that ``read_catalog`` reads."""
+    catalog_json(catalog).write.text(path)
 
 
 def catalog_json(catalog: Catalog) -> DataFrame:

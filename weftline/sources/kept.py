@@ -5,21 +5,25 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without one a new local folder in local mode, as in tests, ValueError on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder that ``spark.checkpoint.dir`` names and read from there.
+    """``df``, written to ``shared_folder`` and read from there.
 
-    So it is computed once however many parts of a plan read it, and a lost executor costs no lineage. Without that setting a new
-    local folder serves in local mode, as in tests; on a cluster that is a ValueError.
+    So it is computed once however many parts of a plan read it, and a lost executor costs no lineage.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
