@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -296,6 +298,58 @@ def test_decontamination_of_cut_items(spark):
     assert got[0]["similarity"] == pytest.approx(46 / 55) and got[4]["similarity"] == 1
 
 
+def test_decontamination_equals_all_windows():
+    """Every window against every item, exactly: nothing is lost beyond the Hamming radius here, and nothing found besides."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([6, 9, 14, 25, 40]))) for _ in range(60)]
+    items += [f"{i} common words in every single item {i} {j}" for i in range(30) for j in (1, 2)]
+    texts = []
+    for _ in range(250):
+        own = rng.choice(items).split()
+        for _ in range(rng.choice([0, 0, 1])):
+            own[rng.choice([0, -1, rng.randrange(len(own))])] = rng.choice(vocabulary)
+        del own[: rng.choice([0, 0, 1, 3])]
+        texts.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) + " " + " ".join(own) + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))))
+    index, links = decontam.ItemIndex(list(range(len(items))), items), 0
+    for text in texts:
+        words, want = decontam.word_hashes([text], decontam.ALNUM_WORDS)[0], {}
+        for item, own, own_weights in index.items:
+            length = int(index.lengths[item])
+            size = min(5, length)
+            if len(words) >= size:
+                hashes, weights = decontam.shingle_hashes(words, size), decontam.shingle_weights(words, size)
+                k = min(length - size + 1, len(hashes))
+                best = max(decontam.weighted_jaccard(hashes[p : p + k], weights[p : p + k], own, own_weights) for p in range(len(hashes) - k + 1))
+                if best >= 0.8:
+                    want[item] = best
+        assert index.matches(words) == want
+        links += len(want)
+    assert links > 100
+
+
+def test_a_phrase_that_all_items_share_costs_little():
+    items = [" ".join(prose(9000 + i, 40)) + " one phrase that all share " + " ".join(prose(20_000 + i, 20)) for i in range(2000)]
+    index = decontam.ItemIndex(list(range(2000)), items)
+    text = " ".join(prose(5, 3500)) + " one phrase that all share " + " ".join(prose(6, 3500)) + " " + items[77]
+    words = decontam.word_hashes([text], decontam.ALNUM_WORDS)[0]
+    tracemalloc.start()
+    began = time.process_time()
+    assert index.matches(words) == {77: 1.0}
+    assert time.process_time() - began < 5 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_links_in_scripts_and_comments_are_none(spark):
+    link = '<link rel="canonical" href="http://bad.example.org/es/x">'
+    hidden = [f"<!-- {link} -->", f"<script>var s = '{link}';</script>", f"<STYLE>{link}</style>", f"<textarea>{link}</textarea>", f"<!-- {link}", f"<script>{link}", "<link " * 30_000, '<link "' * 20_000 + "'<meta " * 20_000]
+    shown = [f"<p>{link}</p>", f"<script>x</script>{link}", f"<link <link x {link}", link.replace('"', "")]
+    pages = spark.createDataFrame([(n, f"http://p{n}.net/", h) for n, h in enumerate(hidden + shown)], "page_id int, url string, html string")
+    began = time.time()
+    assert {r.src for r in urls.html_aliases(pages).collect()} == {f"http://p{n}.net/" for n in range(len(hidden), len(hidden + shown))}
+    assert time.time() - began < 60
+
+
 def test_weighted_jaccard():
     a, b = np.array([1, 1, 2], np.uint64), np.array([1, 3], np.uint64)
     assert decontam.weighted_jaccard(a, np.array([5, 5, 4]), b, np.array([5, 2])) == 5 / 16

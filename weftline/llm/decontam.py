@@ -1,9 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 9).
 
-Every window of a document as long as a benchmark item, or a shorter document as a whole, gets a
+Every window of a document as long as a benchmark item, or a shorter document as a whole, has a
 64-bit SimHash of its weighted shingles. Items are indexed under every value of eight 8-bit blocks within two bits of their own,
 so each item within the Hamming radius of a window shares a key with it; candidates within the
 radius are then verified by exact weighted Jaccard similarity.
+
+An item and a window that link share four fifths of the item's weight. So a stretch of text is held against an item only where it
+has shingles of that weight, and windows of it only where they have: a phrase that very many items share costs one sum.
 """
 
 from __future__ import annotations
@@ -65,11 +68,12 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
 
 
 class ItemIndex:
-    """The items of one pass by their length in words, with marks of the shingles they have."""
+    """The items of one pass, and for each of their shingles the items that have it and with what weight."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.marks = np.zeros(1 << _MARK_BITS, bool)
-        by_length: dict[int, list[tuple]] = defaultdict(list)
+        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
+        lengths, totals, prints, owners = [], [], [], []
         words, bounds = word_hashes([t.lower() for t in texts], ALNUM_WORDS)
         for item, a, b in zip(ids, bounds[:-1], bounds[1:]):
             own = words[a:b]
@@ -77,25 +81,23 @@ class ItemIndex:
                 size = min(SHINGLE, len(own))
                 hashes, weights = shingle_hashes(own, size), shingle_weights(own, size)
                 self.marks[hashes >> np.uint64(64 - _MARK_BITS)] = True
-                by_length[len(own)].append((item, hashes, weights, _fingerprints(_signs(hashes, weights).sum(axis=0)[None])[0]))
-        self.lengths = {length: (rows, *self._blocks(rows)) for length, rows in sorted(by_length.items())}
-        self.shingle_sizes = sorted({min(SHINGLE, length) for length in self.lengths})
-        self.longest = max(self.lengths, default=0)
-        self.shingles = np.unique(np.concatenate([r[1] for rows in by_length.values() for r in rows] or [np.zeros(0, np.uint64)]))
-        #: For each of these shingles the items that have it, as (length, place among those of that length).
-        self.owners: list[list[tuple[int, int]]] = [[] for _ in self.shingles]
-        for length, rows in by_length.items():
-            for place, row in enumerate(rows):
-                for at in np.searchsorted(self.shingles, np.unique(row[1])).tolist():
-                    self.owners[at].append((length, place))
-
-    @staticmethod
-    def _blocks(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints, and for each block and each of its 256 values the items within FREE_BITS."""
-        prints = np.array([r[3] for r in rows], np.uint64)
-        keys = prints.view(np.uint8).reshape(-1, BLOCKS)
-        table = np.stack([_POPCOUNT[np.arange(256)[:, None] ^ keys[:, b]] <= FREE_BITS for b in range(BLOCKS)])
-        return prints, table
+                prints.append(_fingerprints(_signs(hashes, weights).sum(axis=0)[None])[0])
+                lengths.append(len(own))
+                totals.append(int(weights.sum()))
+                owners.append((hashes, np.full(len(hashes), len(self.items)), weights))
+                self.items.append((item, hashes, weights))
+        self.lengths, self.totals, self.prints = np.array(lengths, np.int64), np.array(totals, np.int64), np.array(prints, np.uint64)
+        self.shingle_sizes = sorted({min(SHINGLE, length) for length in lengths})
+        self.longest = max(lengths, default=0)
+        #: For each block and each of its 256 values, whether an item is within FREE_BITS of it there.
+        keys = self.prints.view(np.uint8).reshape(-1, BLOCKS)
+        self.blocks = [_POPCOUNT[np.arange(256)[:, None] ^ keys[:, b]] <= FREE_BITS for b in range(BLOCKS)]
+        none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        hashes, item, weight = (np.concatenate(x) for x in zip(*(owners or none)))
+        order = np.argsort(hashes, kind="stable")
+        self.shingles, self.first = np.unique(hashes[order], return_index=True)
+        self.first = np.append(self.first, len(hashes))
+        self.owner, self.owner_weight = item[order], weight[order]
 
     def matches(self, words: np.ndarray) -> dict[int, float]:
         """Items that a text contains, with their best similarity."""
@@ -109,11 +111,20 @@ class ItemIndex:
                 at = np.searchsorted(self.shingles, hashes[hits])
                 hits = hits[self.shingles[np.minimum(at, len(self.shingles) - 1)] == hashes[hits]]
             for lo, hi in self._regions(hits, len(hashes), size):
-                there = np.unique(hashes[hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)]])
-                owners = {owner for at in np.searchsorted(self.shingles, there).tolist() for owner in self.owners[at]}
-                self._windows(hashes[lo:hi], shingle_weights(words[lo : hi + size - 1], size), size, owners, found)
+                near = self._near(np.unique(hashes[hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)]]), size)
+                if len(near):
+                    self._windows(hashes[lo:hi], shingle_weights(words[lo : hi + size - 1], size), size, near, found)
         return found
 
+    def _near(self, there: np.ndarray, size: int) -> np.ndarray:
+        """Items of which these shingles have enough weight for a link."""
+        at = np.searchsorted(self.shingles, there)
+        counts = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        owned, where = np.unique(self.owner[places], return_inverse=True)
+        weight = np.bincount(where, self.owner_weight[places], len(owned))
+        return owned[(weight >= THRESHOLD * self.totals[owned] - 0.5) & (np.minimum(self.lengths[owned], SHINGLE) == size)]
+
     def _regions(self, hits: np.ndarray, n: int, size: int) -> Iterator[tuple[int, int]]:
         """Stretches that hold every window with a marked shingle; other windows share nothing with any item."""
         reach = self.longest if size == SHINGLE else size
@@ -127,28 +138,23 @@ class ItemIndex:
         if hi is not None:
             yield lo, hi
 
-    def _windows(self, hashes: np.ndarray, weights: np.ndarray, size: int, owners: set[tuple[int, int]], found: dict[int, float]) -> None:
-        """Match the windows of a stretch with the items that share a shingle with it, nearest fingerprints first."""
+    def _windows(self, hashes: np.ndarray, weights: np.ndarray, size: int, near: np.ndarray, found: dict[int, float]) -> None:
+        """Match the windows of a stretch with items, each with those that have enough of its weight, nearest fingerprints first."""
         sums = np.zeros((len(hashes) + 1, 64), np.int32)
         np.cumsum(_signs(hashes, weights), axis=0, out=sums[1:])
-        for length in sorted({length for length, _ in owners}):
-            if min(SHINGLE, length) != size:
-                continue
+        for length in np.unique(self.lengths[near]).tolist():
             k = min(length - size + 1, len(hashes))  # a stretch shorter than the item is the whole text
-            rows, prints, table = self.lengths[length]
-            places = np.array(sorted(place for own, place in owners if own == length))
             windows = _fingerprints(sums[k:] - sums[:-k])
-            keys = windows.view(np.uint8).reshape(-1, BLOCKS)
-            candidate = np.zeros((len(windows), len(places)), bool)
-            for b in range(BLOCKS):
-                candidate |= table[b][keys[:, b]][:, places]
-            at, column = np.nonzero(candidate)
-            apart = np.bitwise_count(windows[at] ^ prints[places[column]])
-            for i in np.argsort(apart, kind="stable").tolist():
-                if apart[i] > RADIUS:
-                    break
-                name, own, own_weights, _ = rows[places[column[i]]]
-                if found.get(name, 0) < 1:
+            for place in near[self.lengths[near] == length].tolist():
+                name, own, own_weights = self.items[place]
+                run = np.concatenate([[0], np.cumsum(weights * np.isin(hashes, own))])
+                at = np.flatnonzero(run[k:] - run[:-k] >= THRESHOLD * self.totals[place] - 0.5)
+                keys = windows[at].view(np.uint8).reshape(-1, BLOCKS)
+                at = at[np.any([self.blocks[b][keys[:, b], place] for b in range(BLOCKS)], axis=0)]
+                apart = np.bitwise_count(windows[at] ^ self.prints[place])
+                for i in np.argsort(apart, kind="stable").tolist():
+                    if apart[i] > RADIUS or found.get(name, 0) >= 1:
+                        break
                     p = at[i]
                     similarity = weighted_jaccard(hashes[p : p + k], weights[p : p + k], own, own_weights)
                     if similarity >= THRESHOLD and similarity > found.get(name, 0):

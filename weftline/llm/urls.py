@@ -56,7 +56,11 @@ def alias_key(url: Column) -> Column:
     return F.when(host_of(url) != "", key)
 
 
-_TAG = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+#: Elements whose contents are no tags, or none that count.
+_OPAQUE = "script|style|textarea|title|template|iframe|xmp|noembed|noframes"
+_OPENS = r"(?i)^<(?:link|meta|base)\b"
+#: Comments and opaque elements are taken whole, so that tags inside them are not seen; a tag without an end stops at the next one.
+_TAG = rf"""(?is)<!--.*?(?:-->|\z)|<({_OPAQUE})\b[^>]*+>.*?(?:</\1\b|\z)|<(?:link|meta|base)\b(?:(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>)"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -80,8 +84,11 @@ def _resolved(url: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
 
 
 def html_aliases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``src, dst`` between a page's URL and the URLs of all its canonical links and refresh redirects."""
-    tags = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_TAG), 0)
+    """Edges ``src, dst`` between a page's URL and the URLs of all its canonical links and refresh redirects.
+
+    Tags in comments, scripts, styles and other elements without markup of their own are none.
+    """
+    tags = F.filter(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_TAG), 0), lambda t: t.rlike(_OPENS))
     bases = F.filter(F.transform(F.filter("_tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda x: x != "")
 
     def target(tag: Column) -> Column:
