@@ -1,16 +1,19 @@
 """Declarations of TypeScript and JavaScript modules: symbols with scopes, locations and signatures, props with types and comments.
 
-All is derived from rows of tokens (``lexical``): tokens that stand side by side in one bracket are siblings, and
-windows over siblings find what a declaration's word is followed by, where its body is and where its statement ends. A
-bracket's contents are no siblings of what stands around it, so nothing here depends on how deep it is nested.
+All is derived from a module's tokens (``lexical``), which are linked to those beside them in the same bracket, to the next
+brackets and to the end of their statement. A bracket's contents are no neighbours of what stands around it, so nothing here
+depends on how deep it is nested. Only declarations become rows; what stands inside parameter lists and bodies is split at
+separators by windows over numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.lexical import with_tokens
+from weftline.functions.lexical import GOES_ON, with_tokens
 from weftline.functions.text import literal_type, unquoted
 from weftline.sources.kept import kept
 
@@ -18,40 +21,57 @@ KINDS = {"function": "function", "class": "class", "const": "variable", "let": "
 #: Words that change what follows them.
 SCOPES, MODIFIERS = ("public", "private", "protected"), ("static", "async", "readonly", "abstract", "override", "const")
 _PREFIXES = (*SCOPES, *MODIFIERS, "get", "set", "declare", "export", "default", "*")
-#: A statement goes on behind these, and where a line starts with one of those.
-_GOES_ON = ("=", "(", "[", "{", ",", ".", ":", "?", "+", "-", "*", "/", "%", "&", "|", "^", "!", "~", "<", "=>", "...", "@", "extends", "implements", "as", "typeof", "keyof", "new", "await", "satisfies", "is", "in", "of", "return")
-_CONTINUES = ("=", ")", "]", "}", "{", "(", "[", ",", ";", ".", ":", "?", "+", "-", "*", "/", "%", "&", "|", "^", "<", ">", "=>", "extends", "implements", "as", "satisfies", "is")
-#: Braces behind these belong to a type or a value, not to a body.
-_NO_BODY = (":", "|", "&", "<", ",", "=>", "=", "is", "(")
 
 
 def siblings(rows: DataFrame) -> DataFrame:
-    """Tokens of ``modules``: ``path, seq, kind, text, ...`` and what stands beside each in its bracket; computed once and kept.
+    """``modules`` with ``_tokens``, read once and kept."""
+    return kept(with_tokens(rows.select("path", "language", "raw", "markup"), "raw", "markup").select("path", "language", "_tokens"))
+
+
+def _at(place: Column) -> Column:
+    """The module's token at a place, null if there is none."""
+    return F.get("_tokens", place)
 
-    ``b1`` to ``b4`` and ``a1`` to ``a4`` are the tokens before and after; ``angle`` the angle brackets open at a token; ``begins``
-    whether a statement starts; ``leads`` its first word, ``const``, ``let`` and ``var`` before ``export``; ``paren``, ``body`` and ``block`` the next parenthesis, the next brace that can be a body, and
-    the next brace of any kind; ``stop`` where the statement ends, ``last`` where the bracket's contents do.
+
+def _some(tokens: DataFrame, condition: Callable[[Column], Column]) -> DataFrame:
+    """Rows ``path, language, seq, kind, text, ...`` of the tokens that meet a condition, with what they are linked to.
+
+    ``b1`` to ``b4`` and ``a1`` to ``a4`` are the tokens before and after in the same bracket; ``leads`` is the
+    statement's first word; ``paren``, ``body`` and ``block`` are the next brackets with their ends, ``stop`` and ``last``
+    the ends of the statement and of what the bracket holds.
     """
-    read = with_tokens(rows.select("path", "language", "raw", "markup"), "raw", "markup")
-    tokens = read.select("path", "language", F.posexplode("_tokens").alias("seq", "_t")).select("path", "language", "seq", "_t.*")
-    back = Window.partitionBy("path", "up").orderBy(F.desc("seq"))
-    behind = back.rowsBetween(Window.unboundedPreceding, -1)
-    end_column = (F.col("column") + F.col("to") - F.col("at")).alias("column")
-    own = F.struct("seq", "kind", "text", "at", "to", "line", "column")
-    word = F.struct("seq", "kind", "text", "at", "line", "column")
-    near = tokens.select("*", F.lag(own, 1).over(back).alias("a1"), F.lag(own, 2).over(back).alias("a2"), *(F.lag(F.struct("seq", "text"), n).over(back).alias(f"a{n}") for n in (3, 4)), F.lead(own, 1).over(back).alias("b1"), *(F.lead(word, n).over(back).alias(f"b{n}") for n in (2, 3, 4)))
-    angle = F.when(F.col("text") == "<", 1).when(F.col("text") == ">", -1).otherwise(0)
-    first = F.col("b1").isNull() | ((F.col("line") > F.col("b1.line")) & ~F.col("b1.text").isin(*_GOES_ON) & ~F.col("text").isin(*_CONTINUES)) | (F.col("b1.text") == ";")
-    marked = near.withColumns({"begins": first, "angle": F.coalesce(F.sum(angle).over(behind), F.lit(0))})
-    bracket = lambda kind, where: F.last(F.when((F.col("text") == kind) & where, F.struct("seq", "at", F.col("a1.to").alias("to"), F.col("a1.line").alias("line"), (F.col("a1.column") + 1).alias("column"), F.col("a2.text").alias("next"), F.col("a2.to").alias("next_to"))), True).over(behind)
-    ends = F.when(F.col("text") == ";", F.struct("seq", "at", "to", "line", end_column)).when(
-        F.col("begins") & F.col("b1").isNotNull(), F.struct("seq", F.col("b1.to").alias("at"), F.col("b1.to").alias("to"), F.col("b1.line").alias("line"), (F.col("b1.column") + F.col("b1.to") - F.col("b1.at")).alias("column"))
-    )
-    return kept(marked.withColumns({
-        "paren": bracket("(", F.lit(True)), "body": bracket("{", ~F.coalesce(F.col("b1.text").isin(*_NO_BODY), F.lit(False))), "block": bracket("{", F.lit(True)),
-        "leads": F.last(F.when(F.col("begins") | F.col("text").isin("const", "let", "var"), own), True).over(Window.partitionBy("path", "up").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "stop": F.last(ends, True).over(behind), "last": F.first(F.struct("seq", F.col("to").alias("at"), "to", "line", end_column)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    }))
+    parts = lambda t, *names: F.when(t.isNotNull(), F.struct(*(t[c].alias(c) for c in names)))
+    end = lambda t: F.when(t.isNotNull(), F.struct(t["at"].alias("at"), t["to"].alias("to"), t["line"].alias("line"), (t["column"] + t["to"] - t["at"]).alias("column"), t["seq"].alias("seq")))
+
+    def bracket(opener: Column) -> Column:
+        closer = _at(opener["mate"])
+        then = _at(closer["next"])
+        return F.when(
+            opener.isNotNull(),
+            F.struct(opener["seq"].alias("seq"), opener["at"].alias("at"), closer["to"].alias("to"), closer["line"].alias("line"), (closer["column"] + 1).alias("column"), then["text"].alias("next"), then["to"].alias("next_to")),
+        )
+
+    def linked(t: Column) -> Column:
+        own = [t[c].alias(c) for c in ("seq", "kind", "text", "at", "to", "line", "column", "up", "scope", "angle", "begins")]
+        before, after = [_at(t["prev"])], [_at(t["next"])]
+        for _ in range(3):
+            before.append(_at(before[-1]["prev"]))
+            after.append(_at(after[-1]["next"]))
+        near = [parts(b, "text", "at", "line", "column").alias(f"b{n + 1}") for n, b in enumerate(before)]
+        near += [parts(a, "seq", "kind", "text", "to", "line").alias(f"a{n + 1}") for n, a in enumerate(after)]
+        ahead = [bracket(_at(t[c])).alias(c) for c in ("paren", "body", "block")] + [end(_at(t[c])).alias(c) for c in ("stop", "last")]
+        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"))
+
+    each = tokens.select("path", "language", F.explode(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
+    return each.select("path", "language", "_x.*")
+
+
+def _inside(tokens: DataFrame, bracket: str) -> DataFrame:
+    """Tokens that stand in brackets of a kind: ``path, up, seq, kind, text, at, to, angle, begins, comment`` and the text before, ``before``."""
+    held = F.filter("_tokens", lambda t: _at(t["up"])["text"] == bracket)
+    fields = ("up", "seq", "kind", "text", "at", "to", "angle", "begins", "comment")
+    rows = F.transform(held, lambda t: F.struct(*(t[c].alias(c) for c in fields), _at(t["prev"])["text"].alias("before")))
+    return tokens.select("path", F.explode(rows).alias("_t")).select("path", "_t.*")
 
 
 def _heads(tokens: DataFrame) -> DataFrame:
@@ -63,8 +83,8 @@ def _heads(tokens: DataFrame) -> DataFrame:
         F.when(text == "class", ~F.col("a1.text").isin("extends", "implements")).when(text == "interface", after.isin("{", "extends", "<")).when(text == "type", after.isin("=", "<"))
         .when(text == "enum", after == "{").when(text.isin("namespace", "module"), after.isin("{", ".")).when(text.isin("const", "let", "var"), F.col("a1.text") != "enum").otherwise(F.lit(True))
     )
-    statement = F.col("b1").isNull() | ~F.col("b1.text").isin(*_GOES_ON) | (F.col("begins") & (F.col("b1.text") != "."))
-    found = tokens.where(F.col("kind") == "w").where(text.isin(*KINDS)).withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
+    statement = F.col("b1").isNull() | ~F.col("b1.text").isin(*GOES_ON) | (F.col("begins") & (F.col("b1.text") != "."))
+    found = _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*KINDS)).withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
     value = (after == "=") & ~star
     function = value & ((F.col("a3.text") == "function") | ((F.col("a3.text") == "async") & (F.col("a4.text") == "function")))
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
@@ -81,21 +101,22 @@ def _full_name() -> Column:
 
 def _further(tokens: DataFrame) -> DataFrame:
     """Names behind a comma in a statement of ``const``, ``let`` or ``var``."""
-    found = tokens.where("kind = 'w' and b1.text = ',' and leads.text in ('const', 'let', 'var') and angle = 0").where(F.col("a1").isNull() | F.col("a1.text").isin("=", ":", ",", ";"))
+    found = _some(tokens, lambda t: (t["kind"] == "w") & (_at(t["prev"])["text"] == ",") & _at(t["lead"])["text"].isin("const", "let", "var")).where("leads.text in ('const', 'let', 'var') and angle = 0").where(F.col("a1").isNull() | F.col("a1.text").isin("=", ":", ",", ";"))
     function = (F.col("a1.text") == "=") & ((F.col("a2.text") == "function") | ((F.col("a2.text") == "async") & (F.col("a3.text") == "function")))
-    return found.select("*", F.when(function, "function").otherwise("variable").alias("kind_of"), F.lit(None).cast(dict(tokens.dtypes)["body"]).alias("own_body"))
+    return found.select("*", F.when(function, "function").otherwise("variable").alias("kind_of"), F.lit(None).cast(dict(found.dtypes)["body"]).alias("own_body"))
 
 
 def _class_bodies(tokens: DataFrame) -> DataFrame:
     """Braces of all classes, named or not: ``path, up``."""
-    classes = tokens.where("kind = 'w' and text = 'class' and body is not null and (b1 is null or b1.text <> '.')")
-    return classes.select("path", F.col("body.seq").alias("up"))
+    classes = F.filter("_tokens", lambda t: (t["kind"] == "w") & (t["text"] == "class") & (t["body"] >= 0) & F.coalesce(_at(t["prev"])["text"] != ".", F.lit(True)))
+    return tokens.select("path", F.explode(F.transform(classes, lambda t: t["body"])).alias("up"))
 
 
 def _members(tokens: DataFrame) -> DataFrame:
     """Methods and fields of classes, and of JavaScript's objects the methods and functions."""
     prefixed = F.col("b1").isNull() | F.col("begins") | F.col("b1.text").isin(";", "}", ",", *_PREFIXES)
-    named = tokens.where(F.col("kind") == "w").where(prefixed)
+    followed = lambda t: F.coalesce(_at(t["next"])["text"].isin("(", "<", ":", "=", "?", "!", ";") | (_at(t["next"])["line"] > t["line"]), F.lit(True))
+    named = _some(tokens, lambda t: (t["kind"] == "w") & (t["up"] >= 0) & followed(t)).where(prefixed)
     method = F.col("a1.text").isin("(", "<") & F.col("paren").isNotNull()
     in_class = named.join(_class_bodies(tokens), ["path", "up"]).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
     in_class = in_class.where(~F.col("text").isin("static", "readonly") | F.col("a1.text").isin("(", ":", "=")).where((F.col("b1").isNull()) | (F.col("b1.text") != ",")).withColumn(
@@ -126,14 +147,15 @@ def _modifiers() -> tuple[Column, Column]:
 def _scope_names(tokens: DataFrame, heads: DataFrame) -> DataFrame:
     """Full names of scopes: ``path, scope`` (the brace) and ``outer``, the names of all that are open there."""
     names = heads.where("word in ('class', 'interface', 'namespace', 'module') and own_body is not null").select("path", F.col("own_body.seq").alias("_s"), _full_name().alias("_name"))
-    chains = tokens.where("scopes is not null").select("path", F.col("seq").alias("scope"), F.explode("scopes").alias("_s"))
+    braces = tokens.select("path", F.explode(F.filter("_tokens", lambda t: t["scopes"].isNotNull())).alias("_t"))
+    chains = braces.select("path", F.col("_t.seq").alias("scope"), F.explode("_t.scopes").alias("_s"))
     ordered = chains.join(names, ["path", "_s"]).groupBy("path", "scope").agg(F.sort_array(F.collect_list(F.struct("_s", "_name"))).alias("_n"))
     return ordered.select("path", "scope", F.array_join(F.transform("_n", lambda x: x["_name"]), ".").alias("outer"))
 
 
 def _parameters(tokens: DataFrame, lists: DataFrame) -> DataFrame:
     """Parameters of ``lists(path, paren)``: ``path, paren, parameters`` in order, an array of offsets of names and types."""
-    inside = tokens.join(lists.select("path", F.col("paren").alias("up")).distinct(), ["path", "up"])
+    inside = _inside(tokens, "(").join(lists.select("path", F.col("paren").alias("up")).distinct(), ["path", "up"])
     comma = (F.col("text") == ",") & (F.col("angle") == 0)
     back = Window.partitionBy("path", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     numbered = inside.withColumn("_no", F.count_if(comma).over(back)).where(~comma)
@@ -151,6 +173,20 @@ def _cut(at: Column, to: Column) -> Column:
     return F.trim(F.regexp_replace(F.decode(F.substring(F.encode("raw", "UTF-8"), at + 1, to - at), "UTF-8"), r"^\s+|\s+$", ""))
 
 
+def _exported() -> Column:
+    """Whether an export stands next to a declaration's name."""
+    return F.array_contains("_words", "export") & (F.col("word") != "") & ~F.col("word").isin("const", "let", "var")
+
+
+def symbol_names(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """What ``symbols`` finds, by ``path, name, kind, is_exported`` alone, without a shuffle but for members."""
+    tokens = siblings(rows) if tokens is None else tokens
+    words, _ = _modifiers()
+    heads = _heads(tokens).select("path", _full_name().alias("name"), F.col("kind_of").alias("kind"), words.alias("_words"), "word")
+    plain = lambda found: found.select("path", F.col("text").alias("name"), F.col("kind_of").alias("kind"), F.lit(False).alias("is_exported"))
+    return heads.select("path", "name", "kind", _exported().alias("is_exported")).unionByName(plain(_members(tokens))).unionByName(plain(_further(tokens)))
+
+
 def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Declarations at any depth and members of classes.
 
@@ -176,11 +212,10 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     returns = F.when(typescript & (F.col("paren.next") == ":"), _cut(F.col("paren.next_to"), F.coalesce("own_body.at", "stop.at", "last.to")))
     none = F.array().cast("array<string>")
     bare = lambda p: F.regexp_replace(_cut(p["at"], p["to"]), r"^(?:(?:public|private|protected|readonly|override)\s+)+", "")
-    exported = F.array_contains("_words", "export") & (F.col("word") != "") & ~F.col("word").isin("const", "let", "var")
     modifiers = F.concat(F.filter("_words", lambda w: w.isin(*MODIFIERS)), F.when(F.col("word") == "const", F.array(F.lit("const"))).otherwise(none))
     return listed.select(
         "path", F.col("seq").alias("pos"), "name", F.concat_ws(".", "outer", "name").alias("fqn"), F.col("kind_of").alias("kind"),
-        F.coalesce(F.get(F.filter("_words", lambda w: w.isin(*SCOPES)), F.lit(0)), F.lit("")).alias("scope"), modifiers.alias("modifiers"), exported.alias("is_exported"),
+        F.coalesce(F.get(F.filter("_words", lambda w: w.isin(*SCOPES)), F.lit(0)), F.lit("")).alias("scope"), modifiers.alias("modifiers"), _exported().alias("is_exported"),
         F.coalesce(F.transform("parameters", bare), none).alias("parameters"), F.coalesce(F.transform("parameters", lambda p: F.coalesce(_cut(p["type_at"], p["type_to"]), F.lit(""))), none).alias("parameter_types"),
         F.coalesce(returns, F.lit("")).alias("return_type"), F.col("_start.line").alias("start_line"), F.col("_start.column").alias("start_column"), end["line"].alias("end_line"), end["column"].alias("end_column"),
         F.col("_start.at").alias("start_byte"), end["to"].alias("end_byte"),
@@ -189,9 +224,9 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def _signatures(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     """Property signatures in ``blocks(path, owner, up)``: ``path, owner, pos, name, required, comment`` and ``parts``, the type's tokens."""
-    inside = tokens.join(blocks, ["path", "up"])
+    inside = _inside(tokens, "{").join(blocks, ["path", "up"])
     separator = F.col("text").isin(";", ",") & (F.col("angle") == 0)
-    begins = F.col("begins") | (F.col("b1.text") == ",") & (F.col("angle") == 0)
+    begins = F.col("begins") | F.coalesce((F.col("before") == ",") & (F.col("angle") == 0), F.lit(False))
     back = Window.partitionBy("path", "owner", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     numbered = inside.withColumn("_no", F.count_if(begins).over(back)).where(~separator)
     each = numbered.groupBy("path", "owner", "up", "_no").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "at", "to", "angle"))).alias("_t"), F.min_by("comment", "seq").alias("comment"))
@@ -282,7 +317,7 @@ def inline_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     heads = _heads(tokens)
     arrow = F.col("word").isin("const", "let", "var") & (F.col("a2.text") == "=") & F.col("a3.text").isin("(", "async")
     lists = heads.where(((F.col("word") == "function") | arrow) & F.col("paren").isNotNull()).select("path", F.col("name.text").alias("owner"), F.col("paren.seq").alias("up"))
-    braces = tokens.where("text = '{' and b1.text in (':', '&', '|')").join(lists, ["path", "up"])
+    braces = _inside(tokens, "(").where("text = '{' and before in (':', '&', '|')").join(lists, ["path", "up"])
     return _props(rows, tokens, braces.select("path", "owner", F.col("seq").alias("up")))
 
 
@@ -290,8 +325,8 @@ def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Variant calls: ``path, pos, variable, name, allowed_values, default``, a row for each variant."""
     tokens = siblings(rows) if tokens is None else tokens
     calls = _heads(tokens).where("word in ('const', 'let', 'var') and a2.text = '=' and a3.text = 'cva' and a4.text = '('").select("path", F.col("name.text").alias("variable"), F.col("a4.seq").alias("up"))
-    options = tokens.where("text = '{' and b1.text = ','").join(calls, ["path", "up"]).select("path", "variable", F.col("seq").alias("up"))
-    keys = tokens.where("kind in ('w', 's') and a1.text = ':' and (b1 is null or b1.text = ',')").select("path", "up", "seq", unquoted(F.col("text")).alias("key"), F.col("a2").alias("value"))
+    options = _inside(tokens, "(").where("text = '{' and before = ','").join(calls, ["path", "up"]).select("path", "variable", F.col("seq").alias("up"))
+    keys = _some(tokens, lambda t: t["kind"].isin("w", "s") & (_at(t["next"])["text"] == ":") & F.coalesce(_at(t["prev"])["text"] == ",", F.lit(True))).select("path", "up", "seq", unquoted(F.col("text")).alias("key"), F.col("a2").alias("value"))
 
     def below(rows: DataFrame, at: str, key: str, value: str) -> DataFrame:
         """The keys in the object that starts at a token."""

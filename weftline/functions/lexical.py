@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +37,17 @@ ELEMENT = "struct<name:string,line:int,column:int,has_children:boolean,up:int,pr
 ELEMENT_TYPE = pa.struct([("name", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("has_children", pa.bool_()), ("up", pa.int32()), ("props", pa.map_(pa.string(), pa.string()))])
 
 
-_NUMBERS = ("at", "to", "line", "column", "up", "mate", "scope")
-TOKEN = f"struct<kind:string,text:string,{','.join(f'{n}:int' for n in _NUMBERS)},scopes:array<int>,comment:string>"
-TOKEN_TYPE = pa.struct([("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in _NUMBERS), ("scopes", pa.list_(pa.int32())), ("comment", pa.string())])
+_NUMBERS = ("seq", "at", "to", "line", "column", "up", "mate", "scope", "prev", "next", "angle", "lead", "paren", "body", "block", "stop", "last")
+TOKEN = f"struct<kind:string,text:string,{','.join(f'{n}:int' for n in _NUMBERS)},begins:boolean,scopes:array<int>,comment:string>"
+TOKEN_TYPE = pa.struct([("kind", pa.string()), ("text", pa.string()), *((n, pa.int32()) for n in _NUMBERS), ("begins", pa.bool_()), ("scopes", pa.list_(pa.int32())), ("comment", pa.string())])
 #: A brace after one of these words, in the same statement, opens a scope that may have a name.
 _SCOPE_WORDS = {b"class", b"interface", b"namespace", b"module", b"enum"}
+#: A statement goes on behind these tokens, and where a line starts with one of those.
+GOES_ON = tuple("= ( [ { , . : ? + - * / % & | ^ ! ~ < => ... @ extends implements as typeof keyof new await satisfies is in of return".split())
+_BEFORE = frozenset(GOES_ON)
+_CONTINUES = frozenset("= ) ] } { ( [ , ; . : ? + - * / % & | ^ < > => extends implements as satisfies is".split())
+#: Braces behind these belong to a type or a value, not to a body.
+_NO_BODY = frozenset(": | & < , => = is (".split())
 _PAIRS = {b"(": b")", b"[": b"]", b"{": b"}"}
 _CLOSERS = {b: a for a, b in _PAIRS.items()}
 
@@ -68,7 +75,10 @@ class Scan:
     in strings, templates' text, comments and attributes' values are no elements; HTML tags and fragments
     stand between an element and its component without counting. ``mate`` is a bracket's other end, -1 where it has none;
     ``scope`` is the brace of the enclosing class, interface, namespace or enum, and ``scopes``, at such braces, are all that are open; ``comment``
-    is the last comment before a token in its bracket, separators aside.
+    is the last comment before a token in its bracket, separators aside. Links between tokens are their places in the list, or
+    -1: ``prev`` and ``next`` in the same bracket, ``paren``, ``body`` and ``block`` the next parenthesis, the next brace that can be a
+    body, and the next of any kind; ``lead`` the statement's first word, ``stop`` its last token, ``last`` the bracket's. ``angle``
+    counts angle brackets open at a token, ``begins`` says whether a statement starts.
     """
 
     def __init__(self, code: bytes, tokens: bool = False, markup: bool = True):
@@ -80,6 +90,40 @@ class Scan:
         at, step = 0, (self._code, self._text, self._tag, self._template)
         while at is not None:
             at = step[self.stack[-1].kind](at)
+        if tokens:
+            self._link()
+
+    def _link(self) -> None:
+        """Tie siblings, the tokens of one bracket, to each other: neighbours, the next brackets, and where statements begin and stop."""
+        siblings: dict[int, list[dict]] = {}
+        for seq, token in enumerate(self.tokens):
+            token["seq"] = seq
+            siblings.setdefault(token["up"], []).append(token)
+        for row in siblings.values():
+            before, lead = None, -1
+            for token in row:
+                text = token["text"]
+                token["prev"] = before["seq"] if before else -1
+                token["begins"] = before is None or before["text"] == ";" or token["line"] > before["line"] and before["text"] not in _BEFORE and text not in _CONTINUES
+                if token["begins"] or text in ("const", "let", "var"):
+                    lead = token["seq"]
+                token["lead"], before = lead, token
+            after = paren = body = block = stop = -1
+            angle = 0
+            for token in reversed(row):
+                text, prev = token["text"], token["prev"]
+                token.update(next=after, angle=angle, paren=paren, body=body, block=block, stop=stop, last=row[-1]["seq"])
+                after = token["seq"]
+                angle += (text == "<") - (text == ">")
+                if text == "(":
+                    paren = after
+                elif text == "{":
+                    block = after
+                    body = after if prev < 0 or self.tokens[prev]["text"] not in _NO_BODY else body
+                if text == ";":
+                    stop = after
+                elif token["begins"] and prev >= 0:
+                    stop = prev
 
     def _place(self, at: int) -> tuple[int, int]:
         """Line and column of an offset not before the last one asked for."""
@@ -220,6 +264,13 @@ class Scan:
         return m.end()
 
 
+def _lists(rows: list[list[dict]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of records, field by field."""
+    flat = list(chain.from_iterable(rows))
+    columns = [pa.array([list(r[f.name].items()) for r in flat] if pa.types.is_map(f.type) else [r[f.name] for r in flat], f.type) for f in kind]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
 def _scanned(rows: DataFrame, code: str, markup: str | None, name: str, kind: str, arrow: pa.DataType, read: Callable[[bytes, bool], list[dict]]) -> DataFrame:
     """Add an array column that ``read`` makes of each text; null texts have an empty one."""
 
@@ -227,7 +278,7 @@ def _scanned(rows: DataFrame, code: str, markup: str | None, name: str, kind: st
         for batch in batches:
             texts, flags = batch.column(0), batch.column(1)
             out = [read(t.as_buffer().to_pybytes() if t.is_valid else b"", bool(f)) for t, f in zip(texts, flags.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.list_(arrow))], [*batch.schema.names[2:], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], _lists(out, arrow)], [*batch.schema.names[2:], name])
 
     flag = F.lit(True) if markup is None else F.col(markup)
     others = [F.col(f"`{c}`") for c in rows.columns]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftline.functions.declarations import inline_props, interface_props, siblings, symbols, variant_sets  # noqa: F401
+from weftline.functions.declarations import inline_props, interface_props, siblings, symbol_names, symbols, variant_sets  # noqa: F401
 from weftline.functions.text import is_external, literal_type, unquoted
 from weftline.sources.files import language
 

@@ -191,7 +191,7 @@ def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | Non
 
     rows = m.modules(files)
     tokens = m.siblings(rows)
-    components = kept(detected(m.component_facts(rows), m.symbols(rows, tokens), m.module_exports(rows)))
+    components = kept(detected(m.component_facts(rows), m.symbol_names(rows, tokens), m.module_exports(rows)))
     props = component_props(components, m.interface_props(rows, tokens), m.variant_sets(rows, tokens), m.props_heads(rows), m.inline_props(rows, tokens))
     if docgen is not None:
         paths = components.select("path", F.col("name").alias("component"))

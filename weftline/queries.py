@@ -198,7 +198,7 @@ def x4_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _detected(spark: SparkSession, sf_dir: str, tokens: DataFrame | None = None) -> DataFrame:
     rows = modules.modules(derived.part_modules(spark, sf_dir))
-    return kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
+    return kept(scan.detected(modules.component_facts(rows), modules.symbol_names(rows, tokens), modules.module_exports(rows)))
 
 
 @query("""select lower(p_type) || '/p' || p_partkey || '.tsx' path, 'P' || p_partkey as name, 'function' kind, 'P' || p_partkey || 'Props' props_type from part where p_size % 2 = 0
@@ -360,7 +360,7 @@ def j12_variant_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set gives props to the component whose props type extends it, or to a file's only component."""
     rows = modules.modules(derived.part_variants(spark, sf_dir))
     tokens = modules.siblings(rows)
-    found = kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
+    found = kept(scan.detected(modules.component_facts(rows), modules.symbol_names(rows, tokens), modules.module_exports(rows)))
     props = scan.component_props(found, modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows))
     return props.select("path", "component", "name", "required", F.array_join("allowed_values", ",").alias("allowed"), "default")
 
@@ -424,7 +424,7 @@ def p4_inline_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Props that a component takes apart, typed by the object type written beside them."""
     rows = modules.modules(derived.part_types(spark, sf_dir))
     tokens = modules.siblings(rows)
-    found = kept(scan.detected(modules.component_facts(rows), modules.symbols(rows, tokens), modules.module_exports(rows)))
+    found = kept(scan.detected(modules.component_facts(rows), modules.symbol_names(rows, tokens), modules.module_exports(rows)))
     props = scan.component_props(found, modules.interface_props(rows, tokens), modules.variant_sets(rows, tokens), modules.props_heads(rows), modules.inline_props(rows, tokens))
     return props.select("path", "component", "name", "type", "default", F.array_join("allowed_values", ";").alias("allowed"))
 

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out before each of them becomes a file, as files come in many partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _typed(rows: DataFrame) -> DataFrame:
     """Add what a component lacks and put its fields in the catalog's order."""
     defaults = {"examples": f"cast(array() as array<{EXAMPLE}>)", "guidelines": f"cast(array() as array<{GUIDELINE}>)", "deprecated": "false", "deprecated_msg": "''"}
@@ -95,7 +100,7 @@ def part_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(p_size % 2 = 0, concat('export function P', p_partkey, '({ size = ', p_size, ', brand }: P', p_partkey, 'Props) {\\n  return <b>{size}</b>;\\n}'), concat('export function p', p_partkey, '() {\\n  return 1;\\n}')), "
         "if(p_size % 3 = 0, concat('export const P', p_partkey, 'Extra = memo(() => <i/>)'), null))"
     )
-    return table(spark, sf_dir, "part").selectExpr("concat(lower(p_type), '/p', p_partkey, '.tsx') as path", f"{code} as content")
+    return _spread(table(spark, sf_dir, "part")).selectExpr("concat(lower(p_type), '/p', p_partkey, '.tsx') as path", f"{code} as content")
 
 
 def part_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +127,7 @@ def part_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('const when', k, ': Map<Key', p_size, ', string> = x;\\nlet raw', k, ' = load() as Row', p_size, ';'), "
         "concat('export class C', k, ' extends Base {\\n', i, 'private static count', k, ': number = 0;\\n', i, 'async load(\\n', i, i, 'a: string,\\n', i, ') {\\n', i, i, 'go(a);\\n', i, '}\\n}'))"
     )
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size", "element_at(array('  ', '    ', '\\t'), cast(p_size % 3 + 1 as int)) as i", "lower(p_type) as folder")
+    rows = _spread(table(spark, sf_dir, "part")).selectExpr("p_partkey as k", "p_size", "element_at(array('  ', '    ', '\\t'), cast(p_size % 3 + 1 as int)) as i", "lower(p_type) as folder")
     return rows.selectExpr("concat(folder, '/t', k, '.tsx') as path", f"{code} as content")
 
 
@@ -134,7 +139,7 @@ def part_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('    private static async load', k, '({ a, b = ', s, ' }: Opts', s, ', cb: (x: Map<string, number>) => void, ...rest: string[]): Promise<Row', s, '[]> {')",
         "concat('      let deep', k, ' = ', repeat('{ a: ', s), '1', repeat(' }', s), ';')", "concat('      function inner', k, '(z?: number) { return \"}\"; }')", "'    }'", "'  }'", "'}'",
     )
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", "lower(p_type) as folder")
+    rows = _spread(table(spark, sf_dir, "part")).selectExpr("p_partkey as k", "p_size as s", "lower(p_type) as folder")
     return rows.selectExpr("concat(folder, '/n', k, '.ts') as path", "concat_ws('\n', " + ", ".join(lines) + ") as content")
 
 
@@ -146,7 +151,7 @@ def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('  gen?: Array<Row', s, '>;')", "'  cb: (a: \"p\" | \"q\", b: Map<string, number>) => void;'", "concat('  both: A', k, ' & { z: string };\n}')",
         "concat('export function T', k, '({ size = \"s', s, '\", rest }: React.ComponentProps<\"b\"> & { size?: \"s', s, '\" | \"lg\" }) {\n  return <b>{rest}</b>;\n}')",
     )
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", "p_brand as b", "lower(p_type) as folder")
+    rows = _spread(table(spark, sf_dir, "part")).selectExpr("p_partkey as k", "p_size as s", "p_brand as b", "lower(p_type) as folder")
     return rows.selectExpr("concat(folder, '/y', k, '.tsx') as path", "concat_ws('\n', " + ", ".join(lines) + ") as content")
 
 
@@ -156,7 +161,7 @@ def supplier_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat_ws('\\n', concat('const a', s_suppkey, ' = require(\"lib-', s_nationkey, '\");'), concat('const { b, c: d } = require(\"./s', s_suppkey, '\");'), 'const e = require(\"../z\").f;', "
         "if(s_suppkey % 2 = 0, concat('module.exports = a', s_suppkey, ';'), concat('module.exports = { x', s_suppkey, ', y: 1 };')), concat('exports.g', s_suppkey, ' = 1;'))"
     )
-    return table(spark, sf_dir, "supplier").selectExpr("concat('n', s_nationkey, '/s', s_suppkey, '.js') as path", f"{code} as content")
+    return _spread(table(spark, sf_dir, "supplier")).selectExpr("concat('n', s_nationkey, '/s', s_suppkey, '.js') as path", f"{code} as content")
 
 
 def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
