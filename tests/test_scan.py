@@ -60,8 +60,10 @@ def test_enrichment(spark, rows):
 def test_enrichment_keeps_files_apart(spark):
     files_ = spark.createDataFrame([(f"{d}/b.tsx", f"interface P {{ {p}: string }}\nexport function B({{ {p} }}: P) {{ return <b/>; }}") for d, p in (("a", "x"), ("c", "y"))], "path string, content string")
     report = spark.createDataFrame([("B", 0, "x", "string", True, "", "doc", [], False)], "component string, pos int, name string, type string, required boolean, default string, description string, allowed_values array<string>, deprecated boolean")
-    got = {r["import_path"]: {p["name"]: p["description"] for p in r["props"]} for r in scan.scan(files_, docgen=report).components.collect()}
+    got = {r["import_path"]: {p["name"]: p["description"] for p in r["props"]} for r in scan.scan(files_, docgen=report, check=False).components.collect()}
     assert got == {"./a/b": {"x": "doc"}, "./c/b": {"x": "doc", "y": ""}}
+    with pytest.raises(Exception, match="catalog validation failed: duplicate component: B"):
+        scan.scan(files_, docgen=report).components.collect()
 
 
 def test_members_of_nested_classes(spark):

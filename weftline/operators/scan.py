@@ -138,10 +138,10 @@ def compound_groups(components: DataFrame) -> DataFrame:
     return whole.where("_k >= 2 and _all and name <> parent").select("path", "parent", "name")
 
 
-def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, name: str, prefix: str = "", check: bool = True) -> Catalog:
+def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, name: str, prefix: str = "", check: bool = False) -> Catalog:
     """Assemble a catalog: sub-components under their parents, sorted by name, categories by folder.
 
-    Unless ``check`` is off, its tables fail to be read where it has integrity errors, such as two components of one name.
+    With ``check`` its tables fail to be read where it has integrity errors, such as two components of one name.
     """
     groups = compound_groups(components)
     fields = F.struct("name", "type", "required", "default", "description", "allowed_values", "deprecated")
@@ -185,7 +185,8 @@ def scan_stats(files: DataFrame, components: DataFrame, props: DataFrame, millis
 def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | None = None, name: str = "catalog", prefix: str = "", check: bool = True) -> Catalog:
     """Derive a catalog from ``files(path, content)`` and, if given, style sheets and docgen reports.
 
-    Files that can't be read are left out (``modules.file_status`` tells which and why).
+    Files that can't be read are left out (``modules.file_status`` tells which and why). Unless ``check`` is off, the
+    catalog fails to be read where it has integrity errors, such as two components of one name.
     """
     from weftline.operators.css import design_tokens
 
