@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -81,15 +82,34 @@ def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     return rows.mapInArrow(whole, schema)
 
 
+#: Has Spark delete the shuffle files of a query when it ends, not when the driver's garbage is collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside keep no shuffle files once their result is written; the session's setting is put back."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so a lost executor costs no lineage.
 
-    The folder is ``shared_folder``.
+    The folder is ``shared_folder``. What was shuffled for it is deleted.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -113,7 +133,8 @@ class Rounds:
         self.spark, self.top = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.top}/{name}")
+        with shuffles_dropped(self.spark):
+            df.write.parquet(f"{self.top}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
     def drop(self, name: str = "") -> None:
@@ -175,8 +196,10 @@ def packed_slots(marks: DataFrame, bits: int) -> np.ndarray:
 
     best = marks.groupBy("slot").agg(F.max("level").alias("level"))
     packed = best.groupBy(F.expr(f"slot div {width}")).applyInPandas(pack, "part int, cells binary")
+    with shuffles_dropped(marks.sparkSession):
+        parts = packed.select("*").collect()
     out = np.zeros(1 << bits, np.uint8)
-    for part, cells in packed.collect():
+    for part, cells in parts:
         out[part * width : part * width + width] = np.frombuffer(cells, np.uint8)
     return out
 
