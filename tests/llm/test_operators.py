@@ -444,3 +444,13 @@ def test_license_texts_as_files_have_them(spark):
     got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["whole_text"]) for r in licenses.license_scan(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(3)] == [("MIT", 1, True), ("ISC", 1, True), ("ISC", 1, True)]
     assert [got[i] for i in range(3, 8)] == [("BSD-3-Clause", 1, False), ("BSD-2-Clause", 1, True), ("MIT", 2, False), ("", 0, False), ("Zlib", 1, False)]
+
+
+def test_more_license_texts(spark):
+    """Texts that are parts or variants of others are told apart; each line is normalised on its own."""
+    whole = "The Unlicense\n\n" + licenses._UNLICENSE + "\nFor more information, please refer to <https://unlicense.org>\n"
+    texts = [licenses._ISC_0, licenses._MIT_0, whole, "x\n" + licenses._UNLICENSE + "\ny", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + licenses._BOOST, licenses._MIT]
+    texts += ["Licensed under\nCC BY 4.0.", "a\n\n -- Licensed under Creative  Commons Attribution 4.0. --\n", "\nCopyright x\nReleased under CC0 1.0.\r\n", "\n\n", "Licensed under Creative\nCommons BY 4.0."]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["whole_text"]) for r in licenses.license_scan(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [("0BSD", 1, True), ("MIT-0", 1, True), ("Unlicense", 1, True), ("Unlicense", 1, False), ("BSL-1.0", 1, True), ("MIT", 1, True)]
+    assert [got[i] for i in range(6, 11)] == [("CC-BY-4.0", 1, True), ("CC-BY-4.0", 1, False), ("CC0-1.0", 2, True), ("", 0, False), ("CC-BY-4.0", 1, True)]

@@ -78,6 +78,28 @@ _ZLIB = (
     "required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
     "3. This notice may not be removed or altered from any source distribution."
 )
+_NO_WARRANTY = _MIT[_MIT.index("THE SOFTWARE IS") :]
+_ISC_0 = _ISC[: _ISC.index(", provided that")] + ".\n" + _ISC[_ISC.index("THE SOFTWARE IS") :]
+_MIT_0 = _MIT[: _MIT.index(", subject to")] + ".\n" + _NO_WARRANTY
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\nIn jurisdictions that "
+    "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+) + _NO_WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\nThe copyright notices in the Software "
+    "and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the "
+    "Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+    "machine-executable object code generated by a source language processor.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR "
+    "ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
 
 
 def _bsd(clauses: int) -> list[str]:
@@ -86,11 +108,14 @@ def _bsd(clauses: int) -> list[str]:
 
 
 #: Whole texts of common short licenses, found as a whole (also below a title) and anywhere inside a document.
-TEXTS = [("ISC", _ISC), ("MIT", _MIT), *(("BSD-2-Clause", x) for x in _bsd(2)), *(("BSD-3-Clause", x) for x in _bsd(3)), ("Zlib", _ZLIB)]
+TEXTS = [("ISC", _ISC), ("MIT", _MIT), *(("BSD-2-Clause", x) for x in _bsd(2)), *(("BSD-3-Clause", x) for x in _bsd(3)), ("Zlib", _ZLIB), ("0BSD", _ISC_0), ("MIT-0", _MIT_0), ("Unlicense", _UNLICENSE), ("BSL-1.0", _BOOST)]
 TITLES = {
     "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"], "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"], "Zlib": ["zlib License", "The zlib License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "MIT-0": ["MIT No Attribution"], "Unlicense": ["The Unlicense", "Unlicense"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
 }
+#: Last lines with which some are published, as whole texts too.
+ENDINGS = {"Unlicense": ["For more information, please refer to <https://unlicense.org>", "For more information, please refer to <http://unlicense.org/>"]}
 #: Words with which a window inside a document starts.
 ANCHOR_WORDS = 4
 #: Spellings that count as equal, applied in this order to lower-cased words.
@@ -101,24 +126,47 @@ STATEMENT = COPYRIGHT_LINE.replace("copyright", r"copyright(?![^0-9a-z\n]+(?:not
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: All ASCII characters but letters, digits, the space and the line feed.
+_MARKS = r"\x00-\x09\x0b-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f"
+
+
+def _words(text: Column) -> Column:
+    """A-Z lower-cased, copyright statements gone, what parts words made one space; line ends stay."""
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), STATEMENT, " ")
+    return F.regexp_replace(out, rf" ?[{_MARKS}][ {_MARKS}]*+|  [ {_MARKS}]*+", " ")
+
+
+def _spelled(words: Column) -> Column:
+    """SPELLINGS put in one form in words that have one space between them, and one or more at both ends of a line."""
+    for old, new in SPELLINGS:
+        words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
+    return words
+
+
+def _whole(words: Column) -> Column:
+    return F.trim(_spelled(F.concat(F.lit(" "), F.trim(F.regexp_replace(words, r" ?\n[ \n]*+", " ")), F.lit(" "))))
+
+
+def _lines(words: Column) -> Column:
+    """The form of each line; no spelling reaches from one line into another."""
+    apart = F.concat(F.lit(" "), F.regexp_replace(words, r" ?\n ?", " \n "), F.lit(" "))
+    return F.transform(F.split(_spelled(apart), "\n"), lambda line: F.trim(line))
+
+
 def canonical(text: Column) -> Column:
     """Normal form of a whole text: A-Z lower-cased, copyright statements gone, words joined by one space.
 
     Words are runs of ASCII letters, digits and non-ASCII characters; all other characters part
     words. Then SPELLINGS are put in one form. Empty if nothing is left; null for null.
     """
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, STATEMENT, " ")
-    out = F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
-    for old, new in SPELLINGS:
-        out = F.trim(F.replace(F.concat(F.lit(" "), out, F.lit(" ")), F.lit(f" {old} "), F.lit(f" {new} ")))
-    return F.trim(out)
+    return _whole(_words(text))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """The fixed list as ``license, digest``: a few dozen rows, whatever the corpus."""
     titled = [(name, f"{title}\n{text}") for name, text in TEXTS for title in TITLES[name]]
-    rows = spark.createDataFrame(known if known is not None else KNOWN + TEXTS + titled, "license string, text string")
+    ended = [(name, f"{text}\n{end}") for name, text in TEXTS + titled for end in ENDINGS.get(name, [])]
+    rows = spark.createDataFrame(known if known is not None else KNOWN + TEXTS + titled + ended, "license string, text string")
     return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.length("digest") > 0).distinct()
 
 
@@ -135,8 +183,10 @@ def _windows(whole: Column, spark: SparkSession) -> Column:
     """Parts of a canonical text that begin like one of TEXTS and are as long as it, at every place."""
     rows = spark.createDataFrame(TEXTS, "license string, text string").select(canonical(F.col("text")).alias("form")).distinct().collect()
     spaced = F.concat(F.lit(" "), whole, F.lit(" "))
-    found = [_from_anchor(spaced, *key) for key in sorted({(" " + " ".join(form.split()[:ANCHOR_WORDS]) + " ", len(form)) for (form,) in rows})]
-    return F.when(F.contains(spaced, F.lit("software")), F.concat(*found)).otherwise(F.array().cast("array<string>"))
+    keys = sorted({(" " + " ".join(form.split()[:ANCHOR_WORDS]) + " ", len(form)) for (form,) in rows})
+    none = F.array().cast("array<string>")
+    found = [F.when(F.contains(spaced, F.lit(anchor)), _from_anchor(spaced, anchor, length)).otherwise(none) for anchor, length in keys]
+    return F.concat(*found)
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,10 +200,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     together. Only the fixed list is broadcast, and only matches and ids are shuffled, never texts.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
-    lines = F.split("_text", "\n")
-    units = F.concat(F.array("_text"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    forms = rows.select("_id", F.transform(units, canonical).alias("_forms"))
+    words = rows.select("_id", _words(F.col("_text")).alias("_words"))
+    lines = F.when(F.contains("_words", F.lit("\n")), _lines(F.col("_words"))).otherwise(F.array().cast("array<string>"))
+    forms = words.select("_id", F.concat(F.array(_whole(F.col("_words"))), lines).alias("_forms"))
     forms = forms.select("_id", F.transform("_forms", lambda x: F.sha2(x, 256)).alias("_digests"), F.transform(_windows(F.col("_forms")[0], docs.sparkSession), lambda x: F.sha2(x, 256)).alias("_inside"))
     both = F.concat(F.transform("_digests", lambda x, i: F.struct(i.alias("at"), x.alias("digest"))), F.transform("_inside", lambda x: F.struct(F.lit(-1).alias("at"), x.alias("digest"))))
     digests = forms.select("_id", F.explode(both).alias("u")).select("_id", F.col("u.at").alias("_at"), F.col("u.digest").alias("digest"))
