@@ -137,3 +137,20 @@ def test_no_modules(spark):
     none = m.modules(spark.createDataFrame([], "path string, content string"))
     assert d.symbols(none).collect() == [] and d.interface_props(none).collect() == []
     assert d.symbols(modules(spark, a_ts="", b_ts=None)).collect() == []
+
+
+def test_texts_are_scanned_in_slices():
+    import pyarrow as pa
+
+    from weftline.functions import lexical
+
+    batch = pa.record_batch([["let a = 1;" * 10_000] * 40 + [None, ""]], ["code"])
+    slices = list(lexical._slices(batch))
+    assert sum(s.num_rows for s in slices) == 42 and max(sum(len(t or "") for t in s.column(0).to_pylist()) for s in slices) <= lexical.SLICE_BYTES
+
+
+def test_tokens_of_several_texts_are_those_of_each():
+    from weftline.functions.lexical import token_rows
+
+    texts = [SCOPED.encode(), b"", SCRIPT.encode(), TYPED.encode(), b"x\n=\n1"]
+    assert token_rows([Scan(t, tokens=True) for t in texts]).to_pylist() == [token_rows([Scan(t, tokens=True)]).to_pylist()[0] for t in texts]

@@ -25,7 +25,7 @@ _PREFIXES = (*SCOPES, *MODIFIERS, "get", "set", "declare", "export", "default",
 
 def siblings(rows: DataFrame) -> DataFrame:
     """``modules`` with ``_tokens``, read once and kept."""
-    return kept(with_tokens(rows.select("path", "language", "raw", "markup"), "raw", "markup").select("path", "language", "_tokens"))
+    return kept(with_tokens(rows, "raw", "markup", "path", "language"))
 
 
 def _at(place: Column) -> Column:

@@ -24,7 +24,7 @@ def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") ->
     ``...spread``, names with a colon are left out. A null code has no usages; pages are read row by row, also where
     they share an id.
     """
-    found = with_elements(pages.select(F.col(id_col), F.col(code_col).alias("_code")), "_code").select(id_col, "_elements")
+    found = with_elements(pages, code_col, id_col)
     each = found.select(id_col, F.transform("_elements", lambda e: e["name"]).alias("_names"), F.posexplode("_elements").alias("pos", "_e"))
     parent = F.coalesce(F.get("_names", F.col("_e.up")), F.lit(""))
     return each.select(id_col, "pos", F.col("_e.name").alias("component_name"), "_e.props", "_e.has_children", parent.alias("parent_component"), "_e.line", "_e.column")
