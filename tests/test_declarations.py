@@ -154,3 +154,8 @@ def test_tokens_of_several_texts_are_those_of_each():
 
     texts = [SCOPED.encode(), b"", SCRIPT.encode(), TYPED.encode(), b"x\n=\n1"]
     assert token_rows([Scan(t, tokens=True) for t in texts]).to_pylist() == [token_rows([Scan(t, tokens=True)]).to_pylist()[0] for t in texts]
+
+
+def test_symbols_are_never_broadcast(spark):
+    """Their sizes are estimated at one element an array, so a broadcast gathers all modules in the driver."""
+    assert "Broadcast" not in m.symbols(modules(spark, a_ts=SCOPED))._jdf.queryExecution().toString()

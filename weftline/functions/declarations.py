@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.lexical import GOES_ON, with_tokens
 from weftline.functions.text import literal_type, unquoted
-from weftline.sources.kept import kept
+from weftline.sources.kept import joined, kept
 
 KINDS = {"function": "function", "class": "class", "const": "variable", "let": "variable", "var": "variable", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace", "module": "namespace"}
 #: Words that change what follows them.
@@ -118,13 +118,13 @@ def _members(tokens: DataFrame) -> DataFrame:
     followed = lambda t: F.coalesce(_at(t["next"])["text"].isin("(", "<", ":", "=", "?", "!", ";") | (_at(t["next"])["line"] > t["line"]), F.lit(True))
     named = _some(tokens, lambda t: (t["kind"] == "w") & (t["up"] >= 0) & followed(t)).where(prefixed)
     method = F.col("a1.text").isin("(", "<") & F.col("paren").isNotNull()
-    in_class = named.join(_class_bodies(tokens), ["path", "up"]).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
+    in_class = joined(named, _class_bodies(tokens), ["path", "up"]).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
     in_class = in_class.where(~F.col("text").isin("static", "readonly") | F.col("a1.text").isin("(", ":", "=")).where((F.col("b1").isNull()) | (F.col("b1.text") != ",")).withColumn(
         "kind_of", F.when(method, "method").when((F.col("a1.text") == "=") & (F.col("a2.text") == "class"), "class").otherwise("field")
     )
     key = (F.col("a1.text") == ":") & (F.col("a2.text").isin("function", "async") | ((F.col("a2.text") == "(") & (F.col("a4.text") == "=>")) | ((F.col("a2.kind") == "w") & (F.col("a3.text") == "=>")))
     in_object = named.where("language = 'JavaScript' and up >= 0").where((key | ((F.col("a1.text") == "(") & (F.col("a3.text") == "{"))) & (F.col("b1").isNull() | F.col("b1.text").isin(",", "async", "get", "set", "*")))
-    in_object = in_object.where(~F.col("text").isin("if", "for", "while", "switch", "catch", "function", "return")).join(_class_bodies(tokens), ["path", "up"], "left_anti")
+    in_object = joined(in_object.where(~F.col("text").isin("if", "for", "while", "switch", "catch", "function", "return")), _class_bodies(tokens), ["path", "up"], "left_anti")
     both = in_class.unionByName(in_object.withColumn("kind_of", F.when(F.col("a1.text") == ":", "function").otherwise("method")))
     has_body = F.col("kind_of").isin("method", "class") & (F.col("body.seq") < F.coalesce("stop.seq", F.lit(2**31 - 1)))
     return both.select("*", F.when(has_body, F.col("body")).alias("own_body"))
@@ -149,13 +149,13 @@ def _scope_names(tokens: DataFrame, heads: DataFrame) -> DataFrame:
     names = heads.where("word in ('class', 'interface', 'namespace', 'module') and own_body is not null").select("path", F.col("own_body.seq").alias("_s"), _full_name().alias("_name"))
     braces = tokens.select("path", F.explode(F.filter("_tokens", lambda t: t["scopes"].isNotNull())).alias("_t"))
     chains = braces.select("path", F.col("_t.seq").alias("scope"), F.explode("_t.scopes").alias("_s"))
-    ordered = chains.join(names, ["path", "_s"]).groupBy("path", "scope").agg(F.sort_array(F.collect_list(F.struct("_s", "_name"))).alias("_n"))
+    ordered = joined(chains, names, ["path", "_s"]).groupBy("path", "scope").agg(F.sort_array(F.collect_list(F.struct("_s", "_name"))).alias("_n"))
     return ordered.select("path", "scope", F.array_join(F.transform("_n", lambda x: x["_name"]), ".").alias("outer"))
 
 
 def _parameters(tokens: DataFrame, lists: DataFrame) -> DataFrame:
     """Parameters of ``lists(path, paren)``: ``path, paren, parameters`` in order, an array of offsets of names and types."""
-    inside = _inside(tokens, "(").join(lists.select("path", F.col("paren").alias("up")).distinct(), ["path", "up"])
+    inside = joined(_inside(tokens, "("), lists.select("path", F.col("paren").alias("up")).distinct(), ["path", "up"])
     comma = (F.col("text") == ",") & (F.col("angle") == 0)
     back = Window.partitionBy("path", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     numbered = inside.withColumn("_no", F.count_if(comma).over(back)).where(~comma)
@@ -203,9 +203,9 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     declared = heads.select(*shared, _full_name().alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), F.when(F.col("word") == "function", F.col("paren")).alias("paren"), F.col("word"))
     further = _further(tokens).select(*shared, F.col("text").alias("name"), _place("leads").alias("_start"), F.array().cast("array<string>").alias("_words"), F.lit(None).cast(dict(declared.dtypes)["paren"]).alias("paren"), F.col("leads.text").alias("word"))
     members = _members(tokens).select(*shared, F.col("text").alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), F.when(F.col("kind_of") == "method", F.col("paren")).alias("paren"), F.lit("").alias("word"))
-    found = declared.unionByName(members).unionByName(further).join(_scope_names(tokens, heads), ["path", "scope"], "left")
+    found = joined(declared.unionByName(members).unionByName(further), _scope_names(tokens, heads), ["path", "scope"], "left")
     lists = found.where("paren is not null and language = 'TypeScript'").select("path", F.col("paren.seq").alias("paren"))
-    listed = found.withColumn("_p", F.col("paren.seq")).join(_parameters(tokens, lists).withColumnRenamed("paren", "_p"), ["path", "_p"], "left").join(rows.select("path", "raw"), "path")
+    listed = joined(joined(found.withColumn("_p", F.col("paren.seq")), _parameters(tokens, lists).withColumnRenamed("paren", "_p"), ["path", "_p"], "left"), rows.select("path", "raw"), ["path"])
     end = F.coalesce("own_body", "stop", "last")
     end = F.struct(*(F.coalesce(F.col(f"own_body.{c}"), F.col(f"stop.{c}"), F.col(f"last.{c}")).alias(c) for c in ("to", "line", "column")))
     typescript = F.col("language") == "TypeScript"
@@ -224,7 +224,7 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 def _signatures(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     """Property signatures in ``blocks(path, owner, up)``: ``path, owner, pos, name, required, comment`` and ``parts``, the type's tokens."""
-    inside = _inside(tokens, "{").join(blocks, ["path", "up"])
+    inside = joined(_inside(tokens, "{"), blocks, ["path", "up"])
     separator = F.col("text").isin(";", ",") & (F.col("angle") == 0)
     begins = F.col("begins") | F.coalesce((F.col("before") == ",") & (F.col("angle") == 0), F.lit(False))
     back = Window.partitionBy("path", "owner", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
@@ -294,7 +294,7 @@ def resolved(parts: Column, text: Column) -> tuple[Column, Column]:
 
 
 def _props(rows: DataFrame, tokens: DataFrame, blocks: DataFrame) -> DataFrame:
-    found = _signatures(tokens, blocks).join(rows.select("path", "raw"), "path")
+    found = joined(_signatures(tokens, blocks), rows.select("path", "raw"), ["path"])
     text = found.withColumn("_text", _cut(F.get("parts", F.lit(0))["at"], F.element_at("parts", -1)["to"])).where("size(parts) > 0")
     description, deprecated = described(F.col("comment"))
     kind, values = resolved(F.col("parts"), F.col("_text"))
@@ -317,7 +317,7 @@ def inline_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     heads = _heads(tokens)
     arrow = F.col("word").isin("const", "let", "var") & (F.col("a2.text") == "=") & F.col("a3.text").isin("(", "async")
     lists = heads.where(((F.col("word") == "function") | arrow) & F.col("paren").isNotNull()).select("path", F.col("name.text").alias("owner"), F.col("paren.seq").alias("up"))
-    braces = _inside(tokens, "(").where("text = '{' and before in (':', '&', '|')").join(lists, ["path", "up"])
+    braces = joined(_inside(tokens, "(").where("text = '{' and before in (':', '&', '|')"), lists, ["path", "up"])
     return _props(rows, tokens, braces.select("path", "owner", F.col("seq").alias("up")))
 
 
@@ -325,12 +325,12 @@ def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Variant calls: ``path, pos, variable, name, allowed_values, default``, a row for each variant."""
     tokens = siblings(rows) if tokens is None else tokens
     calls = _heads(tokens).where("word in ('const', 'let', 'var') and a2.text = '=' and a3.text = 'cva' and a4.text = '('").select("path", F.col("name.text").alias("variable"), F.col("a4.seq").alias("up"))
-    options = _inside(tokens, "(").where("text = '{' and before = ','").join(calls, ["path", "up"]).select("path", "variable", F.col("seq").alias("up"))
+    options = joined(_inside(tokens, "(").where("text = '{' and before = ','"), calls, ["path", "up"]).select("path", "variable", F.col("seq").alias("up"))
     keys = _some(tokens, lambda t: t["kind"].isin("w", "s") & (_at(t["next"])["text"] == ":") & F.coalesce(_at(t["prev"])["text"] == ",", F.lit(True))).select("path", "up", "seq", unquoted(F.col("text")).alias("key"), F.col("a2").alias("value"))
 
     def below(rows: DataFrame, at: str, key: str, value: str) -> DataFrame:
         """The keys in the object that starts at a token."""
-        return rows.join(keys.select("path", F.col("up").alias(at), F.col("key").alias(key), F.col("value").alias(value), F.col("seq").alias(f"{key}_at")), ["path", at])
+        return joined(rows, keys.select("path", F.col("up").alias(at), F.col("key").alias(key), F.col("value").alias(value), F.col("seq").alias(f"{key}_at")), ["path", at])
 
     sections = below(options, "up", "section", "_object").where("_object.text = '{'").select("path", "variable", "section", F.col("_object.seq").alias("up"))
     groups = below(sections.where("section = 'variants'"), "up", "name", "_values").where("_values.text = '{'")
@@ -338,4 +338,4 @@ def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     values = below(groups.select("path", "variable", "name", F.col("name_at").alias("pos"), F.col("_values.seq").alias("up")), "up", "value", "_v")
     each = values.groupBy("path", "variable", "name", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("value_at", "value"))), lambda x: x["value"]).alias("allowed_values"))
     order = F.row_number().over(Window.partitionBy("path", "variable").orderBy("pos")) - 1
-    return each.join(defaults, ["path", "variable", "name"], "left").select("path", order.alias("pos"), "variable", "name", "allowed_values", F.coalesce("default", F.lit("")).alias("default"))
+    return joined(each, defaults, ["path", "variable", "name"], "left").select("path", order.alias("pos"), "variable", "name", "allowed_values", F.coalesce("default", F.lit("")).alias("default"))

@@ -10,7 +10,7 @@ from weftline.functions.text import category_of_path, docgen_type, import_path,
 from weftline.operators.catalog import checked
 from weftline.operators.order import numbered
 from weftline.sources.catalog import CATEGORY, GUIDELINE, Catalog
-from weftline.sources.kept import kept
+from weftline.sources.kept import joined, kept
 
 
 def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFr
     classes a heritage with ``Component``.
     """
     own = symbols.where("is_exported and kind in ('function', 'variable', 'class')").select("path", "name")
-    named = exports.select("path", "name").join(symbols.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    named = joined(exports.select("path", "name"), symbols.select("path", "name").distinct(), ["path", "name"], "left_semi")
     candidates = own.union(named).distinct().where(is_component_name(F.col("name")))
     last = facts.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy(F.desc("pos")))).where("_n = 1 and word in ('function', 'class', 'const', 'let', 'var')")
     kind = (
         F.when((F.col("word") == "function") & F.col("has_jsx"), "function").when((F.col("word") == "class") & F.col("heritage").contains("Component"), "class")
         .when((F.col("callee") != ""), F.col("callee")).when(F.col("word").isin("const", "let", "var") & F.col("has_jsx"), "function")
     )
-    rows = candidates.join(last, ["path", "name"]).withColumn("kind", kind).where("kind is not null")
+    rows = joined(candidates, last, ["path", "name"]).withColumn("kind", kind).where("kind is not null")
     return rows.select("path", "pos", "name", "kind", "props_type", "body", F.lit(False).alias("is_default_export"))
 
 
@@ -41,30 +41,30 @@ def component_props(components: DataFrame, declared: DataFrame, variants: DataFr
     extends (``type_heads``), or where a file has one of each.
     """
     heads = components.select("path", F.col("name").alias("component"), "props_type", "kind", "body")
-    by_type = heads.where("props_type <> ''").select("path", "component", F.col("props_type").alias("owner")).join(declared, ["path", "owner"])
+    by_type = joined(heads.where("props_type <> ''").select("path", "component", F.col("props_type").alias("owner")), declared, ["path", "owner"])
     defaults = m.destructured_defaults(components.where("kind <> 'class'"))
     base = by_type.select("path", "component", "pos", "name", "type", "required", "description", "deprecated", "allowed_values")
-    loose = defaults.join(base.select("path", "component").distinct(), ["path", "component"], "left_anti").select(
+    loose = joined(defaults, base.select("path", "component").distinct(), ["path", "component"], "left_anti").select(
         "path", "component", "pos", "name", F.lit("unknown").alias("type"), F.lit(False).alias("required"), F.lit("").alias("description"), F.lit(False).alias("deprecated"), F.array().cast("array<string>").alias("allowed_values")
     )
     if inline is not None:
-        own = inline.withColumnRenamed("owner", "component").join(base.select("path", "component").distinct(), ["path", "component"], "left_anti")
+        own = joined(inline.withColumnRenamed("owner", "component"), base.select("path", "component").distinct(), ["path", "component"], "left_anti")
         typed = own.select("path", "component", "name", *(F.col(c).alias(f"_{c}") for c in ("pos", "type", "required", "description", "deprecated", "allowed_values")))
         known = components.where("kind <> 'class'").select("path", F.col("name").alias("component"))
-        both = loose.join(typed.join(known, ["path", "component"], "left_semi"), ["path", "component", "name"], "full_outer")
+        both = joined(loose, joined(typed, known, ["path", "component"], "left_semi"), ["path", "component", "name"], "full_outer")
         either = lambda c: F.coalesce(f"_{c}", c).alias(c)
         loose = both.select("path", "component", F.coalesce("pos", F.col("_pos") + 500).alias("pos"), "name", *(either(c) for c in ("type", "required", "description", "deprecated", "allowed_values")))
-    with_default = base.unionByName(loose).join(defaults.select("path", "component", "name", "default"), ["path", "component", "name"], "left").na.fill("", ["default"])
+    with_default = joined(base.unionByName(loose), defaults.select("path", "component", "name", "default"), ["path", "component", "name"], "left").na.fill("", ["default"])
 
     counts = heads.groupBy("path").agg(F.count("*").alias("_components"))
-    sets = variants.join(variants.select("path", "variable").distinct().groupBy("path").agg(F.count("*").alias("_sets")), "path").join(counts, "path")
+    sets = joined(joined(variants, variants.select("path", "variable").distinct().groupBy("path").agg(F.count("*").alias("_sets")), ["path"]), counts, ["path"])
     of = lambda text: text.contains(F.concat(F.lit("typeof "), "variable"))
     named = of(F.col("body")) | F.coalesce(of(F.col("head")), F.lit(False))
-    refer = heads.join(sets, "path").join(type_heads.withColumnRenamed("owner", "props_type"), ["path", "props_type"], "left")
+    refer = joined(joined(heads, sets, ["path"]), type_heads.withColumnRenamed("owner", "props_type"), ["path", "props_type"], "left")
     extra = refer.where(named | ((F.col("_sets") == 1) & (F.col("_components") == 1))).select(
         "path", "component", (F.col("pos") + 1000).alias("_vpos"), "name", F.col("allowed_values").alias("_allowed"), F.col("default").alias("_default")
     )
-    both = with_default.join(extra, ["path", "component", "name"], "full_outer")
+    both = joined(with_default, extra, ["path", "component", "name"], "full_outer")
     return both.select(
         "path", "component", F.coalesce("pos", "_vpos").alias("pos"), "name", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("required", F.lit(False)).alias("required"),
         filled("default", F.col("_default")).alias("default"), F.coalesce("description", F.lit("")).alias("description"),
@@ -88,7 +88,7 @@ def enriched(props: DataFrame, docgen: DataFrame) -> DataFrame:
     keys = [c for c in ("path", "component", "name") if c in props.columns and c in docgen.columns]
     other = docgen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pos")))).where("_n = 1")
     other = other.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("pos", "type", "required", "default", "description", "allowed_values", "deprecated")))
-    both = props.join(other, keys, "full_outer")
+    both = joined(props, other, keys, "full_outer")
     no_values = F.array().cast("array<string>")
     return both.select(
         *keys, F.coalesce("pos", F.col("_pos") + 2000).alias("pos"), filled("type", docgen_type(F.col("_type"))).alias("type"),
@@ -147,14 +147,14 @@ def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, na
     fields = F.struct("name", "type", "required", "default", "description", "allowed_values", "deprecated")
     packed = props.groupBy("path", "component").agg(F.sort_array(F.collect_list(F.struct("pos", fields.alias("v")))).alias("_p"))
     packed = packed.select("path", F.col("component").alias("name"), F.transform("_p", lambda x: x["v"]).alias("props"))
-    full = components.select("path", "name").join(packed, ["path", "name"], "left")
+    full = joined(components.select("path", "name"), packed, ["path", "name"], "left")
     no_props = F.array().cast(dict(packed.dtypes)["props"])
     full = full.withColumn("props", F.coalesce("props", no_props))
-    subs = groups.join(full, ["path", "name"]).select("path", "parent", F.struct(
+    subs = joined(groups, full, ["path", "name"]).select("path", "parent", F.struct(
         "name", F.lit("").alias("description"), "props", F.array().cast("array<string>").alias("must_contain"), F.array().cast("array<string>").alias("allowed_children"), F.array("parent").alias("allowed_parents")
     ).alias("_s"))
     subs = subs.groupBy("path", F.col("parent").alias("name")).agg(F.sort_array(F.collect_list("_s")).alias("sub_components"))
-    top = full.join(groups.select("name").distinct(), "name", "left_anti").join(subs, ["path", "name"], "left")
+    top = joined(joined(full, groups.select("name").distinct(), ["name"], "left_anti"), subs, ["path", "name"], "left")
     top = top.withColumn("sub_components", F.coalesce("sub_components", F.array().cast(dict(subs.dtypes)["sub_components"])))
     rows = top.select(
         "name", F.lit("").alias("description"), category_of_path(F.col("path")).alias("category"), import_path(F.col("path"), prefix).alias("import_path"),
@@ -196,7 +196,7 @@ def scan(files: DataFrame, css: DataFrame | None = None, docgen: DataFrame | Non
     props = component_props(components, m.interface_props(rows, tokens), m.variant_sets(rows, tokens), m.props_heads(rows), m.inline_props(rows, tokens))
     if docgen is not None:
         paths = components.select("path", F.col("name").alias("component"))
-        props = enriched(props, docgen.join(paths, "component"))  # a report that names no file is of all its components
+        props = enriched(props, joined(docgen, paths, ["component"]))  # a report that names no file is of all its components
     spark = files.sparkSession
     tokens = design_tokens(css) if css is not None else spark.createDataFrame([], "name string, value string, category string")
     return built_catalog(components, props, tokens, name, prefix, check)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, written to ``shared_folder`` and read from there.
+    """``df``, written as a table to ``shared_folder`` and read from there.
 
-    So it is computed once however many parts of a plan read it, and a lost executor costs no lineage.
+    So it is computed once however many parts of a plan read it, and a lost executor costs no lineage. A checkpoint
+    would hand on the estimated size of what it was made from, a table has the size of its files.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input, sorted and never broadcast.
+
+    Sizes of arrays, and of rows made from them, are estimated at one element each, so that Spark would
+    take such a side for small and gather it in the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
