@@ -118,3 +118,25 @@ def test_deep_braces_and_long_expressions(spark):
     rows = [("deep", "<A style={{a:{b:{c:{d:{e:1}}}}}}/>"), ("long", "<A f={" + "x + " * 5000 + "1}/>")]
     got = usages(spark.createDataFrame(rows, "page_id string, code string")).collect()
     assert sorted(r["page_id"] for r in got) == ["deep", "long"] and all(r["component_name"] == "A" for r in got)
+
+
+def test_pages_are_parsed_once_and_never_meet(pages, components):
+    from weftline.operators.validation import analysis
+
+    result = validate_pages(pages, components)
+    for rows in (result.violations, result.results):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert "Exchange" not in analysis(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_one_id_are_judged_apart(spark, components):
+    twice = spark.createDataFrame([(1, BUTTON + "<Button>x</Button>"), (1, "<Button>x</Button>")], "page_id int, code string")
+    result = validate_pages(twice, components)
+    assert sorted(r["errors"] for r in result.results.collect()) == [0, 1] and [r["rule"] for r in result.violations.collect()] == ["missing-import"]
+
+
+def test_fixes_of_equal_violations_stay_apart(spark, components):
+    code = 'import { Button } from "wrong"\n<Button variant="a" /> <Button variant="a" />\n<Old id="1"/><Old id="1"/>'
+    found = validate_pages(spark.createDataFrame([(1, code)], "page_id int, code string"), components).violations
+    got = sorted((r["kind"], r["line"], r["old"], r["new"]) for r in autofix.fix_rows(found, components).collect())
+    assert got == [("import", 3, "", "./old"), *[("path", 2, "", "@/components/ui/button")] * 2, *[("value", 2, "a", "default")] * 2]

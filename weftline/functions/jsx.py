@@ -8,7 +8,7 @@ at 1 and columns count bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.lexical import with_elements
@@ -24,10 +24,34 @@ def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") ->
     ``...spread``, names with a colon are left out. A null code has no usages; pages are read row by row, also where
     they share an id.
     """
-    found = with_elements(pages, code_col, id_col)
-    each = found.select(id_col, F.transform("_elements", lambda e: e["name"]).alias("_names"), F.posexplode("_elements").alias("pos", "_e"))
-    parent = F.coalesce(F.get("_names", F.col("_e.up")), F.lit(""))
-    return each.select(id_col, "pos", F.col("_e.name").alias("component_name"), "_e.props", "_e.has_children", parent.alias("parent_component"), "_e.line", "_e.column")
+    each = with_elements(pages, code_col, id_col).select(id_col, F.posexplode("_elements").alias("pos", "_e"))
+    return each.select(id_col, "pos", F.col("_e.name").alias("component_name"), "_e.props", "_e.has_children", F.col("_e.parent").alias("parent_component"), "_e.line", "_e.column")
+
+
+def page_usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:
+    """``usages`` with what their page says of them, pages without any as a row whose ``component_name`` is null.
+
+    ``page`` numbers the pages, also of one id; ``source`` is where the page imports the name from, null if nowhere: the last import
+    of a name counts, a statement's default name after its named ones. ``nested`` has the page's pairs of a parent's and a child's name (``pair``).
+    """
+    part = lambda i, n: F.regexp_extract(i, IMPORT, n)
+    listed = lambda i: F.filter(F.concat(_names(part(i, 2)), F.array(part(i, 1))), lambda x: x != "")
+    statements = F.regexp_extract_all(F.coalesce(code_col, F.lit("")), F.lit(IMPORT), 0)
+    sources = F.transform(statements, lambda i: F.transform(listed(i), lambda n: F.struct(n.alias("name"), part(i, 3).alias("source"))))
+    found = with_elements(pages.select(id_col, code_col, F.reverse(F.flatten(sources)).alias("_sources")), code_col, id_col, "_sources")
+    whole = found.select(id_col, "_sources", "_elements", F.monotonically_increasing_id().alias("page"), F.array_distinct(F.transform("_elements", lambda e: pair(e["parent"], e["name"]))).alias("nested"))
+    each = whole.select(id_col, "page", "_sources", "nested", F.posexplode_outer("_elements").alias("pos", "_e"))
+    source = F.get(F.filter("_sources", lambda s: s["name"] == F.col("_e.name")), F.lit(0))["source"]
+    return each.select(id_col, "page", "pos", F.col("_e.name").alias("component_name"), "_e.props", F.col("_e.parent").alias("parent_component"), "_e.line", source.alias("source"), "nested")
+
+
+def pair(parent: Column, child: Column) -> Column:
+    return F.concat(parent, F.lit("\x01"), child)
+
+
+def _names(text: Column) -> Column:
+    """Names between an import's braces; aliases keep the exported name."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_extract(x, r"^\s*(?:type\s+)?([\w$]+)", 1)), lambda x: x != "")
 
 
 def imports(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:
@@ -38,5 +62,4 @@ def imports(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -
     code = F.coalesce(F.col(code_col), F.lit(""))
     found = pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(code, F.lit(IMPORT), 0)).alias("pos", "_i"))
     part = lambda n: F.regexp_extract("_i", IMPORT, n)
-    named = F.filter(F.transform(F.split(part(2), ","), lambda x: F.regexp_extract(x, r"^\s*(?:type\s+)?([\w$]+)", 1)), lambda x: x != "")
-    return found.select(id_col, "pos", part(3).alias("source"), named.alias("names"), part(1).alias("default_name"))
+    return found.select(id_col, "pos", part(3).alias("source"), _names(part(2)).alias("names"), part(1).alias("default_name"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.kept import joined, kept
+
 FIXED_RULES = ("missing-import", "wrong-import-path", "invalid-prop-value")
 
 
@@ -14,14 +16,16 @@ def fix_rows(found: DataFrame, components: DataFrame) -> DataFrame:
     A missing import is inserted once a page; wrong paths and values are replaced, values only
     where the prop has a default.
     """
-    paths = components.select(F.col("name").alias("component"), "import_path")
-    rows = found.where(F.col("rule").isin(*FIXED_RULES)).join(paths, "component")
+    paths = kept(components.select(F.col("name").alias("component"), "import_path"))
+    rows = found.where(F.col("rule").isin(*FIXED_RULES) & ((F.col("rule") != "invalid-prop-value") | (F.col("suggestion") != ""))).join(paths, "component")
+    kind = F.when(F.col("rule") == "missing-import", "import").when(F.col("rule") == "wrong-import-path", "path").otherwise("value")
     bad_value = F.regexp_extract("message", r'^invalid value "([\s\S]*)" for ', 1)
-    insert = rows.where("rule = 'missing-import'").groupBy("page_id", "component", "import_path").agg(F.min("line").alias("line"))
-    inserts = insert.select("page_id", F.lit("import").alias("kind"), "line", "component", F.lit("").alias("old"), F.col("import_path").alias("new"))
-    repath = rows.where("rule = 'wrong-import-path'").select("page_id", F.lit("path").alias("kind"), "line", "component", F.lit("").alias("old"), F.col("import_path").alias("new"))
-    revalue = rows.where("rule = 'invalid-prop-value' and suggestion <> ''").select("page_id", F.lit("value").alias("kind"), "line", "component", bad_value.alias("old"), F.col("suggestion").alias("new"))
-    return inserts.unionByName(repath).unionByName(revalue)
+    value = F.col("kind") == "value"
+    each = rows.withColumn("kind", kind).select("page_id", "kind", "line", "component", F.when(value, bad_value).otherwise("").alias("old"), F.when(value, F.col("suggestion")).otherwise(F.col("import_path")).alias("new"))
+    insert = F.col("kind") == "import"
+    once = each.groupBy("page_id", "kind", "component", "old", "new", F.when(~insert, F.col("line")).alias("_line")).agg(F.min("line").alias("line"), F.count("*").cast("int").alias("_n"))
+    times = F.when(insert, 1).otherwise(F.col("_n"))
+    return once.select("page_id", "kind", "line", "component", "old", "new", F.explode(F.array_repeat(F.lit(0), times))).drop("col")
 
 
 def _quoted(line: Column, mark: str) -> Column:
@@ -69,4 +73,4 @@ def fixed_pages(pages: DataFrame, fixes: DataFrame) -> DataFrame:
     """Pages that have fixes: ``page_id, fixes, fixed_code``; a page's fixes go by kind, line and component."""
     ordered = F.sort_array(F.collect_list(F.struct("kind", "line", "component", "old", "new")))
     grouped = fixes.groupBy("page_id").agg(ordered.alias("fixes"))
-    return with_edits(pages.join(grouped, "page_id"), "code", "fixes", "fixed_code").select("page_id", "fixes", "fixed_code")
+    return with_edits(joined(pages, grouped, ["page_id"]), "code", "fixes", "fixed_code").select("page_id", "fixes", "fixed_code")

@@ -1,7 +1,7 @@
 """Rules that hold pages' usages and imports against a catalog: each rule is one column of violations.
 
-The catalog side is small by nature, but its size is not assumed: joins are plain equi-joins, and
-Spark broadcasts a side when its statistics allow. All violations have ``page_id, rule, severity,
+The catalog side is small by nature, but its size is not assumed: it is written as tables, whose size Spark knows, and joins
+are plain equi-joins, so Spark broadcasts a side when that allows. All violations have ``page_id, rule, severity,
 component, prop, line, message, suggestion``.
 """
 
@@ -11,6 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.jsx import pair
+from weftline.functions.lexical import with_elements
+from weftline.sources.kept import kept
+
 #: Attributes that no catalog needs to define.
 FREE_PROPS = ("...spread", "key", "ref", "className", "children")
 
@@ -58,13 +62,6 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def imported_names(imports: DataFrame) -> DataFrame:
-    """``page_id, name, source``: the last import of a name counts, a statement's default name after its named ones."""
-    named = imports.select("page_id", "pos", F.lit(0).alias("kind"), F.posexplode("names").alias("at", "name"), "source")
-    default = imports.where("default_name <> ''").select("page_id", "pos", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.col("default_name").alias("name"), "source")
-    return named.unionByName(default).groupBy("page_id", "name").agg(F.max_by("source", F.struct("pos", "kind", "at")).alias("source"))
-
-
 def classified(usages: DataFrame, book: Rulebook) -> DataFrame:
     """Usages with what the catalog knows of their name: ``is_top``, ``is_sub`` and both definitions, ``defined`` props as an array."""
     props = book.props.groupBy(F.col("component").alias("name")).agg(F.collect_list(F.struct("name", "required", "default", "allowed_values", "deprecated")).alias("defined"))
@@ -72,7 +69,7 @@ def classified(usages: DataFrame, book: Rulebook) -> DataFrame:
         F.col("name").alias("component_name"), F.lit(True).alias("is_top"), "import_path", F.col("deprecated").alias("component_deprecated"), "deprecated_msg", "defined"
     )
     sub = book.subs.select(F.col("name").alias("component_name"), F.lit(True).alias("is_sub"), "allowed_parents", "must_contain")
-    out = usages.join(top, "component_name", "left").join(sub, "component_name", "left")
+    out = usages.join(kept(top), "component_name", "left").join(kept(sub), "component_name", "left")
     no_props = F.array().cast(dict(props.dtypes)["defined"])
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_top", "is_sub")}).withColumn("defined", F.coalesce("defined", no_props))
 
@@ -127,28 +124,29 @@ def composition_rule() -> Column:
 
 
 def children_rule() -> Column:
-    """Children that a sub-component must contain and no usage of that parent name on the page does; ``children`` are the page's."""
-    lacking = F.filter(F.when(F.col("is_sub"), F.col("must_contain")), lambda c: ~F.array_contains(F.coalesce("children", F.array().cast("array<string>")), c))
+    """Children that a sub-component must contain and no usage of that parent name on the page does; ``nested`` has the page's pairs."""
+    lacking = F.filter(F.when(F.col("is_sub"), F.col("must_contain")), lambda c: ~F.array_contains("nested", pair(F.col("component_name"), c)))
     return F.transform(lacking, lambda c: _violation("missing-child", "error", _text(F.col("component_name"), " must contain ", c), c, _text("Add: ", c)))
 
 
-def violations(usages: DataFrame, imports: DataFrame, book: Rulebook) -> DataFrame:
-    """All rules over ``usages`` and ``imports`` of any number of pages.
+def judged(usages: DataFrame, book: Rulebook) -> DataFrame:
+    """``page_id, page, component, line`` and ``found``, the violations of each of ``jsx.page_usages``' rows.
 
     Unknown names get no further checks; imports and props are checked for top-level names only,
-    composition and children for sub-components only. Each usage meets the catalog, its page's
-    import of the name and its page's children of the name once, and all rules read that one row,
-    so pages are parsed twice however many rules there are: for the usages and for the children.
+    composition and children for sub-components only. Each usage knows its page's import of its name and the page's
+    nesting and meets the catalog once; all rules read that one row, so pages are parsed once however many rules there are,
+    and no page meets another.
     """
-    sources = imported_names(imports).select("page_id", F.col("name").alias("component_name"), "source")
-    needs = book.subs.where("size(must_contain) > 0").select(F.col("name").alias("parent_component"))
-    nested = usages.select("page_id", "parent_component", "component_name").join(needs, "parent_component", "left_semi")
-    children = nested.groupBy("page_id", F.col("parent_component").alias("component_name")).agg(F.collect_set("component_name").alias("children"))
-    rows = classified(usages, book).join(sources, ["page_id", "component_name"], "left").join(children, ["page_id", "component_name"], "left")
+    rows = classified(usages, book)
     rules = (unknown_component(), deprecated_component(), import_rules(), required_props(), prop_rules(), composition_rule(), children_rule())
     none = F.array().cast(VIOLATION)
-    found = rows.select("page_id", F.col("component_name").alias("component"), "line", F.explode(F.concat(*(F.coalesce(r.cast(VIOLATION), none) for r in rules))).alias("_v"))
-    return found.select("page_id", "_v.rule", "_v.severity", "component", "_v.prop", "line", "_v.message", "_v.suggestion")
+    found = F.concat(*(F.coalesce(r.cast(VIOLATION), none) for r in rules))
+    return rows.select("page_id", "page", F.col("component_name").alias("component"), "line", F.when(F.col("component_name").isNull(), none).otherwise(found).alias("found"))
+
+
+def violations(judged: DataFrame) -> DataFrame:
+    """A row for each violation that ``judged`` found."""
+    return judged.select("page_id", "component", "line", F.explode("found").alias("_v")).select("page_id", "_v.rule", "_v.severity", "component", "_v.prop", "line", "_v.message", "_v.suggestion")
 
 
 def with_severity(found: DataFrame, severity: str) -> DataFrame:
@@ -162,23 +160,21 @@ def summary(errors: Column, warnings: Column, infos: Column) -> Column:
     return F.when(text == "", "no issues found").otherwise(text)
 
 
-def page_results(pages: DataFrame, found: DataFrame) -> DataFrame:
+def page_results(judged: DataFrame) -> DataFrame:
     """A row for each page, clean ones too: ``page_id, valid, errors, warnings, infos, summary``."""
-    counts = found.groupBy("page_id").agg(*(F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "info")))
-    rows = pages.select("page_id").join(counts, "page_id", "left").na.fill(0, ["errors", "warnings", "infos"])
-    return rows.withColumn("valid", F.col("errors") == 0).withColumn("summary", summary(F.col("errors"), F.col("warnings"), F.col("infos")))
+    of = lambda severity: F.size(F.filter("found", lambda v: v["severity"] == severity)).cast("long")
+    rows = judged.groupBy("page_id", "page").agg(*(F.sum(of(s)).alias(f"{s}s") for s in ("error", "warning", "info")))
+    return rows.select("page_id", "errors", "warnings", "infos", (F.col("errors") == 0).alias("valid"), summary(F.col("errors"), F.col("warnings"), F.col("infos")).alias("summary"))
 
 
-def analysis(usages: DataFrame) -> DataFrame:
+def analysis(pages: DataFrame) -> DataFrame:
     """Each usage with its prop names and its number of children: ``page_id, pos, component_name, line, props, children_count``.
 
-    A child is credited to the first usage of its parent's name that stands no later than it; usages
-    of one name on one line share a count.
+    A child is credited to the first usage of its parent's name; usages of one name on one line share a count.
     """
-    # Lines ascend with pos, so of a name's usages the first has the least line and owns every child that it can.
-    heads = usages.groupBy("page_id", F.col("component_name").alias("parent_component")).agg(F.min_by("line", "pos").alias("parent_line"))
-    children = usages.where("parent_component <> ''").select("page_id", "parent_component", "line")
-    owner = children.join(heads, ["page_id", "parent_component"]).where("parent_line <= line").select("page_id", "parent_component", F.col("parent_line").alias("line"))
-    counts = owner.groupBy("page_id", F.col("parent_component").alias("component_name"), "line").agg(F.count("*").alias("children_count"))
-    rows = usages.join(counts, ["page_id", "component_name", "line"], "left")
-    return rows.select("page_id", "pos", "component_name", "line", F.sort_array(F.map_keys("props")).alias("props"), F.coalesce("children_count", F.lit(0)).alias("children_count"))
+    found = with_elements(pages, "code", "page_id")
+    each = found.select("page_id", *(F.col(f"_elements.{c}").alias(f"_{c}s") for c in ("name", "parent", "line")), F.posexplode("_elements").alias("pos", "_e"))
+    # Lines ascend with pos, so of a name's usages the first has the least line and owns every child.
+    first = F.get("_lines", (F.array_position("_names", F.col("_e.name")) - 1).cast("int"))
+    count = (F.size("_parents") - F.size(F.array_remove("_parents", F.col("_e.name")))).cast("long")
+    return each.select("page_id", "pos", F.col("_e.name").alias("component_name"), "_e.line", F.sort_array(F.map_keys("_e.props")).alias("props"), F.when(F.col("_e.line") == first, count).otherwise(0).alias("children_count"))

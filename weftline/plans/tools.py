@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.jsx import imports, usages
+from weftline.functions.jsx import imports, page_usages
 from weftline.functions.text import line_count, response_bytes, token_estimate
 from weftline.operators import autofix, validation
 from weftline.operators import catalog as queries
 from weftline.sources.catalog import Catalog
+from weftline.sources.kept import kept
 
 
 @dataclass(frozen=True)
@@ -26,15 +27,17 @@ class Validation:
 def validate_pages(pages: DataFrame, components: DataFrame, auto_fix: bool = False) -> Validation:
     """Validate ``pages(page_id, code)``, any number of them, in one job."""
     book = validation.Rulebook.of(components)
-    found = validation.violations(usages(pages), imports(pages), book)
+    pages = kept(pages) if auto_fix else pages  # read for the violations and to be fixed
+    judged = validation.judged(page_usages(pages), book)
+    found = validation.violations(judged)
     fixed = autofix.fixed_pages(pages, autofix.fix_rows(found, book.components)) if auto_fix else None
-    return Validation(validation.page_results(pages, found), found, fixed)
+    return Validation(validation.page_results(judged), found, fixed)
 
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
     """A row for each page: ``page_id, components, imports, line_count``."""
     parts = F.sort_array(F.collect_list(F.struct("pos", "component_name", "line", "props", "children_count")))
-    components = validation.analysis(usages(pages)).groupBy("page_id").agg(parts.alias("components"))
+    components = validation.analysis(pages).groupBy("page_id").agg(parts.alias("components"))
     sources = imports(pages).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("imports"))
     rows = pages.select("page_id", line_count(F.coalesce("code", F.lit(""))).alias("line_count"))
     return rows.join(components, "page_id", "left").join(sources, "page_id", "left")

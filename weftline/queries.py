@@ -180,7 +180,7 @@ def af_fixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         when u.o = 1 then (select count(*) from e where e.l_orderkey = u.page_id and e.child = u.component_name and e.l_quantity % 2 = 0) else 0 end, 0)::bigint children_count
     from u left join firsts on firsts.page_id = u.page_id and firsts.component_name = u.component_name and firsts.line = u.line""")
 def an1_children_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.analysis(jsx.usages(derived.order_pages(spark, sf_dir))).select("page_id", "component_name", "line", "children_count")
+    return validation.analysis(derived.order_pages(spark, sf_dir)).select("page_id", "component_name", "line", "children_count")
 
 
 @query(f"{_LINES} select l_orderkey page_id, rn - 1 - (select count(*) from i j where j.l_orderkey = i.l_orderkey and j.rn < i.rn and j.l_discount < 0.03) pos, case when l_discount < 0.08 then '@/parts/brand' || n else '@/wrong' end as source, brand as name from i where l_discount >= 0.03")
