@@ -106,25 +106,26 @@ def _further(tokens: DataFrame) -> DataFrame:
     return found.select("*", F.when(function, "function").otherwise("variable").alias("kind_of"), F.lit(None).cast(dict(found.dtypes)["body"]).alias("own_body"))
 
 
-def _class_bodies(tokens: DataFrame) -> DataFrame:
-    """Braces of all classes, named or not: ``path, up``."""
+def _class_bodies() -> Column:
+    """Braces of all classes of a module, named or not."""
     classes = F.filter("_tokens", lambda t: (t["kind"] == "w") & (t["text"] == "class") & (t["body"] >= 0) & F.coalesce(_at(t["prev"])["text"] != ".", F.lit(True)))
-    return tokens.select("path", F.explode(F.transform(classes, lambda t: t["body"])).alias("up"))
+    return F.transform(classes, lambda t: t["body"])
 
 
 def _members(tokens: DataFrame) -> DataFrame:
     """Methods and fields of classes, and of JavaScript's objects the methods and functions."""
     prefixed = F.col("b1").isNull() | F.col("begins") | F.col("b1.text").isin(";", "}", ",", *_PREFIXES)
     followed = lambda t: F.coalesce(_at(t["next"])["text"].isin("(", "<", ":", "=", "?", "!", ";") | (_at(t["next"])["line"] > t["line"]), F.lit(True))
-    named = _some(tokens, lambda t: (t["kind"] == "w") & (t["up"] >= 0) & followed(t)).where(prefixed)
+    known = tokens.withColumn("_bodies", _class_bodies())
+    word = lambda t: (t["kind"] == "w") & (t["up"] >= 0)
     method = F.col("a1.text").isin("(", "<") & F.col("paren").isNotNull()
-    in_class = joined(named, _class_bodies(tokens), ["path", "up"]).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
+    in_class = _some(known.where("size(_bodies) > 0"), lambda t: word(t) & F.array_contains("_bodies", t["up"]) & followed(t)).where(prefixed).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
     in_class = in_class.where(~F.col("text").isin("static", "readonly") | F.col("a1.text").isin("(", ":", "=")).where((F.col("b1").isNull()) | (F.col("b1.text") != ",")).withColumn(
         "kind_of", F.when(method, "method").when((F.col("a1.text") == "=") & (F.col("a2.text") == "class"), "class").otherwise("field")
     )
     key = (F.col("a1.text") == ":") & (F.col("a2.text").isin("function", "async") | ((F.col("a2.text") == "(") & (F.col("a4.text") == "=>")) | ((F.col("a2.kind") == "w") & (F.col("a3.text") == "=>")))
-    in_object = named.where("language = 'JavaScript' and up >= 0").where((key | ((F.col("a1.text") == "(") & (F.col("a3.text") == "{"))) & (F.col("b1").isNull() | F.col("b1.text").isin(",", "async", "get", "set", "*")))
-    in_object = joined(in_object.where(~F.col("text").isin("if", "for", "while", "switch", "catch", "function", "return")), _class_bodies(tokens), ["path", "up"], "left_anti")
+    in_object = _some(known.where("language = 'JavaScript'"), lambda t: word(t) & ~F.array_contains("_bodies", t["up"]) & followed(t)).where(prefixed).where((key | ((F.col("a1.text") == "(") & (F.col("a3.text") == "{"))) & (F.col("b1").isNull() | F.col("b1.text").isin(",", "async", "get", "set", "*")))
+    in_object = in_object.where(~F.col("text").isin("if", "for", "while", "switch", "catch", "function", "return"))
     both = in_class.unionByName(in_object.withColumn("kind_of", F.when(F.col("a1.text") == ":", "function").otherwise("method")))
     has_body = F.col("kind_of").isin("method", "class") & (F.col("body.seq") < F.coalesce("stop.seq", F.lit(2**31 - 1)))
     return both.select("*", F.when(has_body, F.col("body")).alias("own_body"))
