@@ -159,3 +159,17 @@ def test_tokens_of_several_texts_are_those_of_each():
 def test_symbols_are_never_broadcast(spark):
     """Their sizes are estimated at one element an array, so a broadcast gathers all modules in the driver."""
     assert "Broadcast" not in m.symbols(modules(spark, a_ts=SCOPED))._jdf.queryExecution().toString()
+
+
+def test_props_are_found_without_a_join(spark):
+    """A join of tokens with their owners made plans whose code filled the driver's memory."""
+    rows = modules(spark, a_tsx=TYPED)
+    assert all("Join" not in found(rows)._jdf.queryExecution().toString() for found in (d.interface_props, d.inline_props))
+
+
+def test_a_parameter_list_that_two_heads_of_one_name_share(spark):
+    code = "const f = async function f({ a, b }: { a: string; readonly b?: 1 | 2 }) {}\ninterface I { x: string }\nnamespace N { interface I { y: { z: 1 }, w: A<b, c> } }"
+    rows = modules(spark, a_tsx=code)
+    props = lambda found: sorted((r.owner, r.pos, r.name, r.type, r.required) for r in found(rows).collect())
+    assert props(d.inline_props) == [("f", 0, "a", "string", True), ("f", 1, "b", "union", False)]
+    assert props(d.interface_props) == [("I", 0, "x", "string", True), ("I", 1, "y", "object", True), ("I", 2, "w", "A", True)]

@@ -8,7 +8,7 @@ separators by windows over numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ _PREFIXES = (*SCOPES, *MODIFIERS, "get", "set", "declare", "export", "default",
 
 
 def siblings(rows: DataFrame) -> DataFrame:
-    """``modules`` with ``_tokens``, read once and kept."""
-    return kept(with_tokens(rows, "raw", "markup", "path", "language"))
+    """``modules`` with ``_tokens`` and their text, read once and kept."""
+    return kept(with_tokens(rows, "raw", "markup", "path", "language", "raw"))
 
 
 def _at(place: Column) -> Column:
@@ -33,12 +33,28 @@ def _at(place: Column) -> Column:
     return F.get("_tokens", place)
 
 
-def _some(tokens: DataFrame, condition: Callable[[Column], Column]) -> DataFrame:
+def _held(place: Column) -> Column:
+    """Places of the tokens that stand in the bracket at a place; one that is never closed reaches to the end."""
+    mate = _at(place)["mate"]
+    last = F.when(mate >= 0, mate - 1).otherwise(F.size("_tokens") - 1)
+    within = F.when(last > place, F.sequence(place + 1, last)).otherwise(F.array().cast("array<int>"))
+    return F.filter(within, lambda i: _at(i)["up"] == place)
+
+
+def _contents(place: Column) -> Column:
+    """The tokens in the bracket at a place, with what splits and names signatures."""
+    fields = ("seq", "kind", "text", "at", "to", "angle", "comment")
+    starts = lambda t: t["begins"] | F.coalesce((_at(t["prev"])["text"] == ",") & (t["angle"] == 0), F.lit(False))
+    return F.transform(_held(place), lambda i: F.struct(*(_at(i)[c].alias(c) for c in fields), starts(_at(i)).alias("starts")))
+
+
+def _some(tokens: DataFrame, condition: Callable[[Column], Column], blocks: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows ``path, language, seq, kind, text, ...`` of the tokens that meet a condition, with what they are linked to.
 
     ``b1`` to ``b4`` and ``a1`` to ``a4`` are the tokens before and after in the same bracket; ``leads`` is the
     statement's first word; ``paren``, ``body`` and ``block`` are the next brackets with their ends, ``stop`` and ``last``
-    the ends of the statement and of what the bracket holds.
+    the ends of the statement and of what the bracket holds. With ``blocks`` there are also the module's ``raw`` and, as
+    ``blocks``, what the function makes of the token.
     """
     parts = lambda t, *names: F.when(t.isNotNull(), F.struct(*(t[c].alias(c) for c in names)))
     end = lambda t: F.when(t.isNotNull(), F.struct(t["at"].alias("at"), t["to"].alias("to"), t["line"].alias("line"), (t["column"] + t["to"] - t["at"]).alias("column"), t["seq"].alias("seq")))
@@ -60,10 +76,12 @@ def _some(tokens: DataFrame, condition: Callable[[Column], Column]) -> DataFrame
         near = [parts(b, "text", "at", "line", "column").alias(f"b{n + 1}") for n, b in enumerate(before)]
         near += [parts(a, "seq", "kind", "text", "to", "line").alias(f"a{n + 1}") for n, a in enumerate(after)]
         ahead = [bracket(_at(t[c])).alias(c) for c in ("paren", "body", "block")] + [end(_at(t[c])).alias(c) for c in ("stop", "last")]
-        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"))
+        more = [] if blocks is None else [blocks(t).alias("blocks")]
+        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"), *more)
 
-    each = tokens.select("path", "language", F.explode(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
-    return each.select("path", "language", "_x.*")
+    kept_too = ("path", "language") if blocks is None else ("path", "language", "raw")
+    each = tokens.select(*kept_too, F.explode(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
+    return each.select(*kept_too, "_x.*")
 
 
 def _inside(tokens: DataFrame, bracket: str) -> DataFrame:
@@ -74,8 +92,8 @@ def _inside(tokens: DataFrame, bracket: str) -> DataFrame:
     return tokens.select("path", F.explode(rows).alias("_t")).select("path", "_t.*")
 
 
-def _heads(tokens: DataFrame) -> DataFrame:
-    """Words that declare a name, with ``word``, ``name`` (a token), ``kind_of``, and the statement's ``body`` or null."""
+def _heads(tokens: DataFrame, words: Sequence[str] = tuple(KINDS), blocks: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Words that declare a name, with ``word``, ``name`` (a token), ``kind_of``, and the statement's ``body`` or null; ``blocks`` as in ``_some``."""
     text, after = F.col("text"), F.col("a2.text")
     star = (text == "function") & (F.col("a1.text") == "*")
     name = F.when(star, F.col("a2")).otherwise(F.col("a1"))
@@ -84,7 +102,7 @@ def _heads(tokens: DataFrame) -> DataFrame:
         .when(text == "enum", after == "{").when(text.isin("namespace", "module"), after.isin("{", ".")).when(text.isin("const", "let", "var"), F.col("a1.text") != "enum").otherwise(F.lit(True))
     )
     statement = F.col("b1").isNull() | ~F.col("b1.text").isin(*GOES_ON) | (F.col("begins") & (F.col("b1.text") != "."))
-    found = _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*KINDS)).withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
+    found = _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*words), blocks).withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
     value = (after == "=") & ~star
     function = value & ((F.col("a3.text") == "function") | ((F.col("a3.text") == "async") & (F.col("a4.text") == "function")))
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
@@ -223,21 +241,26 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _signatures(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Property signatures in ``blocks(path, owner, up)``: ``path, owner, pos, name, required, comment`` and ``parts``, the type's tokens."""
-    inside = joined(_inside(tokens, "{"), blocks, ["path", "up"])
-    separator = F.col("text").isin(";", ",") & (F.col("angle") == 0)
-    begins = F.col("begins") | F.coalesce((F.col("before") == ",") & (F.col("angle") == 0), F.lit(False))
-    back = Window.partitionBy("path", "owner", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = inside.withColumn("_no", F.count_if(begins).over(back)).where(~separator)
-    each = numbered.groupBy("path", "owner", "up", "_no").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "at", "to", "angle"))).alias("_t"), F.min_by("comment", "seq").alias("comment"))
-    readonly = (F.get("_t", F.lit(0))["text"] == "readonly") & F.get("_t", F.lit(1))["kind"].isin("w", "s")
-    bare = each.select("*", F.get("_t", F.lit(0))["seq"].alias("first")).withColumn("_t", F.when(readonly, F.slice("_t", 2, 1 << 30)).otherwise(F.col("_t")))
+def _signatures(owners: DataFrame) -> DataFrame:
+    """Property signatures in ``owners(path, raw, owner, blocks)``: ``path, raw, owner, first, name, required, comment`` and ``parts``, the type's tokens.
+
+    Signatures are split within the owner's row, so that no token is shuffled. ``explode_outer`` keeps Spark from testing an array's
+    size before it is made, which would make it twice, and once more for each of its elements.
+    """
+    blocks = owners.select("path", "raw", "owner", F.explode_outer("blocks").alias("_b"))
+    places = F.when(F.size("_b") > 0, F.sequence(F.lit(0), F.size("_b") - 1)).otherwise(F.array().cast("array<int>"))
+    begun = blocks.select("*", F.filter(places, lambda i: F.get("_b", i)["starts"]).alias("_starts"))
+    to = lambda n: F.coalesce(F.get("_starts", n + 1), F.size("_b")) - 1
+    separator = lambda t: t["text"].isin(";", ",") & (t["angle"] == 0)
+    split = F.transform("_starts", lambda at, n: F.filter(F.transform(F.sequence(at, to(n)), lambda i: F.get("_b", i)), lambda t: ~separator(t)))
+    each = begun.select("path", "raw", "owner", F.explode_outer(split).alias("_t")).where("size(_t) > 0")
+    head = F.get("_t", F.lit(0))
+    readonly = (head["text"] == "readonly") & F.coalesce(F.get("_t", F.lit(1))["kind"].isin("w", "s"), F.lit(False))
+    bare = each.select("path", "raw", "owner", head["seq"].alias("first"), head["comment"].alias("comment"), F.when(readonly, F.slice("_t", 2, 1 << 30)).otherwise(F.col("_t")).alias("_t"))
     optional = F.coalesce(F.get("_t", F.lit(1))["text"] == "?", F.lit(False))
     colon = F.when(optional, F.get("_t", F.lit(2))["text"]).otherwise(F.get("_t", F.lit(1))["text"])
     named = bare.where(F.get("_t", F.lit(0))["kind"].isin("w", "s") & (colon == ":"))
-    order = F.row_number().over(Window.partitionBy("path", "owner").orderBy("first")) - 1
-    return named.select("path", "owner", order.alias("pos"), "comment", unquoted(F.get("_t", F.lit(0))["text"]).alias("name"), (~optional).alias("required"), F.slice("_t", F.when(optional, 4).otherwise(3), F.lit(1 << 30)).alias("parts"))
+    return named.select("path", "raw", "owner", "first", "comment", unquoted(F.get("_t", F.lit(0))["text"]).alias("name"), (~optional).alias("required"), F.slice("_t", F.when(optional, 4).otherwise(3), F.lit(1 << 30)).alias("parts"))
 
 
 def described(comment: Column) -> tuple[Column, Column]:
@@ -294,12 +317,14 @@ def resolved(parts: Column, text: Column) -> tuple[Column, Column]:
     return kind, F.when(wrapped & (F.size(inner_members) > 1) & F.forall(inner_members, quoted), F.transform(inner_members, unquoted)).otherwise(values)
 
 
-def _props(rows: DataFrame, tokens: DataFrame, blocks: DataFrame) -> DataFrame:
-    found = joined(_signatures(tokens, blocks), rows.select("path", "raw"), ["path"])
-    text = found.withColumn("_text", _cut(F.get("parts", F.lit(0))["at"], F.element_at("parts", -1)["to"])).where("size(parts) > 0")
+def _props(owners: DataFrame) -> DataFrame:
+    """Props of ``owners(path, raw, owner, blocks)`` in order; a block that two heads of one name share counts once."""
+    order = Window.partitionBy("path", "owner").orderBy("first")
+    found = _signatures(owners).withColumn("_text", _cut(F.get("parts", F.lit(0))["at"], F.element_at("parts", -1)["to"])).drop("raw")
+    placed = found.select("*", (F.dense_rank().over(order) - 1).alias("pos"), F.lag("first").over(order).alias("_before")).where("not first <=> _before and size(parts) > 0")
     description, deprecated = described(F.col("comment"))
     kind, values = resolved(F.col("parts"), F.col("_text"))
-    return text.select("path", "owner", "pos", "name", kind.alias("type"), "required", description.alias("description"), deprecated.alias("deprecated"), values.alias("allowed_values"))
+    return placed.select("path", "owner", "pos", "name", kind.alias("type"), "required", description.alias("description"), deprecated.alias("deprecated"), values.alias("allowed_values"))
 
 
 def interface_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -308,18 +333,18 @@ def interface_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFra
     A prop's comment is the last one before it and behind the prop before. Methods and index signatures are no props.
     """
     tokens = siblings(rows) if tokens is None else tokens
-    owners = _heads(tokens).where("word in ('interface', 'type') and block is not null").where(F.col("block.seq") < F.coalesce("stop.seq", F.lit(2**31 - 1)))
-    return _props(rows, tokens, owners.select("path", F.col("name.text").alias("owner"), F.col("block.seq").alias("up")))
+    own = lambda t: F.when((t["block"] >= 0) & ((t["stop"] < 0) | (t["block"] < t["stop"])), F.array(_contents(t["block"])))
+    return _props(_heads(tokens, ("interface", "type"), own).select("path", "raw", F.col("name.text").alias("owner"), "blocks"))
 
 
 def inline_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Props of object types written inside the parameters of functions and arrow functions, as in ``interface_props``; ``owner`` is the function."""
     tokens = siblings(rows) if tokens is None else tokens
-    heads = _heads(tokens)
+    typed = lambda i: (_at(i)["text"] == "{") & _at(_at(i)["prev"])["text"].isin(":", "&", "|")
+    own = lambda t: F.when(t["paren"] >= 0, F.transform(F.filter(_held(t["paren"]), typed), _contents))
     arrow = F.col("word").isin("const", "let", "var") & (F.col("a2.text") == "=") & F.col("a3.text").isin("(", "async")
-    lists = heads.where(((F.col("word") == "function") | arrow) & F.col("paren").isNotNull()).select("path", F.col("name.text").alias("owner"), F.col("paren.seq").alias("up"))
-    braces = joined(_inside(tokens, "(").where("text = '{' and before in (':', '&', '|')"), lists, ["path", "up"])
-    return _props(rows, tokens, braces.select("path", "owner", F.col("seq").alias("up")))
+    heads = _heads(tokens, ("function", "const", "let", "var"), own).where((F.col("word") == "function") | arrow)
+    return _props(heads.select("path", "raw", F.col("name.text").alias("owner"), "blocks"))
 
 
 def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
