@@ -173,3 +173,15 @@ def test_a_parameter_list_that_two_heads_of_one_name_share(spark):
     props = lambda found: sorted((r.owner, r.pos, r.name, r.type, r.required) for r in found(rows).collect())
     assert props(d.inline_props) == [("f", 0, "a", "string", True), ("f", 1, "b", "union", False)]
     assert props(d.interface_props) == [("I", 0, "x", "string", True), ("I", 1, "y", "object", True), ("I", 2, "w", "A", True)]
+
+
+def test_variants_are_found_by_the_links_of_their_keys(spark):
+    code = (
+        'const a = cva("b", { variants: { x: { p: "1", "q-r": "2" }, y: { t: "3" } }, defaultVariants: { x: "p" } }, { variants: { z: { u: 1 } } }), b = cva("y", { other: { x: { p: 1 } }, variants: { k: { v: { variants: { n: { m: "" } } } } } });\n'
+        'foo(const c = cva("z", { "variants": { t: { w: 1 } } })); const d = other("b", { variants: { x: { p: 1 } } })\nconst e = cva("z", { variants: { a: { b: "c"'
+    )
+    found = d.variant_sets(modules(spark, v_tsx=code))
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert sorted((r.variable, r.pos, r.name, r.allowed_values, r.default) for r in found.collect()) == [
+        ("a", 0, "x", ["p", "q-r"], "p"), ("a", 1, "y", ["t"], ""), ("a", 2, "z", ["u"], ""), ("c", 0, "t", ["w"], ""), ("e", 0, "a", ["b"], ""),
+    ]

@@ -348,20 +348,44 @@ def inline_props(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
 
 def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """Variant calls: ``path, pos, variable, name, allowed_values, default``, a row for each variant."""
+    """Variant calls: ``path, pos, variable, name, allowed_values, default``, a row for each variant.
+
+    A key finds the objects around it, their keys and the call by the links of its own token, so keys alone become rows.
+    """
     tokens = siblings(rows) if tokens is None else tokens
-    calls = _heads(tokens).where("word in ('const', 'let', 'var') and a2.text = '=' and a3.text = 'cva' and a4.text = '('").select("path", F.col("name.text").alias("variable"), F.col("a4.seq").alias("up"))
-    options = joined(_inside(tokens, "(").where("text = '{' and before = ','"), calls, ["path", "up"]).select("path", "variable", F.col("seq").alias("up"))
-    keys = _some(tokens, lambda t: t["kind"].isin("w", "s") & (_at(t["next"])["text"] == ":") & F.coalesce(_at(t["prev"])["text"] == ",", F.lit(True))).select("path", "up", "seq", unquoted(F.col("text")).alias("key"), F.col("a2").alias("value"))
-
-    def below(rows: DataFrame, at: str, key: str, value: str) -> DataFrame:
-        """The keys in the object that starts at a token."""
-        return joined(rows, keys.select("path", F.col("up").alias(at), F.col("key").alias(key), F.col("value").alias(value), F.col("seq").alias(f"{key}_at")), ["path", at])
-
-    sections = below(options, "up", "section", "_object").where("_object.text = '{'").select("path", "variable", "section", F.col("_object.seq").alias("up"))
-    groups = below(sections.where("section = 'variants'"), "up", "name", "_values").where("_values.text = '{'")
-    defaults = below(sections.where("section = 'defaultVariants'"), "up", "name", "_value").select("path", "variable", "name", unquoted(F.col("_value.text")).alias("default"))
-    values = below(groups.select("path", "variable", "name", F.col("name_at").alias("pos"), F.col("_values.seq").alias("up")), "up", "value", "_v")
-    each = values.groupBy("path", "variable", "name", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("value_at", "value"))), lambda x: x["value"]).alias("allowed_values"))
-    order = F.row_number().over(Window.partitionBy("path", "variable").orderBy("pos")) - 1
-    return joined(each, defaults, ["path", "variable", "name"], "left").select("path", order.alias("pos"), "variable", "name", "allowed_values", F.coalesce("default", F.lit("")).alias("default"))
+    before = lambda t: _at(t["prev"])
+    is_key = lambda t: t["kind"].isin("w", "s") & (_at(t["next"])["text"] == ":") & F.coalesce(before(t)["text"] == ",", F.lit(True))
+    around = lambda t: _at(t["up"])
+    key_of = lambda brace: before(before(brace))
+    has_key = lambda brace: (brace["text"] == "{") & (before(brace)["text"] == ":") & is_key(key_of(brace))
+
+    def is_options(brace: Column) -> Column:
+        """Whether an object is an argument behind the first of a variant call that a variable holds."""
+        call = around(brace)
+        name = before(before(before(call)))
+        word = before(name)
+        statement = F.coalesce(~before(word)["text"].isin(*GOES_ON), F.lit(True)) | (word["begins"] & (before(word)["text"] != "."))
+        called = (call["text"] == "(") & (before(call)["text"] == "cva") & (before(before(call))["text"] == "=")
+        return (brace["text"] == "{") & (before(brace)["text"] == ",") & called & (name["kind"] == "w") & (name["text"] != "enum") & (word["kind"] == "w") & word["text"].isin("const", "let", "var") & statement
+
+    def in_section(t: Column, section: str) -> Column:
+        """Whether a key stands in a section of a call's options."""
+        return has_key(around(t)) & (unquoted(key_of(around(t))["text"]) == section) & is_options(around(key_of(around(t))))
+
+    def row(t: Column, key: Column, values: list[Column]) -> Column:
+        """A key of a section, with its call's variable."""
+        call = around(around(key_of(around(key))))
+        return F.struct(before(before(before(call)))["text"].alias("variable"), unquoted(key["text"]).alias("name"), *values)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    value = lambda t: row(t, key_of(around(t)), [key_of(around(t))["seq"].alias("pos"), t["seq"].alias("at"), unquoted(t["text"]).alias("value"), none("string").alias("default")])
+    default = lambda t: row(t, t, [none("int").alias("pos"), t["seq"].alias("at"), none("string").alias("value"), unquoted(_at(_at(t["next"])["next"])["text"]).alias("default")])
+    values = F.transform(F.filter("_tokens", lambda t: is_key(t) & has_key(around(t)) & in_section(key_of(around(t)), "variants")), value)
+    defaults = F.transform(F.filter("_tokens", lambda t: is_key(t) & in_section(t, "defaultVariants")), default)
+    each = tokens.select("path", F.explode_outer(F.concat(values, defaults)).alias("_v")).where("_v is not null").select("path", "_v.*")
+    listed = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "at", "value"))))
+    named = each.groupBy("path", "variable", "name").agg(listed.alias("_l"), F.max_by("default", F.when(F.col("pos").isNull(), F.col("at"))).alias("default"))
+    sets = named.select("path", "variable", "name", "default", "_l", F.explode(F.array_distinct(F.transform("_l", lambda x: x["pos"]))).alias("_pos"))
+    allowed = F.transform(F.filter("_l", lambda x: x["pos"] == F.col("_pos")), lambda x: x["value"])
+    order = F.row_number().over(Window.partitionBy("path", "variable").orderBy("_pos")) - 1
+    return sets.select("path", order.alias("pos"), "variable", "name", allowed.alias("allowed_values"), F.coalesce("default", F.lit("")).alias("default"))
