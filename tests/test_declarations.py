@@ -185,3 +185,15 @@ def test_variants_are_found_by_the_links_of_their_keys(spark):
     assert sorted((r.variable, r.pos, r.name, r.allowed_values, r.default) for r in found.collect()) == [
         ("a", 0, "x", ["p", "q-r"], "p"), ("a", 1, "y", ["t"], ""), ("a", 2, "z", ["u"], ""), ("c", 0, "t", ["w"], ""), ("e", 0, "a", ["b"], ""),
     ]
+
+
+def test_symbols_are_read_once_for_detection(spark):
+    """Symbols that two sides of a join read made the plan twice as large, and the driver's memory with it."""
+    from weftline.operators.scan import detected
+
+    rows = modules(spark, a_tsx="export function A() { return <b/> }\nfunction B() { return <b/> }\nexport { B, C }\nexport const D = memo(() => <i/>)\nfunction E() { return <b/> }\nexport interface F { a: string }")
+    tokens = m.siblings(rows)
+    names = m.symbol_names(rows, tokens)
+    found = detected(m.component_facts(rows), names, m.module_exports(rows))
+    reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert reads(found) == reads(names) and sorted(r.name for r in found.collect()) == ["A", "B", "D"]

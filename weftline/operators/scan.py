@@ -20,9 +20,10 @@ def detected(facts: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFr
     are a symbol of the file. Functions need JSX; variables a forwardRef or memo call, or JSX;
     classes a heritage with ``Component``.
     """
-    own = symbols.where("is_exported and kind in ('function', 'variable', 'class')").select("path", "name")
-    named = joined(exports.select("path", "name"), symbols.select("path", "name").distinct(), ["path", "name"], "left_semi")
-    candidates = own.union(named).distinct().where(is_component_name(F.col("name")))
+    own = F.expr("is_exported and kind in ('function', 'variable', 'class')")
+    declared = symbols.select("path", "name", own.alias("_own"), F.lit(True).alias("_symbol"), F.lit(False).alias("_export"))
+    both = declared.unionByName(exports.select("path", "name", F.lit(False).alias("_own"), F.lit(False).alias("_symbol"), F.lit(True).alias("_export"))).where(is_component_name(F.col("name")))
+    candidates = both.groupBy("path", "name").agg(*(F.max(c).alias(c) for c in ("_own", "_symbol", "_export"))).where("_own or _symbol and _export").select("path", "name")
     last = facts.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy(F.desc("pos")))).where("_n = 1 and word in ('function', 'class', 'const', 'let', 'var')")
     kind = (
         F.when((F.col("word") == "function") & F.col("has_jsx"), "function").when((F.col("word") == "class") & F.col("heritage").contains("Component"), "class")
@@ -43,7 +44,7 @@ def component_props(components: DataFrame, declared: DataFrame, variants: DataFr
     heads = components.select("path", F.col("name").alias("component"), "props_type", "kind", "body")
     by_type = joined(heads.where("props_type <> ''").select("path", "component", F.col("props_type").alias("owner")), declared, ["path", "owner"])
     defaults = m.destructured_defaults(components.where("kind <> 'class'"))
-    base = by_type.select("path", "component", "pos", "name", "type", "required", "description", "deprecated", "allowed_values")
+    base = kept(by_type.select("path", "component", "pos", "name", "type", "required", "description", "deprecated", "allowed_values"))
     loose = joined(defaults, base.select("path", "component").distinct(), ["path", "component"], "left_anti").select(
         "path", "component", "pos", "name", F.lit("unknown").alias("type"), F.lit(False).alias("required"), F.lit("").alias("description"), F.lit(False).alias("deprecated"), F.array().cast("array<string>").alias("allowed_values")
     )
@@ -57,7 +58,7 @@ def component_props(components: DataFrame, declared: DataFrame, variants: DataFr
     with_default = joined(base.unionByName(loose), defaults.select("path", "component", "name", "default"), ["path", "component", "name"], "left").na.fill("", ["default"])
 
     counts = heads.groupBy("path").agg(F.count("*").alias("_components"))
-    sets = joined(joined(variants, variants.select("path", "variable").distinct().groupBy("path").agg(F.count("*").alias("_sets")), ["path"]), counts, ["path"])
+    sets = joined(variants.withColumn("_sets", F.size(F.collect_set("variable").over(Window.partitionBy("path")))), counts, ["path"])
     of = lambda text: text.contains(F.concat(F.lit("typeof "), "variable"))
     named = of(F.col("body")) | F.coalesce(of(F.col("head")), F.lit(False))
     refer = joined(joined(heads, sets, ["path"]), type_heads.withColumnRenamed("owner", "props_type"), ["path", "props_type"], "left")
