@@ -109,3 +109,8 @@ def broken(change):
 def test_integrity(spark, change, error):
     found = names(q.integrity_errors(parsed(spark, broken(change))), "error")
     assert found == ([] if error is None else [error])
+
+
+def test_integrity_broadcasts_categories_alone(catalog):
+    """Components and sub-components grow with the catalog, so no side made of them passes through the driver."""
+    assert q.integrity_errors(catalog)._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import contains_folded
 from weftline.sources.catalog import Catalog
+from weftline.sources.kept import joined
 
 
 def list_categories(categories: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def integrity_errors(catalog: Catalog) -> DataFrame:
     )
     known, groups = named.select("name").distinct(), categories.select(F.col("name").alias("category")).distinct()
     listed = categories.select(F.explode("components").alias("name"), F.col("name").alias("category"))
-    earlier = subs.join(named.select("name", F.col("pos").alias("_seen")), "name").where("_seen <= parent_pos")
+    earlier = joined(subs, named.select("name", F.col("pos").alias("_seen")), ["name"]).where("_seen <= parent_pos")
     checks = [
         errors(catalog.meta.where("name = ''"), "catalog name is required", F.lit("")),
         errors(catalog.meta.where("version = ''"), "catalog version is required", F.lit("")),
@@ -146,7 +147,7 @@ def integrity_errors(catalog: Catalog) -> DataFrame:
         errors(repeated(subs), "duplicate sub-component", "name"),
         errors(earlier, "sub-component collides with a component", "name"),
         errors(rules.where(~F.col("severity").isin(*severities)), "invalid severity", F.concat_ws(".", "owner", "rule")),
-        errors(listed.join(known, "name", "left_anti"), "category lists an unknown component", F.concat_ws(".", "category", "name")),
+        errors(joined(listed, known, ["name"], "left_anti"), "category lists an unknown component", F.concat_ws(".", "category", "name")),
     ]
     return reduce(DataFrame.unionByName, checks)
 

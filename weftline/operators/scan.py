@@ -150,7 +150,7 @@ def built_catalog(components: DataFrame, props: DataFrame, tokens: DataFrame, na
     packed = packed.select("path", F.col("component").alias("name"), F.transform("_p", lambda x: x["v"]).alias("props"))
     full = joined(components.select("path", "name"), packed, ["path", "name"], "left")
     no_props = F.array().cast(dict(packed.dtypes)["props"])
-    full = full.withColumn("props", F.coalesce("props", no_props))
+    full = kept(full.withColumn("props", F.coalesce("props", no_props)))
     subs = joined(groups, full, ["path", "name"]).select("path", "parent", F.struct(
         "name", F.lit("").alias("description"), "props", F.array().cast("array<string>").alias("must_contain"), F.array().cast("array<string>").alias("allowed_children"), F.array("parent").alias("allowed_parents")
     ).alias("_s"))
