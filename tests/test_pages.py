@@ -140,3 +140,20 @@ def test_fixes_of_equal_violations_stay_apart(spark, components):
     found = validate_pages(spark.createDataFrame([(1, code)], "page_id int, code string"), components).violations
     got = sorted((r["kind"], r["line"], r["old"], r["new"]) for r in autofix.fix_rows(found, components).collect())
     assert got == [("import", 3, "", "./old"), *[("path", 2, "", "@/components/ui/button")] * 2, *[("value", 2, "a", "default")] * 2]
+
+
+def test_equal_usages_are_judged_once(spark, components):
+    code = BUTTON + '<Button size="x">a</Button>\n<Button size="x">b</Button>'
+    twice = spark.createDataFrame([(1, code), (2, code), (3, None), (1, code)], "page_id int, code string").coalesce(1)
+    rows = {r["component_name"]: sorted((p["page_id"], p["line"]) for p in r["places"]) for r in jsx.page_usages(twice).collect()}
+    assert rows == {"Button": [(1, 2), (1, 2), (1, 3), (1, 3), (2, 2), (2, 3)], None: [(3, None)]}
+    result = validate_pages(twice, components)
+    assert sorted((r["page_id"], r["line"], r["prop"]) for r in result.violations.collect()) == [(p, line, "size") for p, line in rows["Button"]]
+    assert sorted((r["page_id"], r["warnings"]) for r in result.results.collect()) == [(1, 2), (1, 2), (2, 2), (3, 0)]
+
+
+def test_what_a_page_says_of_a_usage(spark):
+    code = 'import A, { B as C, type D } from "./x"\r  import { D } from \'./y\'\nconst s = "import { E } from \\"z\\"" // <A/>\n<A><B/><C><E/></C></A>\n<A>{ok && <D {...p} />}</A>'
+    rows = jsx.page_usages(spark.createDataFrame([(1, code)], "page_id int, code string")).collect()
+    found = {(r["component_name"], r["parent_component"], r["source"], tuple(r["children"]), tuple(p["line"] for p in r["places"])) for r in rows}
+    assert found == {("A", "", "./x", ("B", "C", "D"), (3, 4)), ("B", "A", "./x", (), (3,)), ("C", "A", None, ("E",), (3,)), ("E", "C", None, (), (3,)), ("D", "A", "./y", (), (4,))}

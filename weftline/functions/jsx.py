@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.lexical import with_elements
+from weftline.functions import lexical
+from weftline.functions.lexical import with_elements, with_shapes
 
-IMPORT = r"(?m)^[ \t]*import\b\s*(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\*\s*as\s+[\w$]+\s*)?(?:\{([^}]*)\}\s*)?(?:from\s*)?[\"']([^\"']+)[\"']"
+IMPORT = "(?m)^" + lexical.IMPORT
 
 
 def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:
@@ -29,29 +30,18 @@ def usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") ->
 
 
 def page_usages(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:
-    """``usages`` with what their page says of them, pages without any as a row whose ``component_name`` is null.
+    """Usages with what their page says of them, equal ones of a slice of pages as one row: ``component_name, props, parent_component, source, children, places``.
 
-    ``page`` numbers the pages, also of one id; ``source`` is where the page imports the name from, null if nowhere: the last import
-    of a name counts, a statement's default name after its named ones. ``nested`` has the page's pairs of a parent's and a child's name (``pair``).
+    ``source`` is where the page imports the name from, null if nowhere: the last import of a name counts, a statement's default
+    name after its named ones. ``children`` has the names that stand in any usage of that name on the page. ``places`` are ``page_id, page, line``;
+    ``page`` numbers the pages, also of one id. Pages without usages are places of a row whose ``component_name`` is null.
     """
-    part = lambda i, n: F.regexp_extract(i, IMPORT, n)
-    listed = lambda i: F.filter(F.concat(_names(part(i, 2)), F.array(part(i, 1))), lambda x: x != "")
-    statements = F.regexp_extract_all(F.coalesce(code_col, F.lit("")), F.lit(IMPORT), 0)
-    sources = F.transform(statements, lambda i: F.transform(listed(i), lambda n: F.struct(n.alias("name"), part(i, 3).alias("source"))))
-    found = with_elements(pages.select(id_col, code_col, F.reverse(F.flatten(sources)).alias("_sources")), code_col, id_col, "_sources")
-    whole = found.select(id_col, "_sources", "_elements", F.monotonically_increasing_id().alias("page"), F.array_distinct(F.transform("_elements", lambda e: pair(e["parent"], e["name"]))).alias("nested"))
-    each = whole.select(id_col, "page", "_sources", "nested", F.posexplode_outer("_elements").alias("pos", "_e"))
-    source = F.get(F.filter("_sources", lambda s: s["name"] == F.col("_e.name")), F.lit(0))["source"]
-    return each.select(id_col, "page", "pos", F.col("_e.name").alias("component_name"), "_e.props", F.col("_e.parent").alias("parent_component"), "_e.line", source.alias("source"), "nested")
-
-
-def pair(parent: Column, child: Column) -> Column:
-    return F.concat(parent, F.lit("\x01"), child)
+    return with_shapes(pages, code_col, id_col)
 
 
 def _names(text: Column) -> Column:
     """Names between an import's braces; aliases keep the exported name."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_extract(x, r"^\s*(?:type\s+)?([\w$]+)", 1)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_extract(x, lexical.IMPORTED, 1)), lambda x: x != "")
 
 
 def imports(pages: DataFrame, id_col: str = "page_id", code_col: str = "code") -> DataFrame:

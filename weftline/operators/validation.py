@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.jsx import pair
 from weftline.functions.lexical import with_elements
 from weftline.sources.kept import kept
 
@@ -124,29 +123,33 @@ def composition_rule() -> Column:
 
 
 def children_rule() -> Column:
-    """Children that a sub-component must contain and no usage of that parent name on the page does; ``nested`` has the page's pairs."""
-    lacking = F.filter(F.when(F.col("is_sub"), F.col("must_contain")), lambda c: ~F.array_contains("nested", pair(F.col("component_name"), c)))
+    """Children that a sub-component must contain and no usage of that name on the page does."""
+    lacking = F.filter(F.when(F.col("is_sub"), F.col("must_contain")), lambda c: ~F.array_contains("children", c))
     return F.transform(lacking, lambda c: _violation("missing-child", "error", _text(F.col("component_name"), " must contain ", c), c, _text("Add: ", c)))
 
 
 def judged(usages: DataFrame, book: Rulebook) -> DataFrame:
-    """``page_id, page, component, line`` and ``found``, the violations of each of ``jsx.page_usages``' rows.
+    """``component, places`` and ``found``, the violations of each of ``jsx.page_usages``' rows.
 
     Unknown names get no further checks; imports and props are checked for top-level names only,
-    composition and children for sub-components only. Each usage knows its page's import of its name and the page's
-    nesting and meets the catalog once; all rules read that one row, so pages are parsed once however many rules there are,
-    and no page meets another.
+    composition and children for sub-components only. A usage's row has its page's import of its name and what the page
+    nests in that name and meets the catalog once; all rules read that one row, so pages are parsed once however many rules there are,
+    no page meets another, and equal usages are judged together.
     """
     rows = classified(usages, book)
     rules = (unknown_component(), deprecated_component(), import_rules(), required_props(), prop_rules(), composition_rule(), children_rule())
     none = F.array().cast(VIOLATION)
     found = F.concat(*(F.coalesce(r.cast(VIOLATION), none) for r in rules))
-    return rows.select("page_id", "page", F.col("component_name").alias("component"), "line", F.when(F.col("component_name").isNull(), none).otherwise(found).alias("found"))
+    return rows.select(F.col("component_name").alias("component"), "places", F.when(F.col("component_name").isNull(), none).otherwise(found).alias("found"))
 
 
 def violations(judged: DataFrame) -> DataFrame:
-    """A row for each violation that ``judged`` found."""
-    return judged.select("page_id", "component", "line", F.explode("found").alias("_v")).select("page_id", "_v.rule", "_v.severity", "component", "_v.prop", "line", "_v.message", "_v.suggestion")
+    """A row for each violation that ``judged`` found, at each place of the usage.
+
+    ``explode_outer`` keeps Spark from testing the size of what was found before it is made, which would judge twice.
+    """
+    each = judged.select("component", "places", F.explode_outer("found").alias("_v")).where("_v is not null")
+    return each.select("component", "_v", F.explode("places").alias("_p")).select("_p.page_id", "_v.rule", "_v.severity", "component", "_v.prop", "_p.line", "_v.message", "_v.suggestion")
 
 
 def with_severity(found: DataFrame, severity: str) -> DataFrame:
@@ -163,7 +166,8 @@ def summary(errors: Column, warnings: Column, infos: Column) -> Column:
 def page_results(judged: DataFrame) -> DataFrame:
     """A row for each page, clean ones too: ``page_id, valid, errors, warnings, infos, summary``."""
     of = lambda severity: F.size(F.filter("found", lambda v: v["severity"] == severity)).cast("long")
-    rows = judged.groupBy("page_id", "page").agg(*(F.sum(of(s)).alias(f"{s}s") for s in ("error", "warning", "info")))
+    each = judged.select("places", *(of(s).alias(f"_{s}") for s in ("error", "warning", "info"))).select("*", F.explode_outer("places").alias("_p"))
+    rows = each.groupBy("_p.page_id", "_p.page").agg(*(F.sum(f"_{s}").alias(f"{s}s") for s in ("error", "warning", "info")))
     return rows.select("page_id", "errors", "warnings", "infos", (F.col("errors") == 0).alias("valid"), summary(F.col("errors"), F.col("warnings"), F.col("infos")).alias("summary"))
 
 
