@@ -157,3 +157,8 @@ def test_what_a_page_says_of_a_usage(spark):
     rows = jsx.page_usages(spark.createDataFrame([(1, code)], "page_id int, code string")).collect()
     found = {(r["component_name"], r["parent_component"], r["source"], tuple(r["children"]), tuple(p["line"] for p in r["places"])) for r in rows}
     assert found == {("A", "", "./x", ("B", "C", "D"), (3, 4)), ("B", "A", "./x", (), (3,)), ("C", "A", None, ("E",), (3,)), ("E", "C", None, (), (3,)), ("D", "A", "./y", (), (4,))}
+
+
+def test_fixes_are_dealt_by_page_once(pages, components):
+    plan = validate_pages(pages, components, auto_fix=True).fixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(page_id") == 2  # fixes, and the pages they meet

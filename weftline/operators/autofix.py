@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.sources.kept import joined, kept
 
+EDITS = "array<struct<at:int,old:string,new:string>>"
 FIXED_RULES = ("missing-import", "wrong-import-path", "invalid-prop-value")
 
 
@@ -23,7 +24,8 @@ def fix_rows(found: DataFrame, components: DataFrame) -> DataFrame:
     value = F.col("kind") == "value"
     each = rows.withColumn("kind", kind).select("page_id", "kind", "line", "component", F.when(value, bad_value).otherwise("").alias("old"), F.when(value, F.col("suggestion")).otherwise(F.col("import_path")).alias("new"))
     insert = F.col("kind") == "import"
-    once = each.groupBy("page_id", "kind", "component", "old", "new", F.when(~insert, F.col("line")).alias("_line")).agg(F.min("line").alias("line"), F.count("*").cast("int").alias("_n"))
+    # Dealt by page, so that a page's fixes stand together in all that follows.
+    once = each.repartition("page_id").groupBy("page_id", "kind", "component", "old", "new", F.when(~insert, F.col("line")).alias("_line")).agg(F.min("line").alias("line"), F.count("*").cast("int").alias("_n"))
     times = F.when(insert, 1).otherwise(F.col("_n"))
     return once.select("page_id", "kind", "line", "component", "old", "new", F.explode(F.array_repeat(F.lit(0), times))).drop("col")
 
@@ -33,13 +35,11 @@ def _quoted(line: Column, mark: str) -> Column:
     return F.regexp_extract(line, f"{mark}([^{mark}]*){mark}", 1)
 
 
-def _path_edit(lines: Column, fix: Column) -> Column:
+def _path_edit(importing: Column, fix: Column) -> Column:
     """Where a wrong import path is put right: the first line that names the component and an import from elsewhere."""
-    places = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    other = lambda line, mark: (_quoted(line, mark) != "") & (_quoted(line, mark) != fix["new"])
-    wrong = F.filter(places, lambda p: p["line"].contains(fix["component"]) & p["line"].contains("import") & (other(p["line"], '"') | other(p["line"], "'")))
-    place = F.get(wrong, F.lit(0))
-    return F.struct(place["at"].alias("at"), F.when(other(place["line"], '"'), _quoted(place["line"], '"')).otherwise(_quoted(place["line"], "'")).alias("old"), fix["new"].alias("new"))
+    other = lambda quoted: (quoted != "") & (quoted != fix["new"])
+    place = F.get(F.filter(importing, lambda p: p["line"].contains(fix["component"]) & (other(p["double"]) | other(p["single"]))), F.lit(0))
+    return F.struct(place["at"].alias("at"), F.when(other(place["double"]), place["double"]).otherwise(place["single"]).alias("old"), fix["new"].alias("new"))
 
 
 def _replaced(line: Column, edit: Column) -> Column:
@@ -58,15 +58,18 @@ def with_edits(pages: DataFrame, code: str, fixes: str, name: str) -> DataFrame:
     mark = F.lit('"')
     values = F.transform(of_kind("value"), lambda f: F.struct((f["line"] - 1).alias("at"), F.concat(mark, f["old"], mark).alias("old"), F.concat(mark, f["new"], mark).alias("new")))
     cut = pages.withColumn("_lines", F.split(F.coalesce(code, F.lit("")), "\n", -1))
-    found = cut.withColumn("_paths", F.when(F.size("_lines") > 0, F.array_distinct(F.transform(of_kind("path"), lambda f: _path_edit(F.col("_lines"), f)))))
-    edits = found.withColumn("_edits", F.filter(F.concat("_paths", values), lambda e: e["at"].isNotNull()))
-    changed = F.transform("_lines", lambda line, i: F.aggregate(F.filter("_edits", lambda e: e["at"] == i), line, _replaced))
-    lines = edits.withColumn("_changed", F.when(F.size("_edits") > 0, changed).otherwise(F.col("_lines")))
-    starts = lambda line: F.regexp_replace(line, r"^\s+", "").rlike(r"^import[ {]")
+    places = F.transform("_lines", lambda line, i: F.when(line.contains("import"), F.struct(i.alias("at"), line.alias("line"), _quoted(line, '"').alias("double"), _quoted(line, "'").alias("single"))))
+    importing = cut.withColumn("_importing", F.filter(places, lambda p: p.isNotNull()))
+    found = importing.withColumn("_paths", F.when(F.size("_importing") > 0, F.array_distinct(F.transform(of_kind("path"), lambda f: _path_edit(F.col("_importing"), f)))))
+    edits = found.withColumn("_edits", F.filter(F.concat(F.coalesce("_paths", F.array().cast(EDITS)), values), lambda e: e["at"].isNotNull()))
+    placed = edits.withColumn("_ats", F.transform("_edits", lambda e: e["at"]))
+    changed = F.transform("_lines", lambda line, i: F.when(F.array_contains("_ats", i), F.aggregate(F.filter("_edits", lambda e: e["at"] == i), line, _replaced)).otherwise(line))
+    lines = placed.withColumn("_changed", F.when(F.size("_ats") > 0, changed).otherwise(F.col("_lines")))
+    starts = lambda line: line.contains("import") & line.rlike(r"^\s*import[ {]")
     last = lines.withColumn("_last", F.array_max(F.transform("_changed", lambda line, i: F.when(starts(line), i + 1).otherwise(0))))
     wanted = F.transform(of_kind("import"), lambda f: F.concat(F.lit("import { "), f["component"], F.lit(' } from "'), f["new"], mark))
     whole = F.concat(F.slice("_changed", F.lit(1), F.col("_last")), F.reverse(F.array_distinct(wanted)), F.slice("_changed", F.col("_last") + 1, F.size("_changed")))
-    return last.withColumn(name, F.array_join(whole, "\n")).drop("_lines", "_paths", "_edits", "_changed", "_last")
+    return last.withColumn(name, F.array_join(whole, "\n")).drop("_lines", "_importing", "_paths", "_edits", "_ats", "_changed", "_last")
 
 
 def fixed_pages(pages: DataFrame, fixes: DataFrame) -> DataFrame:
