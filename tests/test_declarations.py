@@ -197,3 +197,16 @@ def test_symbols_are_read_once_for_detection(spark):
     found = detected(m.component_facts(rows), names, m.module_exports(rows))
     reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
     assert reads(found) == reads(names) and sorted(r.name for r in found.collect()) == ["A", "B", "D"]
+
+
+def test_symbols_read_declaring_words_alone(spark):
+    """All tokens of a module, read five times, took most of the time; its text was shuffled to be cut."""
+    plan = m.symbols(modules(spark, a_ts=SCOPED))._jdf.queryExecution().executedPlan().toString()
+    assert "_tokens" not in plan and plan.count("Exchange hashpartitioning(path") <= 4
+
+
+def test_parameters_between_commas(spark):
+    code = "function f(a?, b: Map<x, y>, c = d ? 1 : 2, { e, g }: { e: string },) {}\nfunction h() {}\nfunction k(z?: number = 1, ...r) {}\nclass L { m(readonly s: string"
+    rows = {r.name: (r.parameters, r.parameter_types) for r in d.symbols(modules(spark, a_ts=code)).collect() if r.kind in ("function", "method")}
+    assert rows["f"] == (["a", "b", "c", "{ e, g }"], ["", "Map<x, y>", "", "{ e: string }"]) and rows["h"] == ([], []) and rows["k"] == (["z", "...r"], ["number", ""])
+    assert rows["m"] == (["s"], ["string"])

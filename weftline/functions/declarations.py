@@ -24,10 +24,15 @@ _PREFIXES = (*SCOPES, *MODIFIERS, "get", "set", "declare", "export", "default",
 
 
 def siblings(rows: DataFrame) -> DataFrame:
-    """``modules`` with ``_tokens`` and their text, read once and kept."""
+    """``modules`` with ``_tokens``, ``_links``, ``_braces`` and their text, read once and kept."""
     return kept(with_tokens(rows, "raw", "markup", "path", "language", "raw"))
 
 
+def linked_words(rows: DataFrame) -> DataFrame:
+    """``siblings`` without ``_tokens``: the words that may declare something are far fewer."""
+    return kept(with_tokens(rows, "raw", "markup", "path", "language", "raw", tokens=False))
+
+
 def _at(place: Column) -> Column:
     """The module's token at a place, null if there is none."""
     return F.get("_tokens", place)
@@ -48,13 +53,18 @@ def _contents(place: Column) -> Column:
     return F.transform(_held(place), lambda i: F.struct(*(_at(i)[c].alias(c) for c in fields), starts(_at(i)).alias("starts")))
 
 
-def _some(tokens: DataFrame, condition: Callable[[Column], Column], blocks: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Rows ``path, language, seq, kind, text, ...`` of the tokens that meet a condition, with what they are linked to.
+def _words(tokens: DataFrame) -> DataFrame:
+    """A row for each word that may declare something, ``path, language, raw`` and ``lexical.LINK``'s fields."""
+    return tokens.select("path", "language", "raw", F.explode_outer("_links").alias("_x")).where("_x is not null").select("path", "language", "raw", "_x.*")
+
+
+def _some(tokens: DataFrame, condition: Callable[[Column], Column], blocks: Callable[[Column], Column]) -> DataFrame:
+    """Rows ``path, language, raw, seq, kind, text, ...`` of the tokens that meet a condition, with what they are linked to.
 
     ``b1`` to ``b4`` and ``a1`` to ``a4`` are the tokens before and after in the same bracket; ``leads`` is the
     statement's first word; ``paren``, ``body`` and ``block`` are the next brackets with their ends, ``stop`` and ``last``
-    the ends of the statement and of what the bracket holds. With ``blocks`` there are also the module's ``raw`` and, as
-    ``blocks``, what the function makes of the token.
+    the ends of the statement and of what the bracket holds, ``blocks`` is what the function makes of the token. ``explode_outer``
+    keeps Spark from making all of it a second time, to test the array's size.
     """
     parts = lambda t, *names: F.when(t.isNotNull(), F.struct(*(t[c].alias(c) for c in names)))
     end = lambda t: F.when(t.isNotNull(), F.struct(t["at"].alias("at"), t["to"].alias("to"), t["line"].alias("line"), (t["column"] + t["to"] - t["at"]).alias("column"), t["seq"].alias("seq")))
@@ -76,20 +86,10 @@ def _some(tokens: DataFrame, condition: Callable[[Column], Column], blocks: Call
         near = [parts(b, "text", "at", "line", "column").alias(f"b{n + 1}") for n, b in enumerate(before)]
         near += [parts(a, "seq", "kind", "text", "to", "line").alias(f"a{n + 1}") for n, a in enumerate(after)]
         ahead = [bracket(_at(t[c])).alias(c) for c in ("paren", "body", "block")] + [end(_at(t[c])).alias(c) for c in ("stop", "last")]
-        more = [] if blocks is None else [blocks(t).alias("blocks")]
-        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"), *more)
-
-    kept_too = ("path", "language") if blocks is None else ("path", "language", "raw")
-    each = tokens.select(*kept_too, F.explode(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
-    return each.select(*kept_too, "_x.*")
-
+        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"), blocks(t).alias("blocks"))
 
-def _inside(tokens: DataFrame, bracket: str) -> DataFrame:
-    """Tokens that stand in brackets of a kind: ``path, up, seq, kind, text, at, to, angle, begins, comment`` and the text before, ``before``."""
-    held = F.filter("_tokens", lambda t: _at(t["up"])["text"] == bracket)
-    fields = ("up", "seq", "kind", "text", "at", "to", "angle", "begins", "comment")
-    rows = F.transform(held, lambda t: F.struct(*(t[c].alias(c) for c in fields), _at(t["prev"])["text"].alias("before")))
-    return tokens.select("path", F.explode(rows).alias("_t")).select("path", "_t.*")
+    each = tokens.select("path", "language", "raw", F.explode_outer(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
+    return each.where("_x is not null").select("path", "language", "raw", "_x.*")
 
 
 def _heads(tokens: DataFrame, words: Sequence[str] = tuple(KINDS), blocks: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -102,7 +102,8 @@ def _heads(tokens: DataFrame, words: Sequence[str] = tuple(KINDS), blocks: Calla
         .when(text == "enum", after == "{").when(text.isin("namespace", "module"), after.isin("{", ".")).when(text.isin("const", "let", "var"), F.col("a1.text") != "enum").otherwise(F.lit(True))
     )
     statement = F.col("b1").isNull() | ~F.col("b1.text").isin(*GOES_ON) | (F.col("begins") & (F.col("b1.text") != "."))
-    found = _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*words), blocks).withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
+    found = _words(tokens).where(text.isin(*words)) if blocks is None else _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*words), blocks)
+    found = found.withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
     value = (after == "=") & ~star
     function = value & ((F.col("a3.text") == "function") | ((F.col("a3.text") == "async") & (F.col("a4.text") == "function")))
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
@@ -119,30 +120,22 @@ def _full_name() -> Column:
 
 def _further(tokens: DataFrame) -> DataFrame:
     """Names behind a comma in a statement of ``const``, ``let`` or ``var``."""
-    found = _some(tokens, lambda t: (t["kind"] == "w") & (_at(t["prev"])["text"] == ",") & _at(t["lead"])["text"].isin("const", "let", "var")).where("leads.text in ('const', 'let', 'var') and angle = 0").where(F.col("a1").isNull() | F.col("a1.text").isin("=", ":", ",", ";"))
+    found = _words(tokens).where("b1.text = ','").where("leads.text in ('const', 'let', 'var') and angle = 0").where(F.col("a1").isNull() | F.col("a1.text").isin("=", ":", ",", ";"))
     function = (F.col("a1.text") == "=") & ((F.col("a2.text") == "function") | ((F.col("a2.text") == "async") & (F.col("a3.text") == "function")))
     return found.select("*", F.when(function, "function").otherwise("variable").alias("kind_of"), F.lit(None).cast(dict(found.dtypes)["body"]).alias("own_body"))
 
 
-def _class_bodies() -> Column:
-    """Braces of all classes of a module, named or not."""
-    classes = F.filter("_tokens", lambda t: (t["kind"] == "w") & (t["text"] == "class") & (t["body"] >= 0) & F.coalesce(_at(t["prev"])["text"] != ".", F.lit(True)))
-    return F.transform(classes, lambda t: t["body"])
-
-
 def _members(tokens: DataFrame) -> DataFrame:
     """Methods and fields of classes, and of JavaScript's objects the methods and functions."""
     prefixed = F.col("b1").isNull() | F.col("begins") | F.col("b1.text").isin(";", "}", ",", *_PREFIXES)
-    followed = lambda t: F.coalesce(_at(t["next"])["text"].isin("(", "<", ":", "=", "?", "!", ";") | (_at(t["next"])["line"] > t["line"]), F.lit(True))
-    known = tokens.withColumn("_bodies", _class_bodies())
-    word = lambda t: (t["kind"] == "w") & (t["up"] >= 0)
+    words = _words(tokens).where("up >= 0 and followed")
     method = F.col("a1.text").isin("(", "<") & F.col("paren").isNotNull()
-    in_class = _some(known.where("size(_bodies) > 0"), lambda t: word(t) & F.array_contains("_bodies", t["up"]) & followed(t)).where(prefixed).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
+    in_class = words.where("in_class").where(prefixed).where(F.col("a1").isNull() | F.col("a1.text").isin("(", "<", ":", "=", "?", "!", ";") | F.coalesce(F.col("a1.line") > F.col("line"), F.lit(False)))
     in_class = in_class.where(~F.col("text").isin("static", "readonly") | F.col("a1.text").isin("(", ":", "=")).where((F.col("b1").isNull()) | (F.col("b1.text") != ",")).withColumn(
         "kind_of", F.when(method, "method").when((F.col("a1.text") == "=") & (F.col("a2.text") == "class"), "class").otherwise("field")
     )
     key = (F.col("a1.text") == ":") & (F.col("a2.text").isin("function", "async") | ((F.col("a2.text") == "(") & (F.col("a4.text") == "=>")) | ((F.col("a2.kind") == "w") & (F.col("a3.text") == "=>")))
-    in_object = _some(known.where("language = 'JavaScript'"), lambda t: word(t) & ~F.array_contains("_bodies", t["up"]) & followed(t)).where(prefixed).where((key | ((F.col("a1.text") == "(") & (F.col("a3.text") == "{"))) & (F.col("b1").isNull() | F.col("b1.text").isin(",", "async", "get", "set", "*")))
+    in_object = words.where("language = 'JavaScript' and not in_class").where(prefixed).where((key | ((F.col("a1.text") == "(") & (F.col("a3.text") == "{"))) & (F.col("b1").isNull() | F.col("b1.text").isin(",", "async", "get", "set", "*")))
     in_object = in_object.where(~F.col("text").isin("if", "for", "while", "switch", "catch", "function", "return"))
     both = in_class.unionByName(in_object.withColumn("kind_of", F.when(F.col("a1.text") == ":", "function").otherwise("method")))
     has_body = F.col("kind_of").isin("method", "class") & (F.col("body.seq") < F.coalesce("stop.seq", F.lit(2**31 - 1)))
@@ -166,27 +159,12 @@ def _modifiers() -> tuple[Column, Column]:
 def _scope_names(tokens: DataFrame, heads: DataFrame) -> DataFrame:
     """Full names of scopes: ``path, scope`` (the brace) and ``outer``, the names of all that are open there."""
     names = heads.where("word in ('class', 'interface', 'namespace', 'module') and own_body is not null").select("path", F.col("own_body.seq").alias("_s"), _full_name().alias("_name"))
-    braces = tokens.select("path", F.explode(F.filter("_tokens", lambda t: t["scopes"].isNotNull())).alias("_t"))
-    chains = braces.select("path", F.col("_t.seq").alias("scope"), F.explode("_t.scopes").alias("_s"))
+    braces = tokens.select("path", F.explode("_braces").alias("_t"))
+    chains = braces.select("path", "_t.scope", F.explode("_t.scopes").alias("_s"))
     ordered = joined(chains, names, ["path", "_s"]).groupBy("path", "scope").agg(F.sort_array(F.collect_list(F.struct("_s", "_name"))).alias("_n"))
     return ordered.select("path", "scope", F.array_join(F.transform("_n", lambda x: x["_name"]), ".").alias("outer"))
 
 
-def _parameters(tokens: DataFrame, lists: DataFrame) -> DataFrame:
-    """Parameters of ``lists(path, paren)``: ``path, paren, parameters`` in order, an array of offsets of names and types."""
-    inside = joined(_inside(tokens, "("), lists.select("path", F.col("paren").alias("up")).distinct(), ["path", "up"])
-    comma = (F.col("text") == ",") & (F.col("angle") == 0)
-    back = Window.partitionBy("path", "up").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = inside.withColumn("_no", F.count_if(comma).over(back)).where(~comma)
-    mark = lambda text: F.min(F.when((F.col("text") == text) & (F.col("angle") == 0), F.struct("seq", "at", "to")))
-    each = numbered.groupBy("path", "up", "_no").agg(F.min("at").alias("at"), F.max("to").alias("to"), mark("=").alias("_eq"), mark(":").alias("_colon"), mark("?").alias("_q"))
-    colon = F.when(F.col("_eq").isNull() | (F.col("_colon.seq") < F.col("_eq.seq")), F.col("_colon"))
-    typed = each.withColumn("_colon", colon).withColumn("_q", F.when(F.coalesce(F.col("_q.seq") < F.coalesce("_colon.seq", "_eq.seq"), F.col("_colon").isNull()), F.col("_q")))
-    ends = F.least("to", "_eq.at", "_colon.at", "_q.at")
-    part = F.struct((-F.col("_no")).alias("order"), "at", ends.alias("to"), F.col("_colon.to").alias("type_at"), F.coalesce("_eq.at", "to").alias("type_to"))
-    return typed.groupBy("path", F.col("up").alias("paren")).agg(F.sort_array(F.collect_list(part)).alias("parameters"))
-
-
 def _cut(at: Column, to: Column) -> Column:
     """Text between two offsets in bytes of the module's text."""
     return F.trim(F.regexp_replace(F.decode(F.substring(F.encode("raw", "UTF-8"), at + 1, to - at), "UTF-8"), r"^\s+|\s+$", ""))
@@ -198,8 +176,8 @@ def _exported() -> Column:
 
 
 def symbol_names(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """What ``symbols`` finds, by ``path, name, kind, is_exported`` alone, without a shuffle but for members."""
-    tokens = siblings(rows) if tokens is None else tokens
+    """What ``symbols`` finds, by ``path, name, kind, is_exported`` alone, without a shuffle."""
+    tokens = linked_words(rows) if tokens is None else tokens
     words, _ = _modifiers()
     heads = _heads(tokens).select("path", _full_name().alias("name"), F.col("kind_of").alias("kind"), words.alias("_words"), "word")
     plain = lambda found: found.select("path", F.col("text").alias("name"), F.col("kind_of").alias("kind"), F.lit(False).alias("is_exported"))
@@ -215,30 +193,32 @@ def symbols(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     and return types are those of TypeScript's functions and methods; untyped ones have ``''``. ``export const`` is
     no exported symbol, as its export statement is not next to the name; functions, classes and types are.
     """
-    tokens = siblings(rows) if tokens is None else tokens
+    tokens = linked_words(rows) if tokens is None else tokens
     heads = _heads(tokens)
     words, start = _modifiers()
-    shared = ("path", "language", "seq", "scope", "kind_of", "own_body", "stop", "last")
-    declared = heads.select(*shared, _full_name().alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), F.when(F.col("word") == "function", F.col("paren")).alias("paren"), F.col("word"))
-    further = _further(tokens).select(*shared, F.col("text").alias("name"), _place("leads").alias("_start"), F.array().cast("array<string>").alias("_words"), F.lit(None).cast(dict(declared.dtypes)["paren"]).alias("paren"), F.col("leads.text").alias("word"))
-    members = _members(tokens).select(*shared, F.col("text").alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), F.when(F.col("kind_of") == "method", F.col("paren")).alias("paren"), F.lit("").alias("word"))
-    found = joined(declared.unionByName(members).unionByName(further), _scope_names(tokens, heads), ["path", "scope"], "left")
-    lists = found.where("paren is not null and language = 'TypeScript'").select("path", F.col("paren.seq").alias("paren"))
-    listed = joined(joined(found.withColumn("_p", F.col("paren.seq")), _parameters(tokens, lists).withColumnRenamed("paren", "_p"), ["path", "_p"], "left"), rows.select("path", "raw"), ["path"])
-    end = F.coalesce("own_body", "stop", "last")
+    shared = ("path", "language", "raw", "seq", "scope", "kind_of", "own_body", "stop", "last")
+    lists = lambda has: (F.when(has, F.col("paren")).alias("paren"), F.when(has, F.col("parameters")).alias("_p"))
+    declared = heads.select(*shared, _full_name().alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), *lists(F.col("word") == "function"), F.col("word"))
+    further = _further(tokens).select(*shared, F.col("text").alias("name"), _place("leads").alias("_start"), F.array().cast("array<string>").alias("_words"), *lists(F.lit(False)), F.col("leads.text").alias("word"))
+    members = _members(tokens).select(*shared, F.col("text").alias("name"), F.coalesce(start, _place()).alias("_start"), words.alias("_words"), *lists(F.col("kind_of") == "method"), F.lit("").alias("word"))
     end = F.struct(*(F.coalesce(F.col(f"own_body.{c}"), F.col(f"stop.{c}"), F.col(f"last.{c}")).alias(c) for c in ("to", "line", "column")))
     typescript = F.col("language") == "TypeScript"
     returns = F.when(typescript & (F.col("paren.next") == ":"), _cut(F.col("paren.next_to"), F.coalesce("own_body.at", "stop.at", "last.to")))
     none = F.array().cast("array<string>")
     bare = lambda p: F.regexp_replace(_cut(p["at"], p["to"]), r"^(?:(?:public|private|protected|readonly|override)\s+)+", "")
     modifiers = F.concat(F.filter("_words", lambda w: w.isin(*MODIFIERS)), F.when(F.col("word") == "const", F.array(F.lit("const"))).otherwise(none))
-    return listed.select(
-        "path", F.col("seq").alias("pos"), "name", F.concat_ws(".", "outer", "name").alias("fqn"), F.col("kind_of").alias("kind"),
+    parameters = F.when(typescript, F.col("_p"))
+    # All texts are cut from the module within its row, so none of it is shuffled.
+    found = declared.unionByName(members).unionByName(further).select(
+        "path", F.col("scope").alias("_scope"), F.col("seq").alias("pos"), "name", F.col("kind_of").alias("kind"),
         F.coalesce(F.get(F.filter("_words", lambda w: w.isin(*SCOPES)), F.lit(0)), F.lit("")).alias("scope"), modifiers.alias("modifiers"), _exported().alias("is_exported"),
-        F.coalesce(F.transform("parameters", bare), none).alias("parameters"), F.coalesce(F.transform("parameters", lambda p: F.coalesce(_cut(p["type_at"], p["type_to"]), F.lit(""))), none).alias("parameter_types"),
+        F.coalesce(F.transform(parameters, bare), none).alias("parameters"), F.coalesce(F.transform(parameters, lambda p: F.coalesce(_cut(p["type_at"], p["type_to"]), F.lit(""))), none).alias("parameter_types"),
         F.coalesce(returns, F.lit("")).alias("return_type"), F.col("_start.line").alias("start_line"), F.col("_start.column").alias("start_column"), end["line"].alias("end_line"), end["column"].alias("end_column"),
         F.col("_start.at").alias("start_byte"), end["to"].alias("end_byte"),
     )
+    named = joined(found, _scope_names(tokens, heads).withColumnRenamed("scope", "_scope"), ["path", "_scope"], "left")
+    fields = found.columns
+    return named.select("path", "pos", "name", F.concat_ws(".", "outer", "name").alias("fqn"), *(c for c in fields if c not in ("path", "_scope", "pos", "name")))
 
 
 def _signatures(owners: DataFrame) -> DataFrame:
