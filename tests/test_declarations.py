@@ -210,3 +210,9 @@ def test_parameters_between_commas(spark):
     rows = {r.name: (r.parameters, r.parameter_types) for r in d.symbols(modules(spark, a_ts=code)).collect() if r.kind in ("function", "method")}
     assert rows["f"] == (["a", "b", "c", "{ e, g }"], ["", "Map<x, y>", "", "{ e: string }"]) and rows["h"] == ([], []) and rows["k"] == (["z", "...r"], ["number", ""])
     assert rows["m"] == (["s"], ["string"])
+
+
+def test_heads_with_blocks_are_found_among_linked_words(spark):
+    """Links of every token that declares something were made anew from the token array."""
+    plan = d.interface_props(modules(spark, a_tsx=TYPED))._jdf.queryExecution().analyzed().toString()
+    assert "filter(_links" in plan and "filter(_tokens" not in plan

@@ -58,42 +58,17 @@ def _words(tokens: DataFrame) -> DataFrame:
     return tokens.select("path", "language", "raw", F.explode_outer("_links").alias("_x")).where("_x is not null").select("path", "language", "raw", "_x.*")
 
 
-def _some(tokens: DataFrame, condition: Callable[[Column], Column], blocks: Callable[[Column], Column]) -> DataFrame:
-    """Rows ``path, language, raw, seq, kind, text, ...`` of the tokens that meet a condition, with what they are linked to.
+def _with_blocks(tokens: DataFrame, words: Sequence[str], blocks: Callable[[Column], Column]) -> DataFrame:
+    """``_words`` of a list, with ``blocks``, what the function makes of the word's token.
 
-    ``b1`` to ``b4`` and ``a1`` to ``a4`` are the tokens before and after in the same bracket; ``leads`` is the
-    statement's first word; ``paren``, ``body`` and ``block`` are the next brackets with their ends, ``stop`` and ``last``
-    the ends of the statement and of what the bracket holds, ``blocks`` is what the function makes of the token. ``explode_outer``
-    keeps Spark from making all of it a second time, to test the array's size.
+    ``explode_outer`` keeps Spark from making all of it a second time, to test the array's size.
     """
-    parts = lambda t, *names: F.when(t.isNotNull(), F.struct(*(t[c].alias(c) for c in names)))
-    end = lambda t: F.when(t.isNotNull(), F.struct(t["at"].alias("at"), t["to"].alias("to"), t["line"].alias("line"), (t["column"] + t["to"] - t["at"]).alias("column"), t["seq"].alias("seq")))
-
-    def bracket(opener: Column) -> Column:
-        closer = _at(opener["mate"])
-        then = _at(closer["next"])
-        return F.when(
-            opener.isNotNull(),
-            F.struct(opener["seq"].alias("seq"), opener["at"].alias("at"), closer["to"].alias("to"), closer["line"].alias("line"), (closer["column"] + 1).alias("column"), then["text"].alias("next"), then["to"].alias("next_to")),
-        )
-
-    def linked(t: Column) -> Column:
-        own = [t[c].alias(c) for c in ("seq", "kind", "text", "at", "to", "line", "column", "up", "scope", "angle", "begins")]
-        before, after = [_at(t["prev"])], [_at(t["next"])]
-        for _ in range(3):
-            before.append(_at(before[-1]["prev"]))
-            after.append(_at(after[-1]["next"]))
-        near = [parts(b, "text", "at", "line", "column").alias(f"b{n + 1}") for n, b in enumerate(before)]
-        near += [parts(a, "seq", "kind", "text", "to", "line").alias(f"a{n + 1}") for n, a in enumerate(after)]
-        ahead = [bracket(_at(t[c])).alias(c) for c in ("paren", "body", "block")] + [end(_at(t[c])).alias(c) for c in ("stop", "last")]
-        return F.struct(*own, *near, *ahead, parts(_at(t["lead"]), "text", "at", "line", "column").alias("leads"), blocks(t).alias("blocks"))
-
-    each = tokens.select("path", "language", "raw", F.explode_outer(F.transform(F.filter("_tokens", condition), linked)).alias("_x"))
-    return each.where("_x is not null").select("path", "language", "raw", "_x.*")
+    found = F.transform(F.filter("_links", lambda x: x["text"].isin(*words)), lambda x: F.struct(x.alias("word"), blocks(_at(x["seq"])).alias("blocks")))
+    return tokens.select("path", "language", "raw", F.explode_outer(found).alias("_x")).where("_x is not null").select("path", "language", "raw", "_x.word.*", "_x.blocks")
 
 
 def _heads(tokens: DataFrame, words: Sequence[str] = tuple(KINDS), blocks: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Words that declare a name, with ``word``, ``name`` (a token), ``kind_of``, and the statement's ``body`` or null; ``blocks`` as in ``_some``."""
+    """Words that declare a name, with ``word``, ``name`` (a token), ``kind_of``, and the statement's ``body`` or null; ``blocks`` as in ``_with_blocks``."""
     text, after = F.col("text"), F.col("a2.text")
     star = (text == "function") & (F.col("a1.text") == "*")
     name = F.when(star, F.col("a2")).otherwise(F.col("a1"))
@@ -102,7 +77,7 @@ def _heads(tokens: DataFrame, words: Sequence[str] = tuple(KINDS), blocks: Calla
         .when(text == "enum", after == "{").when(text.isin("namespace", "module"), after.isin("{", ".")).when(text.isin("const", "let", "var"), F.col("a1.text") != "enum").otherwise(F.lit(True))
     )
     statement = F.col("b1").isNull() | ~F.col("b1.text").isin(*GOES_ON) | (F.col("begins") & (F.col("b1.text") != "."))
-    found = _words(tokens).where(text.isin(*words)) if blocks is None else _some(tokens, lambda t: (t["kind"] == "w") & t["text"].isin(*words), blocks)
+    found = _words(tokens).where(text.isin(*words)) if blocks is None else _with_blocks(tokens, words, blocks)
     found = found.withColumn("name", name).where((F.col("name.kind") == "w") & fits & statement)
     value = (after == "=") & ~star
     function = value & ((F.col("a3.text") == "function") | ((F.col("a3.text") == "async") & (F.col("a4.text") == "function")))
@@ -362,7 +337,8 @@ def variant_sets(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     default = lambda t: row(t, t, [none("int").alias("pos"), t["seq"].alias("at"), none("string").alias("value"), unquoted(_at(_at(t["next"])["next"])["text"]).alias("default")])
     values = F.transform(F.filter("_tokens", lambda t: is_key(t) & has_key(around(t)) & in_section(key_of(around(t)), "variants")), value)
     defaults = F.transform(F.filter("_tokens", lambda t: is_key(t) & in_section(t, "defaultVariants")), default)
-    each = tokens.select("path", F.explode_outer(F.concat(values, defaults)).alias("_v")).where("_v is not null").select("path", "_v.*")
+    called = tokens.where(F.col("raw").contains("cva"))  # what has no such word has no such call
+    each = called.select("path", F.explode_outer(F.concat(values, defaults)).alias("_v")).where("_v is not null").select("path", "_v.*")
     listed = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "at", "value"))))
     named = each.groupBy("path", "variable", "name").agg(listed.alias("_l"), F.max_by("default", F.when(F.col("pos").isNull(), F.col("at"))).alias("default"))
     sets = named.select("path", "variable", "name", "default", "_l", F.explode(F.array_distinct(F.transform("_l", lambda x: x["pos"]))).alias("_pos"))
