@@ -2,8 +2,8 @@
 
 All is derived from a module's tokens (``lexical``), which are linked to those beside them in the same bracket, to the next
 brackets and to the end of their statement. A bracket's contents are no neighbours of what stands around it, so nothing here
-depends on how deep it is nested. Only declarations become rows; what stands inside parameter lists and bodies is split at
-separators by windows over numbers.
+depends on how deep it is nested. Only words that may declare something become rows; what stands inside parameter lists and
+bodies is split at separators within the module's row.
 """
 
 from __future__ import annotations

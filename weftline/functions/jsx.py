@@ -1,7 +1,7 @@
 """Component usages and imports of TSX pages.
 
-``lexical`` says where a page's elements stand, whatever is nested in what; parents, rows and imports are
-DataFrame operations. No page meets another, so nothing is shuffled. As in the reference data model, tags
+``lexical`` says where a page's elements stand, whatever is nested in what, and for ``page_usages`` where their names
+are imported from; rows and import statements are DataFrame operations. No page meets another, so nothing is shuffled. As in the reference data model, tags
 inside attribute values are no usages, HTML tags and fragments are transparent, lines and columns start
 at 1 and columns count bytes.
 """
